@@ -127,28 +127,40 @@ def fit_tiers(
     return model
 
 
-def running_totals(counts: DataFrame, value: str, measures: list[str], buckets: int = RANK_BUCKETS) -> DataFrame:
-    """Add ``<measure>_before``: the total of each measure over all smaller values.
-
-    ``counts`` has one row per distinct value of any sortable type. The values with the smallest hashes,
-    a fixed number of them, cut the values into ranges; each range is summed by itself in a window and
-    the ranges before it are added from a table of at most ``buckets`` rows. A range follows from the
-    value alone, so a task that runs again puts a row in the same place.
+def running_totals(
+    counts: DataFrame, value: str, measures: list[str], *, keys: list[str] | None = None, buckets: int = RANK_BUCKETS
+) -> DataFrame:
+    """Add ``<measure>_before``: the total of each measure over all smaller values of the same key.
+
+    ``counts`` has one row per key and distinct value of any sortable type. The values with the smallest
+    hashes, a fixed number of them, cut the values into ranges; each range is summed by itself in a
+    window and the ranges before it are added from a table of at most ``buckets`` rows per key. A range
+    follows from the value alone, so a task that runs again puts a row in the same place.
     """
-    picked = counts.filter(F.col(value).isNotNull()).select(value).orderBy(F.xxhash64(value), value).limit(buckets - 1)
+    keys = list(keys or [])
+    picked = counts.filter(F.col(value).isNotNull()).select(value)
+    if keys:
+        picked = picked.groupBy(value).agg(F.lit(1).alias("_one")).select(value)
+    picked = picked.orderBy(F.xxhash64(value), value).limit(buckets - 1)
     splits = sorted(row[0] for row in picked.collect())
-    bucket = _bucket(F.col(value), splits)
-    ranged = counts.withColumn("_bucket", bucket)
-    totals = ranged.groupBy("_bucket").agg(*[F.sum(m).alias(f"_t_{m}") for m in measures])
-    before = W.orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
-    # At most ``buckets`` rows reach this window.
-    offsets = totals.select("_bucket", *[F.coalesce(F.sum(f"_t_{m}").over(before), F.lit(0)).alias(f"_o_{m}") for m in measures])
-    within = W.partitionBy("_bucket").orderBy(value).rowsBetween(W.unboundedPreceding, -1)
+    ranged = counts.withColumn("_bucket", _bucket(F.col(value), splits))
+    totals = ranged.groupBy(*keys, "_bucket").agg(*[F.sum(m).alias(f"_t_{m}") for m in measures])
+    before = W.partitionBy(*keys).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
+    # At most ``buckets`` rows per key reach this window.
+    offsets = totals.select(
+        *[F.col(k).alias(f"_k_{k}") for k in keys],
+        F.col("_bucket").alias("_k_bucket"),
+        *[F.coalesce(F.sum(f"_t_{m}").over(before), F.lit(0)).alias(f"_o_{m}") for m in measures],
+    )
+    match = F.col("_bucket") == F.col("_k_bucket")
+    for k in keys:
+        match = match & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    within = W.partitionBy(*keys, "_bucket").orderBy(value).rowsBetween(W.unboundedPreceding, -1)
     return (
         ranged.withColumns({f"_w_{m}": F.coalesce(F.sum(m).over(within), F.lit(0)) for m in measures})
-        .join(F.broadcast(offsets), "_bucket")
+        .join(offsets if keys else F.broadcast(offsets), match)
         .withColumns({f"{m}_before": F.col(f"_w_{m}") + F.col(f"_o_{m}") for m in measures})
-        .drop("_bucket", *[f"_w_{m}" for m in measures], *[f"_o_{m}" for m in measures])
+        .drop("_bucket", "_k_bucket", *[f"_k_{k}" for k in keys], *[f"_{p}_{m}" for m in measures for p in "wo"])
     )
 
 

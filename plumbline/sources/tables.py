@@ -72,6 +72,10 @@ FROM customer c LEFT JOIN (
 """
 
 
+PLANS_SQL = """CASE plan_type WHEN 'free' THEN 0 WHEN 'trial' THEN 1 WHEN 'basic' THEN 2 WHEN 'premium' THEN 3
+  WHEN 'enterprise' THEN 4 ELSE 1 END"""
+
+
 def churn_dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``churn_base`` with defects set by key modulus: missing values, outliers, bad plans, bad dates."""
     key = F.col("customer_id").cast("bigint")

@@ -114,7 +114,8 @@ def fit_impute(
         micros = df.select(*[
             F.unix_micros(F.col(c).cast("timestamp")).alias(c) if c in time else clean(df, c).alias(c) for c in median
         ])
-        for c, (value,) in exact_quantiles(micros, {c: [0.5] for c in median}, exact=exact).items():
+        counts = {c: n - model.missing[c] for c in median}
+        for c, (value,) in exact_quantiles(micros, {c: [0.5] for c in median}, counts=counts, exact=exact).items():
             model.fills[c] = value
     mean = [c for c, s in plan.items() if s == "mean"]
     if mean:
@@ -195,6 +196,7 @@ def fit_cap(
     if not numbers:
         return model
     row = df.agg(
+        *[F.count(clean(df, c)).alias(f"n{i}") for i, c in enumerate(numbers)],
         *[F.min(clean(df, c)).alias(f"lo{i}") for i, c in enumerate(numbers)],
         *[F.max(clean(df, c)).alias(f"hi{i}") for i, c in enumerate(numbers)],
         *[F.avg(clean(df, c)).alias(f"m{i}") for i, c in enumerate(numbers)],
@@ -203,7 +205,8 @@ def fit_cap(
     varied = [(i, c) for i, c in enumerate(numbers) if row[f"lo{i}"] != row[f"hi{i}"]]
     if method == "iqr":
         factor = IQR_FACTOR if factor is None else factor
-        for c, (q1, q3) in exact_quantiles(df, {c: [0.25, 0.75] for _, c in varied}, exact=exact).items():
+        counts = {c: row[f"n{i}"] for i, c in varied}
+        for c, (q1, q3) in exact_quantiles(df, {c: [0.25, 0.75] for _, c in varied}, counts=counts, exact=exact).items():
             model.bounds[c] = (q1 - factor * (q3 - q1), q3 + factor * (q3 - q1))
     else:
         factor = ZSCORE_FACTOR if factor is None else factor
@@ -350,13 +353,14 @@ def fit_scale(
         value = clean(df, c).cast("double")
         aggregates += [
             F.min(value).alias(f"lo{i}"), F.max(value).alias(f"hi{i}"), F.avg(value).alias(f"m{i}"),
-            F.stddev_pop(value).alias(f"s{i}"), F.count_if(~value.isin(0.0, 1.0)).alias(f"x{i}"),
+            F.stddev_pop(value).alias(f"s{i}"), F.count(value).alias(f"n{i}"), F.count_if(~value.isin(0.0, 1.0)).alias(f"x{i}"),
         ]
     row = df.agg(*aggregates).first()
     model.binary = [c for i, c in enumerate(numbers) if (row[f"lo{i}"], row[f"hi{i}"], row[f"x{i}"]) == (0.0, 1.0, 0)]
     scaled = [(i, c) for i, c in enumerate(numbers) if c not in model.binary and row[f"lo{i}"] is not None]
     if method == "robust":
-        quartiles = exact_quantiles(df, {c: [0.25, 0.5, 0.75] for _, c in scaled}, exact=exact)
+        counts = {c: row[f"n{i}"] for i, c in scaled}
+        quartiles = exact_quantiles(df, {c: [0.25, 0.5, 0.75] for _, c in scaled}, counts=counts, exact=exact)
         for c, (q1, q2, q3) in quartiles.items():
             model.centers[c], model.scales[c] = q2, (q3 - q1) or 1.0
     for i, c in scaled:
@@ -375,28 +379,33 @@ _SIGNED = ((-128, 127, T.ByteType()), (-32768, 32767, T.ShortType()), (-21474836
 @dataclass
 class NarrowModel:
     types: dict[str, str] = field(default_factory=dict)
+    empty: list[str] = field(default_factory=list)
 
     def transform(self, df: DataFrame) -> DataFrame:
         changes = {c: F.col(c).cast(t) for c, t in self.types.items() if c in df.columns}
-        return df.withColumns(changes) if changes else df
+        return (df.withColumns(changes) if changes else df).drop(*self.empty)
 
 
-def fit_narrow(df: DataFrame, *, skip: Sequence[str] = ()) -> NarrowModel:
+def fit_narrow(df: DataFrame, *, skip: Sequence[str] = (), drop_empty: bool = False) -> NarrowModel:
     """Smaller types that hold every value. Unsigned widths take the next signed type.
 
-    A double becomes a float only if no value changes and none is missing.
+    A double becomes a float only if no value changes and none is missing. With ``drop_empty`` the same
+    aggregation also finds the columns without any value, and the transform leaves them out.
     """
     longs = [f.name for f in df.schema.fields if isinstance(f.dataType, T.LongType) and f.name not in skip]
     doubles = [f.name for f in df.schema.fields if isinstance(f.dataType, T.DoubleType) and f.name not in skip]
     model = NarrowModel()
-    if not longs and not doubles:
+    if not longs and not doubles and not drop_empty:
         return model
+    checked = df.columns if drop_empty else []
     row = df.agg(
         F.count("*").alias("n"),
+        *[F.count(clean(df, c)).alias(f"v{i}") for i, c in enumerate(checked)],
         *[F.min(c).alias(f"lo{i}") for i, c in enumerate(longs)],
         *[F.max(c).alias(f"hi{i}") for i, c in enumerate(longs)],
         *[F.count_if((F.col(c).cast("float").cast("double") == F.col(c)) & ~F.isnan(c)).alias(f"same{i}") for i, c in enumerate(doubles)],
     ).first()
+    model.empty = [c for i, c in enumerate(checked) if not row[f"v{i}"]]
     for i, c in enumerate(longs):
         low, high = row[f"lo{i}"], row[f"hi{i}"]
         if low is None:

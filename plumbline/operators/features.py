@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from plumbline.functions.scalars import calendar_parts, elapsed_days, pct_change, plan_value_score, recency_score, safe_ratio
 from plumbline.operators.quantiles import EXACT_LIMIT
 from plumbline.operators.rank import TierModel, fit_tiers, percent_rank_average
-from plumbline.operators.series import BLOCK_ROWS, fill_forward, growth, over_rows, rolling_mean, rolling_std
+from plumbline.operators.series import BLOCK_ROWS, growth, over_rows, rolling_mean, rolling_std
 
 # Frame lengths and lags in rows, days per month and of the recency scale.
 MEAN_ROWS = (7, 30, 90)
@@ -87,21 +87,20 @@ def revenue_features(df: DataFrame, *, tie: list[str] | None = None, block_rows:
     """
     order = ["date", *(tie or [])]
     out = df.withColumns(calendar_parts("date"))
-    filled = fill_forward(out, [], order, {"_known": F.col("revenue")}, block_rows=block_rows)
-
     def build(w):
         columns = {f"revenue_ma_{k}": rolling_mean("revenue", w, k) for k in MEAN_ROWS}
         columns |= {f"revenue_growth_{k}d": growth("_known", w, k) for k in LAGS}
         columns |= {f"revenue_volatility_{k}": rolling_std("revenue", w, k) for k in STD_ROWS}
         return columns
 
-    return over_rows(filled, [], order, max(*MEAN_ROWS, *LAGS), build, block_rows=block_rows).drop("_known")
+    known = {"_known": F.col("revenue")}
+    return over_rows(out, [], order, max(*MEAN_ROWS, *LAGS), build, fill=known, block_rows=block_rows).drop("_known")
 
 
 def price_features(df: DataFrame, *, key: str = "product_id", tie: list[str] | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Revenue, changes and trend per product, and the price's place among all prices."""
     order = ["date", *(tie or [])]
-    known = fill_forward(df, [key], order, {"_price": F.col("price"), "_quantity": F.col("quantity_sold")}, block_rows=block_rows)
+    known = {"_price": F.col("price"), "_quantity": F.col("quantity_sold")}
 
     def build(w):
         return {
@@ -110,7 +109,7 @@ def price_features(df: DataFrame, *, key: str = "product_id", tie: list[str] | N
             "quantity_trend": rolling_mean("quantity_sold", w, TREND_ROWS),
         }
 
-    series = over_rows(known, [key], order, TREND_ROWS, build, block_rows=block_rows).drop("_price", "_quantity")
+    series = over_rows(df, [key], order, TREND_ROWS, build, fill=known, block_rows=block_rows).drop("_price", "_quantity")
     # Ties of the tier cuts are ordered by product and date as one sortable text.
     tie_text = F.concat_ws("|", *[F.col(c).cast("string") for c in (key, *order)])
     tiers = fit_tiers(df.select("price", tie_text.alias("_tie")), "price", 3, tie="_tie")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.blueprints import BLUEPRINTS, Blueprint, get_blueprint
-from plumbline.operators.quality import Anomaly, is_numeric, numeric_columns
+from plumbline.operators.quality import Anomaly, Moments, is_numeric, numeric_columns
 from plumbline.operators.quantiles import clean
 
 # Weights and limits of the compatibility scores.
@@ -110,7 +110,7 @@ def correlations(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
 def missing_and_outliers(df: DataFrame, *, method: str = "iqr", threshold: float = 3.0, exact: bool = True) -> DataFrame:
     """Per column the percentage of missing values and, for numbers, the count of outliers."""
     rule = Anomaly(method, threshold, exact=exact)
-    rule.prepare(df)
+    rule.prepare(df, Moments(df))
     outliers = {c: F.count_if(rule.condition(df, c)) for c in rule.fitted}
     row = df.agg(
         F.count("*").alias("n"),

@@ -69,12 +69,30 @@ class Check:
     extra: dict[str, Column] = field(default_factory=dict)
 
 
+class Moments:
+    """Count, mean and deviation of number columns, aggregated once for all rules of a run."""
+
+    def __init__(self, df: DataFrame):
+        self.df, self.known = df, {}
+
+    def of(self, columns: Sequence[str]) -> dict[str, tuple]:
+        new = [c for c in columns if c not in self.known]
+        if new:
+            row = self.df.agg(
+                *[F.count(clean(self.df, c)).alias(f"n{i}") for i, c in enumerate(new)],
+                *[F.avg(clean(self.df, c)).alias(f"m{i}") for i, c in enumerate(new)],
+                *[F.stddev_samp(clean(self.df, c)).alias(f"s{i}") for i, c in enumerate(new)],
+            ).first()
+            self.known.update({c: (row[f"n{i}"], row[f"m{i}"], row[f"s{i}"]) for i, c in enumerate(new)})
+        return {c: self.known[c] for c in columns}
+
+
 class Rule:
     """Base of all rules. ``prepare`` may run fit aggregations; ``checks`` only builds expressions."""
 
     severity = MEDIUM
 
-    def prepare(self, df: DataFrame) -> None:
+    def prepare(self, df: DataFrame, moments: Moments) -> None:
         return None
 
     def checks(self, df: DataFrame) -> list[Check]:
@@ -228,22 +246,20 @@ class Anomaly(Rule):
         self.method, self.threshold, self.severity, self.columns, self.exact = method, threshold, severity, columns, exact
         self.fitted: dict[str, tuple] = {}
 
-    def prepare(self, df: DataFrame) -> None:
+    def prepare(self, df: DataFrame, moments: Moments) -> None:
         columns = [c for c in (self.columns or numeric_columns(df)) if c in numeric_columns(df)]
         if not columns:
             return
+        stats = moments.of(columns)
         if self.method == "iqr":
-            quartiles = exact_quantiles(df, {c: [0.25, 0.75] for c in columns}, exact=self.exact)
+            counts = {c: n for c, (n, _, _) in stats.items()}
+            quartiles = exact_quantiles(df, {c: [0.25, 0.75] for c in columns}, counts=counts, exact=self.exact)
             for c, (q1, q3) in quartiles.items():
                 if q1 is not None:
                     reach = self.threshold * (q3 - q1)
                     self.fitted[c] = (q1 - reach, q3 + reach)
         else:
-            row = df.agg(
-                *[F.avg(clean(df, c)).alias(f"m{i}") for i, c in enumerate(columns)],
-                *[F.stddev_samp(clean(df, c)).alias(f"s{i}") for i, c in enumerate(columns)],
-            ).first()
-            self.fitted = {c: (row[f"m{i}"], row[f"s{i}"]) for i, c in enumerate(columns) if row[f"s{i}"]}
+            self.fitted = {c: (mean, std) for c, (_, mean, std) in stats.items() if std}
 
     def condition(self, df: DataFrame, c: str) -> Column:
         value = clean(df, c).cast("double")
@@ -306,8 +322,9 @@ def _examples(df: DataFrame, checks: list[Check], key: str) -> DataFrame | None:
 def run_rules(df: DataFrame, rules: Sequence[Rule] | None = None, *, key: str | None = None) -> DataFrame:
     """Issues found by the rules, one row each. ``key`` orders the examples; without it there are none."""
     rules = default_rules() if rules is None else list(rules)
+    moments = Moments(df)
     for rule in rules:
-        rule.prepare(df)
+        rule.prepare(df, moments)
     checks = [check for rule in rules for check in rule.checks(df)]
     spark = df.sparkSession
     if not checks:

@@ -114,7 +114,7 @@ def _narrow(data: DataFrame, searches: list[_Search], accuracy: int) -> None:
     slack = 2.0 / accuracy
     sketches = []
     for i, s in enumerate(searches):
-        p = (s.rank + 0.5) / s.inside if not s.below else (s.rank - s.below + 0.5) / s.inside
+        p = (s.rank - s.below + 0.5) / s.inside
         points = [min(1.0, max(0.0, p + d)) for d in (-slack, 0.0, slack)]
         value = F.col(s.column)
         sketches.append(
@@ -160,11 +160,15 @@ def exact_quantiles(
     df: DataFrame,
     quantiles: dict[str, list[float]],
     *,
+    counts: dict[str, int] | None = None,
     exact: bool = True,
     exact_limit: int = EXACT_LIMIT,
     accuracy: int = SKETCH_ACCURACY,
 ) -> dict[str, list[float | None]]:
-    """Linearly interpolated quantiles per column. ``exact=False`` takes the sketch's answer in one pass."""
+    """Linearly interpolated quantiles per column. ``exact=False`` takes the sketch's answer in one pass.
+
+    ``counts`` are the non-missing values per column where the caller has counted them already.
+    """
     quantiles = {c: list(qs) for c, qs in quantiles.items() if qs}
     if not quantiles:
         return {}
@@ -178,7 +182,7 @@ def exact_quantiles(
             for i, (c, qs) in enumerate(quantiles.items())
         }
 
-    counts = count_values(df, list(quantiles))
+    counts = counts or count_values(df, list(quantiles))
     ranks: dict[str, list[int]] = {}
     for column, qs in quantiles.items():
         n = counts[column]

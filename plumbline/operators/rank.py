@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import math
 from dataclasses import dataclass, field
 
@@ -13,7 +14,7 @@ from pyspark.sql import types as T
 from plumbline.operators.quantiles import EXACT_LIMIT, clean, count_values, order_statistics
 from plumbline.operators.skew import balanced_join
 
-RANK_BUCKETS = 256
+RANK_BUCKETS = 4096
 
 # Tier names for four and three tiers.
 TIER_LABELS = {4: ("low", "medium", "high", "premium"), 3: ("low", "medium", "high")}
@@ -127,26 +128,31 @@ def fit_tiers(
     return model
 
 
+def pick_splits(counts: DataFrame, value: str, keys: list[str] | None = None) -> list:
+    """Fewer than ``RANK_BUCKETS`` distinct values, those with the smallest hashes, in order."""
+    picked = counts.filter(F.col(value).isNotNull()).select(value)
+    if keys:
+        picked = picked.groupBy(value).agg(F.lit(1).alias("_one")).select(value)
+    return sorted(row[0] for row in picked.orderBy(F.xxhash64(value), value).limit(RANK_BUCKETS - 1).collect())
+
+
 def running_totals(
-    counts: DataFrame, value: str, measures: list[str], *, keys: list[str] | None = None, buckets: int = RANK_BUCKETS
+    counts: DataFrame, value: str, measures: list[str], *, keys: list[str] | None = None, splits: list | None = None
 ) -> DataFrame:
     """Add ``<measure>_before``: the total of each measure over all smaller values of the same key.
 
-    ``counts`` has one row per key and distinct value of any sortable type. The values with the smallest
+    ``counts`` has one row per key and distinct number or text. The values with the smallest
     hashes, a fixed number of them, cut the values into ranges; each range is summed by itself in a
-    window and the ranges before it are added from a table of at most ``buckets`` rows per key. A range
+    window and the ranges before it are added from a table of at most ``RANK_BUCKETS`` rows per key. A range
     follows from the value alone, so a task that runs again puts a row in the same place.
     """
     keys = list(keys or [])
-    picked = counts.filter(F.col(value).isNotNull()).select(value)
-    if keys:
-        picked = picked.groupBy(value).agg(F.lit(1).alias("_one")).select(value)
-    picked = picked.orderBy(F.xxhash64(value), value).limit(buckets - 1)
-    splits = sorted(row[0] for row in picked.collect())
-    ranged = counts.withColumn("_bucket", _bucket(F.col(value), splits))
+    if splits is None:
+        splits = pick_splits(counts, value, keys)
+    ranged = counts.withColumn("_bucket", bucket_of(F.col(value), splits, counts.schema[value].dataType.simpleString()))
     totals = ranged.groupBy(*keys, "_bucket").agg(*[F.sum(m).alias(f"_t_{m}") for m in measures])
     before = W.partitionBy(*keys).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
-    # At most ``buckets`` rows per key reach this window.
+    # At most RANK_BUCKETS rows per key reach this window.
     offsets = totals.select(
         *[F.col(k).alias(f"_k_{k}") for k in keys],
         F.col("_bucket").alias("_k_bucket"),
@@ -164,15 +170,19 @@ def running_totals(
     )
 
 
-def _bucket(value: Column, splits: list) -> Column:
-    """The number of splits below the value, as a balanced tree of comparisons."""
-    def branch(low: int, high: int) -> Column:
-        if low == high:
-            return F.lit(low)
-        middle = (low + high) // 2
-        return F.when(value <= F.lit(splits[middle]), branch(low, middle)).otherwise(branch(middle + 1, high))
+def bucket_of(value: Column, splits: list, kind: str) -> Column:
+    """The number of sorted ``splits`` below the value, by a binary search in one expression.
 
-    return branch(0, len(splits))
+    The splits travel as one JSON text, which is folded to a constant, and not as thousands of literals.
+    """
+    if not splits:
+        return F.lit(0)
+    ordered = F.from_json(F.lit(json.dumps(splits)), f"array<{kind}>")
+    steps = F.array(*[F.lit(1 << i) for i in range(len(splits).bit_length() - 1, -1, -1)])
+    # Past the end ``get`` is NULL, which compares as not below.
+    return F.aggregate(
+        steps, F.lit(0), lambda at, step: at + F.when(F.get(ordered, at + step - 1) < value, step).otherwise(0)
+    )
 
 
 def percent_rank_average(df: DataFrame, column: str, output: str) -> DataFrame:
@@ -183,9 +193,12 @@ def percent_rank_average(df: DataFrame, column: str, output: str) -> DataFrame:
     """
     data = df.withColumn("_value", clean(df, column).cast("double") + F.lit(0.0))
     counts = data.filter("_value IS NOT NULL").groupBy("_value").agg(F.count("*").alias("n"))
-    ranked = running_totals(counts, "_value", ["n"])
+    splits = pick_splits(counts, "_value")
+    ranked = running_totals(counts, "_value", ["n"], splits=splits)
     total = counts.agg(F.sum("n").alias("total"))
     ranks = ranked.crossJoin(F.broadcast(total)).select(
         "_value", ((F.col("n_before") + (F.col("n") + 1) / F.lit(2.0)) / F.col("total")).alias(output)
     )
-    return balanced_join(data, ranks, ["_value"], "left").drop("_value")
+    # Fewer splits than could be picked means that they are all the values there are.
+    small = len(splits) < RANK_BUCKETS - 1 or None
+    return balanced_join(data, ranks, ["_value"], "left", small=small).drop("_value")

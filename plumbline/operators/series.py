@@ -12,9 +12,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plumbline.functions.scalars import pct_change
-from plumbline.operators.rank import _bucket
+from plumbline.operators.rank import bucket_of
 
 BLOCK_ROWS = 1_000_000
 ORDER_CHUNKS = 1024
@@ -29,12 +30,17 @@ def _blocked(df: DataFrame, keys: list[str], order: list[str], block_rows: int)
     """Add ``_row``, the 0-based position within the key, and ``_block`` of ``block_rows`` positions.
 
     Positions are counted inside ranges of the first order column and shifted by the rows of the
-    ranges before, so no task sees more than one range of one key.
+    ranges before, so no task sees more than one range of one key. The first order column is a number,
+    a date or a timestamp.
     """
     shares = [i / ORDER_CHUNKS for i in range(1, ORDER_CHUNKS)]
-    splits = df.agg(F.percentile_approx(order[0], shares, 10 * ORDER_CHUNKS)).first()[0] or []
-    splits = sorted(set(splits))
-    chunked = df.withColumn("_chunk", F.when(F.col(order[0]).isNull(), -1).otherwise(_bucket(F.col(order[0]), splits)))
+    first = F.col(order[0])
+    if isinstance(df.schema[order[0]].dataType, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+        first = F.unix_micros(first.cast("timestamp"))
+    placed = df.withColumn("_first", first)
+    splits = placed.agg(F.percentile_approx("_first", shares, 10 * ORDER_CHUNKS)).first()[0] or []
+    chunk = bucket_of(F.col("_first"), sorted(set(splits)), placed.schema["_first"].dataType.simpleString())
+    chunked = placed.withColumn("_chunk", F.when(F.col("_first").isNull(), -1).otherwise(chunk)).drop("_first")
     sizes = chunked.groupBy(*keys, "_chunk").agg(F.count("*").alias("_size"))
     before = W.partitionBy(*keys).orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
     # At most ORDER_CHUNKS rows per key reach this window.
@@ -60,14 +66,20 @@ def over_rows(
     reach: int,
     build: Callable[[WindowSpec], dict[str, Column]],
     *,
+    fill: dict[str, Column] | None = None,
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Add columns built on a window ordered by ``order`` whose frames reach back ``reach`` rows at most.
 
-    ``order`` must order the rows of a key fully.
+    ``order`` must order the rows of a key fully. ``fill`` adds columns with the latest non-missing value
+    of an expression first, which the built columns may use.
     """
     if longest_key(df, keys) <= block_rows:
-        return df.withColumns(build(W.partitionBy(*keys).orderBy(*order)))
+        w = W.partitionBy(*keys).orderBy(*order)
+        filled = df.withColumns({n: _last(c, w) for n, c in fill.items()}) if fill else df
+        return filled.withColumns(build(w))
+    if fill:
+        df = _fill_blocks(df, keys, order, fill, block_rows)
     block_rows = max(block_rows, 2 * reach)
     blocks = _blocked(df, keys, order, block_rows)
     ends = F.col("_row") % block_rows >= block_rows - reach
@@ -77,17 +89,21 @@ def over_rows(
     return rows.withColumns(build(window)).filter("_ahead = 0").drop("_ahead", "_block", "_row")
 
 
+def _last(c: str | Column, w: WindowSpec, end: int = 0) -> Column:
+    return F.last(c, ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, end))
+
+
 def fill_forward(
     df: DataFrame, keys: list[str], order: list[str], columns: dict[str, Column], *, block_rows: int = BLOCK_ROWS
 ) -> DataFrame:
     """Add, per name, the latest non-missing value of an expression up to and including each row."""
-    def last(c: str | Column, w: WindowSpec, end: int = 0) -> Column:
-        return F.last(c, ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, end))
-
     if longest_key(df, keys) <= block_rows:
         w = W.partitionBy(*keys).orderBy(*order)
-        return df.withColumns({name: last(c, w) for name, c in columns.items()})
+        return df.withColumns({name: _last(c, w) for name, c in columns.items()})
+    return _fill_blocks(df, keys, order, columns, block_rows)
+
 
+def _fill_blocks(df: DataFrame, keys: list[str], order: list[str], columns: dict[str, Column], block_rows: int) -> DataFrame:
     blocks = _blocked(df, keys, order, block_rows).withColumns({f"_v_{n}": c for n, c in columns.items()})
     ends = blocks.groupBy(*keys, "_block").agg(
         *[F.max_by(f"_v_{n}", F.when(F.col(f"_v_{n}").isNotNull(), F.col("_row"))).alias(f"_e_{n}") for n in columns]
@@ -96,13 +112,13 @@ def fill_forward(
     carried = ends.select(
         *[F.col(k).alias(f"_k_{k}") for k in keys],
         F.col("_block").alias("_k_block"),
-        *[last(f"_e_{n}", across, -1).alias(f"_c_{n}") for n in columns],
+        *[_last(f"_e_{n}", across, -1).alias(f"_c_{n}") for n in columns],
     )
     match = F.col("_block") == F.col("_k_block")
     for k in keys:
         match = match & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
     within = W.partitionBy(*keys, "_block").orderBy("_row")
-    filled = blocks.withColumns({f"_w_{n}": last(f"_v_{n}", within) for n in columns})
+    filled = blocks.withColumns({f"_w_{n}": _last(f"_v_{n}", within) for n in columns})
     return (
         filled.join(carried, match)
         .withColumns({n: F.coalesce(F.col(f"_w_{n}"), F.col(f"_c_{n}")) for n in columns})

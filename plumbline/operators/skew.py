@@ -24,14 +24,15 @@ def fits_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
     return df.limit(limit + 1).count() <= limit
 
 
-def balanced_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
+def balanced_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left", *, small: bool | None = None) -> DataFrame:
     """Join to a table that is unique on ``keys``, whatever the key distribution on the left.
 
     A right side counted to be small is broadcast. Otherwise the rows of hot left keys meet the few
     right rows they need in a broadcast join, and only the remaining rows are shuffled by key. Each
     left row takes exactly one of the two ways. ``how`` is inner, left, left_semi or left_anti.
+    ``small`` tells that the right side was counted before.
     """
-    if fits_broadcast(right):
+    if small or (small is None and fits_broadcast(right)):
         return left.join(F.broadcast(right), keys, how)
     hot = hot_keys(left, keys)
     is_hot = reduce(Column.__and__, [F.col(k).isNotNull() for k in keys])

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from plumbline.blueprints import get_blueprint
 from plumbline.operators import clean as C
 from plumbline.operators.features import ChurnFeatures, fit_churn_features, price_features, revenue_features
-from plumbline.session import scratch_path
+from plumbline.session import materialise
 
 KEY_COLUMNS = {"customer_churn": ["customer_id"], "revenue_projection": [], "price_optimization": ["product_id"]}
 
@@ -40,14 +40,14 @@ class FittedPreprocess:
     churn: ChurnFeatures | None
     encode: C.EncodeModel
     scale: C.ScaleModel
-    narrow: C.NarrowModel | None = None
+    narrow: C.NarrowModel
     report: list[tuple[str, str, str]] = field(default_factory=list)
 
     def transform(self, df: DataFrame) -> DataFrame:
         out = self.cap.transform(self.impute.transform(df))
         out = _features(out, self.blueprint, self.as_of, self.churn)
         out = self.scale.transform(self.encode.transform(out))
-        return self.narrow.transform(out) if self.narrow else out
+        return self.narrow.transform(out)
 
 
 def _features(df: DataFrame, blueprint: str, as_of: Column, churn: ChurnFeatures | None) -> DataFrame:
@@ -60,21 +60,14 @@ def _features(df: DataFrame, blueprint: str, as_of: Column, churn: ChurnFeatures
     return df
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write the table to the shared scratch folder and read it back, so later fits start from there."""
-    path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
 def preprocess(
     df: DataFrame, blueprint: str, as_of: Column, config: PreprocessConfig | None = None, *, keys: Sequence[str] | None = None,
-    store: bool = False,
+    store: bool = True,
 ) -> tuple[DataFrame, FittedPreprocess]:
     """Impute, cap, build features, encode and scale; keys and timestamps pass through.
 
-    With ``store`` the feature table is written once to shared scratch space between the fits, which on a
-    large table saves computing the windows again for each fit.
+    With ``store`` the feature table is written once to shared scratch space, so that the later fits and
+    the result do not compute the features again.
     """
     config = config or PreprocessConfig()
     name = get_blueprint(blueprint).name
@@ -94,10 +87,9 @@ def preprocess(
     encoded = encode.transform(featured)
     scale = C.fit_scale(encoded, config.scaling_method, skip=untouched, exact=config.exact)
     scaled = scale.transform(encoded)
-    result = C.drop_empty_columns(C.unique_columns(scaled))
-    narrow = C.fit_narrow(result, skip=untouched) if config.narrow else None
-    if narrow:
-        result = narrow.transform(result)
+    result = C.unique_columns(scaled)
+    narrow = C.fit_narrow(result, skip=untouched if config.narrow else result.columns, drop_empty=True)
+    result = narrow.transform(result)
 
     fitted = FittedPreprocess(name, as_of, impute, cap, churn, encode, scale, narrow)
     fitted.report += [("impute", c, s) for c, s in impute.strategies.items()]
@@ -105,8 +97,7 @@ def preprocess(
     fitted.report += [("feature", c, "created") for c in featured.columns if c not in df.columns]
     fitted.report += [("encode", c, m) for c, m in encode.methods.items()]
     fitted.report += [("scale", c, scale.method) for c in scale.centers]
-    if narrow:
-        fitted.report += [("narrow", c, t) for c, t in narrow.types.items()]
+    fitted.report += [("narrow", c, t) for c, t in narrow.types.items()]
     return result, fitted
 
 

@@ -32,7 +32,7 @@ class RunResult:
 
 def run_blueprint(
     df: DataFrame, blueprint: str | Blueprint, as_of: Column, config: PreprocessConfig | None = None, *,
-    rules: list[Rule] | None = None, key: str | None = None, min_quality_score: float | None = None, store: bool = False,
+    rules: list[Rule] | None = None, key: str | None = None, min_quality_score: float | None = None, store: bool = True,
 ) -> RunResult:
     """Stops on a critical issue, on a poor fit and, if asked for, on a low quality score."""
     blueprint = get_blueprint(blueprint)
@@ -58,7 +58,9 @@ def run_blueprint(
             (F.col("failed_count") / F.col("total_count")).alias("failure_rate"),
             F.array("messages").alias("examples"),
         )
-        result.issues = result.issues.unionByName(rows)
+        found = result.issues.unionByName(rows)
+        # One row per failed check or field: small whatever the size of the table.
+        result.issues = df.sparkSession.createDataFrame(found.collect(), found.schema)
         row = verdict(result.issues).crossJoin(quality_score(result.issues, df).select("quality_score")).first()
         if row["critical_issues"]:
             raise BlueprintError(f"{row['critical_issues']} critical issues")

@@ -16,6 +16,7 @@ from plumbline.operators.series import (
 )
 from plumbline.plans.preprocess import PreprocessConfig, mixed_preprocess, preprocess, report_table
 from plumbline.plans.run import run_blueprint
+from plumbline.session import materialise
 from plumbline.queries.registry import AS_OF_SQL, days_sql, query, ratio_sql, rounded
 from plumbline.sources.tables import (
     CHURN_BASE_SQL, CHURN_DIRTY_SQL, PLANS_SQL, PRICE_BASE_SQL, REVENUE_BASE_SQL, as_of_column, churn_base, churn_dirty,
@@ -56,7 +57,7 @@ def rounds(columns, digits=6) -> str:
 
 @query("churn_features", f"WITH b AS ({CHURN_BASE_SQL}), {churn_features_sql('b')} SELECT customer_id, days_since_last_activity, account_tenure_days, value_tier, plan_value_score, {rounds(CHURN_RATIOS)} FROM feat")
 def churn_features_query(spark, sf):
-    return rounded(churn_features(churn_base(spark, sf), as_of_column()).select(*CHURN_OUT), CHURN_RATIOS)
+    return rounded(churn_features(materialise(churn_base(spark, sf), "churn"), as_of_column()).select(*CHURN_OUT), CHURN_RATIOS)
 
 
 MEANS = ["revenue_ma_7", "revenue_ma_30", "revenue_ma_90"]
@@ -80,7 +81,7 @@ FROM ({REVENUE_BASE_SQL})"""
 
 @query("revenue_features", REVENUE_FEATURES_SQL)
 def revenue_features_query(spark, sf):
-    out = revenue_features(revenue_base(spark, sf)).drop("revenue", "customer_count")
+    out = revenue_features(materialise(revenue_base(spark, sf), "revenue")).drop("revenue", "customer_count")
     return rounded(rounded(out, [*MEANS, *VOLATILITIES], 4), GROWTHS)
 
 
@@ -97,7 +98,7 @@ SELECT product_id, date, round(revenue, 4) AS revenue, round(price_change, 6) AS
 
 @query("price_features", PRICE_FEATURES_SQL)
 def price_features_query(spark, sf):
-    out = price_features(price_base(spark, sf)).drop("price", "quantity_sold")
+    out = price_features(materialise(price_base(spark, sf), "price")).drop("price", "quantity_sold")
     return rounded(rounded(out, ["revenue"], 4), ["price_change", "quantity_change", "quantity_trend", "price_percentile"])
 
 
@@ -208,7 +209,7 @@ def imputed_sql(source: str) -> str:
 
 @query("impute_auto", f"WITH {DIRTY} SELECT customer_id, last_activity_date, account_created_date, round(total_value, 4) AS total_value, support_tickets, plan_type FROM ({imputed_sql('d')})")
 def _(spark, sf):
-    df = churn_dirty(spark, sf)
+    df = materialise(churn_dirty(spark, sf), "churn")
     return rounded(C.fit_impute(df, "auto", skip=["customer_id"]).transform(df), ["total_value"], 4)
 
 
@@ -453,24 +454,24 @@ def scaled_sql(c: str) -> str:
        + ", " + ", ".join(f"value_tier = '{v}' AS value_tier_{v}" for v in ("low", "medium", "high", "premium"))
        + ", false AS value_tier_nan FROM feat, " + ", ".join(scaled_sql(c) for c in CHAIN_NUMBERS))
 def _(spark, sf):
-    out, _ = preprocess(churn_dirty(spark, sf), "customer_churn", as_of_column(), PreprocessConfig(narrow=False))
+    out, _ = preprocess(materialise(churn_dirty(spark, sf), "churn"), "customer_churn", as_of_column(), PreprocessConfig(narrow=False))
     tiers = [c for c in out.columns if c.startswith("value_tier_")]
     return rounded(out.select("customer_id", *CHAIN_NUMBERS, *tiers), CHAIN_NUMBERS, 5)
 
 
 @query("preprocess_revenue")
 def _(spark, sf):
-    return preprocess(revenue_base(spark, sf), "revenue_projection", as_of_column())[0]
+    return preprocess(materialise(revenue_base(spark, sf), "revenue"), "revenue_projection", as_of_column())[0]
 
 
 @query("preprocess_price")
 def _(spark, sf):
-    return preprocess(price_base(spark, sf), "price_optimization", as_of_column(), store=True)[0]
+    return preprocess(materialise(price_base(spark, sf), "price"), "price_optimization", as_of_column())[0]
 
 
 @query("preprocess_report")
 def _(spark, sf):
-    df = churn_dirty(spark, sf)
+    df = materialise(churn_dirty(spark, sf), "churn")
     return report_table(df, preprocess(df, "customer_churn", as_of_column())[1])
 
 
@@ -488,6 +489,6 @@ def _(spark, sf):
 @query("blueprint_run")
 def _(spark, sf):
     """Stage by stage outcome of a full run; the seconds are left out so that runs compare."""
-    df = churn_dirty(spark, sf).fillna({"feature_usage_count": 0})
+    df = materialise(churn_dirty(spark, sf).fillna({"feature_usage_count": 0}), "churn")
     result = run_blueprint(df, "customer_churn", as_of_column(), rules=[Completeness(), Range({"total_value": (0, None)}), Domain({"plan_type": ["basic"]})])
     return spark.createDataFrame([(s, status, detail) for s, status, _, detail in result.stages], "stage string, status string, detail string")

@@ -9,6 +9,7 @@ from plumbline.operators import profile as P
 from plumbline.operators import quality as Q
 from plumbline.operators import rows as R
 from plumbline.queries.registry import AS_OF_SQL, days_sql, query, rounded
+from plumbline.session import materialise
 from plumbline.sources.tables import (
     CHURN_BASE_SQL, CHURN_DIRTY_SQL, PRICE_BASE_SQL, REVENUE_BASE_SQL, as_of_column, churn_base, churn_dirty,
     price_base, revenue_base, table,
@@ -217,7 +218,7 @@ def report_rules():
 
 @query("quality_report", f"WITH {ISSUES_VIEW} SELECT * FROM i")
 def _(spark, sf):
-    return issue_view(Q.run_rules(churn_dirty(spark, sf), report_rules()))
+    return issue_view(Q.run_rules(materialise(churn_dirty(spark, sf), "churn"), report_rules()))
 
 
 @query("quality_score", f"""WITH {ISSUES_VIEW}, w AS (SELECT sum(CASE severity WHEN 'critical' THEN 10 WHEN 'high' THEN 5 WHEN 'medium' THEN 2 ELSE 1 END * failed_count) AS weighted, count(*) AS total_issues FROM i),
@@ -225,7 +226,7 @@ n AS (SELECT count(*) AS n_rows FROM d)
 SELECT total_issues, n_rows, CASE WHEN n_rows = 0 OR total_issues = 0 THEN CAST(100.0 AS DOUBLE)
   ELSE round(greatest(0.0, 100 - 100 * CAST(weighted AS DOUBLE) / n_rows), 2) END AS quality_score FROM w, n""")
 def _(spark, sf):
-    df = churn_dirty(spark, sf)
+    df = materialise(churn_dirty(spark, sf), "churn")
     return Q.quality_score(Q.run_rules(df, report_rules()), df)
 
 
@@ -234,12 +235,12 @@ def _(spark, sf):
   count(*) FILTER (WHERE severity = 'medium') AS medium_issues, count(*) FILTER (WHERE severity = 'low') AS low_issues,
   count(*) FILTER (WHERE severity = 'critical') = 0 AND count(*) FILTER (WHERE severity = 'high') <= 5 AS passed FROM i""")
 def _(spark, sf):
-    return Q.verdict(Q.run_rules(churn_dirty(spark, sf), report_rules()))
+    return Q.verdict(Q.run_rules(materialise(churn_dirty(spark, sf), "churn"), report_rules()))
 
 
 @query("quality_severity_summary", f"WITH {ISSUES_VIEW} SELECT severity, count(*) AS issues, CAST(sum(failed_count) AS BIGINT) AS failed_rows FROM i GROUP BY 1")
 def _(spark, sf):
-    return Q.severity_summary(Q.run_rules(churn_dirty(spark, sf), report_rules()))
+    return Q.severity_summary(Q.run_rules(materialise(churn_dirty(spark, sf), "churn"), report_rules()))
 
 
 SPARK_TYPES = dict(zip(CHURN_COLUMNS, ["string", "timestamp", "timestamp", "double", "bigint", "bigint", "string"]))
@@ -249,7 +250,7 @@ SPARK_TYPES = dict(zip(CHURN_COLUMNS, ["string", "timestamp", "timestamp", "doub
     f"SELECT '{c}' AS \"column\", round(CAST(count({c}) AS DOUBLE) / count(*), 6) AS completeness, round(CAST(count(DISTINCT {c}) AS DOUBLE) / count(*), 6) AS uniqueness, '{SPARK_TYPES[c]}' AS data_type FROM d"
     for c in CHURN_COLUMNS) + ") SELECT s.*, (SELECT count(*) FROM i WHERE i.\"column\" = s.\"column\") AS issues_count FROM s")
 def _(spark, sf):
-    df = churn_dirty(spark, sf)
+    df = materialise(churn_dirty(spark, sf), "churn")
     return rounded(Q.column_summary(df, Q.run_rules(df, report_rules())), ["completeness", "uniqueness"])
 
 
@@ -259,7 +260,7 @@ SELECT count(*) AS total_checks, count(*) FILTER (WHERE passed) AS passed_checks
   count(*) FILTER (WHERE NOT passed AND severity = 'medium') AS failed_medium, count(*) FILTER (WHERE NOT passed AND severity = 'low') AS failed_low,
   round(CAST(count(*) FILTER (WHERE passed) AS DOUBLE) / count(*), 6) AS success_rate FROM r""")
 def _(spark, sf):
-    issues = Q.run_rules(churn_dirty(spark, sf), report_rules())
+    issues = Q.run_rules(materialise(churn_dirty(spark, sf), "churn"), report_rules())
     results = issues.select("severity", (F.col("failure_rate") < 0.1).alias("passed"))
     return rounded(Q.check_report(results), ["success_rate"])
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Adaptive execution merges small shuffle partitions and splits skewed ones at run time,
 # so the shuffle partition count is left to the cluster.
@@ -39,3 +39,14 @@ def scratch_path(spark: SparkSession, label: str) -> str:
             root = tempfile.mkdtemp(prefix="plumbline-")
             spark.conf.set("plumbline.local.scratch", root)
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def materialise(df: DataFrame, label: str) -> DataFrame:
+    """Write a derived table to the shared scratch folder once and read it back.
+
+    Meant for tables that several passes read: the passes then start from Parquet, also after an
+    executor is lost, instead of computing joins and aggregations again.
+    """
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -166,9 +166,14 @@ def read_batch(spark: SparkSession, paths: Sequence[str], schema: T.StructType,
 
 
 def batch_report(rows: DataFrame, key: str = "source_file") -> DataFrame:
+    """Per source: rows, rows that did not fit the schema and rows without any value."""
     bad = F.col(CORRUPT).isNotNull()
+    values = [F.col(c) for c in rows.columns if c not in (CORRUPT, "source_file", key)]
     return rows.groupBy(key).agg(
-        F.count("*").alias("n_rows"), F.count_if(bad).alias("corrupt_rows"), (F.count_if(bad) == 0).alias("succeeded")
+        F.count("*").alias("n_rows"),
+        F.count_if(bad).alias("corrupt_rows"),
+        F.count_if(F.coalesce(*[v.cast("string") for v in values]).isNull()).alias("empty_rows"),
+        (F.count_if(bad) == 0).alias("succeeded"),
     )
 
 

@@ -18,6 +18,8 @@ SESSION_TTL_SECONDS = 3600
 DAILY_USERS_DAYS = 7
 CUSTOMER_TTL_DAYS = 30
 MALFORMED = "_malformed"
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def file_stream(spark: SparkSession, path: str, schema: T.StructType | str, fmt: str = "parquet", files_per_trigger: int = 100) -> DataFrame:
@@ -38,7 +40,8 @@ def parse_messages(messages: DataFrame, schema: T.StructType, value: str = "valu
     full = T.StructType([*schema.fields, T.StructField(MALFORMED, T.StringType())])
     parsed = messages.withColumn("_p", F.from_json(value, full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": MALFORMED}))
     bad = F.col(f"_p.{MALFORMED}").isNotNull() | (F.col("_p").isNull() & F.col(value).isNotNull())
-    return parsed.select("*", "_p.*").drop("_p").withColumn(MALFORMED, F.when(bad, F.col(value)))
+    fields = [F.col(f"_p.{f.name}").alias(f.name) for f in schema.fields]
+    return parsed.select(*messages.columns, *fields, F.when(bad, F.col(value)).alias(MALFORMED))
 
 
 def good_messages(parsed: DataFrame) -> DataFrame:
@@ -193,6 +196,7 @@ def run_available(stream: DataFrame, label: str, mode: str = "append") -> DataFr
     An update-mode stream is written batch by batch with its ``batch_id``.
     """
     spark = stream.sparkSession
+    spark.conf.set(STATE_STORE, ROCKSDB)  # keeps large state on disk, and stateful processors need it
     out, checkpoint = scratch_path(spark, label), scratch_path(spark, f"{label}-state")
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)
     if mode == "append":

@@ -205,7 +205,7 @@ def _(spark, sf):
 SESSIONS_SQL = """
 WITH u AS (SELECT event_id, user_id, ts, CASE event_type WHEN 'signup' THEN 'login' WHEN 'error' THEN 'logout' END AS kind FROM events WHERE event_type IN ('signup', 'error')),
 s AS (SELECT *, max(CASE WHEN kind = 'login' THEN ts END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS login FROM u)
-SELECT user_id, event_id, (epoch_us(ts) - epoch_us(login)) / 1000000 AS session_duration FROM s WHERE kind = 'logout' AND login IS NOT NULL AND epoch_us(ts) - epoch_us(login) <= {ttl} * 1000000"""
+SELECT user_id, event_id, (epoch_us(ts) - epoch_us(login)) / 1000000 AS session_duration FROM s WHERE kind = 'logout' AND login IS NOT NULL AND epoch_us(ts) - epoch_us(login) <= CAST({ttl} AS BIGINT) * 1000000"""
 
 
 @query("stream_sessions", SESSIONS_SQL.format(ttl=86400))

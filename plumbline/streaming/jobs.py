@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,6 +15,9 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 from plumbline.functions.scalars import customer_segment
 from plumbline.session import scratch_path
 
+# The stateful processors travel to the executors by value, so these need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # How long sessions, daily users and customer totals are kept.
 SESSION_TTL_SECONDS = 3600
 DAILY_USERS_DAYS = 7
@@ -143,8 +148,12 @@ def running_order_totals(orders: DataFrame) -> DataFrame:
 class _SegmentChanges(StatefulProcessor):
     """Adds each trigger's totals to a customer's state and reports a changed segment."""
 
+    def __init__(self, ttl_days: int | None):
+        self.ttl_days = ttl_days
+
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.totals = handle.getValueState("totals", "orders long, spent double, segment string", CUSTOMER_TTL_DAYS * 86_400_000)
+        ttl = None if self.ttl_days is None else self.ttl_days * 86_400_000
+        self.totals = handle.getValueState("totals", "orders long, spent double, segment string", ttl)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         orders, spent, segment = self.totals.get() if self.totals.exists() else (0, 0.0, None)
@@ -161,14 +170,18 @@ class _SegmentChanges(StatefulProcessor):
         return None
 
 
-def segment_changes(orders: DataFrame) -> DataFrame:
-    """An event whenever a customer's segment differs from the one last reported."""
+def segment_changes(orders: DataFrame, ttl_days: int | None = None) -> DataFrame:
+    """An event whenever a customer's segment differs from the one last reported.
+
+    With ``ttl_days`` (``CUSTOMER_TTL_DAYS`` is usual) the state of a quiet customer expires by the clock.
+    Such a query keeps checking the clock and does not end by itself under an available-now trigger.
+    """
     sign = F.when(F.col("event_type") == "order_created", 1).when(F.col("event_type") == "order_cancelled", -1).otherwise(0)
     signed = orders.select("customer_id", sign.alias("sign"), F.coalesce("amount", F.lit(0.0)).alias("amount"))
     return signed.groupBy("customer_id").transformWithStateInPandas(
-        _SegmentChanges(),
+        _SegmentChanges(ttl_days),
         "customer_id long, old_segment string, new_segment string, total_orders long, total_spent double",
-        "Update", "ProcessingTime",
+        "Update", "None" if ttl_days is None else "ProcessingTime",
     )
 
 

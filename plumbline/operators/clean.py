@@ -163,7 +163,7 @@ class CapModel:
 
     def transform(self, df: DataFrame) -> DataFrame:
         changes = {
-            c: F.when(F.col(c).isNotNull(), F.greatest(F.lit(float(lo)), F.least(F.lit(float(hi)), F.col(c).cast("double"))))
+            c: F.when(clean(df, c).isNotNull(), F.greatest(F.lit(float(lo)), F.least(F.lit(float(hi)), F.col(c).cast("double"))))
             for c, (lo, hi) in self.bounds.items() if c in df.columns
         }
         return df.withColumns(changes) if changes else df
@@ -172,7 +172,7 @@ class CapModel:
         """Outliers per column and the bounds they are capped to."""
         columns = [c for c in self.bounds if c in df.columns]
         row = df.agg(*[
-            F.count_if((F.col(c) < self.bounds[c][0]) | (F.col(c) > self.bounds[c][1])).alias(f"o{i}")
+            F.count_if((clean(df, c) < self.bounds[c][0]) | (clean(df, c) > self.bounds[c][1])).alias(f"o{i}")
             for i, c in enumerate(columns)
         ])
         return row.select(F.inline(F.array(*[

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from plumbline.functions.scalars import calendar_parts, elapsed_days, pct_change, plan_value_score, recency_score, safe_ratio
 from plumbline.operators.quantiles import EXACT_LIMIT
 from plumbline.operators.rank import TierModel, fit_tiers, percent_rank_average
-from plumbline.operators.series import BLOCK_ROWS, growth, over_rows, rolling_mean, rolling_std
+from plumbline.operators.series import BLOCK_ROWS, growth, number, over_rows, rolling_mean, rolling_std
 
 # Frame lengths and lags in rows, days per month and of the recency scale.
 MEAN_ROWS = (7, 30, 90)
@@ -93,14 +93,14 @@ def revenue_features(df: DataFrame, *, tie: list[str] | None = None, block_rows:
         columns |= {f"revenue_volatility_{k}": rolling_std("revenue", w, k) for k in STD_ROWS}
         return columns
 
-    known = {"_known": F.col("revenue")}
+    known = {"_known": number("revenue")}
     return over_rows(out, [], order, max(*MEAN_ROWS, *LAGS), build, fill=known, block_rows=block_rows).drop("_known")
 
 
 def price_features(df: DataFrame, *, key: str = "product_id", tie: list[str] | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Revenue, changes and trend per product, and the price's place among all prices."""
     order = ["date", *(tie or [])]
-    known = {"_price": F.col("price"), "_quantity": F.col("quantity_sold")}
+    known = {"_price": number("price"), "_quantity": number("quantity_sold")}
 
     def build(w):
         return {

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -311,7 +312,8 @@ def _examples(df: DataFrame, checks: list[Check], key: str) -> DataFrame | None:
         ]),
         lambda hit: hit.isNotNull(),
     )
-    rows = df.select(F.explode(hits).alias("hit")).select("hit.*")
+    violating = reduce(Column.__or__, [F.coalesce(c.violation, F.lit(False)) for _, c in shown])
+    rows = df.filter(violating).select(F.explode(hits).alias("hit")).select("hit.*")
     # A rank limit keeps at most EXAMPLES rows per check in every task before the shuffle.
     ranked = rows.withColumn("n", F.row_number().over(W.partitionBy("check").orderBy("at", "example"))).filter(F.col("n") <= EXAMPLES)
     return ranked.groupBy("check").agg(

@@ -3,8 +3,9 @@
 ``percentile`` and ``median`` keep every distinct value of a column in one aggregation buffer, which
 one task cannot hold for a large column. Here a quantile sketch only proposes pivots; the ranks of the
 pivots are then counted exactly, which leaves a much smaller open interval around the wanted value.
-Only an interval counted to hold at most ``exact_limit`` rows is gathered and sorted. Each pass reads
-only the columns asked for, serves all columns and ranks together and shuffles one row per task.
+Only an interval counted to hold at most ``exact_limit`` rows is gathered and sorted, and one pass gathers
+at most ``GATHER_LIMIT`` values. Each pass reads only the columns asked for, serves all columns and ranks
+together and shuffles one row per task.
 """
 
 from __future__ import annotations
@@ -16,7 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-EXACT_LIMIT = 200_000
+EXACT_LIMIT = 500_000
+GATHER_LIMIT = 4_000_000
 SKETCH_ACCURACY = 10_000
 
 
@@ -86,7 +88,7 @@ def order_statistics(
         if small:
             _finish(data, small)
         if large:
-            _narrow(data, large, accuracy)
+            _narrow(data, large, accuracy, exact_limit)
 
     found: dict[str, dict[int, object]] = {column: {} for column in ranks}
     for s in searches:
@@ -94,56 +96,73 @@ def order_statistics(
     return found
 
 
-def _finish(data: DataFrame, searches: list[_Search]) -> None:
+def _grouped(searches: list[_Search]) -> list[list[_Search]]:
+    """Searches of one column that are in the same interval."""
     groups: dict[tuple, list[_Search]] = {}
     for s in searches:
         groups.setdefault((s.column, s.low, s.high), []).append(s)
+    return list(groups.values())
+
+
+def _finish(data: DataFrame, searches: list[_Search]) -> None:
+    batch: list[list[_Search]] = []
+    for group in _grouped(searches):
+        if batch and sum(g[0].inside for g in batch) + group[0].inside > GATHER_LIMIT:
+            _gather(data, batch)
+            batch = []
+        batch.append(group)
+    _gather(data, batch)
+
+
+def _gather(data: DataFrame, groups: list[list[_Search]]) -> None:
     aggregates = []
-    for i, group in enumerate(groups.values()):
+    for i, group in enumerate(groups):
         value = F.col(group[0].column)
         gathered = F.sort_array(F.collect_list(F.when(_between(value, group[0]), value)))
         picks = F.array(*[F.get(gathered, F.lit(s.rank - s.below)) for s in group])
         aggregates.append(picks.alias(f"g{i}"))
     row = data.agg(*aggregates).first()
-    for i, group in enumerate(groups.values()):
+    for i, group in enumerate(groups):
         for s, value in zip(group, row[f"g{i}"]):
             s.value, s.done = value, True
 
 
-def _narrow(data: DataFrame, searches: list[_Search], accuracy: int) -> None:
-    slack = 2.0 / accuracy
+def _narrow(data: DataFrame, searches: list[_Search], accuracy: int, exact_limit: int) -> None:
+    groups = _grouped(searches)  # one sketch and its pivots serve all searches of an interval
     sketches = []
-    for i, s in enumerate(searches):
-        p = (s.rank - s.below + 0.5) / s.inside
-        points = [min(1.0, max(0.0, p + d)) for d in (-slack, 0.0, slack)]
-        value = F.col(s.column)
-        sketches.append(
-            F.percentile_approx(F.when(_between(value, s), value), points, accuracy).alias(f"p{i}")
-        )
+    for i, group in enumerate(groups):
+        inside = group[0].inside
+        # As fine as needed for the next interval to be gathered, within the limit of the sketch.
+        fineness = int(min(accuracy, max(100, 16 * inside // exact_limit)))
+        # Neighbouring ranks fall on the same grid point, whose pivots lie around all of them.
+        shares = {round((s.rank - s.below + 0.5) / inside * fineness) / fineness for s in group}
+        points = sorted({min(1.0, max(0.0, p + d)) for p in shares for d in (-2.0 / fineness, 0.0, 2.0 / fineness)})
+        value = F.col(group[0].column)
+        sketches.append(F.percentile_approx(F.when(_between(value, group[0]), value), points, fineness).alias(f"p{i}"))
     proposals = data.agg(*sketches).first()
 
-    pivots = [sorted(set(proposals[f"p{i}"])) for i in range(len(searches))]
+    pivots = [sorted(set(proposals[f"p{i}"])) for i in range(len(groups))]
     tallies = []
-    for i, s in enumerate(searches):
-        value = F.col(s.column)
+    for i, group in enumerate(groups):
+        value = F.col(group[0].column)
         for j, pivot in enumerate(pivots[i]):
             tallies.append(F.count_if(value < F.lit(pivot)).alias(f"lt{i}_{j}"))
             tallies.append(F.count_if(value <= F.lit(pivot)).alias(f"le{i}_{j}"))
     tally = data.agg(*tallies).first()
 
-    for i, s in enumerate(searches):
-        upper = s.below + s.inside
-        for j, pivot in enumerate(pivots[i]):
-            before, upto = tally[f"lt{i}_{j}"], tally[f"le{i}_{j}"]
-            if s.rank < before:
-                s.high, upper = pivot, min(upper, before)
-            elif s.rank < upto:
-                s.value, s.done = pivot, True
-            else:
+    for i, group in enumerate(groups):
+        for s in group:
+            upper = s.below + s.inside
+            for j, pivot in enumerate(pivots[i]):
+                before, upto = tally[f"lt{i}_{j}"], tally[f"le{i}_{j}"]
+                if s.rank < before:
+                    s.high, upper = pivot, before
+                    break
+                if s.rank < upto:
+                    s.value, s.done = pivot, True
+                    break
                 s.low, s.below = pivot, upto
-            if s.done or s.rank < before:
-                break
-        s.inside = upper - s.below
+            s.inside = upper - s.below
 
 
 def _interpolate(values: dict[int, object], position: float) -> float:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.operators.quantiles import EXACT_LIMIT, clean, count_values, order_statistics
-from plumbline.operators.skew import balanced_join
+from plumbline.operators.skew import balanced_join, fits_broadcast
 
 RANK_BUCKETS = 4096
 
@@ -200,5 +200,5 @@ def percent_rank_average(df: DataFrame, column: str, output: str) -> DataFrame:
         "_value", ((F.col("n_before") + (F.col("n") + 1) / F.lit(2.0)) / F.col("total")).alias(output)
     )
     # Fewer splits than could be picked means that they are all the values there are.
-    small = len(splits) < RANK_BUCKETS - 1 or None
+    small = len(splits) < RANK_BUCKETS - 1 or fits_broadcast(counts)
     return balanced_join(data, ranks, ["_value"], "left", small=small).drop("_value")

@@ -127,13 +127,18 @@ def _fill_blocks(df: DataFrame, keys: list[str], order: list[str], columns: dict
     )
 
 
+def number(column: str) -> Column:
+    """A number column as double, with NaN as NULL."""
+    return F.nullif(F.col(column).cast("double"), F.lit(float("nan")))
+
+
 def rolling_mean(column: str, window: WindowSpec, rows: int) -> Column:
-    return F.avg(column).over(window.rowsBetween(1 - rows, 0))
+    return F.avg(number(column)).over(window.rowsBetween(1 - rows, 0))
 
 
 def rolling_std(column: str, window: WindowSpec, rows: int) -> Column:
     """Sample deviation; a frame with one value has 0."""
-    return F.coalesce(F.stddev_samp(column).over(window.rowsBetween(1 - rows, 0)), F.lit(0.0))
+    return F.coalesce(F.stddev_samp(number(column)).over(window.rowsBetween(1 - rows, 0)), F.lit(0.0))
 
 
 def growth(column: str, window: WindowSpec, lag: int) -> Column:

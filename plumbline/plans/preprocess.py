@@ -81,7 +81,7 @@ def preprocess(
     capped = cap.transform(imputed)
     churn = fit_churn_features(capped, as_of) if name == "customer_churn" else None
     featured = _features(capped, name, as_of, churn)
-    if store:
+    if store and featured is not capped:
         featured = materialise(featured, f"{name}-features")
     encode = C.fit_encode(featured, config.encoding_strategy, skip=skip, target=config.target)
     encoded = encode.transform(featured)

@@ -459,14 +459,49 @@ def _(spark, sf):
     return rounded(out.select("customer_id", *CHAIN_NUMBERS, *tiers), CHAIN_NUMBERS, 5)
 
 
-@query("preprocess_revenue")
+def scale_all_sql(columns: list[str], source: str = "feat", digits: int = 5) -> tuple[str, str]:
+    """The select list and the FROM items that scale columns by median and quartile distance."""
+    picks = ", ".join(f"round(({c} - {c}_m) / {c}_s, {digits}) AS {c}" for c in columns)
+    fits = ", ".join(scaled_sql(c).replace("FROM feat", f"FROM {source}") for c in columns)
+    return picks, fits
+
+
+REVENUE_SCALED = ["revenue", "customer_count", "day_of_week", "day_of_month", "day_of_year", "month", "quarter", *MEANS, *GROWTHS, *VOLATILITIES]
+REVENUE_PICKS, REVENUE_FITS = scale_all_sql(REVENUE_SCALED)
+REVENUE_WINDOWS = (
+    ", ".join(f"avg(revenue) OVER (ORDER BY date ROWS {k - 1} PRECEDING) AS revenue_ma_{k}" for k in (7, 30, 90)) + ", "
+    + ", ".join(f"{growth_sql('revenue', k, 'ORDER BY date')} AS revenue_growth_{k}d" for k in (1, 7, 30)) + ", "
+    + ", ".join(f"coalesce(stddev_samp(revenue) OVER (ORDER BY date ROWS {k - 1} PRECEDING), 0.0) AS revenue_volatility_{k}" for k in (7, 30))
+)
+
+
+@query("preprocess_revenue", f"""
+WITH b AS ({REVENUE_BASE_SQL}), cp AS (SELECT date, greatest(x.lo, least(x.hi, revenue)) AS revenue, greatest(y.lo, least(y.hi, customer_count)) AS customer_count
+  FROM b, {bounds_sql('revenue', 'b')} x, {bounds_sql('customer_count', 'b')} y),
+feat AS (SELECT *, {PARTS_SQL}, {REVENUE_WINDOWS} FROM cp)
+SELECT date, is_weekend, {REVENUE_PICKS} FROM feat, {REVENUE_FITS}""")
 def _(spark, sf):
-    return preprocess(materialise(revenue_base(spark, sf), "revenue"), "revenue_projection", as_of_column())[0]
+    out, _ = preprocess(materialise(revenue_base(spark, sf), "revenue"), "revenue_projection", as_of_column(), PreprocessConfig(narrow=False))
+    return rounded(out, REVENUE_SCALED, 5)
+
 
+PRICE_SCALED = ["price", "quantity_sold", "price_change", "quantity_change", "quantity_trend", "revenue", "price_percentile"]
+PRICE_PICKS, PRICE_FITS = scale_all_sql(PRICE_SCALED, digits=7)
 
-@query("preprocess_price")
+
+@query("preprocess_price", f"""
+WITH b AS ({PRICE_BASE_SQL}), cp AS (SELECT product_id, date, greatest(x.lo, least(x.hi, price)) AS price, greatest(y.lo, least(y.hi, CAST(quantity_sold AS DOUBLE))) AS quantity_sold
+  FROM b, {bounds_sql('price', 'b')} x, {bounds_sql('quantity_sold', 'b')} y),
+s AS (SELECT *, price * quantity_sold AS revenue, {growth_sql('price', 1, 'PARTITION BY product_id ORDER BY date')} AS price_change,
+  {growth_sql('quantity_sold', 1, 'PARTITION BY product_id ORDER BY date')} AS quantity_change,
+  avg(quantity_sold) OVER (PARTITION BY product_id ORDER BY date ROWS 6 PRECEDING) AS quantity_trend,
+  (rank() OVER (ORDER BY price) + (count(*) OVER (PARTITION BY price) - 1) / 2.0) / count(*) OVER () AS price_percentile,
+  row_number() OVER (ORDER BY price, product_id || '|' || CAST(date AS VARCHAR)) AS rn, count(*) OVER () AS n FROM cp),
+feat AS (SELECT *, {tier_sql('rn', 'n', 3, TIER3, 'price')} AS t FROM s)
+SELECT product_id, date, {PRICE_PICKS}, t = 'low' AS price_tier_low, t = 'medium' AS price_tier_medium, t = 'high' AS price_tier_high, t IS NULL AS price_tier_nan FROM feat, {PRICE_FITS}""")
 def _(spark, sf):
-    return preprocess(materialise(price_base(spark, sf), "price"), "price_optimization", as_of_column())[0]
+    out, _ = preprocess(materialise(price_base(spark, sf), "price"), "price_optimization", as_of_column(), PreprocessConfig(narrow=False))
+    return rounded(out, PRICE_SCALED, 7)
 
 
 @query("preprocess_report")

@@ -15,6 +15,8 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
     "spark.ui.enabled": "false",
+    # Recording the calling line of every column expression costs more than building wide plans.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 

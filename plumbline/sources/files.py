@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.functions.scalars import normalise_names
-from plumbline.operators.clean import unique_columns
 from plumbline.operators.quality import string_columns
 
 # Delimiters tried, the words read as missing, encodings tried after UTF-8.
@@ -70,8 +69,8 @@ def duplicate_uploads(facts: DataFrame) -> DataFrame:
 
 def choose_encoding(spark: SparkSession, path: str) -> str:
     """UTF-8 if every line decodes as such, else Latin-1, which accepts any byte."""
-    lines = spark.read.option("encoding", "ISO-8859-1").csv(path, sep="\u0001", quote="", schema="line string")
-    valid = lines.agg(F.bool_and(F.is_valid_utf8(F.encode("line", "ISO-8859-1").cast("string")))).first()[0]
+    # The text reader hands over the bytes of each line as they are.
+    valid = spark.read.text(path).agg(F.bool_and(F.is_valid_utf8("value"))).first()[0]
     return "UTF-8" if valid in (None, True) else FALLBACK_ENCODINGS[0]
 
 
@@ -83,14 +82,11 @@ def null_words(df: DataFrame, words: Sequence[str] = NULL_WORDS) -> DataFrame:
 
 def tidy(df: DataFrame) -> DataFrame:
     """Drop all-missing rows and unnamed columns, normalise the names, keep the first of equal names."""
-    named = [c for c in df.columns if not c.startswith(("Unnamed", "_c"))]
-    df = df.select(*[F.col(f"`{c}`") for c in named])
-    df = unique_columns(df.toDF(*normalise_names(df.columns)))
-    return df.na.drop(how="all")
-
-
-_INT = r"^[+-]?\d{1,18}$"
-_FLOAT = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
+    marked = df.toDF(*[f"c{i}" for i in range(len(df.columns))])  # names may differ only in case
+    named = [(f"c{i}", c) for i, c in enumerate(df.columns) if not c.startswith("Unnamed")]
+    names = normalise_names(c for _, c in named)
+    first = [i for i, n in enumerate(names) if n not in names[:i]]
+    return marked.select(*[F.col(named[i][0]).alias(names[i]) for i in first]).na.drop(how="all")
 
 
 def infer_types(df: DataFrame) -> DataFrame:
@@ -99,12 +95,17 @@ def infer_types(df: DataFrame) -> DataFrame:
     if not columns:
         return df
 
-    def fits(c: str, pattern: str) -> Column:
-        return F.bool_and(F.trim(F.col(c)).rlike(pattern))
+    def fits(c: str, kind: str) -> Column:
+        text = F.trim(F.col(c))
+        fit = text.try_cast(kind).isNotNull()
+        if kind == "double":
+            # A cast also takes Java's suffixes, as in 10d and 10f.
+            fit = fit & (~F.lower(F.right(text, F.lit(1))).isin("d", "f") | F.lower(text).endswith("inf"))
+        return F.bool_and(F.when(F.col(c).isNotNull(), fit))
 
     row = df.agg(
-        *[fits(c, _INT).alias(f"i{k}") for k, c in enumerate(columns)],
-        *[fits(c, _FLOAT).alias(f"f{k}") for k, c in enumerate(columns)],
+        *[fits(c, "bigint").alias(f"i{k}") for k, c in enumerate(columns)],
+        *[fits(c, "double").alias(f"f{k}") for k, c in enumerate(columns)],
         *[F.bool_and(F.lower(F.trim(F.col(c))).isin("true", "false")).alias(f"b{k}") for k, c in enumerate(columns)],
     ).first()
     changes = {}
@@ -115,6 +116,19 @@ def infer_types(df: DataFrame) -> DataFrame:
     return df.withColumns(changes) if changes else df
 
 
+def _header(spark: SparkSession, path: str, delimiter: str, encoding: str) -> list[str]:
+    """The names in the first line. A repeated name gets a number, an empty one becomes unnamed."""
+    line = spark.read.text(path).select(F.decode(F.col("value").cast("binary"), encoding)).limit(1).collect()
+    fields = next(csv.reader([line[0][0]], delimiter=delimiter, skipinitialspace=True)) if line else []
+    seen: dict[str, int] = {}
+    names = []
+    for i, name in enumerate(fields):
+        name = name if name.strip() else f"Unnamed: {i}"
+        seen[name] = seen.get(name, -1) + 1
+        names.append(f"{name}.{seen[name]}" if seen[name] else name)
+    return names
+
+
 def read_csv(
     spark: SparkSession, paths: str | Sequence[str], *, schema: T.StructType | str | None = None,
     delimiter: str | None = None, encoding: str | None = None, infer: bool = True,
@@ -123,13 +137,16 @@ def read_csv(
     ``schema`` (the right choice for large data: it saves a pass) is given."""
     paths = _paths(paths)
     delimiter = delimiter or infer_delimiter(spark, paths[0])
+    encoding = encoding or choose_encoding(spark, paths[0])
     reader = (
-        spark.read.option("header", True).option("sep", delimiter).option("encoding", encoding or choose_encoding(spark, paths[0]))
+        spark.read.option("header", True).option("sep", delimiter).option("encoding", encoding)
         .option("ignoreLeadingWhiteSpace", True).option("mode", "PERMISSIVE").option("escape", '"').option("enforceSchema", schema is None)
     )
     if schema is not None:
         return reader.schema(schema).csv(paths)
-    df = null_words(tidy(reader.csv(paths)))
+    raw = reader.csv(paths)
+    names = _header(spark, paths[0], delimiter, encoding)
+    df = null_words(tidy(raw.toDF(*names) if len(names) == len(raw.columns) else raw))
     return infer_types(df.na.drop(how="all")) if infer else df
 
 

@@ -32,7 +32,7 @@ def test_malformed_empty_and_absent_files(spark, tmp_path):
 
 def test_types_null_words_and_names(spark, tmp_path):
     path = tmp_path / "t.csv"
-    path.write_text("Id, Total Value($)!,Flag,Code,Size,id\n1, 2.5,true,10d,NULL,9\n2,n/a,false,20,3,9\n,,,,,\n")
+    path.write_text("Id, Total Value($) ,Flag,Code,Size,id\n1, 2.5,true,10d,NULL,9\n2,n/a,false,20,3,9\n,,,,,\n")
     df = files.read_csv(spark, str(path))
     assert df.dtypes == [("id", "bigint"), ("total_value___", "double"), ("flag", "boolean"), ("code", "string"), ("size", "bigint")]
     assert df.count() == 2 and df.filter("size IS NULL").count() == 1

@@ -486,7 +486,7 @@ def _(spark, sf):
 
 
 PRICE_SCALED = ["price", "quantity_sold", "price_change", "quantity_change", "quantity_trend", "revenue", "price_percentile"]
-PRICE_PICKS, PRICE_FITS = scale_all_sql(PRICE_SCALED, digits=7)
+PRICE_PICKS, PRICE_FITS = scale_all_sql(PRICE_SCALED, digits=11)
 
 
 @query("preprocess_price", f"""
@@ -501,7 +501,7 @@ feat AS (SELECT *, {tier_sql('rn', 'n', 3, TIER3, 'price')} AS t FROM s)
 SELECT product_id, date, {PRICE_PICKS}, t = 'low' AS price_tier_low, t = 'medium' AS price_tier_medium, t = 'high' AS price_tier_high, t IS NULL AS price_tier_nan FROM feat, {PRICE_FITS}""")
 def _(spark, sf):
     out, _ = preprocess(materialise(price_base(spark, sf), "price"), "price_optimization", as_of_column(), PreprocessConfig(narrow=False))
-    return rounded(out, PRICE_SCALED, 7)
+    return rounded(out, PRICE_SCALED, 11)
 
 
 @query("preprocess_report")

@@ -143,7 +143,7 @@ def group_median_impute(df: DataFrame, column: str, groups: Sequence[str]) -> Da
     counts = data.filter("_value IS NOT NULL").groupBy(*groups, "_value").agg(F.count("*").alias("n"))
     placed = running_totals(counts, "_value", ["n"], keys=list(groups))
     totals = counts.groupBy(*groups).agg(F.sum("n").alias("total"))
-    ranged = placed.join(totals, list(groups))
+    ranged = balanced_join(placed, totals, list(groups), "inner")
 
     def at(position: Column) -> Column:
         here = (F.col("n_before") <= position) & (position < F.col("n_before") + F.col("n"))

@@ -587,7 +587,7 @@ UNION ALL SELECT 'price_optimization', false, 0.2, 'product_id,price,quantity_so
 def _(spark, sf):
     df = churn_dirty(spark, sf).drop("feature_usage_count")
     activity = F.when(F.col("customer_id").cast("bigint") % 4 != 0, F.col("last_activity_date"))
-    return P.compatibility(df.withColumn("last_activity_date", activity))
+    return P.compatibility(df.withColumn("last_activity_date", activity), [CUSTOMER_CHURN, REVENUE_PROJECTION, PRICE_OPTIMIZATION])
 
 
 @query("compatibility_by_schema", f"""

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.blueprints import CUSTOMER_CHURN, Blueprint, Field, get_blueprint, register_blueprint
+from plumbline.blueprints import BLUEPRINTS, CUSTOMER_CHURN, Blueprint, Field, get_blueprint, register_blueprint
 from plumbline.operators import quality as Q
 from plumbline.operators import rows as R
 from plumbline.operators.profile import compatibility, schema_compatibility
@@ -108,10 +108,11 @@ def test_field_errors_hide_rule_errors_and_unknown_fields(spark):
     assert R.validate_rows(missing, "customer_churn", as_of_column()).first().errors[0].message == R.MISSING
 
 
-def test_blueprints():
+def test_blueprints(monkeypatch):
     assert get_blueprint("revenue_forecast").name == "revenue_projection"
     assert CUSTOMER_CHURN.json_schema()["required"] == CUSTOMER_CHURN.required
     assert [f.name for f in CUSTOMER_CHURN.struct_type()] == CUSTOMER_CHURN.required + CUSTOMER_CHURN.optional
+    monkeypatch.setattr("plumbline.blueprints.BLUEPRINTS", dict(BLUEPRINTS))
     register_blueprint(Blueprint("own", (Field("a", "integer", required=True),)))
     assert schema_compatibility(["a"], "own")["score"] == 1.0
     with pytest.raises(KeyError):

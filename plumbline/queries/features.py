@@ -92,14 +92,14 @@ WITH b AS ({PRICE_BASE_SQL}), s AS (SELECT *, price * quantity_sold AS revenue,
   avg(quantity_sold) OVER (PARTITION BY product_id ORDER BY date ROWS 6 PRECEDING) AS quantity_trend,
   (rank() OVER (ORDER BY price) + (count(*) OVER (PARTITION BY price) - 1) / 2.0) / count(*) OVER () AS price_percentile,
   row_number() OVER (ORDER BY price, product_id || '|' || CAST(date AS VARCHAR)) AS rn, count(*) OVER () AS n FROM b)
-SELECT product_id, date, round(revenue, 4) AS revenue, round(price_change, 6) AS price_change, round(quantity_change, 6) AS quantity_change,
+SELECT product_id, date, round(revenue, 8) AS revenue, round(price_change, 6) AS price_change, round(quantity_change, 6) AS quantity_change,
   round(quantity_trend, 6) AS quantity_trend, round(price_percentile, 6) AS price_percentile, {tier_sql('rn', 'n', 3, TIER3, 'price')} AS price_tier FROM s"""
 
 
 @query("price_features", PRICE_FEATURES_SQL)
 def price_features_query(spark, sf):
     out = price_features(materialise(price_base(spark, sf), "price")).drop("price", "quantity_sold")
-    return rounded(rounded(out, ["revenue"], 4), ["price_change", "quantity_change", "quantity_trend", "price_percentile"])
+    return rounded(rounded(out, ["revenue"], 8), ["price_change", "quantity_change", "quantity_trend", "price_percentile"])
 
 
 # --- windows ------------------------------------------------------------------------------------
@@ -202,7 +202,8 @@ def imputed_sql(source: str) -> str:
     mode = MODE_SQL.format(c="plan_type", t=source)
     return f"""SELECT customer_id,
   coalesce(last_activity_date, make_timestamp((SELECT CAST(trunc(quantile_cont(CAST(epoch_us(last_activity_date) AS DOUBLE), 0.5)) AS BIGINT) FROM {source}))) AS last_activity_date,
-  account_created_date, coalesce(total_value, (SELECT quantile_cont(total_value, 0.5) FROM {source})) AS total_value,
+  coalesce(account_created_date, make_timestamp((SELECT CAST(trunc(quantile_cont(CAST(epoch_us(account_created_date) AS DOUBLE), 0.5)) AS BIGINT) FROM {source}))) AS account_created_date,
+  coalesce(total_value, (SELECT quantile_cont(total_value, 0.5) FROM {source})) AS total_value,
   coalesce(CAST(support_tickets AS DOUBLE), (SELECT quantile_cont(support_tickets, 0.5) FROM {source})) AS support_tickets,
   coalesce(plan_type, {mode}) AS plan_type FROM {source}"""
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import bpe, chat, quality_votes, token_counts, url_filter
+from plumbline.llm import bpe, chat, near_dup, quality_votes, token_counts, url_filter
 from plumbline.sources.tables import table
 
 QUERIES: dict = {}
@@ -61,3 +61,8 @@ def op9_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     rows = table(spark, sf_dir, "conversations").select(*columns).unionByName(extra)
     return chat.digests(chat.read_back(chat.windows(rows)))
+
+
+@query
+def op8_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"), size=3, percent=85)

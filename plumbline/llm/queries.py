@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import bpe, chat, near_dup, quality_votes, token_counts, url_filter
+from plumbline.llm import bpe, chat, decontaminate, near_dup, quality_votes, token_counts, url_filter
 from plumbline.sources.tables import table
 
 QUERIES: dict = {}
@@ -66,3 +66,8 @@ def op9_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"), size=3, percent=85)
+
+
+@query
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

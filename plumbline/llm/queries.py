@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import bpe, chat, decontaminate, near_dup, quality_votes, token_counts, url_filter
+from plumbline.llm import bpe, chat, decontaminate, language_id, near_dup, quality_votes, token_counts, url_filter
 from plumbline.sources.tables import table
 
 QUERIES: dict = {}
@@ -71,3 +71,9 @@ def op8_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return language_id.with_language(documents, documents)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import bpe, chat, decontaminate, language_id, near_dup, quality_votes, token_counts, url_filter
+from plumbline.llm import bpe, chat, decontaminate, language_id, near_dup, quality_votes, token_counts, url_filter, warc
 from plumbline.sources.tables import table
 
 QUERIES: dict = {}
@@ -77,3 +77,15 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     return language_id.with_language(documents, documents)
+
+
+@query
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # The table has no capture times; a page's id, in seconds from a fixed day, stands for one.
+    time = F.timestamp_seconds(F.lit(1_704_067_200) + F.coalesce("page_id", F.lit(0)))
+    index = warc.archive(table(spark, sf_dir, "pages"), time)
+    return index.select(
+        F.col("id").alias("page_id"), F.col("bytes").alias("payload_bytes"), F.col("digest").alias("payload_digest"), "record_type", "refers_to",
+        "url_key", "time", "position",
+    )
+

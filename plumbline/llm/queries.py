@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import bpe, chat, decontaminate, language_id, near_dup, quality_votes, token_counts, url_filter, warc
+from plumbline.llm import (
+    bpe, chat, decontaminate, html_examples, html_text, language_id, near_dup, quality_votes, token_counts, url_filter, warc,
+)
 from plumbline.sources.tables import table
 
 QUERIES: dict = {}
@@ -89,3 +91,8 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         "url_key", "time", "position",
     )
 
+
+
+@query
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"), html_examples.labelled_pages(spark))

@@ -23,7 +23,8 @@ import public_tokenizers
 import regex
 import tiktoken
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from plumbline.llm.common import narrow, per_batch, texts, type_of
 
@@ -126,12 +127,14 @@ def round_trip(docs: DataFrame, ranks: str = RANKS, key: str = "doc_id", text: s
 
 def with_token_ids(docs: DataFrame, ranks: str = RANKS, text: str = "text") -> DataFrame:
     """The documents' columns with ``token_ids`` at the end, which replaces a column of that name."""
-    rest = [c for c in docs.columns if c != "token_ids"]
-    from pyspark.sql.functions import pandas_udf
+    own = docs.select([c for c in docs.columns if c != "token_ids"])
+    schema = StructType([*own.schema.fields, StructField("token_ids", ArrayType(IntegerType()))])
+    arrow = to_arrow_schema(schema)
 
-    @pandas_udf("array<int>")
-    def ids(values):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = codec(ranks)
-        return values.map(lambda t: tokenizer.encode(t or ""))
+        for batch in batches:
+            ids = pa.array([tokenizer.encode(t) for t in texts(batch, text)], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, ids], schema=arrow)
 
-    return docs.select(*rest, ids(F.col(text)).alias("token_ids"))
+    return own.mapInArrow(run, schema)

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 # Fixed value: the blanks that separate words in every operator of this folder.
 BLANKS = r"[\x20\x09-\x0D]+"
@@ -32,9 +33,6 @@ def per_batch(
 
 
 def arrow_schema(df: DataFrame, schema: str) -> pa.Schema:
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
-
     return to_arrow_schema(StructType.fromDDL(schema))
 
 
@@ -47,7 +45,3 @@ def texts(batch: pa.RecordBatch, column: str | int) -> Iterator[str]:
 
 def type_of(df: DataFrame, column: str) -> str:
     return df.schema[column].dataType.simpleString()
-
-
-def as_id(df: DataFrame, columns: Sequence[str]) -> list[Column]:
-    return [F.col(f"`{c}`") for c in columns]

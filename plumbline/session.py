@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -19,6 +21,8 @@ DEFAULT_CONF = {
     "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
+_written: list[str] = []
+
 
 def build_session(app: str = "plumbline", master: str | None = None, **conf: str) -> SparkSession:
     builder = SparkSession.builder.appName(app)
@@ -32,15 +36,28 @@ def build_session(app: str = "plumbline", master: str | None = None, **conf: str
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A new path below the folder in ``spark.checkpoint.dir``, which all executors share.
 
-    Only a session without that setting (a local test) gets a temporary folder of its own.
+    A session without that setting must run in one process, where a temporary folder will do; it goes when the
+    process ends. On a cluster the setting is required, since executors can't see each other's folders.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("plumbline.local.scratch", None)
     if not root:
-        root = spark.conf.get("plumbline.local.scratch", None)
-        if not root:
-            root = tempfile.mkdtemp(prefix="plumbline-")
-            spark.conf.set("plumbline.local.scratch", root)
-    return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
+        root = tempfile.mkdtemp(prefix="plumbline-")
+        atexit.register(shutil.rmtree, root, ignore_errors=True)
+        spark.conf.set("plumbline.local.scratch", root)
+    path = f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Remove every table that this process stored in the scratch folder. Results that read them must be stored before."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    while _written:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(conf).delete(path, True)
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import csv
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,26 +20,57 @@ NULL_WORDS = (
     "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
 )
 FALLBACK_ENCODINGS = ("ISO-8859-1", "windows-1252")
-SNIFF_LINES = 100
 CORRUPT = "_corrupt_record"
+# The control characters of Latin-1 and the signs that windows-1252 has in their places.
+_signs = [(chr(b), bytes([b]).decode("windows-1252", "ignore")) for b in range(0x80, 0xA0)]
+WINDOWS_SIGNS = "".join(a for a, b in _signs if b), "".join(b for _, b in _signs)
 
 
 def _paths(paths: str | Sequence[str]) -> list[str]:
     return [paths] if isinstance(paths, str) else list(paths)
 
 
+def _fields(line: str, delimiter: str) -> int:
+    return len(next(csv.reader([line], delimiter=delimiter, skipinitialspace=True), []))
+
+
+def judge_files(spark: SparkSession, paths: str | Sequence[str]) -> list[tuple[str, str]]:
+    """Delimiter and encoding of each path, from all its lines in one pass over all paths.
+
+    The delimiter is the one with which most lines have as many fields as the first one, and among these the one of
+    most fields; a comma if none divides the first line. UTF-8 if every line is valid, else windows-1252 if it has
+    bytes that are control characters in Latin-1, else Latin-1, which accepts any byte.
+    """
+    paths = _paths(paths)
+    parts, widths = [], []
+    for i, path in enumerate(paths):
+        lines = spark.read.text(path)
+        head = lines.where(F.trim("value") != "").limit(1).collect()
+        widths.append([_fields(head[0][0], d) if head else 0 for d in DELIMITERS])
+        parts.append(lines.select(F.lit(i).alias("i"), "value", *[F.lit(w).alias(f"w{k}") for k, w in enumerate(widths[-1])]))
+    quoteless = F.regexp_replace("value", r'"[^"]*"', "")
+    whole = reduce(DataFrame.unionByName, parts).withColumn("valid", F.is_valid_utf8("value")).withColumn("plain", quoteless)
+    filled = F.trim("value") != ""
+
+    def matches(k: int) -> Column:
+        return filled & (F.length("plain") - F.length(F.replace("plain", F.lit(DELIMITERS[k]), F.lit(""))) + 1 == F.col(f"w{k}"))
+
+    # The text reader hands over the bytes of each line as they are.
+    controls = ~F.col("valid") & F.decode(F.col("value").cast("binary"), FALLBACK_ENCODINGS[0]).rlike("[\x80-\x9f]")
+    rows = whole.groupBy("i").agg(
+        F.bool_and("valid").alias("utf8"), F.bool_or(controls).alias("controls"), *[F.count_if(matches(k)).alias(f"m{k}") for k in range(len(DELIMITERS))]
+    ).collect()
+    out = [(",", "UTF-8")] * len(paths)
+    for row in rows:
+        scores = {d: (row[f"m{k}"], widths[row["i"]][k]) for k, d in enumerate(DELIMITERS) if widths[row["i"]][k] > 1}
+        best = max(scores, key=scores.get, default=",")
+        out[row["i"]] = best, "UTF-8" if row["utf8"] else FALLBACK_ENCODINGS[bool(row["controls"])]
+    return out
+
+
 def infer_delimiter(spark: SparkSession, path: str) -> str:
-    """The delimiter with the same count in most leading lines and the most columns; a comma if none fits."""
-    lines = [row[0] for row in spark.read.text(path).limit(SNIFF_LINES).collect() if row[0].strip()]
-    best, best_score = ",", (0.0, 0)
-    for d in DELIMITERS:
-        fields = [len(next(csv.reader([line], delimiter=d, skipinitialspace=True))) for line in lines]
-        if not fields or fields[0] < 2:
-            continue
-        score = (sum(n == fields[0] for n in fields) / len(fields), fields[0])
-        if score > best_score:
-            best, best_score = d, score
-    return best
+    """The delimiter of one path; see ``judge_files``."""
+    return judge_files(spark, path)[0][0]
 
 
 def file_facts(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
@@ -68,14 +100,12 @@ def duplicate_uploads(facts: DataFrame) -> DataFrame:
 
 
 def choose_encoding(spark: SparkSession, path: str) -> str:
-    """UTF-8 if every line decodes as such, else Latin-1, which accepts any byte."""
-    # The text reader hands over the bytes of each line as they are.
-    valid = spark.read.text(path).agg(F.bool_and(F.is_valid_utf8("value"))).first()[0]
-    return "UTF-8" if valid in (None, True) else FALLBACK_ENCODINGS[0]
+    """The encoding of one path; see ``judge_files``."""
+    return judge_files(spark, path)[0][1]
 
 
 def null_words(df: DataFrame, words: Sequence[str] = NULL_WORDS) -> DataFrame:
-    """Text columns with the words for "missing" as NULL and outer blanks removed."""
+    """Text columns with the words for "missing" as NULL; other values stay as they are."""
     changes = {c: F.when(~F.trim(F.col(c)).isin(list(words)), F.col(c)) for c in string_columns(df)}
     return df.withColumns(changes) if changes else df
 
@@ -89,37 +119,49 @@ def tidy(df: DataFrame) -> DataFrame:
     return marked.select(*[F.col(named[i][0]).alias(names[i]) for i in first]).na.drop(how="all")
 
 
-INTEGER = r"^[+-]?\d{1,18}$"
-DECIMAL = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
+# What a text can be read as: a bit for each, so that one aggregation tells what a column holds.
+SHORT_INTEGER, INTEGER, LONG_INTEGER, DECIMAL, BOOLEAN, TEXT = (1 << k for k in range(6))
+PATTERNS = (
+    (SHORT_INTEGER, r"^[+-]?\d{1,15}$"), (INTEGER, r"^[+-]?\d{1,18}$"), (LONG_INTEGER, r"^[+-]?\d{1,38}$"),
+    (DECIMAL, r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), (BOOLEAN, r"(?i)^(true|false)$"),
+)
 
 
 def infer_types(df: DataFrame) -> DataFrame:
-    """Give text columns the narrowest type that all their values fit, decided in one aggregation."""
+    """Give text columns the narrowest type that all their values fit, decided in one aggregation.
+
+    Integers keep all digits: those of up to 18 are bigint, longer ones decimal(38, 0). Decimals are doubles unless
+    the column has integers too long for a double as well; then it stays text.
+    """
     columns = string_columns(df)
     if not columns:
         return df
 
-    def fits(c: str, pattern: str) -> Column:
+    def kind(c: str) -> Column:
         # A pattern, not a tried cast: a failing cast raises inside, which is slow on text columns.
-        return F.bool_and(F.trim(F.col(c)).rlike(pattern))
+        value, chain = F.trim(F.col(c)), F.when(F.col(c).isNull(), 0)
+        for bit, pattern in PATTERNS:
+            chain = chain.when(value.rlike(pattern), bit)
+        return chain.otherwise(TEXT)
 
-    row = df.agg(
-        *[fits(c, INTEGER).alias(f"i{k}") for k, c in enumerate(columns)],
-        *[fits(c, DECIMAL).alias(f"f{k}") for k, c in enumerate(columns)],
-        *[F.bool_and(F.lower(F.trim(F.col(c))).isin("true", "false")).alias(f"b{k}") for k, c in enumerate(columns)],
-    ).first()
+    row = df.agg(*[F.bit_or(kind(c)).alias(f"k{i}") for i, c in enumerate(columns)]).first()
     changes = {}
-    for k, c in enumerate(columns):
-        kind = next((t for flag, t in (("i", "bigint"), ("f", "double"), ("b", "boolean")) if row[f"{flag}{k}"]), None)
-        if kind:
-            changes[c] = F.trim(F.col(c)).cast(kind)
+    for i, c in enumerate(columns):
+        seen = row[f"k{i}"] or 0
+        types = (
+            ("bigint", SHORT_INTEGER | INTEGER), ("decimal(38,0)", SHORT_INTEGER | INTEGER | LONG_INTEGER),
+            ("double", SHORT_INTEGER | DECIMAL), ("boolean", BOOLEAN),
+        )
+        found = next((name for name, fits in types if seen and seen | fits == fits), None)
+        if found:
+            changes[c] = F.trim(F.col(c)).cast(found)
     return df.withColumns(changes) if changes else df
 
 
 def _header(spark: SparkSession, path: str, delimiter: str, encoding: str) -> list[str]:
     """The names in the first line. A repeated name gets a number, an empty one becomes unnamed."""
-    line = spark.read.text(path).select(F.decode(F.col("value").cast("binary"), encoding)).limit(1).collect()
-    fields = next(csv.reader([line[0][0]], delimiter=delimiter, skipinitialspace=True)) if line else []
+    line = spark.read.text(path).select(F.col("value").cast("binary")).limit(1).collect()
+    fields = next(csv.reader([bytes(line[0][0]).decode(encoding, "replace")], delimiter=delimiter, skipinitialspace=True)) if line else []
     seen: dict[str, int] = {}
     names = []
     for i, name in enumerate(fields):
@@ -131,23 +173,55 @@ def _header(spark: SparkSession, path: str, delimiter: str, encoding: str) -> li
 
 def read_csv(
     spark: SparkSession, paths: str | Sequence[str], *, schema: T.StructType | str | None = None,
-    delimiter: str | None = None, encoding: str | None = None, infer: bool = True,
+    delimiter: str | None = None, encoding: str | None = None, infer: bool = True, multi_line: bool = False, errors: str | None = None,
 ) -> DataFrame:
-    """CSV with header. The delimiter and encoding are found unless given; types are inferred unless
-    ``schema`` (the right choice for large data: it saves a pass) is given."""
+    """CSV with header. Delimiter and encoding are found for each path by itself unless given.
+
+    Every column is read as text, the words for "missing" become NULL, and then types follow: from ``schema`` (by
+    position; the right choice for large data, as it saves a pass) or from the values. A value that does not fit the
+    schema raises; with ``errors`` it becomes NULL instead and the column of that name maps column to text.
+    ``multi_line`` reads line breaks inside quotes, at the price of one task for each file.
+    """
     paths = _paths(paths)
-    delimiter = delimiter or infer_delimiter(spark, paths[0])
-    encoding = encoding or choose_encoding(spark, paths[0])
-    reader = (
-        spark.read.option("header", True).option("sep", delimiter).option("encoding", encoding)
-        .option("ignoreLeadingWhiteSpace", True).option("mode", "PERMISSIVE").option("escape", '"').option("enforceSchema", schema is None)
-    )
+    if isinstance(schema, str):
+        schema = T.StructType.fromDDL(schema)
+    judged = judge_files(spark, paths) if delimiter is None or encoding is None else [(delimiter, encoding)] * len(paths)
+    alike: dict[tuple, list[str]] = {}
+    for path, (own_delimiter, own_encoding) in zip(paths, judged):
+        own_delimiter, own_encoding = delimiter or own_delimiter, encoding or own_encoding
+        names = tuple(schema.names) if schema is not None else tuple(_header(spark, path, own_delimiter, own_encoding))
+        alike.setdefault((own_delimiter, own_encoding, names), []).append(path)
+    frames = []
+    for (own_delimiter, own_encoding, names), own in alike.items():
+        text = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))])
+        if not names:
+            continue
+        raw = (
+            spark.read.option("header", True).option("sep", own_delimiter).option("encoding", own_encoding.replace("windows-1252", "ISO-8859-1")).option("multiLine", multi_line)
+            .option("ignoreLeadingWhiteSpace", True).option("mode", "PERMISSIVE").option("escape", '"').option("enforceSchema", True)
+            .schema(text).csv(own)
+        )
+        if own_encoding == "windows-1252":
+            # Spark reads Latin-1; the two differ only in what Latin-1 has as control characters.
+            raw = raw.select(*[F.translate(c, *WINDOWS_SIGNS).alias(c) for c in raw.columns])
+        frames.append(null_words(raw.toDF(*names) if schema is not None else tidy(raw.toDF(*names))))
+    if not frames:
+        return spark.createDataFrame([], schema or T.StructType())
+    df = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), frames)
     if schema is not None:
-        return reader.schema(schema).csv(paths)
-    raw = reader.csv(paths)
-    names = _header(spark, paths[0], delimiter, encoding)
-    df = null_words(tidy(raw.toDF(*names) if len(names) == len(raw.columns) else raw))
-    return infer_types(df.na.drop(how="all")) if infer else df
+        return _typed(df, schema, errors)
+    df = df.na.drop(how="all")
+    return infer_types(df) if infer else df
+
+
+def _typed(df: DataFrame, schema: T.StructType, errors: str | None) -> DataFrame:
+    text = [f for f in schema.fields if isinstance(f.dataType, T.StringType)]
+    if errors is None:
+        return df.select(*[F.col(f.name) if f in text else F.trim(F.col(f.name)).cast(f.dataType).alias(f.name) for f in schema.fields])
+    tried = {f.name: F.trim(F.col(f.name)).try_cast(f.dataType) for f in schema.fields if f not in text}
+    unread = [F.when(value.isNull() & F.col(name).isNotNull(), F.struct(F.lit(name).alias("key"), F.col(name).alias("value"))) for name, value in tried.items()]
+    listed = F.map_from_entries(F.array_compact(F.array(*unread))) if unread else F.create_map().cast("map<string,string>")
+    return df.select(*[tried.get(f.name, F.col(f.name)).alias(f.name) for f in schema.fields], listed.alias(errors))
 
 
 def read_json(spark: SparkSession, paths: str | Sequence[str], *, schema=None, array: bool = False) -> DataFrame:
@@ -230,5 +304,5 @@ def file_report(spark: SparkSession, path: str, delimiter: str | None = None) ->
 
 
 def fixed_sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
-    """``n`` rows in the order of a seeded hash of the key: the same rows in every run."""
-    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
+    """``n`` rows in the order of a seeded hash of the key: the same rows in every run, and in any engine with MD5."""
+    return df.orderBy(F.md5(F.concat_ws("-", F.lit(seed), F.col(key).cast("string")).cast("binary")), key).limit(n)

@@ -46,6 +46,39 @@ def test_latin1_file(spark, tmp_path):
     assert files.read_csv(spark, str(path)).first().name == "José"
 
 
+def test_schema_and_inference_mean_the_same(spark, tmp_path):
+    path = tmp_path / "s.csv"
+    path.write_text("id,qty,note\n1234567890123456789, 3 ,N/A\n1234567890123456788,oops,a b\n7,,null\n")
+    schema = "id bigint, qty int, note string"
+    rows = files.read_csv(spark, str(path), schema=schema, errors="unread").orderBy("id").collect()
+    assert [tuple(r)[:3] for r in rows] == [(7, None, None), (1234567890123456788, None, "a b"), (1234567890123456789, 3, None)]
+    assert [r.unread for r in rows] == [{}, {"qty": "oops"}, {}]
+    with pytest.raises(Exception, match="oops"):
+        files.read_csv(spark, str(path), schema=schema).collect()
+    found = files.read_csv(spark, str(path))
+    assert dict(found.dtypes) == {"id": "decimal(38,0)", "qty": "string", "note": "string"}
+    assert {int(r.id) for r in found.collect()} == {1234567890123456789, 1234567890123456788, 7}
+    (tmp_path / "m.csv").write_text("v\n1.5\n1234567890123456789\n")
+    assert files.read_csv(spark, str(tmp_path / "m.csv")).dtypes == [("v", "string")]
+
+
+def test_every_file_is_judged_by_itself(spark, tmp_path):
+    (tmp_path / "a.csv").write_bytes("id;name\n1;Zoë\n".encode("latin-1"))
+    (tmp_path / "b.csv").write_bytes("id,name\n2,Zoë\n".encode())
+    (tmp_path / "c.csv").write_bytes("id|name\n3|Zoë – “q”\n".encode("windows-1252"))
+    (tmp_path / "late.csv").write_bytes(b"id,name\n" + b"4,plain\n" * 300 + "5,Zoë\n".encode("latin-1"))
+    paths = [str(tmp_path / f"{n}.csv") for n in ("a", "b", "c", "late")]
+    assert files.judge_files(spark, paths) == [(";", "ISO-8859-1"), (",", "UTF-8"), ("|", "windows-1252"), (",", "ISO-8859-1")]
+    names = {r.id: r.name for r in files.read_csv(spark, paths).where("id <> 4").collect()}
+    assert names == {1: "Zoë", 2: "Zoë", 3: "Zoë – “q”", 5: "Zoë"}
+
+
+def test_line_breaks_inside_quotes(spark, tmp_path):
+    path = tmp_path / "q.csv"
+    path.write_text('id,note\n1,"two\nlines"\n2,one\n')
+    assert {tuple(r) for r in files.read_csv(spark, str(path), multi_line=True).collect()} == {(1, "two\nlines"), (2, "one")}
+
+
 def test_file_facts(spark, tmp_path):
     for name in ("One.csv", "two.csv"):
         (tmp_path / name).write_text("a,b\n1,2\n")
@@ -64,8 +97,7 @@ def test_json_forms_and_suffixes(spark, tmp_path):
 
 def test_fixed_sample_equals_brute_force(spark):
     df = spark.range(500).withColumnRenamed("id", "k")
-    order = {r.k: r.h for r in df.select("k", F.xxhash64("k", F.lit(42)).alias("h")).collect()}
-    want = sorted(order, key=lambda k: (order[k], k))[:50]
+    want = sorted(range(500), key=lambda k: (hashlib.md5(f"42-{k}".encode()).hexdigest(), k))[:50]
     got = [r.k for r in files.fixed_sample(df.repartition(5), "k", 50).collect()]
     assert sorted(got) == sorted(want)
     assert files.fixed_sample(df, "k", 1000).count() == 500

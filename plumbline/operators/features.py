@@ -110,11 +110,10 @@ def price_features(df: DataFrame, *, key: str = "product_id", tie: list[str] | N
         }
 
     series = over_rows(df, [key], order, TREND_ROWS, build, fill=known, block_rows=block_rows).drop("_price", "_quantity")
-    # Ties of the tier cuts are ordered by product and date as one sortable text.
-    tie_text = F.concat_ws("|", *[F.col(c).cast("string") for c in (key, *order)])
-    tiers = fit_tiers(df.select("price", tie_text.alias("_tie")), "price", 3, tie="_tie")
-    tiered = series.withColumn("_tie", tie_text).withColumns({
+    # Ties of the tier cuts are ordered by product, then by date.
+    tiers = fit_tiers(df.select("price", key, *order), "price", 3, tie=[key, *order])
+    tiered = series.withColumns({
         "revenue": F.col("price") * F.col("quantity_sold"),
         "price_tier": tiers.expression(),
     })
-    return percent_rank_average(tiered.drop("_tie"), "price", "price_percentile")
+    return percent_rank_average(tiered, "price", "price_percentile")

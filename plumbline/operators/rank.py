@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import math
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -12,9 +13,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.operators.quantiles import EXACT_LIMIT, clean, count_values, order_statistics
-from plumbline.operators.skew import balanced_join, fits_broadcast
+from plumbline.operators.skew import HOT_SHARE
 
 RANK_BUCKETS = 4096
+RANK_RANGES = 1024
+FEW_ROWS = 1000  # rows of equal value among which a cut is found by a plain top-k
 
 # Tier names for four and three tiers.
 TIER_LABELS = {4: ("low", "medium", "high", "premium"), 3: ("low", "medium", "high")}
@@ -22,27 +25,41 @@ TIER_LABELS = {4: ("low", "medium", "high", "premium"), 3: ("low", "medium", "hi
 
 @dataclass
 class TierModel:
-    """Cut rows of a quantile tiering. A row's tier is one more than the number of cuts it lies above."""
+    """Cut rows of a quantile tiering. A row's tier is one more than the number of cuts it lies above.
+
+    Rows of equal value are ordered by the tie columns, compared one after the other with NULL first.
+    """
 
     column: str
-    tie: str | None
+    ties: tuple[str, ...]
     labels: tuple[str, ...]
-    cuts: list[tuple[object, object]] = field(default_factory=list)
+    cuts: list[tuple[object, tuple | None]] = field(default_factory=list)
 
     def expression(self) -> Column:
         """Tier label as a projection. A missing value has no tier."""
         value = F.col(self.column)
         missing = value.isNull() | F.isnan(value.cast("double"))
         above = F.lit(0)
-        for cut, tie in self.cuts:
+        for cut, keys in self.cuts:
             beyond = value > F.lit(cut)
-            if tie is not None:
-                beyond = beyond | ((value == F.lit(cut)) & (F.col(self.tie) > F.lit(tie)))
+            if keys is not None:
+                beyond = beyond | ((value == F.lit(cut)) & _after(self.ties, keys))
             above = above + beyond.cast("int")
         names = F.array(*[F.lit(label) for label in self.labels])
         return F.when(~missing, F.get(names, above))
 
 
+def _after(columns: tuple[str, ...], keys: tuple) -> Column:
+    """Whether a row comes after the one of these keys, NULL first."""
+    later, equal = F.lit(False), F.lit(True)
+    for name, key in zip(columns, keys):
+        here = F.col(name)
+        greater = here.isNotNull() if key is None else F.coalesce(here > F.lit(key), F.lit(False))
+        later = later | (equal & greater)
+        equal = equal & here.eqNullSafe(F.lit(key))
+    return later
+
+
 def _cut_ranks(n: int, q: int, pandas_edges: bool) -> list[int]:
     """0-based position of the last row of each tier but the highest."""
     if n < 2:
@@ -88,24 +105,25 @@ def fit_tiers(
     column: str,
     q: int,
     *,
-    tie: str | None = None,
+    tie: str | Sequence[str] | None = None,
     labels: tuple[str, ...] | None = None,
     pandas_edges: bool = False,
     exact_limit: int = EXACT_LIMIT,
 ) -> TierModel:
-    """Find the rows that end each of ``q`` equal-count tiers of ``column``, ties ordered by ``tie``.
+    """Find the rows that end each of ``q`` equal-count tiers of ``column``, ties ordered by the columns of ``tie``.
 
     Only ``q - 1`` order statistics are needed, so assigning tiers is a projection: no window and no
     shuffle. Without ``tie`` equal values share a tier.
     """
     labels = labels or TIER_LABELS.get(q) or tuple(str(i + 1) for i in range(q))
-    model = TierModel(column, tie, tuple(labels))
+    ties = (tie,) if isinstance(tie, str) else tuple(tie or ())
+    model = TierModel(column, ties, tuple(labels))
     n = count_values(df, [column])[column]
     ranks = _cut_ranks(n, q, pandas_edges)
     if not ranks:
         return model
     values = order_statistics(df, {column: ranks}, counts={column: n}, exact_limit=exact_limit)[column]
-    if tie is None:
+    if not ties:
         model.cuts = [(values[r], None) for r in ranks]
         return model
 
@@ -119,19 +137,37 @@ def fit_tiers(
         if within == equal - 1:  # the cut is the last of its equals
             model.cuts.append((values[r], None))
             continue
-        equals = df.filter(value == F.lit(values[r])).select(tie)
-        if isinstance(df.schema[tie].dataType, T.StringType):
-            at = _string_at(equals, tie, within, equal, exact_limit)
-        else:
-            at = order_statistics(equals, {tie: [within]}, exact_limit=exact_limit)[tie][within]
-        model.cuts.append((values[r], at))
+        equals = df.filter(value == F.lit(values[r])).select(*ties)
+        model.cuts.append((values[r], _row_at(equals, ties, within, equal, exact_limit)))
     return model
 
 
+def _row_at(rows: DataFrame, columns: tuple[str, ...], rank: int, total: int, limit: int) -> tuple:
+    """The keys of the row at ``rank`` in the order of the columns, NULL first."""
+    if total <= FEW_ROWS:
+        ordered = rows.orderBy(*[F.col(c).asc_nulls_first() for c in columns]).limit(rank + 1).collect()
+        return tuple(ordered[-1])
+    first, *rest = columns
+    nulls = rows.filter(F.col(first).isNull()).count()
+    if rank < nulls:
+        key, equals, within, left = None, rows.filter(F.col(first).isNull()), rank, nulls
+    else:
+        known = rows.filter(F.col(first).isNotNull()).select(*columns)
+        if isinstance(rows.schema[first].dataType, T.StringType):
+            key = _string_at(known, first, rank - nulls, total - nulls, limit)
+        else:
+            key = order_statistics(known, {first: [rank - nulls]}, exact_limit=limit)[first][rank - nulls]
+        if not rest:
+            return (key,)
+        row = known.agg(F.count_if(F.col(first) < F.lit(key)).alias("lt"), F.count_if(F.col(first) == F.lit(key)).alias("eq")).first()
+        equals, within, left = known.filter(F.col(first) == F.lit(key)), rank - nulls - row["lt"], row["eq"]
+    return (key, *(_row_at(equals.select(*rest), tuple(rest), within, left, limit) if rest else ()))
+
+
 def pick_splits(counts: DataFrame, value: str, keys: list[str] | None = None) -> list:
     """Fewer than ``RANK_BUCKETS`` distinct values, those with the smallest hashes, in order."""
     picked = counts.filter(F.col(value).isNotNull()).select(value)
-    if keys:
+    if keys:  # a value may be there more than once
         picked = picked.groupBy(value).agg(F.lit(1).alias("_one")).select(value)
     return sorted(row[0] for row in picked.orderBy(F.xxhash64(value), value).limit(RANK_BUCKETS - 1).collect())
 
@@ -188,17 +224,40 @@ def bucket_of(value: Column, splits: list, kind: str) -> Column:
 def percent_rank_average(df: DataFrame, column: str, output: str) -> DataFrame:
     """Add the rank of each value over the number of values, equal values sharing their mean rank.
 
-    Rows are first reduced to one per distinct value, so a value held by a third of all rows is one row
-    when ranks are summed; the ranks are joined back without gathering that value's rows.
+    Approximate percentiles cut the values into ranges. One aggregation counts them; each row is then ranked inside
+    its range by one window, and the rows of the ranges before are added from a constant. A percentile that holds
+    many rows itself is known to be hot from the same counts: the rank of its rows follows without the window, so
+    they are dealt out evenly. Nothing is joined back.
     """
     data = df.withColumn("_value", clean(df, column).cast("double") + F.lit(0.0))
-    counts = data.filter("_value IS NOT NULL").groupBy("_value").agg(F.count("*").alias("n"))
-    splits = pick_splits(counts, "_value")
-    ranked = running_totals(counts, "_value", ["n"], splits=splits)
-    total = counts.agg(F.sum("n").alias("total"))
-    ranks = ranked.crossJoin(F.broadcast(total)).select(
-        "_value", ((F.col("n_before") + (F.col("n") + 1) / F.lit(2.0)) / F.col("total")).alias(output)
-    )
-    # Fewer splits than could be picked means that they are all the values there are.
-    small = len(splits) < RANK_BUCKETS - 1 or fits_broadcast(counts)
-    return balanced_join(data, ranks, ["_value"], "left", small=small).drop("_value")
+    shares = [i / RANK_RANGES for i in range(1, RANK_RANGES)]
+    splits = sorted(set(data.agg(F.percentile_approx("_value", shares, 10 * RANK_RANGES)).first()[0] or []))
+    ranged = data.withColumn("_range", F.when(F.col("_value").isNotNull(), bucket_of(F.col("_value"), splits, "double")))
+    # Range i holds what lies above split i - 1, up to split i itself.
+    top = F.get(_constant(splits, "double"), F.col("_range"))
+    counted = ranged.filter("_range IS NOT NULL").groupBy("_range").agg(
+        F.count("*").alias("n"), F.count_if(F.col("_value") == top).alias("tops")
+    ).collect()  # one row for each range
+    sizes = {row["_range"]: (row["n"], row["tops"]) for row in counted}
+    total = sum(n for n, _ in sizes.values())
+    if not total:
+        return df.withColumn(output, F.lit(None).cast("double"))
+    before, hot, running = [], [], 0
+    for i in range(len(splits) + 1):
+        n, tops = sizes.get(i, (0, 0))
+        before.append(running)
+        running += n
+        hot.append(float(running - tops + (tops + 1) / 2) if tops * HOT_SHARE > total else None)
+    hot_rank = F.when(F.col("_value") == top, F.get(_constant(hot, "double"), F.col("_range")))
+    spread = F.pmod(F.xxhash64(*[c for c in df.columns if not isinstance(df.schema[c].dataType, T.MapType)]), F.lit(HOT_SHARE))
+    placed = ranged.withColumn("_hot", hot_rank).withColumn("_part", F.when(F.col("_hot").isNull(), F.lit(0)).otherwise(spread))
+    inside = W.partitionBy("_range", "_part")
+    equal = F.count("*").over(W.partitionBy("_range", "_part", "_value"))
+    rank = F.get(_constant(before, "bigint"), F.col("_range")) + F.rank().over(inside.orderBy("_value")) + (equal - 1) / F.lit(2.0)
+    ranked = placed.withColumn(output, F.when(F.col("_range").isNotNull(), F.coalesce("_hot", rank) / F.lit(total)))
+    return ranked.drop("_value", "_range", "_hot", "_part")
+
+
+def _constant(values: list, kind: str) -> Column:
+    """A list of numbers as one folded constant."""
+    return F.from_json(F.lit(json.dumps(values)), f"array<{kind}>")

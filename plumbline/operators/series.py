@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.functions.scalars import pct_change
-from plumbline.operators.rank import bucket_of
+from plumbline.operators.rank import bucket_of, pick_splits
 
 BLOCK_ROWS = 1_000_000
 ORDER_CHUNKS = 1024
@@ -30,15 +30,22 @@ def _blocked(df: DataFrame, keys: list[str], order: list[str], block_rows: int)
     """Add ``_row``, the 0-based position within the key, and ``_block`` of ``block_rows`` positions.
 
     Positions are counted inside ranges of the first order column and shifted by the rows of the
-    ranges before, so no task sees more than one range of one key. The first order column is a number,
-    a date or a timestamp.
+    ranges before, so no task sees more than one range of one key. Ranges are cut at percentiles of the first
+    order column, or, if it is a text, at a fixed number of its values.
     """
     shares = [i / ORDER_CHUNKS for i in range(1, ORDER_CHUNKS)]
-    first = F.col(order[0])
-    if isinstance(df.schema[order[0]].dataType, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+    first, kind = F.col(order[0]), df.schema[order[0]].dataType
+    if isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):
         first = F.unix_micros(first.cast("timestamp"))
+    elif isinstance(kind, T.DecimalType):
+        first = first.cast("double")  # decimals of one double fall into one range and are ordered inside it
+    elif isinstance(kind, T.BooleanType):
+        first = first.cast("int")
     placed = df.withColumn("_first", first)
-    splits = placed.agg(F.percentile_approx("_first", shares, 10 * ORDER_CHUNKS)).first()[0] or []
+    if isinstance(kind, T.StringType):
+        splits = pick_splits(placed, "_first", keys=["_first"])
+    else:
+        splits = placed.agg(F.percentile_approx("_first", shares, 10 * ORDER_CHUNKS)).first()[0] or []
     chunk = bucket_of(F.col("_first"), sorted(set(splits)), placed.schema["_first"].dataType.simpleString())
     chunked = placed.withColumn("_chunk", F.when(F.col("_first").isNull(), -1).otherwise(chunk)).drop("_first")
     sizes = chunked.groupBy(*keys, "_chunk").agg(F.count("*").alias("_size"))

@@ -91,7 +91,7 @@ WITH b AS ({PRICE_BASE_SQL}), s AS (SELECT *, price * quantity_sold AS revenue,
   {growth_sql('CAST(quantity_sold AS DOUBLE)', 1, 'PARTITION BY product_id ORDER BY date')} AS quantity_change,
   avg(quantity_sold) OVER (PARTITION BY product_id ORDER BY date ROWS 6 PRECEDING) AS quantity_trend,
   (rank() OVER (ORDER BY price) + (count(*) OVER (PARTITION BY price) - 1) / 2.0) / count(*) OVER () AS price_percentile,
-  row_number() OVER (ORDER BY price, product_id || '|' || CAST(date AS VARCHAR)) AS rn, count(*) OVER () AS n FROM b)
+  row_number() OVER (ORDER BY price, product_id, date) AS rn, count(*) OVER () AS n FROM b)
 SELECT product_id, date, round(revenue, 8) AS revenue, round(price_change, 6) AS price_change, round(quantity_change, 6) AS quantity_change,
   round(quantity_trend, 6) AS quantity_trend, round(price_percentile, 6) AS price_percentile, {tier_sql('rn', 'n', 3, TIER3, 'price')} AS price_tier FROM s"""
 
@@ -497,7 +497,7 @@ s AS (SELECT *, price * quantity_sold AS revenue, {growth_sql('price', 1, 'PARTI
   {growth_sql('quantity_sold', 1, 'PARTITION BY product_id ORDER BY date')} AS quantity_change,
   avg(quantity_sold) OVER (PARTITION BY product_id ORDER BY date ROWS 6 PRECEDING) AS quantity_trend,
   (rank() OVER (ORDER BY price) + (count(*) OVER (PARTITION BY price) - 1) / 2.0) / count(*) OVER () AS price_percentile,
-  row_number() OVER (ORDER BY price, product_id || '|' || CAST(date AS VARCHAR)) AS rn, count(*) OVER () AS n FROM cp),
+  row_number() OVER (ORDER BY price, product_id, date) AS rn, count(*) OVER () AS n FROM cp),
 feat AS (SELECT *, {tier_sql('rn', 'n', 3, TIER3, 'price')} AS t FROM s)
 SELECT product_id, date, {PRICE_PICKS}, t = 'low' AS price_tier_low, t = 'medium' AS price_tier_medium, t = 'high' AS price_tier_high, t IS NULL AS price_tier_nan FROM feat, {PRICE_FITS}""")
 def _(spark, sf):

@@ -81,12 +81,10 @@ def test_pandas_edges_for_many_sizes():
             assert rank._cut_ranks(n, q, True) == want
 
 
-@pytest.mark.parametrize("buckets", [4096, 8])
-def test_percent_rank_equals_pandas(frame, monkeypatch, buckets):
+@pytest.mark.parametrize("ranges", [1024, 8])
+def test_percent_rank_equals_pandas(frame, monkeypatch, ranges):
     pdf, df = frame
-    monkeypatch.setattr(rank, "RANK_BUCKETS", buckets)
-    monkeypatch.setattr(rank, "fits_broadcast", lambda counts: buckets > 8)
-    monkeypatch.setattr(skew, "fits_broadcast", lambda right: buckets > 8)
+    monkeypatch.setattr(rank, "RANK_RANGES", ranges)
     got = rank.percent_rank_average(df, "v", "r").toPandas().sort_values("id")
     want = pdf.sort_values("id").v.rank(pct=True)
     assert np.allclose(got.r, want, equal_nan=True)
@@ -112,3 +110,21 @@ def test_balanced_join_equals_plain_join(spark, how):
 def test_hot_keys_are_few(spark):
     df = spark.range(10_000).select((F.col("id") % 5000).alias("k")).union(spark.range(5000).select(F.lit(7).cast("long").alias("k")))
     assert [r.k for r in skew.hot_keys(df, ["k"]).collect()] == [7]
+
+
+@pytest.mark.parametrize("few", [1000, 2])
+def test_ties_by_several_columns_and_null(spark, monkeypatch, few):
+    monkeypatch.setattr(rank, "FEW_ROWS", few)
+    rows = [(5.0, "b", 2), (5.0, None, 1), (5.0, "b", None), (5.0, "10", 3), (5.0, "1", 9), (5.0, "b", 1)]
+    df = spark.createDataFrame(rows, "v double, k string, d int")
+    model = rank.fit_tiers(df, "v", 3, tie=["k", "d"])
+    got = [tuple(r) for r in df.withColumn("t", model.expression()).select("k", "d", "t").collect()]
+    order = sorted(got, key=lambda r: (r[0] is not None, r[0] or "", r[1] is not None, r[1] or 0))
+    assert [r[2] for r in order] == ["low", "low", "medium", "medium", "high", "high"]
+
+
+def test_percent_rank_of_hot_and_missing_values(spark):
+    df = spark.range(3000).select("id", F.when(F.col("id") % 3 == 0, 7.0).when(F.col("id") % 50 == 1, None).otherwise((F.col("id") * 37 % 1000).cast("double")).alias("v"))
+    got = rank.percent_rank_average(df, "v", "p").toPandas()
+    want = got["v"].rank(pct=True)
+    assert (got["p"] - want).abs().max() < 1e-12 and (got["p"].isna() == got["v"].isna()).all()

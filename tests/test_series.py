@@ -90,3 +90,12 @@ def test_keep_first_limits_before_the_shuffle(spark):
     out = series.keep_first(df, ["k"], ["id"])
     assert sorted(r.id for r in out.collect()) == [0, 1, 2]
     assert "WindowGroupLimit" in out._sc._jvm.PythonSQLUtils.explainString(out._jdf.queryExecution(), "simple")
+
+
+@pytest.mark.parametrize("kind", ["decimal(20,3)", "string", "timestamp"])
+def test_blocks_of_any_order_type(spark, kind):
+    value = F.lit("2020-01-01").cast("timestamp") + F.make_dt_interval(F.col("id").cast("int")) if kind == "timestamp" else F.lpad(F.col("id").cast("string"), 5, "0").cast(kind)
+    df = spark.range(200).select(value.alias("at"), (F.col("id") % 7).cast("double").alias("v"))
+    ways = [series.over_rows(df, [], ["at"], 7, lambda w: {"m": series.rolling_mean("v", w, 7)}, block_rows=n) for n in (1_000, 20)]
+    one, many = ({r["at"]: r["m"] for r in way.collect()} for way in ways)
+    assert len(one) == 200 and one == pytest.approx(many)

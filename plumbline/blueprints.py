@@ -120,34 +120,34 @@ CUSTOMER_CHURN = Blueprint(
         RowRule(
             "account_created_date",
             lambda as_of, s: F.col("account_created_date") > F.col("last_activity_date"),
-            "Account creation date cannot be after last activity date",
+            "created later than the last activity",
             ("account_created_date", "last_activity_date"),
         ),
         RowRule(
             "account_created_date",
             lambda as_of, s: elapsed_days(as_of, "account_created_date") > s["max_age_days"],
-            "Account age seems unreasonable",
+            "account is older than the limit",
             ("account_created_date",),
         ),
         RowRule(
             "account_created_date",
             lambda as_of, s: elapsed_days(as_of, "account_created_date") < 0,
-            "Account creation date cannot be in the future",
+            "created after the reference time",
             ("account_created_date",),
         ),
         RowRule(
             "last_activity_date",
             lambda as_of, s: elapsed_days(as_of, "last_activity_date") < 0,
-            "Last activity date cannot be in the future",
+            "active after the reference time",
             ("last_activity_date",),
         ),
     ),
     warnings=(
-        RowRule("total_value", lambda as_of, s: F.col("total_value") > 1_000_000, "High customer value", ("total_value",)),
+        RowRule("total_value", lambda as_of, s: F.col("total_value") > 1_000_000, "value is above one million", ("total_value",)),
         RowRule(
             "feature_usage_count",
             lambda as_of, s: (F.col("feature_usage_count") > 0) & (F.col("login_frequency") == 0),
-            "Feature usage without login frequency",
+            "features are used but nobody logs in",
             ("feature_usage_count", "login_frequency"),
         ),
     ),
@@ -168,12 +168,12 @@ REVENUE_PROJECTION = Blueprint(
         RowRule(
             "date",
             lambda as_of, s: F.col("date").cast("date") > F.date_add(as_of.cast("date"), 1),
-            "Revenue date cannot be in the future",
+            "day lies after the reference day",
             ("date",),
         ),
     ),
     warnings=(
-        RowRule("revenue", lambda as_of, s: F.col("revenue") > 10_000_000, "Unusually high daily revenue", ("revenue",)),
+        RowRule("revenue", lambda as_of, s: F.col("revenue") > 10_000_000, "revenue is above ten million", ("revenue",)),
     ),
 )
 
@@ -192,12 +192,12 @@ PRICE_OPTIMIZATION = Blueprint(
         RowRule(
             "cost_per_unit",
             lambda as_of, s: (F.col("cost_per_unit") != 0) & (F.col("cost_per_unit") > F.col("price")),
-            "Cost per unit cannot exceed selling price",
+            "a unit costs more than its price",
             ("cost_per_unit", "price"),
         ),
     ),
     warnings=(
-        RowRule("price", lambda as_of, s: F.col("price") > 100_000, "Very high unit price", ("price",)),
+        RowRule("price", lambda as_of, s: F.col("price") > 100_000, "price is above one hundred thousand", ("price",)),
     ),
 )
 

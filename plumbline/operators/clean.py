@@ -270,11 +270,12 @@ def target_means(df: DataFrame, column: str, target: str, smoothing: float = 10.
 
 def fit_encode(
     df: DataFrame, strategy: str = "auto", *, columns: Sequence[str] | None = None, skip: Sequence[str] = (),
-    target: str | None = None, smoothing: float = 10.0, fill: str | None = None, dummy_missing: bool = True,
+    target: str | None = None, smoothing: float = 10.0, fill: str | None = None, dummy_missing: bool = True, max_one_hot: int | None = None,
 ) -> EncodeModel:
     """``auto`` one-hot encodes columns of 3 to 10 values and numbers the sorted values of the others.
 
-    Also ``onehot`` (values not seen in the fit get no column), ``label``, ``target`` and ``none``.
+    Also ``onehot`` (values not seen in the fit get no column), ``label``, ``target`` and ``none``. With ``max_one_hot``
+    columns of more values are numbered instead of getting a column for each value.
     """
     model = EncodeModel(fill=fill, dummy_missing=dummy_missing)
     names = [c for c in _targets(df, columns, skip) if c in string_columns(df)]
@@ -296,11 +297,11 @@ def fit_encode(
     sizes = {row["column"]: row["n"] for row in counts.groupBy("column").agg(F.count("*").alias("n")).collect()}
     sizes = {c: sizes.get(c, 0) for c in names}
     for c in names:
-        one_hot = strategy == "onehot" or (strategy == "auto" and ONE_HOT_MIN <= sizes[c] <= ONE_HOT_MAX)
+        one_hot = (strategy == "onehot" and (max_one_hot is None or sizes[c] <= max_one_hot)) or (
+            strategy == "auto" and ONE_HOT_MIN <= sizes[c] <= ONE_HOT_MAX
+        )
         model.methods[c] = "one_hot" if one_hot else "label"
     small = [c for c in names if model.methods[c] == "one_hot" or sizes[c] <= INLINE_CODES]
-    if any(sizes[c] > 10_000 for c in small):
-        raise ValueError("too many values for one-hot columns; use label or target encoding")
     if small:
         # Counted above: at most INLINE_CODES values per label column, and one column per one-hot value.
         rows = counts.filter(F.col("column").isin(small)).select("column", "value").collect()

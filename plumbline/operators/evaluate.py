@@ -35,12 +35,12 @@ def score_areas(df: DataFrame, actual: str, score: str) -> DataFrame:
     )
     totals = counts.agg(F.sum("pos").alias("all_pos"), F.sum("neg").alias("all_neg"))
     placed = running_totals(counts, "score", ["pos", "neg"]).crossJoin(F.broadcast(totals))
-    wins = F.col("pos") * (F.col("neg_before") + F.col("neg") / F.lit(2.0))
+    wins = F.col("pos").cast("double") * (F.col("neg_before") + F.col("neg") / F.lit(2.0))
     hits = F.col("all_pos") - F.col("pos_before")  # positives at this score or above
     called = hits + F.col("all_neg") - F.col("neg_before")
     return placed.agg(
         F.sum(wins).alias("wins"),
-        F.sum(F.col("pos") * hits / called).alias("precision_sum"),
+        F.sum(F.col("pos").cast("double") * hits / called).alias("precision_sum"),
         F.max("all_pos").alias("all_pos"),
         F.max("all_neg").alias("all_neg"),
     ).select(

@@ -81,9 +81,9 @@ def top_values(df: DataFrame, columns: Sequence[str], k: int = 5) -> DataFrame:
     return value_counts(df, columns).withColumn("position", F.row_number().over(w)).filter(F.col("position") <= k)
 
 
-def mixed_profile(df: DataFrame, max_columns: int = 10, k: int = 5) -> DataFrame:
-    """Profile of the first columns, with the top values of the text columns joined to one string."""
-    columns = df.columns[:max_columns]
+def mixed_profile(df: DataFrame, columns: Sequence[str] | None = None, k: int = 5) -> DataFrame:
+    """Profile of all or the given columns, with the top values of the text columns joined to one string."""
+    columns = list(columns or df.columns)
     text = [c for c in columns if c not in numeric_columns(df)]
     profile = column_profile(df, columns)
     if not text:

@@ -112,7 +112,7 @@ class Completeness(Rule):
         for c in self.columns or df.columns:
             if c not in df.columns:
                 continue
-            text = f"Column '{c}' has %.2f%% completeness (threshold: {self.threshold:.2%})".replace("%)", "%%)")
+            text = f"{c}: %.2f%% of the rows are filled, {100 * self.threshold:.2f}%% are asked for"
             out.append(
                 Check(
                     c, "completeness", self.severity,
@@ -141,7 +141,7 @@ class Uniqueness(Rule):
                     Check(
                         c, "uniqueness", self.severity,
                         failed=F.count("*") - F.count_distinct(value) - has_null,
-                        message=lambda f, t, c=c: F.format_string(f"Column '{c}' has %d duplicate values", f),
+                        message=lambda f, t, c=c: F.format_string(f"{c}: %d rows repeat an earlier value", f),
                     )
                 )
         return out
@@ -158,7 +158,7 @@ class DataTypes(Rule):
                 continue
             actual = df.schema[c].dataType
             if not isinstance(actual, _SPARK_TYPES.get(logical, ())):
-                text = f"Column '{c}' has type '{actual.simpleString()}', expected '{logical}'"
+                text = f"{c}: stored as {actual.simpleString()}, declared as {logical}"
                 out.append(
                     Check(c, "data_type", self.severity, failed=F.max(F.lit(1)), total=F.max(F.lit(1)),
                           message=lambda f, t, text=text: F.lit(text), fails=lambda f, t: F.lit(True))
@@ -185,7 +185,7 @@ class Range(Rule):
                     violation=below | above,
                     example=F.col(c),
                     message=lambda f, t, c=c, low=low, high=high: F.format_string(
-                        f"Column '{c}' has %d values outside range [{low}, {high}]", f
+                        f"{c}: %d values lie outside {low} to {high}", f
                     ),
                 )
             )
@@ -209,7 +209,7 @@ class Pattern(Rule):
                 Check(
                     c, "pattern", self.severity,
                     failed=F.count_if(bad), total=F.count(value), violation=bad, example=value,
-                    message=lambda f, t, c=c: F.format_string(f"Column '{c}' has %d values not matching expected pattern", f),
+                    message=lambda f, t, c=c: F.format_string(f"{c}: %d values do not fit the pattern", f),
                 )
             )
         return out
@@ -278,7 +278,7 @@ class Anomaly(Rule):
                     c, "statistical_anomaly", self.severity,
                     failed=F.count_if(bad), total=F.count(clean(df, c)), violation=bad, example=F.col(c),
                     message=lambda f, t, c=c: F.format_string(
-                        f"Column '{c}' has %d statistical anomalies ({self.method} method)", f
+                        f"{c}: %d values lie far from the rest ({self.method})", f
                     ),
                     fails=lambda f, t: (f > 0) & (t >= ANOMALY_MIN_VALUES),
                 )
@@ -451,7 +451,7 @@ def not_null_check(df: DataFrame, columns: Sequence[str], threshold: float = 1.0
         F.lit(HIGH).alias("severity"),
         failed.cast("bigint").alias("failed_count"),
         (F.col("n") * len(columns)).alias("total_count"),
-        F.array_join(F.slice(names, 1, EXAMPLES), ",").alias("failed_columns"),
+        F.array_join(names, ",").alias("failed_columns"),
     )
 
 

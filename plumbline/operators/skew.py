@@ -6,10 +6,12 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # A key is hot with more than 1/HOT_SHARE of the rows, so there are at most HOT_SHARE hot keys.
 HOT_SHARE = 200
 BROADCAST_ROWS = 100_000
+BROADCAST_BYTES = 64_000_000
 
 
 def hot_keys(df: DataFrame, keys: list[str], share: int = HOT_SHARE) -> DataFrame:
@@ -20,8 +22,11 @@ def hot_keys(df: DataFrame, keys: list[str], share: int = HOT_SHARE) -> DataFram
 
 
 def fits_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
-    """Whether the table has at most ``limit`` rows, found without counting past the limit."""
-    return df.limit(limit + 1).count() <= limit
+    """Whether the table has at most ``limit`` rows and ``BROADCAST_BYTES`` of text, found without counting past the limit."""
+    wide = [f.name for f in df.schema.fields if not isinstance(f.dataType, (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType))]
+    size = sum((F.coalesce(F.length(F.to_json(F.struct(F.col(f"`{c}`")))), F.lit(0)) for c in wide), F.lit(8 * len(df.columns)))
+    row = df.limit(limit + 1).agg(F.count("*").alias("n"), F.coalesce(F.sum(size), F.lit(0)).alias("bytes")).first()
+    return row["n"] <= limit and row["bytes"] <= BROADCAST_BYTES
 
 
 def balanced_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left", *, small: bool | None = None) -> DataFrame:

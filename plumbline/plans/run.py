@@ -43,7 +43,7 @@ def run_blueprint(
         try:
             detail = work()
         except Exception as error:
-            result.stages.append((name, "failed", time.monotonic() - start, str(error)[:200]))
+            result.stages.append((name, "failed", time.monotonic() - start, str(error)))
             raise
         result.stages.append((name, "completed", time.monotonic() - start, detail))
 
@@ -53,7 +53,7 @@ def run_blueprint(
         # The row errors count as one high issue per field, like every other rule.
         rows = result.row_errors.select(
             F.col("field").alias("column"), F.lit("schema_validation").alias("issue_type"), "severity",
-            F.concat(F.lit("Schema validation failed: "), F.col("messages")).alias("message"),
+            F.concat(F.lit("rows break the schema: "), F.col("messages")).alias("message"),
             F.col("failed_count").cast("bigint").alias("failed_count"), "total_count",
             (F.col("failed_count") / F.col("total_count")).alias("failure_rate"),
             F.array("messages").alias("examples"),

@@ -152,14 +152,14 @@ def labelled(spark, sf):
 @query("train_and_score")
 def _(spark, sf):
     data = materialise(labelled(spark, sf), "labelled")
-    model = M.train_classifier(data, CHURN_FEATURES, "label", "gradient_boosting", maxIter=10)
+    model = M.train_classifier(data, CHURN_FEATURES, "label", "gradient_boosting")
     return M.score(model, data).select("customer_id", "churn_probability", "churn_prediction", "risk_category", "confidence")
 
 
 @query("feature_importance")
 def _(spark, sf):
     data = materialise(labelled(spark, sf), "labelled")
-    model = M.train_classifier(data, CHURN_FEATURES, "label", "random_forest", numTrees=20)
+    model = M.train_classifier(data, CHURN_FEATURES, "label", "random_forest")
     return E.importance_table(M.feature_importance(spark, model), "feature", "importance")
 
 

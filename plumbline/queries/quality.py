@@ -332,10 +332,10 @@ f AS (SELECT *, concat_ws('; ',
    CASE WHEN plan_type IS NULL THEN 'plan_type: Field may not be null.' END,
    CASE WHEN plan_type NOT IN ({allowed}) THEN 'plan_type: Must be one of: {", ".join(plans)}.' END) AS fe FROM v),
 e AS (SELECT *, CASE WHEN fe <> '' THEN fe
-   WHEN account_created_date > last_activity_date THEN 'account_created_date: Account creation date cannot be after last activity date'
-   WHEN {tenure} > {max_age} THEN 'account_created_date: Account age seems unreasonable'
-   WHEN {tenure} < 0 THEN 'account_created_date: Account creation date cannot be in the future'
-   WHEN {recency} < 0 THEN 'last_activity_date: Last activity date cannot be in the future'
+   WHEN account_created_date > last_activity_date THEN 'account_created_date: created later than the last activity'
+   WHEN {tenure} > {max_age} THEN 'account_created_date: account is older than the limit'
+   WHEN {tenure} < 0 THEN 'account_created_date: created after the reference time'
+   WHEN {recency} < 0 THEN 'last_activity_date: active after the reference time'
    ELSE '' END AS errors,
    CASE WHEN total_value > 1000000 THEN 1 ELSE 0 END AS high FROM f)"""
 
@@ -366,7 +366,7 @@ def _(spark, sf):
 
 @query("rows_revenue", f"""
 SELECT date, CASE WHEN revenue < 0 THEN 'revenue: Must be greater than or equal to 0.'
-   WHEN date > DATE '2001-07-01' THEN 'date: Revenue date cannot be in the future' ELSE '' END AS errors,
+   WHEN date > DATE '2001-07-01' THEN 'date: day lies after the reference day' ELSE '' END AS errors,
   CAST(CASE WHEN revenue < 0 OR date > DATE '2001-07-01' THEN 0 WHEN revenue > 10000000 THEN 1 ELSE 0 END AS INTEGER) AS warnings
 FROM (SELECT date, CASE WHEN day(date) = 13 THEN -revenue WHEN day(date) = 5 THEN revenue * 1000 ELSE revenue END AS revenue FROM ({REVENUE_BASE_SQL}))""")
 def _(spark, sf):
@@ -379,7 +379,7 @@ def _(spark, sf):
 
 @query("rows_price", f"""
 SELECT product_id, date, CASE WHEN quantity_sold < 0 THEN 'quantity_sold: Must be greater than or equal to 0.'
-   WHEN cost_per_unit <> 0 AND cost_per_unit > price THEN 'cost_per_unit: Cost per unit cannot exceed selling price' ELSE '' END AS errors,
+   WHEN cost_per_unit <> 0 AND cost_per_unit > price THEN 'cost_per_unit: a unit costs more than its price' ELSE '' END AS errors,
    CAST(CASE WHEN quantity_sold < 0 OR (cost_per_unit <> 0 AND cost_per_unit > price) THEN 0 WHEN price > 100000 THEN 1 ELSE 0 END AS INTEGER) AS warnings
 FROM (SELECT product_id, date, price, CASE WHEN day(date) = 13 THEN -quantity_sold ELSE quantity_sold END AS quantity_sold,
    CASE WHEN day(date) = 7 THEN 0.0 WHEN day(date) = 9 THEN NULL ELSE p_retailprice END AS cost_per_unit

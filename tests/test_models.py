@@ -1,4 +1,4 @@
-"""Metrics on the usual small vectors, model training and storage."""
+"""Metrics on small vectors, model training and storage."""
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,40 +11,45 @@ from plumbline.plans.run import BlueprintError, run_blueprint, stage_table
 from plumbline.session import scratch_path
 from plumbline.sources.tables import as_of_column, churn_base, churn_dirty
 
-TRUE, PRED = [0, 0, 1, 1, 0, 1, 0, 1], [0, 1, 1, 1, 0, 0, 0, 1]
-PROBA = [0.1, 0.6, 0.8, 0.9, 0.2, 0.4, 0.1, 0.7]
+# Ten predictions in two groups, with one tie of scores.
+TRUE, PRED = [1, 1, 0, 0, 1, 0, 1, 0, 0, 1], [1, 0, 0, 1, 1, 0, 1, 0, 1, 1]
+PROBA = [0.95, 0.45, 0.05, 0.55, 0.85, 0.3, 0.65, 0.3, 0.75, 0.55]
 
 
 @pytest.fixture(scope="module")
 def predictions(spark):
-    return spark.createDataFrame(list(zip(TRUE, PRED, PROBA, "AAAABBBB")), "y int, p int, s double, g string")
+    return spark.createDataFrame(list(zip(TRUE, PRED, PROBA, "AAAAABBBBB")), "y int, p int, s double, g string")
 
 
 def test_classification_metrics(predictions):
     row = E.classification_metrics(predictions, "y", "p", "s").first()
-    assert (row.accuracy, row.precision, row.recall, row.f1_score) == (0.75, 0.75, 0.75, 0.75)
+    assert (row.accuracy, row.precision, row.recall) == (0.7, pytest.approx(4 / 6), 0.8)
+    assert row.f1_score == pytest.approx(8 / 11)
     wins = sum((a > b) + (a == b) / 2 for a, y in zip(PROBA, TRUE) if y for b, z in zip(PROBA, TRUE) if not z)
-    assert row.auc_roc == pytest.approx(wins / 16)
-    ordered = sorted(zip(PROBA, TRUE), reverse=True)
-    hits, total = 0, 0.0
-    for i, (_, y) in enumerate(ordered, 1):
-        hits += y
-        total += y * hits / i
-    assert row.auc_pr == pytest.approx(total / 4)
+    assert row.auc_roc == pytest.approx(wins / 25)
+    # Equal scores are called positive together.
+    total = 0.0
+    for level in set(PROBA):
+        called = [y for p, y in zip(PROBA, TRUE) if p >= level]
+        total += sum(y for p, y in zip(PROBA, TRUE) if p == level) * sum(called) / len(called)
+    assert row.auc_pr == pytest.approx(total / 5)
 
 
 def test_confusion_business_and_fairness(predictions):
-    assert E.confusion(predictions, "y", "p").first()[:] == (3, 1, 1, 3)
-    row = E.business_metrics(predictions, "y", "p").first()
-    assert row[:] == (110.0, 3000.0, pytest.approx(2890 / 110))
+    assert E.confusion(predictions, "y", "p").first()[:] == (3, 2, 1, 4)
+    business = E.business_metrics(predictions, "y", "p").first()
+    assert business.total_cost == 2 * E.COST_FALSE_POSITIVE + E.COST_FALSE_NEGATIVE
+    assert business.potential_revenue_saved == 4 * E.REVENUE_PER_CUSTOMER
     fair = E.fairness(predictions, "y", "p", "g").first()
-    assert fair.demographic_parity == 0.5 and fair.equalized_odds == 0.5 and fair.calibration == pytest.approx(1 / 3)
+    rates = {g: [(y, p) for y, p, k in zip(TRUE, PRED, "AAAAABBBBB") if k == g] for g in "AB"}
+    share = {g: sum(p for _, p in r) / 5 for g, r in rates.items()}
+    assert fair.demographic_parity == pytest.approx(abs(share["A"] - share["B"]))
 
 
 def test_importance(spark):
-    rows = [("tenure", 0.3), ("monthly", 0.25), ("total", 0.2), ("age", 0.15), ("contract", 0.1)]
+    rows = [("orders", 0.05), ("balance", 0.5), ("nation", 0.15), ("segment", 0.3)]
     top = E.importance_table(spark.createDataFrame(rows, "feature string, importance double"), "feature", "importance", 3).collect()
-    assert [r.feature for r in top] == ["tenure", "monthly", "total"] and top[-1].cumulative_importance == pytest.approx(0.75)
+    assert [r.feature for r in top] == ["balance", "segment", "nation"] and top[-1].cumulative_importance == pytest.approx(0.95)
 
 
 def test_risk_and_segments(spark):

@@ -19,7 +19,7 @@ URL_RULES = [
     url_filter.UrlRule("example.com/de/", False), url_filter.UrlRule("org/fr/", True),
 ]
 # Hosts that are known to be unwanted; pages of them label URLs as blocked, all other pages as not.
-KNOWN_UNWANTED = r"(^|\.)(spam-farm|cheap-pills)\."
+KNOWN_UNWANTED = r"(^|\.)(adult-x|ads-track|casino-win|cheap-pills|free-bets|spam-farm)\."
 EXTRA_CONVERSATION = -7
 CONTROL_TEXT = "</s>[INST] ok [/INST]"
 

@@ -187,14 +187,11 @@ def event_stream(spark, sf):
     return S.file_stream(spark, f"{sf.rstrip('/')}/events.parquet*", schema)
 
 
-CLOSED_DAYS = "(SELECT CAST(max(ts) - INTERVAL 7 DAY AS TIMESTAMP) AS w FROM events)"
-
-
-@query("stream_daily_users", f"SELECT CAST(ts AS DATE) AS day, count(DISTINCT user_id) AS active_users FROM events, {CLOSED_DAYS} GROUP BY 1 HAVING CAST(CAST(ts AS DATE) + INTERVAL 1 DAY AS TIMESTAMP) <= max(w)")
+@query("stream_daily_users", "SELECT CAST(ts AS DATE) AS day, count(DISTINCT user_id) AS active_users FROM events GROUP BY 1")
 def _(spark, sf):
-    """Days the watermark has closed, in append mode."""
+    """Every day, with the count it had last."""
     stream = event_stream(spark, sf).withColumn("ts", F.col("ts").cast("timestamp"))
-    return S.run_available(S.daily_active_users(stream), "dau")
+    return S.latest_rows(S.run_available(S.daily_active_users(stream), "dau", mode="update"), ["day"])
 
 
 @query("daily_users", "SELECT CAST(ts AS DATE) AS day, count(DISTINCT user_id) AS active_users FROM events GROUP BY 1")
@@ -261,11 +258,10 @@ def _(spark, sf):
     return rounded(last.select("customer_id", "total_orders", "total_spent", "new_segment"), ["total_spent"], 4)
 
 
-@query("stream_route", "SELECT event_type, count(*) AS n_events FROM events WHERE event_type IN ('signup', 'purchase') GROUP BY 1")
+@query("stream_route", "SELECT CASE WHEN event_type IN ('signup', 'purchase') THEN event_type ELSE 'other' END AS route, count(*) AS n_events FROM events GROUP BY 1")
 def _(spark, sf):
-    routes = S.route(event_stream(spark, sf), "event_type", ["signup", "purchase"])
-    tables = [S.run_available(stream, f"route-{kind}") for kind, stream in routes.items()]
-    return tables[0].unionByName(tables[1]).groupBy("event_type").agg(F.count("*").alias("n_events"))
+    routed = S.routed(event_stream(spark, sf), "event_type", ["signup", "purchase"])
+    return S.run_available(routed, "route", partition_by="route").groupBy("route").agg(F.count("*").alias("n_events"))
 
 
 BROKEN = "event_id % 25 = 0"
@@ -294,10 +290,10 @@ def _(spark, sf):
     return S.run_available(S.keyed_messages(stream, "user_id"), "keyed")
 
 
-@query("stream_completeness", "SELECT epoch_us(date_trunc('day', ts)) AS window_start, count(*) AS n_rows, round(CAST(count(CASE WHEN value >= 5 THEN value END) AS DOUBLE) / count(*), 6) AS value_completeness FROM events, (SELECT max(ts) - INTERVAL 1 DAY AS w FROM events) GROUP BY date_trunc('day', ts) HAVING date_trunc('day', ts) + INTERVAL 1 DAY <= max(w)")
+@query("stream_completeness", "SELECT epoch_us(date_trunc('day', ts)) AS window_start, count(*) AS n_rows, round(CAST(count(CASE WHEN value >= 5 THEN value END) AS DOUBLE) / count(*), 6) AS value_completeness FROM events GROUP BY date_trunc('day', ts)")
 def _(spark, sf):
     stream = event_stream(spark, sf).select(F.col("ts").cast("timestamp").alias("ts"), F.when(F.col("value") >= 5, F.col("value")).alias("value"))
-    out = S.run_available(S.windowed_completeness(stream, ["value"]), "completeness")
+    out = S.latest_rows(S.run_available(S.windowed_completeness(stream, ["value"]), "completeness", mode="update"), ["window_start"])
     return rounded(out.withColumn("window_start", F.unix_micros("window_start")), ["value_completeness"])
 
 

@@ -63,9 +63,10 @@ def dead_letters(parsed: DataFrame, topic: Column, at: Column | None = None) ->
     )
 
 
-def route(events: DataFrame, column: str, kinds: Sequence[str]) -> dict[str, DataFrame]:
-    """One table per value of a column."""
-    return {kind: events.filter(F.col(column) == kind) for kind in kinds}
+def routed(events: DataFrame, column: str, kinds: Sequence[str]) -> DataFrame:
+    """Adds ``route``: the value of ``column`` if it is one of ``kinds``, else ``other``. Written partitioned by it
+    (``run_available`` with ``partition_by``), one scan serves all kinds and no event is left without a place."""
+    return events.withColumn("route", F.when(F.col(column).isin(list(kinds)), F.col(column)).otherwise(F.lit("other")))
 
 
 def daily_active_users(events: DataFrame, *, user: str = "user_id", ts: str = "ts", delay: str | None = f"{DAILY_USERS_DAYS} days") -> DataFrame:
@@ -93,10 +94,10 @@ def gap_sessions(events: DataFrame, *, user: str = "user_id", ts: str = "ts", ga
 
 
 class _Sessions(StatefulProcessor):
-    """Keeps a user's latest login and turns a logout into a session."""
+    """Keeps a user's latest login and turns a logout into a session. A login goes when no logout can follow in time."""
 
     def __init__(self, ttl_seconds: int):
-        self.ttl_seconds = ttl_seconds
+        self.ttl_millis = ttl_seconds * 1000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -106,28 +107,39 @@ class _Sessions(StatefulProcessor):
         # Rows of one user in one trigger; only the event time order matters.
         events = pd.concat(list(rows)).sort_values(["micros", "event_id"], kind="stable")
         state = self.login.get() if self.login.exists() else None
-        login = state[0] if state is not None else None
-        out = []
-        for kind, micros, event_id in events[["event_type", "micros", "event_id"]].itertuples(index=False):
-            if kind == "login":
-                login = int(micros)
-            elif login is not None and micros - login <= self.ttl_seconds * 1_000_000:
-                out.append((key[0], int(event_id), (micros - login) / 1_000_000))
-        if login is not None:
-            self.login.update((login,))
-        yield pd.DataFrame(out, columns=["user_id", "event_id", "session_duration"])
+        logins = events["micros"].where(events["event_type"] == "login").astype("Int64").ffill()
+        if state is not None:
+            logins = logins.fillna(state[0])
+        if logins.notna().any():
+            last = int(logins.iloc[-1])
+            if state is None or last != state[0]:
+                self.login.update((last,))
+                self.handle.registerTimer(last // 1000 + self.ttl_millis + 1)
+        length = events["micros"] - logins
+        ended = ((events["event_type"] == "logout") & (length <= self.ttl_millis * 1000)).fillna(False).astype(bool)
+        yield pd.DataFrame({
+            "user_id": key[0], "event_id": events["event_id"][ended].astype("int64"), "session_duration": length[ended].astype("float64") / 1_000_000,
+        })
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        # A later login has a timer of its own.
+        if self.login.exists() and self.login.get()[0] // 1000 + self.ttl_millis < expiredTimerInfo.getExpiryTimeInMs():
+            self.login.clear()
+        yield pd.DataFrame({"user_id": pd.Series(dtype="int64"), "event_id": pd.Series(dtype="int64"), "session_duration": pd.Series(dtype="float64")})
 
     def close(self) -> None:
         return None
 
 
 def stateful_sessions(events: DataFrame, ttl_seconds: int = SESSION_TTL_SECONDS, delay: str = "1 hour") -> DataFrame:
-    """Login-to-logout seconds per user, with the login kept as state in the state store."""
-    relevant = events.filter(F.col("event_type").isin("login", "logout")).withWatermark("ts", delay).select(
-        "user_id", "event_id", "event_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("micros")
-    )
+    """Login-to-logout seconds per user, with the login kept as state until ``ttl_seconds`` after it have passed.
+
+    Time is that of the events: rows more than ``delay`` behind the latest event of the triggers before are dropped.
+    """
+    stamped = events.filter(F.col("event_type").isin("login", "logout")).withColumn("ts", F.col("ts").cast("timestamp"))
+    relevant = stamped.withWatermark("ts", delay).select("user_id", "event_id", "event_type", "ts", F.unix_micros("ts").alias("micros"))
     return relevant.groupBy("user_id").transformWithStateInPandas(
-        _Sessions(ttl_seconds), "user_id long, event_id long, session_duration double", "Append", "None"
+        _Sessions(ttl_seconds), "user_id long, event_id long, session_duration double", "Append", "EventTime"
     )
 
 
@@ -146,42 +158,52 @@ def running_order_totals(orders: DataFrame) -> DataFrame:
 
 
 class _SegmentChanges(StatefulProcessor):
-    """Adds each trigger's totals to a customer's state and reports a changed segment."""
+    """Adds each trigger's totals to a customer's state and reports a changed segment. Quiet customers are forgotten."""
 
-    def __init__(self, ttl_days: int | None):
-        self.ttl_days = ttl_days
+    def __init__(self, ttl_days: int):
+        self.ttl_millis = ttl_days * 86_400_000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        ttl = None if self.ttl_days is None else self.ttl_days * 86_400_000
-        self.totals = handle.getValueState("totals", "orders long, spent double, segment string", ttl)
+        self.handle = handle
+        self.totals = handle.getValueState("totals", "orders long, spent double, segment string, last long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        orders, spent, segment = self.totals.get() if self.totals.exists() else (0, 0.0, None)
+        orders, spent, segment, last = self.totals.get() if self.totals.exists() else (0, 0.0, None, 0)
         for chunk in rows:
             sign = chunk["sign"]
             orders, spent = orders + int(sign.sum()), spent + float((sign * chunk["amount"]).sum())
+            last = max(last, int(chunk["millis"].max()))
         new = "new" if orders == 0 else "vip" if spent >= 1000 else "loyal" if orders >= 5 else "regular"
-        self.totals.update((orders, spent, new))
+        self.totals.update((orders, spent, new, last))
+        self.handle.registerTimer(last + self.ttl_millis + 1)
         if new != segment:
             yield pd.DataFrame({"customer_id": [key[0]], "old_segment": [segment], "new_segment": [new],
                                 "total_orders": [orders], "total_spent": [spent]})
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        # A later order has a timer of its own.
+        if self.totals.exists() and self.totals.get()[3] + self.ttl_millis < expiredTimerInfo.getExpiryTimeInMs():
+            self.totals.clear()
+        yield pd.DataFrame({"customer_id": pd.Series(dtype="int64"), "old_segment": pd.Series(dtype="object"), "new_segment": pd.Series(dtype="object"),
+                            "total_orders": pd.Series(dtype="int64"), "total_spent": pd.Series(dtype="float64")})
+
     def close(self) -> None:
         return None
 
 
-def segment_changes(orders: DataFrame, ttl_days: int | None = None) -> DataFrame:
+def segment_changes(orders: DataFrame, ttl_days: int = CUSTOMER_TTL_DAYS, delay: str = "1 day") -> DataFrame:
     """An event whenever a customer's segment differs from the one last reported.
 
-    With ``ttl_days`` (``CUSTOMER_TTL_DAYS`` is usual) the state of a quiet customer expires by the clock.
-    Such a query keeps checking the clock and does not end by itself under an available-now trigger.
+    A customer without an order for ``ttl_days`` of event time is forgotten and starts anew. Orders more than ``delay``
+    behind the latest one of the triggers before are dropped.
     """
     sign = F.when(F.col("event_type") == "order_created", 1).when(F.col("event_type") == "order_cancelled", -1).otherwise(0)
-    signed = orders.select("customer_id", sign.alias("sign"), F.coalesce("amount", F.lit(0.0)).alias("amount"))
+    stamped = orders.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
+    signed = stamped.select("customer_id", sign.alias("sign"), F.coalesce("amount", F.lit(0.0)).alias("amount"), "ts", F.unix_millis("ts").alias("millis"))
     return signed.groupBy("customer_id").transformWithStateInPandas(
         _SegmentChanges(ttl_days),
         "customer_id long, old_segment string, new_segment string, total_orders long, total_spent double",
-        "Update", "None" if ttl_days is None else "ProcessingTime",
+        "Update", "EventTime",
     )
 
 
@@ -203,7 +225,7 @@ def keyed_messages(df: DataFrame, key: str) -> DataFrame:
     return df.select(F.coalesce(F.col(key).cast("string"), F.lit("")).alias("key"), F.to_json(F.struct(*df.columns)).alias("value"))
 
 
-def run_available(stream: DataFrame, label: str, mode: str = "append") -> DataFrame:
+def run_available(stream: DataFrame, label: str, mode: str = "append", partition_by: str | None = None) -> DataFrame:
     """Run a stream over everything available now, into Parquet in the shared scratch folder.
 
     An update-mode stream is written batch by batch with its ``batch_id``.
@@ -213,6 +235,8 @@ def run_available(stream: DataFrame, label: str, mode: str = "append") -> DataFr
     out, checkpoint = scratch_path(spark, label), scratch_path(spark, f"{label}-state")
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)
     if mode == "append":
+        if partition_by:
+            writer = writer.partitionBy(partition_by)
         query: StreamingQuery = writer.format("parquet").option("path", out).start()
         schema = stream.schema
     else:

@@ -16,7 +16,7 @@ def events(spark, tmp_path_factory):
     rows = []
     for i in range(240):
         user = 1 if i % 2 else 2 + i % 6
-        rows.append((user, i, ["login", "logout", "order_created", "order_cancelled", "order_created"][i * 7 % 5], float(i % 50 * 10), i * 500))
+        rows.append((user, i, ["login", "logout", "order_created", "order_cancelled", "order_created"][i * 7 % 5], float(i % 50 * 10), 86_400 + i * 500))
     path = str(tmp_path_factory.mktemp("events"))
     for part in range(3):
         spark.createDataFrame(rows[part * 80:(part + 1) * 80], SCHEMA).coalesce(1).write.mode("append").parquet(path)
@@ -49,6 +49,27 @@ def test_totals_and_segment_changes(spark, events):
     assert {r.customer_id: r.new_segment for r in S.latest_rows(changes, ["customer_id"]).collect()} == {k: v[2] for k, v in want.items()}
 
 
+def stored_keys(spark, query_label, stream_frame, mode):
+    """The keys that are left in the state after a stream has ended."""
+    out, checkpoint = S.scratch_path(spark, "x"), S.scratch_path(spark, query_label)
+    spark.conf.set(S.STATE_STORE, S.ROCKSDB)
+    writer = stream_frame.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    writer.foreachBatch(lambda batch, i: batch.write.mode("overwrite").parquet(f"{out}/{i}")).start().awaitTermination()
+    name = "login" if mode == "append" else "totals"
+    return {r.key[0] for r in spark.read.format("statestore").option("stateVarName", name).load(checkpoint).collect()}
+
+
+@pytest.mark.parametrize("mode", ["append", "update"])
+def test_state_of_quiet_keys_is_gone(spark, tmp_path, mode):
+    path, day = str(tmp_path / mode), 86_400
+    kind = "login" if mode == "append" else "order_created"
+    for rows in ([(1, 1, kind, 5.0, 10), (2, 2, kind, 5.0, 20)], [(3, 3, kind, 5.0, 60 * day)], [(3, 4, kind, 5.0, 61 * day)], [(3, 5, kind, 5.0, 62 * day)]):
+        spark.createDataFrame(rows, SCHEMA).coalesce(1).write.mode("append").parquet(path)
+    source = stream(spark, path)
+    frame = S.stateful_sessions(source) if mode == "append" else S.segment_changes(source.withColumnRenamed("user_id", "customer_id"))
+    assert stored_keys(spark, f"state-{mode}", frame, mode) <= {3}
+
+
 def test_late_rows_and_days(spark, tmp_path):
     path = str(tmp_path / "days")
     for rows in ([(1, 1, "x", 0.0, 10), (1, 2, "x", 0.0, 20), (2, 3, "x", 0.0, 30)], [(3, 4, "x", 0.0, 40 * 86_400)], [(3, 6, "x", 0.0, 40 * 86_400)], [(9, 5, "x", 0.0, 50)]):

@@ -8,8 +8,9 @@ chunk each, 64 in all, bring every such pair together. At similarity 0.85 a pair
 probability of about 1e-6, at 0.8 of 4e-5. Pairs are confirmed on the full sets.
 
 Groups are never paired out. Equal sets become one representative first. In every bucket each member is paired with
-the smallest only, one confirmed link joins it to a component, and then only pairs of one bucket that still lie in
-different components are looked at, all of them. What is skipped could not change a component, so none is lost.
+the smallest only, one confirmed link joins it to a component, and then documents of buckets that still hold several
+components are compared across these, by an exact join on their rarest shingles. What is skipped could not be linked
+or could not change a component, so none is lost.
 Components come from label propagation with pointer jumping; every round is stored in the shared folder.
 
 Defined results: a document without words or text has an empty set and is linked with nothing; one of fewer words
@@ -26,7 +27,7 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import arrow_schema, narrow, per_batch, texts
@@ -169,6 +170,48 @@ def confirmed(pairs: DataFrame, docs: DataFrame, key: str, text: str, size: int,
     return per_batch(joined, "a long, b long", compare)
 
 
+def enough(common: Column, both: Column, percent: int) -> Column:
+    """Whether sets of ``both`` elements together are similar enough with ``common`` elements in common."""
+    return 100 * common >= percent * (both - common)
+
+
+def between_components(members: DataFrame, docs: DataFrame, key: str, text: str, size: int, percent: int) -> DataFrame:
+    """Pairs (``a``, ``b``) of members of different components that can be similar enough, none left out.
+
+    ``members`` has ``id``, ``component`` and ``n_shingles``. The shingles of a document are put in order: first those
+    that occur in its component only, which no document outside can share, then the others from rare to frequent.
+    Two similar documents share a shingle so early in both orders that what follows can still make up the similarity.
+    Only such early shingles are joined, so that a large group of near copies, of which many are too far from each
+    other for a link, is not paired out.
+    """
+    own = narrow(docs, F.col(key).cast("long").alias("id"), F.col(text)).join(sized(members), "id").select("id", "component", "n_shingles", text)
+    schema = "id long, component long, n long, shingle long"
+    arrow = arrow_schema(own, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, value in enumerate(texts(batch, 3)):
+                found = shingles(value, size).view(np.int64)
+                same = [pa.array(np.full(len(found), batch.column(k)[i].as_py())) for k in range(3)]
+                yield pa.RecordBatch.from_arrays([*same, pa.array(found)], schema=arrow)
+
+    held = own.mapInArrow(run, schema)
+    outside = held.groupBy("shingle").agg(
+        F.count("*").alias("holders"), F.min("component").alias("x"), F.max("component").alias("y")
+    ).where("x <> y").select("shingle", "holders")
+    one = Window.partitionBy("id")
+    place = F.col("n") - F.count("*").over(one) + F.row_number().over(one.orderBy("holders", "shingle")) - 1
+    early = held.join(outside, "shingle").withColumn("place", place).where(100 * (F.col("n") - F.col("place")) >= percent * F.col("n"))
+    early = materialise(early.select("id", "component", "n", "shingle", "place"), "early")
+    left, right = early.alias("l"), early.alias("r")
+    most = F.least(F.col("l.n") - F.col("l.place"), F.col("r.n") - F.col("r.place"))
+    condition = (
+        (F.col("l.shingle") == F.col("r.shingle")) & (F.col("l.id") < F.col("r.id")) & (F.col("l.component") != F.col("r.component"))
+        & similar_size(F.col("l.n"), F.col("r.n"), percent) & enough(most, F.col("l.n") + F.col("r.n"), percent)
+    )
+    return left.join(right, condition).select(F.col("l.id").alias("a"), F.col("r.id").alias("b")).distinct()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``id`` and ``component`` (the smallest id reachable) of every id in the edges (``a``, ``b``)."""
     both = materialise(edges.union(edges.select("b", "a")).distinct().toDF("id", "other"), "edges")
@@ -210,18 +253,13 @@ def near_duplicates(
     links = materialise(confirmed(first, docs, key, text, size, percent), "links")
     labels = components(links)
 
-    # All pairs of a bucket that are not in one component yet.
+    # Pairs of one bucket that are not in one component yet: all of their documents that can be linked beyond it.
     known = shared.select("bucket", "id", "n_shingles").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
     known = materialise(known, "known")
     apart = known.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("bucket")
-    open_rows = materialise(known.join(apart, "bucket", "left_semi"), "open")
-    left, right = open_rows.alias("l"), open_rows.alias("r")
-    condition = (
-        (F.col("l.bucket") == F.col("r.bucket")) & (F.col("l.id") < F.col("r.id")) & (F.col("l.component") != F.col("r.component"))
-        & similar_size(F.col("l.n_shingles"), F.col("r.n_shingles"), percent)
-    )
-    rest = left.join(right, condition).select(F.col("l.id").alias("a"), F.col("r.id").alias("b")).distinct()
-    rest = materialise(near(rest.join(first, ["a", "b"], "left_anti").join(first.toDF("b", "a"), ["a", "b"], "left_anti"), signed), "pairs")
+    members = materialise(known.join(apart, "bucket", "left_semi").select("id", "component", "n_shingles").distinct(), "members")
+    rest = between_components(members, docs, key, text, size, percent)
+    rest = materialise(rest.join(first, ["a", "b"], "left_anti").join(first.toDF("b", "a"), ["a", "b"], "left_anti"), "pairs")
     more = materialise(confirmed(rest, docs, key, text, size, percent), "links")
     if more.limit(1).count():
         labels = components(links.union(more))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.blueprints import BLUEPRINTS, Blueprint, get_blueprint
-from plumbline.operators.quality import Anomaly, Moments, is_numeric, numeric_columns
+from plumbline.operators.quality import Anomaly, Moments, is_numeric, numeric_columns, with_distinct_counts
 from plumbline.operators.quantiles import clean
 
 # Weights and limits of the compatibility scores.
@@ -28,8 +28,9 @@ def column_profile(df: DataFrame, columns: Sequence[str] | None = None, *, exact
     aggregates = [F.count("*").alias("n")]
     for i, f in enumerate(fields):
         value = clean(df, f.name)
-        distinct = F.count_distinct(value) if exact else F.approx_count_distinct(value, 0.02)
-        aggregates += [F.count(value).alias(f"v{i}"), distinct.alias(f"d{i}")]
+        aggregates.append(F.count(value).alias(f"v{i}"))
+        if not exact:
+            aggregates.append(F.approx_count_distinct(value, 0.02).alias(f"d{i}"))
         if is_numeric(f.dataType):
             number = value.cast("double")
             aggregates += [
@@ -50,7 +51,10 @@ def column_profile(df: DataFrame, columns: Sequence[str] | None = None, *, exact
             F.col(f"d{i}").alias("unique_count"),
             *[(F.col(f"{p}{i}") if numeric else none).alias(a) for p, a in (("lo", "min"), ("hi", "max"), ("m", "mean"), ("s", "std"))],
         ))
-    return df.agg(*aggregates).select(F.inline(F.array(*rows)))
+    totals = df.agg(*aggregates)
+    if exact:
+        totals = with_distinct_counts(totals, df, [f.name for f in fields])
+    return totals.select(F.inline(F.array(*rows)))
 
 
 def sample_values(df: DataFrame, key: str, limit: int = 5) -> DataFrame:

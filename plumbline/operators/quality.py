@@ -68,6 +68,27 @@ class Check:
     message: Callable[[Column, Column], Column] | None = None
     fails: Callable[[Column, Column], Column] | None = None
     extra: dict[str, Column] = field(default_factory=dict)
+    distinct: str | None = None  # failed are the rows beyond the distinct values of this column and beyond ``failed``
+
+
+def distinct_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """One row: the number of distinct non-missing values of each column, as ``d0``, ``d1`` and so on.
+
+    Every column is read and reduced by itself. Several distinct counts in one aggregation would copy each row as often
+    as there are columns before the shuffle.
+    """
+    parts = [
+        df.select(clean(df, c).alias("v")).filter("v IS NOT NULL").groupBy("v").agg(F.lit(1).alias("one"))
+        .agg(F.count("*").alias("d")).select(F.lit(i).alias("i"), "d")
+        for i, c in enumerate(columns)
+    ]
+    every = reduce(DataFrame.unionByName, parts)
+    return every.agg(*[F.max(F.when(F.col("i") == i, F.col("d"))).alias(f"d{i}") for i in range(len(columns))])
+
+
+def with_distinct_counts(totals: DataFrame, df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """The one row of ``totals`` with the distinct counts beside it."""
+    return totals.crossJoin(F.broadcast(distinct_counts(df, columns))) if columns else totals
 
 
 class Moments:
@@ -139,8 +160,7 @@ class Uniqueness(Rule):
                 has_null = F.coalesce(F.max(value.isNull().cast("int")), F.lit(0))
                 out.append(
                     Check(
-                        c, "uniqueness", self.severity,
-                        failed=F.count("*") - F.count_distinct(value) - has_null,
+                        c, "uniqueness", self.severity, failed=has_null, distinct=c,
                         message=lambda f, t, c=c: F.format_string(f"{c}: %d rows repeat an earlier value", f),
                     )
                 )
@@ -337,9 +357,13 @@ def run_rules(df: DataFrame, rules: Sequence[Rule] | None = None, *, key: str |
         *[c.failed.cast("bigint").alias(f"f{i}") for i, c in enumerate(checks)],
         *[c.total.cast("bigint").alias(f"t{i}") for i, c in enumerate(checks) if c.total is not None],
     )
+    counted = list(dict.fromkeys(c.distinct for c in checks if c.distinct))
+    totals = with_distinct_counts(totals, df, counted)
     rows = []
     for i, c in enumerate(checks):
         failed = F.coalesce(F.col(f"f{i}"), F.lit(0))
+        if c.distinct:
+            failed = F.col("n") - F.col(f"d{counted.index(c.distinct)}") - failed
         total = F.coalesce(F.col(f"t{i}"), F.lit(0)) if c.total is not None else F.col("n")
         fails = c.fails(failed, total) if c.fails else failed > 0
         rows.append(
@@ -356,7 +380,10 @@ def run_rules(df: DataFrame, rules: Sequence[Rule] | None = None, *, key: str |
             )
         )
     issues = totals.select(F.inline(F.array(*rows))).filter("fails").drop("fails")
-    examples = _examples(df, checks, key) if key else None
+    parts = [_examples(df, checks, key)] if key else []
+    parts += [_repeated(df, i, c.distinct) for i, c in enumerate(checks) if key and c.distinct]
+    parts = [part for part in parts if part is not None]
+    examples = reduce(DataFrame.unionByName, parts) if parts else None
     if examples is None:
         return issues.withColumn("examples", F.array().cast("array<string>")).drop("check")
     return (
@@ -366,6 +393,13 @@ def run_rules(df: DataFrame, rules: Sequence[Rule] | None = None, *, key: str |
     )
 
 
+def _repeated(df: DataFrame, check: int, column: str) -> DataFrame:
+    """The smallest values that a column has more than once, as examples of its check."""
+    values = duplicate_examples(df.select(clean(df, column).alias(column)).filter(F.col(f"`{column}`").isNotNull()), column)
+    listed = F.transform(F.sort_array(F.collect_list(F.col(column))), lambda v: v.cast("string"))
+    return values.agg(listed.alias("examples")).select(F.lit(check).alias("check"), "examples")
+
+
 def duplicate_examples(df: DataFrame, column: str, limit: int = EXAMPLES) -> DataFrame:
     """The smallest values that occur more than once, with their row counts."""
     return df.groupBy(column).agg(F.count("*").alias("n_rows")).filter("n_rows > 1").orderBy(column).limit(limit)
@@ -396,8 +430,8 @@ def column_summary(df: DataFrame, issues: DataFrame) -> DataFrame:
     totals = df.agg(
         F.count("*").alias("n"),
         *[F.count(clean(df, c)).alias(f"v{i}") for i, c in enumerate(df.columns)],
-        *[F.count_distinct(clean(df, c)).alias(f"d{i}") for i, c in enumerate(df.columns)],
     )
+    totals = with_distinct_counts(totals, df, df.columns)
     n = F.nullif(F.col("n"), F.lit(0))
     stats = totals.select(F.inline(F.array(*[
         F.struct(
@@ -477,8 +511,8 @@ def final_qa(df: DataFrame) -> DataFrame:
     totals = df.agg(
         F.count("*").alias("n"),
         *[F.count(clean(df, c)).alias(f"v{i}") for i, c in enumerate(df.columns)],
-        *[F.count_distinct(c).alias(f"d{i}") for i, c in enumerate(strings)],
     )
+    totals = with_distinct_counts(totals, df, strings)
     none = F.lit(None).cast("string")
 
     def finding(name: str, column: Column, when: Column) -> Column:

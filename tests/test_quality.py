@@ -129,3 +129,22 @@ def test_compatibility_counts_poor_columns(spark):
 def test_drift_of_equal_tables_is_zero(spark):
     df = spark.range(1000).select(F.col("id").cast("double").alias("v"))
     assert abs(Q.drift(df, df, "v").agg(F.sum("psi")).first()[0]) < 1e-12
+
+
+def test_distinct_counts_do_not_expand_rows(spark):
+    df = spark.range(300).select("id", (F.col("id") % 7).alias("g"), F.when(F.col("id") % 2 == 0, F.lit("x")).alias("t"), F.lit(None).cast("string").alias("e"))
+    assert tuple(Q.distinct_counts(df, df.columns).first()) == (300, 7, 1, 0)
+    for frame in (Q.run_rules(df, [Q.Uniqueness()]), Q.column_summary(df, Q.run_rules(df, [Q.Completeness()])), Q.final_qa(df)):
+        assert "Expand" not in frame._jdf.queryExecution().executedPlan().toString()
+
+
+def test_uniqueness_examples(spark):
+    df = spark.createDataFrame([(k, v) for k, v in enumerate([5, 5, 1, 2, 2, 2, None, None])], "k long, v long")
+    found = issues(df, [Q.Uniqueness(["v", "k"])], key="k")
+    assert found["v", "uniqueness"].examples == ["2", "5"] and found["v", "uniqueness"].failed_count == 4
+    assert ("k", "uniqueness") not in found
+
+
+def test_many_columns(spark):
+    df = spark.range(20).select("id", *[(F.col("id") % (i + 1)).alias(f"c{i}") for i in range(60)])
+    assert Q.column_summary(df, Q.run_rules(df, [Q.Completeness()])).count() == 61

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -103,8 +104,12 @@ class ModelStore:
     def _index(self) -> str:
         return f"{self.root}/index"
 
+    def _rows(self, name: str) -> DataFrame:
+        schema = "name string, version int, metadata string, folder string"
+        return self.spark.read.schema(schema).json(f"{self._index()}/*.json").filter(F.col("name") == name)
+
     def versions(self, name: str) -> DataFrame:
-        return self.spark.read.schema("name string, version int, metadata string").json(f"{self._index()}/*.json").filter(F.col("name") == name)
+        return self._rows(name).drop("folder")
 
     def _latest(self, name: str) -> int:
         from pyspark.errors import AnalysisException
@@ -115,9 +120,12 @@ class ModelStore:
             return 0
 
     def save(self, name: str, model: PipelineModel, metadata: dict | None = None) -> int:
-        version = self._latest(name) + 1
-        model.write().overwrite().save(f"{self.root}/models/{name}/v{version}")
-        row = self.spark.createDataFrame([(name, version, json.dumps(metadata or {}))], "name string, version int, metadata string")
+        """Store a model under a number. Every model has a folder of its own, so two writers never overwrite each other;
+        if they take the same number, the one whose folder sorts first is meant by it."""
+        version, folder = self._latest(name) + 1, uuid.uuid4().hex
+        model.write().save(f"{self.root}/models/{name}/{folder}")
+        columns = "name string, version int, metadata string, folder string"
+        row = self.spark.createDataFrame([(name, version, json.dumps(metadata or {}), folder)], columns)
         row.coalesce(1).write.mode("append").json(self._index())
         return version
 
@@ -125,7 +133,10 @@ class ModelStore:
         version = version or self._latest(name)
         if not version:
             raise ValueError(f"no saved model: {name}")
-        return PipelineModel.load(f"{self.root}/models/{name}/v{version}")
+        row = self._rows(name).filter(F.col("version") == version).orderBy("folder").first()
+        if row is None:
+            raise ValueError(f"no version {version} of {name}")
+        return PipelineModel.load(f"{self.root}/models/{name}/{row['folder']}")
 
 
 def churn_outlook(df: DataFrame, probability: str, horizon_days: int = 30) -> DataFrame:

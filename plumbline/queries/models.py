@@ -170,7 +170,8 @@ def _(spark, sf):
     return scores
 
 
-@query("model_store")
+@query("model_store", """
+SELECT 'churn' AS name, CAST(v AS INTEGER) AS version, CASE v WHEN 1 THEN '{"regParam": 0.0}' ELSE '{"regParam": 0.1}' END AS metadata FROM (VALUES (1), (2)) t(v)""")
 def _(spark, sf):
     data = materialise(labelled(spark, sf), "labelled")
     store = M.ModelStore(spark, scratch_path(spark, "models"))

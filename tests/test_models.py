@@ -74,6 +74,9 @@ def test_train_score_store(spark):
         assert M.feature_importance(spark, model).agg(F.sum("importance")).first()[0] == pytest.approx(1.0)
     assert version == 3 and store.versions("churn").count() == 3
     assert M.score(store.load("churn"), data).count() == 300
+    assert type(store.load("churn", 2).stages[-1]).__name__ == "RandomForestClassificationModel"
+    with pytest.raises(ValueError):
+        store.load("churn", 9)
     with pytest.raises(ValueError):
         M.score(model, data.drop("charges"))
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from datetime import date, datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -457,20 +458,35 @@ def select_features(df: DataFrame, features: Sequence[str], target: str, k: int
 
 
 _MODELS = {m.__name__: m for m in (ImputeModel, CapModel, ScaleModel, NarrowModel, EncodeModel)}
+_DATES = {"date": date, "datetime": datetime}
+
+
+def to_json(value: object) -> str:
+    """JSON of fitted parameters; dates and times keep their type."""
+    return json.dumps(value, default=lambda v: {f"_{type(v).__name__}": v.isoformat()})
+
+
+def from_json(text: str) -> object:
+    def restore(found: dict) -> object:
+        (name, value), *more = found.items() if found else [("", None)]
+        kind = _DATES.get(name[1:]) if name.startswith("_") and not more else None
+        return kind.fromisoformat(value) if kind else found
+
+    return json.loads(text, object_hook=restore)
 
 
 def save_model(model, spark: SparkSession, path: str) -> None:
     """Parameters as one JSON row below ``path``; each dictionary as a Parquet table beside it."""
     dictionaries = getattr(model, "dictionaries", {})
     plain = {k: v for k, v in vars(model).items() if k != "dictionaries"}
-    body = json.dumps({"kind": type(model).__name__, "params": plain, "dictionaries": sorted(dictionaries)})
+    body = to_json({"kind": type(model).__name__, "params": plain, "dictionaries": sorted(dictionaries)})
     for name, table in dictionaries.items():
         table.write.mode("overwrite").parquet(f"{path}/dictionary_{name}")
     spark.createDataFrame([(body,)], "params string").coalesce(1).write.mode("overwrite").parquet(f"{path}/params")
 
 
 def load_model(spark: SparkSession, path: str):
-    body = json.loads(spark.read.parquet(f"{path}/params").first()["params"])
+    body = from_json(spark.read.parquet(f"{path}/params").first()["params"])
     model = _MODELS[body["kind"]](**body["params"])
     for name in body["dictionaries"]:
         model.dictionaries[name] = spark.read.parquet(f"{path}/dictionary_{name}")

@@ -97,8 +97,16 @@ def revenue_features(df: DataFrame, *, tie: list[str] | None = None, block_rows:
     return over_rows(out, [], order, max(*MEAN_ROWS, *LAGS), build, fill=known, block_rows=block_rows).drop("_known")
 
 
-def price_features(df: DataFrame, *, key: str = "product_id", tie: list[str] | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Revenue, changes and trend per product, and the price's place among all prices."""
+def fit_price_tiers(df: DataFrame, *, key: str = "product_id", tie: list[str] | None = None) -> TierModel:
+    """Three tiers of price; ties are ordered by product, then by date."""
+    order = [key, "date", *(tie or [])]
+    return fit_tiers(df.select("price", *order), "price", 3, tie=order)
+
+
+def price_features(
+    df: DataFrame, *, key: str = "product_id", tie: list[str] | None = None, block_rows: int = BLOCK_ROWS, tiers: TierModel | None = None
+) -> DataFrame:
+    """Revenue, changes and trend per product, and the price's place among all prices. ``tiers`` may come from an earlier fit."""
     order = ["date", *(tie or [])]
     known = {"_price": number("price"), "_quantity": number("quantity_sold")}
 
@@ -110,8 +118,7 @@ def price_features(df: DataFrame, *, key: str = "product_id", tie: list[str] | N
         }
 
     series = over_rows(df, [key], order, TREND_ROWS, build, fill=known, block_rows=block_rows).drop("_price", "_quantity")
-    # Ties of the tier cuts are ordered by product, then by date.
-    tiers = fit_tiers(df.select("price", key, *order), "price", 3, tie=[key, *order])
+    tiers = tiers or fit_price_tiers(df, key=key, tie=tie)
     tiered = series.withColumns({
         "revenue": F.col("price") * F.col("quantity_sold"),
         "price_tier": tiers.expression(),

@@ -14,9 +14,9 @@ from plumbline.operators.rank import fit_tiers, percent_rank_average
 from plumbline.operators.series import (
     fill_forward, growth, keep_first, over_rows, rolling_mean, rolling_std, session_durations,
 )
-from plumbline.plans.preprocess import PreprocessConfig, mixed_preprocess, preprocess, report_table
+from plumbline.plans.preprocess import PreprocessConfig, load_preprocess, mixed_preprocess, preprocess, report_table
 from plumbline.plans.run import run_blueprint
-from plumbline.session import materialise
+from plumbline.session import materialise, scratch_path
 from plumbline.queries.registry import AS_OF_SQL, days_sql, query, ratio_sql, rounded
 from plumbline.sources.tables import (
     CHURN_BASE_SQL, CHURN_DIRTY_SQL, PLANS_SQL, PRICE_BASE_SQL, REVENUE_BASE_SQL, as_of_column, churn_base, churn_dirty,
@@ -451,15 +451,28 @@ def scaled_sql(c: str) -> str:
     return f"(SELECT quantile_cont({c}, 0.5) AS {c}_m, CASE WHEN quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25) = 0 THEN 1.0 ELSE quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25) END AS {c}_s FROM feat)"
 
 
-@query("preprocess_churn", CHAIN_SQL + "SELECT customer_id, " + ", ".join(f"round(({c} - {c}_m) / {c}_s, 5) AS {c}" for c in CHAIN_NUMBERS)
+PREPROCESS_CHURN_SQL = (CHAIN_SQL + "SELECT customer_id, " + ", ".join(f"round(({c} - {c}_m) / {c}_s, 5) AS {c}" for c in CHAIN_NUMBERS)
        + ", " + ", ".join(f"value_tier = '{v}' AS value_tier_{v}" for v in ("low", "medium", "high", "premium"))
        + ", false AS value_tier_nan FROM feat, " + ", ".join(scaled_sql(c) for c in CHAIN_NUMBERS))
+
+
+@query("preprocess_churn", PREPROCESS_CHURN_SQL)
 def _(spark, sf):
     out, _ = preprocess(materialise(churn_dirty(spark, sf), "churn"), "customer_churn", as_of_column(), PreprocessConfig(narrow=False))
     tiers = [c for c in out.columns if c.startswith("value_tier_")]
     return rounded(out.select("customer_id", *CHAIN_NUMBERS, *tiers), CHAIN_NUMBERS, 5)
 
 
+@query("preprocess_saved", PREPROCESS_CHURN_SQL)
+def _(spark, sf):
+    """The chain is fitted, stored, loaded and applied by what was stored alone."""
+    df, path = materialise(churn_dirty(spark, sf), "churn"), scratch_path(spark, "chain")
+    preprocess(df, "customer_churn", as_of_column(), PreprocessConfig(narrow=False))[1].save(spark, path)
+    out = load_preprocess(spark, path, as_of_column()).transform(df)
+    tiers = [c for c in out.columns if c.startswith("value_tier_")]
+    return rounded(out.select("customer_id", *CHAIN_NUMBERS, *tiers), CHAIN_NUMBERS, 5)
+
+
 def scale_all_sql(columns: list[str], source: str = "feat", digits: int = 5) -> tuple[str, str]:
     """The select list and the FROM items that scale columns by median and quartile distance."""
     picks = ", ".join(f"round(({c} - {c}_m) / {c}_s, {digits}) AS {c}" for c in columns)

@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 from plumbline.functions.scalars import customer_segment, risk_category
 from plumbline.operators import evaluate as E
 from plumbline.operators import models as M
-from plumbline.plans.preprocess import PreprocessConfig, preprocess
+from plumbline.plans.preprocess import PreprocessConfig, load_preprocess, preprocess
 from plumbline.plans.run import BlueprintError, run_blueprint, stage_table
 from plumbline.session import scratch_path
-from plumbline.sources.tables import as_of_column, churn_base, churn_dirty
+from plumbline.sources.tables import as_of_column, churn_base, churn_dirty, price_base, revenue_base
 
 # Ten predictions in two groups, with one tie of scores.
 TRUE, PRED = [1, 1, 0, 0, 1, 0, 1, 0, 0, 1], [1, 0, 0, 1, 1, 0, 1, 0, 1, 1]
@@ -125,3 +125,23 @@ def test_fitted_steps_apply_to_new_rows(spark):
     again = fitted.transform(df)
     assert sorted(again.columns) == sorted(out.columns)
     assert sorted(map(str, again.select(out.columns).collect())) == sorted(map(str, out.collect()))
+
+
+@pytest.mark.parametrize("blueprint, make", [("customer_churn", churn_base), ("revenue_projection", revenue_base), ("price_optimization", price_base)])
+def test_saved_chain_equals_the_fitted_one(spark, tmp_path, blueprint, make):
+    df = make(spark, SMALL)
+    out, fitted = preprocess(df, blueprint, as_of_column())
+    fitted.save(spark, str(tmp_path / blueprint))
+    loaded = load_preprocess(spark, str(tmp_path / blueprint), as_of_column())
+    assert loaded.report == fitted.report
+    again = loaded.transform(df)
+    assert sorted(again.columns) == sorted(out.columns)
+    assert sorted(map(str, again.select(out.columns).collect())) == sorted(map(str, out.collect()))
+
+
+def test_tiers_of_new_rows_are_those_of_the_fit(spark):
+    df = price_base(spark, SMALL)
+    _, fitted = preprocess(df, "price_optimization", as_of_column(), PreprocessConfig(outlier_method="none"))
+    dear = df.withColumn("price", F.col("price") + 10 * df.agg(F.max("price")).first()[0]).limit(20)
+    out = fitted.transform(dear)
+    assert out.filter("price_tier_high").count() == 20

@@ -249,7 +249,7 @@ class Domain(Rule):
                 out.append(
                     Check(
                         c, "domain", self.severity, failed=F.count_if(bad), violation=bad, example=F.col(c),
-                        message=lambda f, t, c=c: F.format_string(f"Column '{c}' has %d values outside the allowed set", f),
+                        message=lambda f, t, c=c: F.format_string(f"{c}: %d values are not among those allowed", f),
                     )
                 )
         return out

@@ -1,29 +1,27 @@
-"""Benchmark decontamination: CGK embedding, bit-sampling LSH over item-sized windows, exact edit verification.
+"""Benchmark decontamination: exact seeds by the pigeonhole rule, a bound on common substrings, exact edit verification.
 
-Texts are compared in lower case with every run of blanks and ASCII punctuation as one space. A CGK embedding walks
-over a string: at each step it writes the current character, and a random function of step and character says
-whether to move on. Strings of small edit distance walk in step again soon after each edit, so their embeddings
-are close in Hamming distance. Sampling a few places of the embedding gives a key that equal or close strings
-share with high probability; ``ROUNDS`` keys from several walks reach the target recall. A window whose key equals
-one of an item of its size class is verified: the edit distance between the item and the best matching stretch of
-the document is computed exactly and must be at most ``MAX_SHARE`` of the item's length.
-
-Windows are laid at every word start of every text, for each size class of items. Those that can't match are left
-out by a bound that loses nothing: e edits spoil at most 10 * e of an item's substrings of 10 bytes, so a
-window must hold the rest of them. A table of fixed size has the size classes whose items have a substring.
+Texts are compared in lower case with every run of blanks and ASCII punctuation as one space. An item of n bytes may
+have e = ``MAX_SHARE`` * n edits. Cut into e + 1 pieces it has one that no edit touches, so the first ``SEED`` bytes
+of some piece stand in the document unaltered, whatever the item's length and wherever the words begin. Every place of
+every text is looked up among the pieces; a piece that is found says where the item would begin. That place is left
+out only by bounds that lose nothing: e edits spoil at most 10 * e of an item's substrings of 10 bytes, so a window
+must hold the rest of them. A table of fixed size has the size classes whose items have a substring. What remains is
+verified: the edit distance between the item and the best matching stretch of the document is computed exactly and
+must be at most ``MAX_SHARE`` of the item's length. So no pair within the distance is missed.
 
 Items are taken in blocks of ``BLOCK_ITEMS``, each against all documents, so what a task holds is bounded however
 large the benchmark is.
 
 Defined results: a null or empty text holds nothing; an item that is null or shorter than ``MIN_ITEM`` characters
-after normalising can't be told from chance and matches nothing; items of equal text are reported each; repeated
-documents get their rows each; an empty table of either kind gives an empty table. Only ids and texts are read.
+after normalising can't be told from chance and matches nothing; items of equal text are reported each; of stretches
+that overlap the closest is reported; repeated documents get their rows each; an empty table of either kind gives an
+empty table. Only ids and texts are read.
 """
 
 from __future__ import annotations
 
+import bisect
 import string
-from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -39,10 +37,8 @@ BLOCK_ITEMS = 20_000
 GRAM = 10
 TABLE_BITS = 22
 CLASS_RATIO = 1.15
-WALKS = 2
-ROUNDS = 96  # keys for each window, ROUNDS / WALKS from each walk
-SAMPLED = 4  # places of the embedding in a key
-AGREE = 3  # keys that a window and an item share at least
+SEED = 12  # the shortest piece of any item from MIN_ITEM on
+PAIRS = 200_000  # places of pieces that are judged at once
 _TO_SPACE = bytes.maketrans((string.punctuation + string.whitespace).encode(), b" " * len(string.punctuation + string.whitespace))
 _MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
 _MULTIPLY_2 = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -52,15 +48,33 @@ def normal(text: str) -> bytes:
     return b" ".join(text.lower().encode().translate(_TO_SPACE).split())
 
 
-def grams(data: bytes) -> np.ndarray:
-    """The place in the bit table of each stretch of ten bytes."""
+def hashes(data: bytes, size: int) -> np.ndarray:
+    """A hash of each stretch of ``size`` bytes, from 8 to 16."""
     n = len(data) - 7
-    if n <= 2:
-        return np.empty(0, np.int64)
+    if n <= size - 8:
+        return np.empty(0, np.uint64)
     eight = np.empty(n, np.uint64)
     for k in range(min(8, n)):
         eight[k::8] = np.frombuffer(data, np.uint64, (len(data) - k) // 8, k)[: len(eight[k::8])]
-    return ((eight[:-2] * _MULTIPLY + eight[2:] * _MULTIPLY_2) >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
+    return eight[: n - size + 8] * _MULTIPLY + eight[size - 8 :] * _MULTIPLY_2
+
+
+def slots(found: np.ndarray) -> np.ndarray:
+    return (found >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
+
+
+def grams(data: bytes) -> np.ndarray:
+    """The place in the bit table of each stretch of ten bytes."""
+    return slots(hashes(data, GRAM))
+
+
+def edits(length: int) -> int:
+    return int(MAX_SHARE * length)
+
+
+def least_grams(length: int) -> int:
+    """Stretches of ten bytes of an item that its allowed edits leave at least."""
+    return length - GRAM + 1 - GRAM * edits(length)
 
 
 def size_class(length: int) -> int:
@@ -77,49 +91,7 @@ class Bounds:
 
     @staticmethod
     def of(lengths: list[int]) -> Bounds:
-        edits = {n: int(MAX_SHARE * n) for n in lengths}
-        least = min(n - GRAM + 1 - GRAM * edits[n] for n in lengths)
-        return Bounds(min(lengths), max(n + edits[n] for n in lengths) + 1, max(1, least))
-
-
-class Embedding:
-    """The random choices of all walks: fixed by a seed, so that every task makes the same."""
-
-    def __init__(self, seed: int = 10) -> None:
-        self.seed = seed
-        self.moves = np.random.default_rng(seed).integers(0, 2, (WALKS, 1024, 256), np.uint8)
-
-    def move(self, walk: int, step: int) -> np.ndarray:
-        return self.moves[walk, step % 1024]
-
-    def sampled(self, number: int, shortest: int) -> np.ndarray:
-        """Sampled steps of each round for a size class. Walks move every other step, so twice its length is covered."""
-        return np.random.default_rng([self.seed, number]).integers(0, 2 * shortest - 8, (ROUNDS, SAMPLED))
-
-    def keys(self, data: np.ndarray, starts: np.ndarray, number: int, shortest: int) -> np.ndarray:
-        """The keys (starts x rounds) of the windows of one class at ``starts``. ``data`` ends with enough zeros."""
-        places = self.sampled(number, shortest)
-        keys = np.full((len(starts), ROUNDS), number, np.uint64)
-        keys = keys * np.uint64(ROUNDS) + np.arange(ROUNDS, dtype=np.uint64)
-        each = ROUNDS // WALKS
-        for walk in range(WALKS):
-            mine = range(walk * each, (walk + 1) * each)
-            wanted: dict[int, list[int]] = {}
-            for r in mine:
-                for step in places[r]:
-                    wanted.setdefault(int(step), []).append(r)
-            at = starts.copy()
-            written = {}
-            for step in range(max(wanted) + 1):
-                now = data[at]
-                if step in wanted:
-                    written[step] = now.astype(np.uint64)
-                at = at + self.move(walk, step)[now]
-            for r in mine:
-                for step in places[r]:
-                    keys[:, r] = (keys[:, r] ^ written[int(step)]) * _MULTIPLY
-                    keys[:, r] ^= keys[:, r] >> np.uint64(29)
-        return keys
+        return Bounds(min(lengths), max(n + edits(n) for n in lengths) + 1, max(1, min(map(least_grams, lengths))))
 
 
 def distance(item: bytes, text: bytes) -> tuple[int, int]:
@@ -151,136 +123,124 @@ def distance(item: bytes, text: bytes) -> tuple[int, int]:
 
 @dataclass
 class Block:
-    """Items of one block with their keys and the bit table of their substrings."""
+    """Items of one block with their pieces and the bit tables of these and of their substrings."""
 
     items: dict[int, bytes]
     ids: dict[int, list[int]]
     classes: list[int] = field(default_factory=list)
+    bounds: dict[int, Bounds] = field(default_factory=dict)
     table: np.ndarray | None = None
-    keys: np.ndarray | None = None
+    seeded: np.ndarray | None = None
+    seeds: np.ndarray | None = None
     owners: np.ndarray | None = None
-    bounds: dict[int, Bounds] = field(default_factory=dict)
-    longest: int = 0
-    reach: int = 0
-    least: int = 0
-    embedding: Embedding | None = None
+    places: np.ndarray | None = None
 
     def prepare(self) -> "Block":
-        self.embedding = Embedding()
         self.table = np.zeros(1 << TABLE_BITS, np.uint32)
+        self.seeded = np.zeros(1 << TABLE_BITS, bool)
         by_class: dict[int, list[int]] = {}
         for number, item in self.items.items():
             by_class.setdefault(size_class(len(item)), []).append(number)
         self.classes = sorted(by_class)
+        self.bounds = {number: Bounds.of([len(self.items[m]) for m in members]) for number, members in by_class.items()}
+        seeds, owners, places = [np.empty(0, np.uint64)], [], [np.empty(0, np.int64)]
         for k, number in enumerate(self.classes):
             for member in by_class[number]:
-                self.table[grams(self.items[member])] |= np.uint32(1 << k % 32)
-        self.longest = max(map(len, self.items.values()))
-        self.bounds = {number: Bounds.of([len(self.items[m]) for m in members]) for number, members in by_class.items()}
-        keys, owners = [], []
-        for number, members in by_class.items():
-            line = b"".join(self.items[m] + bytes(self.longest + 64) for m in members)
-            starts = np.cumsum([0, *(len(self.items[m]) + self.longest + 64 for m in members)])[:-1]
-            keys.append(self.embedding.keys(np.frombuffer(line, np.uint8), starts, number, self.bounds[number].shortest).ravel())
-            owners.append(np.repeat(members, ROUNDS))
-        all_keys, all_owners = np.concatenate(keys), np.concatenate(owners)
-        order = np.argsort(all_keys, kind="stable")
-        self.keys, self.owners = all_keys[order], all_owners[order]
-        # A window of any class is covered by so many of the smallest class; one of these has its part of the hits.
-        self.reach = self.bounds[self.classes[0]].reach
-        self.least = min(b.least // -(-b.reach // self.reach) for b in self.bounds.values())
+                item = self.items[member]
+                self.table[grams(item)] |= np.uint32(1 << k % 32)
+                pieces = edits(len(item)) + 1
+                begins = np.arange(pieces) * len(item) // pieces
+                seeds.append(hashes(item, SEED)[begins])
+                places.append(begins)
+                owners += [member] * pieces
+        found = np.concatenate(seeds)
+        order = np.argsort(found, kind="stable")
+        self.seeds, self.owners, self.places = found[order], np.array(owners, np.int64)[order], np.concatenate(places)[order]
+        self.seeded[slots(self.seeds)] = True
         return self
 
     def matches(self, values: list[str]) -> list[tuple[int, int, int, int, int]]:
         """Number of the text, item, edit distance, and start and end of the stretch in the normalised text."""
-        out: list[tuple[int, int, int, int, int]] = []
-        portion: list[tuple[int, bytes]] = []
-        starts: dict[int, list[np.ndarray]] = {}
-        gap, offset, pending = bytes(64 + 3 * self.longest), 0, 0
-        for number, value in enumerate(values):
-            data = normal(value)
-            found = self.windows(data)
-            if not found:
-                continue
-            for c, places in found:
-                starts.setdefault(c, []).append(places + offset)
-                pending += len(places)
-            portion.append((number, data))
-            offset += len(data) + len(gap)
-            if pending >= 20_000 or offset >= 5_000_000:
-                out += self.looked_up(portion, starts, gap)
-                portion, starts, offset, pending = [], {}, 0, 0
-        return out + (self.looked_up(portion, starts, gap) if portion else [])
-
-    def looked_up(self, portion: list[tuple[int, bytes]], starts: dict[int, list[np.ndarray]], gap: bytes) -> list[tuple]:
-        """Keys of all windows of some texts, laid end to end with gaps between, against the items' keys."""
-        line = np.frombuffer(gap.join([d for _, d in portion] + [b""]), np.uint8)
-        begins = np.cumsum([0, *(len(d) + len(gap) for _, d in portion)])[:-1]
-        shared: Counter[tuple[int, int, int]] = Counter()
-        for number, parts in starts.items():
-            places = np.concatenate(parts)
-            for at in range(0, len(places), 20_000):
-                part = places[at : at + 20_000]
-                keys = self.embedding.keys(line, part, number, self.bounds[number].shortest).ravel()
-                left, right = np.searchsorted(self.keys, keys, "left"), np.searchsorted(self.keys, keys, "right")
-                for k in np.flatnonzero(right > left):
-                    place = int(part[k // ROUNDS])
-                    text = int(np.searchsorted(begins, place, "right")) - 1
-                    for owner in self.owners[left[k] : right[k]].tolist():
-                        shared[text, owner, place - int(begins[text])] += 1
-        candidates = sorted(c for c, n in shared.items() if n >= AGREE)
-        out, group = [], []
-        for candidate in [*candidates, None]:
-            if group and (candidate is None or candidate[:2] != group[0][:2]):
-                number, data = portion[group[0][0]]
-                out += [(number, *match) for match in self.verified(data, group[0][1], [place for _, _, place in group])]
-                group = []
-            if candidate is not None:
-                group.append(candidate)
+        return [(number, *match) for number, value in enumerate(values) for match in self.found(normal(value))]
+
+    def found(self, data: bytes) -> list[tuple[int, int, int, int]]:
+        """Item, edit distance, start and end of all matches in one normalised text."""
+        here = hashes(data, SEED)
+        at = np.flatnonzero(self.seeded[slots(here)])
+        left, right = np.searchsorted(self.seeds, here[at], "left"), np.searchsorted(self.seeds, here[at], "right")
+        at, left, right = at[right > left], left[right > left], right[right > left]
+        if not len(at):
+            return []
+        begins: dict[int, list[np.ndarray]] = {}
+        ends = np.cumsum(right - left)
+        for low in range(0, int(ends[-1]), PAIRS):
+            pair = np.arange(low, min(low + PAIRS, int(ends[-1])))
+            row = np.searchsorted(ends, pair, "right")
+            entry = right[row] - (ends[row] - pair)
+            owner, begin = self.owners[entry], at[row] - self.places[entry]
+            order = np.argsort(owner, kind="stable")
+            owner, begin = owner[order], begin[order]
+            cuts = np.flatnonzero(np.diff(owner)) + 1
+            for who, part in zip(owner[np.concatenate([[0], cuts])].tolist(), np.split(begin, cuts)):
+                begins.setdefault(who, []).append(np.unique(part))
+        numbers = {size_class(len(self.items[who])) for who in begins}
+        looked_at = dict(self.windows(data, numbers))
+        out = []
+        for who in sorted(begins):
+            places = looked_at.get(size_class(len(self.items[who])))
+            if places is not None:
+                # An item begins within its edits of the place that a piece says.
+                told, allowed = np.unique(np.concatenate(begins[who])), edits(len(self.items[who]))
+                near = np.searchsorted(places, told + allowed, "right") > np.searchsorted(places, told - allowed, "left")
+                out += self.verified(data, who, told[near].tolist())
         return out
 
-    def windows(self, data: bytes) -> list[tuple[int, np.ndarray]]:
-        """For each size class, the word starts at which a window holds enough of the items' substrings."""
+    def windows(self, data: bytes, numbers: set[int] | None = None) -> list[tuple[int, np.ndarray]]:
+        """For each size class (of ``numbers``), the places at which a window holds enough of the items' substrings."""
         if len(data) < GRAM:
             return []
         masks = self.table[grams(data)]
-        hits = np.zeros(len(data) + self.reach + 1, np.int32)
-        np.cumsum(masks != 0, out=hits[1 : len(masks) + 1])
-        hits[len(masks) + 1 :] = hits[len(masks)]
-        if (hits[self.reach :] - hits[: -self.reach]).max() < self.least:
-            return []
-        out, raw = [], np.frombuffer(data, np.uint8)
-        word = np.concatenate([[0], np.flatnonzero(raw[:-1] == 32) + 1])
+        hits = np.zeros(len(data) + 1, np.int32)
+        out, places = [], np.arange(len(data))
         for k, number in enumerate(self.classes):
-            reach, least = self.bounds[number].reach, self.bounds[number].least
+            if numbers is not None and number not in numbers:
+                continue
             np.cumsum((masks >> np.uint32(k % 32)) & np.uint32(1), out=hits[1 : len(masks) + 1])
             hits[len(masks) + 1 :] = hits[len(masks)]
-            places = word[hits[np.minimum(word + reach, len(data))] - hits[word] >= least]
-            if len(places):
-                out.append((number, places))
+            enough = np.flatnonzero(hits[np.minimum(places + self.bounds[number].reach, len(data))] - hits[:-1] >= self.bounds[number].least)
+            if len(enough):
+                out.append((number, enough))
         return out
 
     def verified(self, data: bytes, owner: int, places: list[int]) -> list[tuple[int, int, int, int]]:
-        """Places near each other are one stretch; each stretch is verified once."""
+        """Matches of an item that begins about one of ``places`` (in order), apart from each other.
+
+        Places within twice the edits are verified as one: two stretches that fit there overlap.
+        """
         item = self.items[owner]
-        allowed = int(MAX_SHARE * len(item))
-        out, group = [], [places[0], places[0]]
-        groups = []
-        for place in places[1:]:
-            if place <= group[1] + len(item):
-                group[1] = place
-            else:
-                groups.append(group)
-                group = [place, place]
-        groups.append(group)
-        for first, last in groups:
+        allowed = edits(len(item))
+        own = grams(item)
+        close: list[tuple[int, int, int]] = []
+        at = 0
+        while at < len(places):
+            first = last = places[at]
+            while at < len(places) and places[at] <= first + 2 * allowed:
+                last = places[at]
+                at += 1
             low, high = max(0, first - allowed), last + len(item) + allowed
-            best, end = distance(item, data[low:high])
+            region = data[low:high]
+            if np.isin(own, grams(region)).sum() < least_grams(len(item)):
+                continue
+            best, end = distance(item, region)
             if best <= allowed:
-                _, back = distance(item[::-1], data[low : low + end][::-1])
-                for number in self.ids[owner]:
-                    out.append((number, best, low + end - back, low + end))
-        return out
+                _, back = distance(item[::-1], region[:end][::-1])
+                close.append((best, low + end - back, low + end))
+        taken: list[tuple[int, int, int]] = []
+        for best, start, end in sorted(set(close)):
+            k = bisect.bisect(taken, start, key=lambda x: x[0])
+            if (k == 0 or taken[k - 1][1] <= start) and (k == len(taken) or end <= taken[k][0]):
+                taken.insert(k, (start, end, best))
+        return [(number, best, start, end) for start, end, best in taken for number in self.ids[owner]]
 
 
 def blocks(benchmark: DataFrame, key: str, text: str) -> list[Block]:

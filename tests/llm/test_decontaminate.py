@@ -101,3 +101,37 @@ def test_blocks_of_items_and_repeated_items(spark, tables, monkeypatch):
     monkeypatch.setattr(d, "BLOCK_ITEMS", 3)
     assert sorted(tuple(r) for r in d.leaks(*frames).collect()) == whole
     assert d.leaks(frames[0].limit(0), frames[1]).count() == 0 and d.leaks(frames[0], frames[1].limit(0)).count() == 0
+
+
+def invented(r, size):
+    """Words of random letters, to ``size`` characters."""
+    text = ""
+    while len(text) < size:
+        text += "".join(r.choices("etaoinshrdlucmfw", k=r.randrange(2, 9))) + " "
+    return text[:size].strip()
+
+
+@pytest.mark.parametrize("size", [100, 500, 1000, 2000, 5000])
+def test_no_item_within_the_allowed_edits_is_missed(size):
+    """As many edits as are allowed, evenly spread or anywhere, whatever the item's length."""
+    r = random.Random(size)
+    items = {i: d.normal(invented(r, size)) for i in range(12)}
+    block = d.Block(items, {i: [i] for i in items}).prepare()
+    for i, item in items.items():
+        allowed = int(d.MAX_SHARE * len(item))
+        out = list(item.decode())
+        for k in range(allowed):
+            out[len(item) * k // allowed if i % 2 else r.randrange(len(out))] = "z"
+        passage = "".join(out).encode()
+        assert d.distance(item, passage)[0] <= allowed
+        text = (invented(r, 700) + " " + passage.decode() + " " + invented(r, 700))
+        assert {m[1] for m in block.matches([text])} == {i}
+
+
+def test_stretches_that_follow_each_other_are_each_found():
+    r = random.Random(3)
+    item = d.normal(invented(r, 120))
+    block = d.Block({0: item}, {0: [7]}).prepare()
+    text = b" ".join([item, item, item[:60] + b"q" + item[60:], b"end"])
+    n = len(item)
+    assert [m[1:] for m in block.matches([text.decode()])] == [(7, 0, 0, n), (7, 0, n + 1, 2 * n + 1), (7, 1, 2 * n + 2, 3 * n + 3)]

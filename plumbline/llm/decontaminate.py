@@ -1,6 +1,6 @@
 """Benchmark decontamination: exact seeds by the pigeonhole rule, a bound on common substrings, exact edit verification.
 
-Texts are compared in lower case with every run of blanks and ASCII punctuation as one space. An item of n bytes may
+Texts are compared in lower case with every run of blanks and punctuation (Unicode's; ASCII's signs too) as one space. An item of n bytes may
 have e = ``MAX_SHARE`` * n edits. Cut into e + 1 pieces it has one that no edit touches, so the first ``SEED`` bytes
 of some piece stand in the document unaltered, whatever the item's length and wherever the words begin. Every place of
 every text is looked up among the pieces; a piece that is found says where the item would begin. That place is left
@@ -9,19 +9,25 @@ must hold the rest of them. A table of fixed size has the size classes whose ite
 verified: the edit distance between the item and the best matching stretch of the document is computed exactly and
 must be at most ``MAX_SHARE`` of the item's length. So no pair within the distance is missed.
 
+Items shorter than ``MIN_ITEM`` characters may have no edits and must stand between word borders. Scripts that put no
+blanks between words have a border at each of their characters.
+
 Items are taken in blocks of ``BLOCK_ITEMS``, each against all documents, so what a task holds is bounded however
 large the benchmark is.
 
-Defined results: a null or empty text holds nothing; an item that is null or shorter than ``MIN_ITEM`` characters
-after normalising can't be told from chance and matches nothing; items of equal text are reported each; of stretches
-that overlap the closest is reported; repeated documents get their rows each; an empty table of either kind gives an
-empty table. Only ids and texts are read.
+Defined results: a null or empty text holds nothing; an item that is null or has nothing but blanks and
+punctuation matches nothing; one of a single word matches every document with that word; items of equal text are
+reported each; of stretches that overlap the closest is reported; repeated documents get their rows each; an empty
+table of either kind gives an empty table. Only ids and texts are read.
 """
 
 from __future__ import annotations
 
 import bisect
+import re
 import string
+import sys
+import unicodedata
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -40,12 +46,42 @@ CLASS_RATIO = 1.15
 SEED = 12  # the shortest piece of any item from MIN_ITEM on
 PAIRS = 200_000  # places of pieces that are judged at once
 _TO_SPACE = bytes.maketrans((string.punctuation + string.whitespace).encode(), b" " * len(string.punctuation + string.whitespace))
+_BLANKS = frozenset(c for c in map(chr, range(128, sys.maxunicode + 1)) if c.isspace() or c in "\u200b\u2060\ufeff" or unicodedata.category(c)[0] in "PZ")
+# Scripts without blanks between words: Thai to Tibetan, Myanmar, Khmer, Tai, kana and Han.
+_UNSPACED = re.compile("[\u0e00-\u109f\u1780-\u17ff\u1950-\u19ff\u1a20-\u1aaf\u3005-\u3007\u3021-\u318f\u31a0-\u9fff\uaa60-\uaadf\uf900-\ufaff\uff66-\uff9f\U0001b000-\U0001b16f\U00020000-\U0003ffff]")
 _MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
 _MULTIPLY_2 = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 def normal(text: str) -> bytes:
-    return b" ".join(text.lower().encode().translate(_TO_SPACE).split())
+    lower = text.lower()
+    if not lower.isascii():
+        for c in _BLANKS.intersection(lower):
+            lower = lower.replace(c, " ")
+    return b" ".join(lower.encode().translate(_TO_SPACE).split())
+
+
+def is_short(item: bytes) -> bool:
+    return len(item) < 4 * MIN_ITEM and len(item.decode()) < MIN_ITEM
+
+
+def border(data: bytes, at: int) -> bool:
+    """Whether a word of the normalised text may begin or end at ``at``, which is between two characters."""
+    if at in (0, len(data)) or data[at] == 32 or data[at - 1] == 32:
+        return True
+    if data[at] < 128 and data[at - 1] < 128:
+        return False
+    before, after = data[max(0, at - 4) : at].decode(errors="ignore"), data[at : at + 4].decode(errors="ignore")
+    return bool(_UNSPACED.match(before[-1:]) or _UNSPACED.match(after[:1]))
+
+
+def heads(data: bytes, size: int) -> np.ndarray:
+    """The first ``size`` bytes, up to 8, at each place as a number; zeros stand after the end."""
+    long = data + bytes(8)
+    out = np.empty(len(data), np.uint64)
+    for k in range(min(8, len(data))):
+        out[k::8] = np.frombuffer(long, "<u8", (len(long) - k) // 8, k)[: len(out[k::8])]
+    return out & np.uint64((1 << 8 * size) - 1)
 
 
 def hashes(data: bytes, size: int) -> np.ndarray:
@@ -134,12 +170,18 @@ class Block:
     seeds: np.ndarray | None = None
     owners: np.ndarray | None = None
     places: np.ndarray | None = None
+    exact: dict[bytes, int] = field(default_factory=dict)
+    heads: dict[int, np.ndarray] = field(default_factory=dict)
+    sizes: dict[int, dict[int, list[int]]] = field(default_factory=dict)
 
     def prepare(self) -> "Block":
         self.table = np.zeros(1 << TABLE_BITS, np.uint32)
         self.seeded = np.zeros(1 << TABLE_BITS, bool)
         by_class: dict[int, list[int]] = {}
         for number, item in self.items.items():
+            if is_short(item):
+                self.exact[item] = number
+                continue
             by_class.setdefault(size_class(len(item)), []).append(number)
         self.classes = sorted(by_class)
         self.bounds = {number: Bounds.of([len(self.items[m]) for m in members]) for number, members in by_class.items()}
@@ -157,6 +199,14 @@ class Block:
         order = np.argsort(found, kind="stable")
         self.seeds, self.owners, self.places = found[order], np.array(owners, np.int64)[order], np.concatenate(places)[order]
         self.seeded[slots(self.seeds)] = True
+        # Of short items: by the number of bytes of a head (8 or all) the lengths of the items with each head.
+        self.sizes = {}
+        for item in self.exact:
+            size = min(8, len(item))
+            lengths = self.sizes.setdefault(size, {}).setdefault(int.from_bytes(item[:size], "little"), [])
+            if len(item) not in lengths:
+                lengths.append(len(item))
+        self.heads = {size: np.array(sorted(found), np.uint64) for size, found in self.sizes.items()}
         return self
 
     def matches(self, values: list[str]) -> list[tuple[int, int, int, int, int]]:
@@ -165,6 +215,31 @@ class Block:
 
     def found(self, data: bytes) -> list[tuple[int, int, int, int]]:
         """Item, edit distance, start and end of all matches in one normalised text."""
+        return self.short(data) + self.close(data)
+
+    def short(self, data: bytes) -> list[tuple[int, int, int, int]]:
+        """Items shorter than ``MIN_ITEM`` characters, between word borders."""
+        if not self.exact or not data:
+            return []
+        raw = np.frombuffer(data, np.uint8)
+        # A character begins here, after a blank or beside a byte that isn't ASCII.
+        begins = np.ones(len(data), bool)
+        begins[1:] = ((raw[:-1] == 32) | (raw[:-1] >= 128) | (raw[1:] >= 128)) & ((raw[1:] & 0xC0) != 0x80)
+        starts = np.flatnonzero(begins)
+        whole = heads(data, 8)[starts]
+        out: list[tuple[int, int, int, int]] = []
+        for size, known in self.heads.items():
+            here = whole & np.uint64((1 << 8 * size) - 1)
+            for k in np.flatnonzero(np.isin(here, known)).tolist():
+                start = int(starts[k])
+                for length in self.sizes[size][int(here[k])]:
+                    owner, end = self.exact.get(data[start : start + length]), start + length
+                    if owner is not None and end <= len(data) and border(data, start) and border(data, end):
+                        out += [(number, 0, start, end) for number in self.ids[owner]]
+        return out
+
+    def close(self, data: bytes) -> list[tuple[int, int, int, int]]:
+        """Items from ``MIN_ITEM`` characters on, with their allowed edits."""
         here = hashes(data, SEED)
         at = np.flatnonzero(self.seeded[slots(here)])
         left, right = np.searchsorted(self.seeds, here[at], "left"), np.searchsorted(self.seeds, here[at], "right")
@@ -250,7 +325,7 @@ def blocks(benchmark: DataFrame, key: str, text: str) -> list[Block]:
     rows = narrow(benchmark, F.col(key).cast("long").alias("id"), F.col(text).alias("t")).where("id is not null and t is not null")
     for row in rows.orderBy("id").toLocalIterator():
         item = normal(row.t)
-        if len(item.decode()) < MIN_ITEM:
+        if not item:
             continue
         if not out or len(out[-1].items) >= BLOCK_ITEMS:
             out.append(Block({}, {}))

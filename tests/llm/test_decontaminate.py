@@ -135,3 +135,39 @@ def test_stretches_that_follow_each_other_are_each_found():
     text = b" ".join([item, item, item[:60] + b"q" + item[60:], b"end"])
     n = len(item)
     assert [m[1:] for m in block.matches([text.decode()])] == [(7, 0, 0, n), (7, 0, n + 1, 2 * n + 1), (7, 1, 2 * n + 2, 3 * n + 3)]
+
+
+def of_letters(r, size, first, last):
+    return "".join(chr(r.randrange(ord(first), ord(last) + 1)) for _ in range(size))
+
+
+@pytest.mark.parametrize("first, last", [("一", "龠"), ("ぁ", "ゖ"), ("ก", "ฮ")])
+@pytest.mark.parametrize("size", [12, 45, 150])
+def test_copies_inside_texts_without_blanks(first, last, size):
+    r = random.Random(size)
+    items = {i: d.normal(of_letters(r, size, first, last)) for i in range(10)}
+    block = d.Block(items, {i: [i] for i in items}).prepare()
+    for i, item in items.items():
+        text = of_letters(r, 300, first, last) + item.decode() + of_letters(r, 300, first, last)
+        start = len(d.normal(text[:300]))
+        assert [m[1:] for m in block.matches([text])] == [(i, 0, start, start + len(item))]
+
+
+@pytest.mark.parametrize("before, after", [("“", "”"), ("word", "word"), ("（", "）"), ("　", " "), ("—", "…")])
+def test_copies_behind_other_punctuation_and_without_a_blank(before, after):
+    r = random.Random(5)
+    item = d.normal(invented(r, 120))
+    block = d.Block({0: item}, {0: [0]}).prepare()
+    assert [m[1:3] for m in block.matches([invented(r, 200) + before + item.decode() + after + invented(r, 200)])] == [(0, 0)]
+
+
+def test_unicode_punctuation_and_blanks_are_one_space():
+    assert d.normal("A“b”　。 c…- d​e กิ") == "a b c d e กิ".encode()
+
+
+def test_short_items_match_exactly_between_word_borders(spark):
+    items = [(1, "Who wrote it?"), (2, "yes"), (3, "été"), (4, "你好吗"), (5, "?!"), (6, "wrote it"), (7, "Yes!")]
+    texts = ["Say: who wrote\nit, yes", "who wrote its", "eyes yesterday", "un été chaud", "étés", "我说你好吗他说", "", "who wrotte it", "x" * 50 + " yes"]
+    frames = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = sorted((r.doc_id, r.item_id) for r in d.leaks(*frames).collect())
+    assert got == [(0, 1), (0, 2), (0, 6), (0, 7), (3, 3), (5, 4), (8, 2), (8, 7)]

@@ -7,7 +7,8 @@ children that name a role of their own, say how the states go together. Sum-prod
 then down the tree, gives the exact marginal of every node; text below nodes that are more likely content than not
 is the result. All potentials are learnt from labelled pages, of which at most ``MAX_PAGES`` are used.
 
-The reader of HTML is lenient: tags may be left open, misplaced or cut off, and text is never lost for it.
+The reader of HTML is lenient: tags may be left open, left out, misplaced or cut off, and text is never lost for it. A
+head ends at the first text or tag that may not stand in it.
 Scripts, styles, heads, controls and markup are no text. Character references are decoded, white space inside
 a block (of any kind, no-break spaces too) is one space, blocks are joined by one space in page order.
 
@@ -35,7 +36,8 @@ MAX_PAGES = 1_000
 # Elements by their role in HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style title textarea xmp iframe noembed noframes".split())
-SILENT = frozenset("head script style title textarea iframe noembed noframes noscript template svg math select option button object audio video canvas".split())
+SILENT = frozenset("head script style title textarea iframe noembed noframes template svg select option button".split())
+IN_HEAD = frozenset("html head title meta link base script style template noscript".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6"
     " header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split()
@@ -132,7 +134,18 @@ def read(source: str) -> Page:
             if tag in BLOCK:
                 flush()
 
+    def leave_head() -> None:
+        """Close an open head, unless in a template in it."""
+        for depth in range(len(stack) - 1, -1, -1):
+            if stack[depth][0] == "template":
+                break
+            if stack[depth][0] == "head":
+                close(depth)
+                break
+
     def text(raw: str) -> None:
+        if silent and stack[-1][0] == "head" and raw.strip():
+            leave_head()
         if not raw or silent:
             return
         value = html.unescape(raw)
@@ -170,6 +183,8 @@ def read(source: str) -> Page:
                 if tag not in BLOCK and name in BLOCK or name in SCOPES and tag not in ("table", "html", "body", *SCOPES):
                     break
             continue
+        if silent and tag not in IN_HEAD:
+            leave_head()
         if tag == "br" or tag == "hr":
             flush()
         if tag in VOID:

@@ -73,3 +73,18 @@ def test_odd_pages(spark):
     got = sorted(((r.page_id or 0), r.text, r.n_chars) for r in h.extract(pages, labelled).collect())
     assert got == [(0, "", 0), (1, "", 0), (1, "", 0), (2, "", 0), (3, "just text", 9)]
     assert h.extract(pages.limit(0), labelled).count() == 0
+
+
+@pytest.mark.parametrize("source, words", [
+    ("<html><head><title>x</title><article>a b</article>", "a b"), ("<head><meta charset=u><p>a<p>b", "a b"), ("<head><title>x</title>a<b>b</b>", "ab"),
+    ("<head><template><div>no</div></template><noscript>no</noscript><img src=x>a", "a"), ("<head> <style>p{}</style> </head>a", "a"), ("<head><script>1</script><body>a", "a"),
+    ("<p>a <math><mi>x</mi></math> b", "a x b"), ("<p>a <noscript>b</noscript> <object>c</object> <audio>d</audio> <video>e</video> <canvas>f</canvas>", "a b c d e f"),
+    ("<p>a<svg><text>no</text></svg><template>no</template> <button>no</button>b", "a b"),
+])
+def test_left_out_tags_and_fallbacks_lose_no_text(source, words):
+    assert whole(source) == words.split()
+
+
+def test_article_behind_an_open_head(model):
+    text = "One two three four five six seven. Eight nine ten, eleven twelve thirteen."
+    assert model.text(f"<html><head><title>x</title><article><p>{text}</p></article>") == text

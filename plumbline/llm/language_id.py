@@ -1,7 +1,8 @@
 """Language identification by language-bitmask n-gram filters.
 
 Every language has a Bloom filter of its typical n-grams. The filters are stored bit-sliced: slot by slot, a slot
-holding one bit for each language, so that three lookups and two ANDs return all languages that contain an n-gram.
+holding one bit for each language (in as many words as it takes), so that three lookups and two ANDs return all
+languages that contain an n-gram.
 The languages' counts over a text (popcounts by language) are corrected for the filters' false positives; the
 largest decides.
 
@@ -23,6 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,7 +33,7 @@ from plumbline.llm.common import arrow_schema, narrow, per_batch, texts, type_of
 SAMPLE_DOCS = 3_000
 MIN_SHARE = 0.01
 RELATIVE = 0.25
-MAX_LANGUAGES = 63
+WORD = 64  # languages in a word of a slot
 SIZES = (3, 4)
 SLOT_BITS = 20
 HASHES = 3
@@ -62,6 +64,12 @@ def slots(grams: np.ndarray) -> Iterator[np.ndarray]:
         yield ((grams * factor) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
 
 
+def bits(words: np.ndarray, k: int) -> np.ndarray:
+    """The bit of language ``k`` in each word or row of words."""
+    column = words if words.ndim == 1 else words[:, k // WORD]
+    return (column >> column.dtype.type(k % WORD)) & column.dtype.type(1)
+
+
 @dataclass
 class Filters:
     """The bit-sliced filters. ``wrong`` is each language's rate of false positives."""
@@ -73,11 +81,15 @@ class Filters:
 
     @staticmethod
     def build(languages: list[str], grams: np.ndarray, masks: np.ndarray, most_frequent: str) -> Filters:
+        """``masks`` has a word for each n-gram, or a row of words for more languages than a word has bits."""
         kind = np.uint8 if len(languages) <= 8 else np.uint64
-        sliced = np.zeros(1 << SLOT_BITS, kind)
+        masks = masks.astype(kind).reshape(len(grams), -(-len(languages) // WORD))
+        sliced = np.zeros((1 << SLOT_BITS, masks.shape[1]), kind)
         for at in slots(grams):
-            np.bitwise_or.at(sliced, at, masks.astype(kind))
-        fill = np.array([((sliced >> kind(k)) & kind(1)).mean() for k in range(len(languages))])
+            for w in range(masks.shape[1]):
+                np.bitwise_or.at(sliced[:, w], at, masks[:, w])
+        sliced = sliced[:, 0] if masks.shape[1] == 1 else sliced
+        fill = np.array([bits(sliced, k).mean() for k in range(len(languages))])
         return Filters(languages, sliced, fill**HASHES, most_frequent)
 
     def lookup(self, grams: np.ndarray) -> np.ndarray:
@@ -92,7 +104,7 @@ class Filters:
         portion: list[int] = []
         size = 0
         for i, value in enumerate(values):
-            if portion and size + len(value) > BLOCK_BYTES:
+            if portion and (size + len(value)) * -(-len(self.languages) // WORD) > BLOCK_BYTES:
                 out[portion] = self.portion([values[k] for k in portion])
                 portion, size = [], 0
             portion.append(i)
@@ -111,7 +123,7 @@ class Filters:
             number = np.array([max(0, len(v) - size + 1) for v in values])
             # Rows of the running sums at the first and after the last n-gram of each text.
             for k in range(len(self.languages)):
-                running = np.concatenate([[0], np.cumsum((found >> found.dtype.type(k)) & found.dtype.type(1), dtype=np.int64)])
+                running = np.concatenate([[0], np.cumsum(bits(found, k), dtype=np.int64)])
                 hits = running[starts[:-1] + number] - running[starts[:-1]]
                 total[:, k] += (hits - self.wrong[k] * number) / (1 - self.wrong[k])
         return np.maximum(total, 0)
@@ -161,32 +173,36 @@ def fit(labelled: DataFrame, lang: str = "lang", text: str = "text", sample: int
     by ``MIN_SHARE`` for each language.
     """
     given = labelled.select(F.col(lang).alias("lang"), F.col(text).alias("text")).where("lang is not null and text is not null")
-    sizes = {r["lang"]: r["count"] for r in given.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()}
+    sizes = {r["lang"]: r["count"] for r in given.groupBy("lang").count().collect()}
     if not sizes:
         return None
     languages = sorted(sizes)
     spread = F.pmod(F.xxhash64("text"), F.lit(1_000_000))
-    limit: Column = F.lit(0.0)
-    for name, size in sizes.items():
-        limit = F.when(F.col("lang") == name, F.lit(1e6 * min(1.0, sample / size))).otherwise(limit)
-    chosen = given.where(spread < limit)
+    chosen = given.where(spread < by_name({name: 1e6 * min(1.0, sample / size) for name, size in sizes.items()}))
     documents = {r["lang"]: r["count"] for r in chosen.groupBy("lang").count().collect()}
-    share: Column = F.lit(0.0)
-    for name, size in documents.items():
-        share = F.when(F.col("lang") == name, F.col("n") / size).otherwise(share)
+    most = min(documents, key=lambda name: (-documents[name], name)) if documents else languages[0]
+    number = -(-len(languages) // WORD)
+    if not documents:
+        return Filters.build(languages, np.empty(0, np.uint64), np.empty((0, number), np.uint64), most)
+    share = F.col("n") / by_name(documents)
     shares = gram_documents(chosen).groupBy("lang", "gram").agg(F.sum("n").alias("n")).withColumn("share", share).where(F.col("share") >= MIN_SHARE)
     best = F.array_max(F.transform("found", lambda x: x.share))
     kept = F.filter("found", lambda x: x.share >= RELATIVE * best)
-    typical = shares.groupBy("gram").agg(F.collect_list(F.struct("lang", "share")).alias("found")).select("gram", F.transform(kept, lambda x: x.lang).alias("langs"))
-    mask: Column = F.lit(0).cast("long")
-    for k, name in enumerate(languages):
-        mask = mask + F.when(F.array_contains("langs", name), F.lit(1 << k).cast("long")).otherwise(F.lit(0).cast("long"))
-    rows = typical.select("gram", mask.alias("mask")).toArrow()
-    grams, masks = rows["gram"].to_numpy().astype(np.uint64), rows["mask"].to_numpy().astype(np.uint64)
-    most = min(documents, key=lambda name: (-documents[name], name)) if documents else languages[0]
+    typical = shares.groupBy("gram").agg(F.collect_list(F.struct("lang", "share")).alias("found"))
+    rows = typical.select("gram", F.transform(kept, lambda x: F.array_position(F.lit(languages), x.lang) - 1).alias("langs")).toArrow()
+    grams, langs = rows["gram"].to_numpy().astype(np.uint64), rows["langs"].combine_chunks()
+    known = pc.list_flatten(langs).to_numpy(zero_copy_only=False).astype(np.uint64)
+    masks = np.zeros((len(grams), number), np.uint64)
+    row = np.repeat(np.arange(len(grams)), pc.list_value_length(langs).to_numpy(zero_copy_only=False).astype(np.int64))
+    np.bitwise_or.at(masks, (row, (known // np.uint64(WORD)).astype(np.int64)), np.uint64(1) << known % np.uint64(WORD))
     return Filters.build(languages, grams, masks, most)
 
 
+def by_name(values: dict[str, float]) -> Column:
+    """The value of each row's ``lang``."""
+    return F.try_element_at(F.create_map(*[F.lit(x) for name, value in values.items() for x in (name, float(value))]), F.col("lang"))
+
+
 def predict(docs: DataFrame, filters: Filters | None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key``, ``lang_pred`` and ``score``: the best count's part of the two best."""
     schema = f"`{key}` {type_of(docs, key)}, lang_pred string, score double"

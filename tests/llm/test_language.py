@@ -1,5 +1,6 @@
 """Language identification: held-out accuracy, false positives and odd texts."""
 
+import random
 import zlib
 
 import numpy as np
@@ -51,3 +52,15 @@ def test_odd_texts(spark, edge_docs, no_docs):
     assert got[92][0] in filters.languages and got[93][0] in filters.languages
     assert lid.with_language(no_docs, docs).count() == 0
     assert {r.lang_pred for r in lid.with_language(docs, no_docs).collect()} == {"und"}
+
+
+def test_more_languages_than_a_word_has_bits(spark):
+    """Each language has five characters of its own; all languages are learnt."""
+    count, r = 150, random.Random(1)
+    text = lambda lang: "".join(r.choices([chr(0x4E00 + 5 * lang + k) for k in range(5)], k=40))
+    rows = [(lang * 10 + i, f"l{lang:03}", text(lang)) for lang in range(count) for i in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    filters = lid.fit(docs)
+    assert len(filters.languages) == count and filters.sliced.shape[1] == 3
+    got = {r.doc_id: r.lang_pred for r in lid.predict(docs, filters).collect()}
+    assert all(got[i] == lang for i, lang, _ in rows)

@@ -14,13 +14,17 @@ least ``RELATIVE`` of the share of the language where it is most frequent. Train
 Defined results: a null text or one without a letter is ``und`` with score 0; a text of which no n-gram is known
 gets the most frequent training language with score 0; equal counts go to the language that comes first by name;
 repeated rows each get a row; without training rows every text is ``und``; an empty table gives an empty table.
+
+A text is ``foreign`` if it is in none of the languages: of its n-grams the best language's filter holds, after
+correction, less than ``LEAST_KNOWN`` of the share that all but ``LOW_PART`` of that language's training documents
+reach. A share of few n-grams is uncertain, so ``SPREAD`` standard deviations are granted.
 Only the id and the text are read for a prediction.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +43,9 @@ SLOT_BITS = 20
 HASHES = 3
 BLOCK_BYTES = 1_000_000  # bytes of text that are looked up at once
 UNKNOWN = "und"
+LOW_PART = 0.01  # of a language's training documents, which may be anything
+LEAST_KNOWN = 0.5  # of the share of known n-grams that all others have
+SPREAD = 3.0  # standard deviations that a text's own share may be off
 
 _KEEP = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in range(256))
 _FACTORS = np.random.default_rng(4).integers(0, 2**63, HASHES, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -78,6 +85,7 @@ class Filters:
     sliced: np.ndarray
     wrong: np.ndarray
     most_frequent: str
+    least: np.ndarray | None = None
 
     @staticmethod
     def build(languages: list[str], grams: np.ndarray, masks: np.ndarray, most_frequent: str) -> Filters:
@@ -147,6 +155,20 @@ class Filters:
         return names, scores
 
 
+    def known(self, values: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each text the number of its best language, that filter's share of the n-grams, and how many these are."""
+        data = [plain(v) for v in values]
+        counts = self.counts(data)
+        number = np.array([sum(max(0, len(v) - size + 1) for size in SIZES) for v in data])
+        return counts.argmax(axis=1), np.minimum(counts.max(axis=1) / np.maximum(number, 1), 1), number
+
+    def foreign(self, values: list[str]) -> np.ndarray:
+        best, share, number = self.known(values)
+        most = share + SPREAD * np.sqrt(share * (1 - share) / np.maximum(number, 1))
+        letters = np.array([any(map(str.isalpha, v)) for v in values], bool)
+        return ~letters | (share <= 0) | (most < self.least[best])
+
+
 def gram_documents(labelled: DataFrame) -> DataFrame:
     """``lang``, ``gram`` and the number of documents that have it; rows are summed within each batch first."""
     schema = "lang string, gram long, n long"
@@ -166,19 +188,25 @@ def gram_documents(labelled: DataFrame) -> DataFrame:
     return labelled.select("lang", "text").mapInArrow(run, schema)
 
 
+def training_rows(labelled: DataFrame, lang: str, text: str, sample: int) -> tuple[DataFrame, list[str]]:
+    """``lang`` and ``text`` of about ``sample`` documents of each language at most, and all languages."""
+    given = labelled.select(F.col(lang).alias("lang"), F.col(text).alias("text")).where("lang is not null and text is not null")
+    sizes = {r["lang"]: r["count"] for r in given.groupBy("lang").count().collect()}
+    if not sizes:
+        return given, []
+    spread = F.pmod(F.xxhash64("text"), F.lit(1_000_000))
+    return given.where(spread < by_name({name: 1e6 * min(1.0, sample / size) for name, size in sizes.items()})), sorted(sizes)
+
+
 def fit(labelled: DataFrame, lang: str = "lang", text: str = "text", sample: int = SAMPLE_DOCS) -> Filters | None:
     """Filters from about ``sample`` documents of each language at most; None without training rows.
 
     What comes to the driver is one row for each typical n-gram, at most the n-grams of an average document divided
     by ``MIN_SHARE`` for each language.
     """
-    given = labelled.select(F.col(lang).alias("lang"), F.col(text).alias("text")).where("lang is not null and text is not null")
-    sizes = {r["lang"]: r["count"] for r in given.groupBy("lang").count().collect()}
-    if not sizes:
+    chosen, languages = training_rows(labelled, lang, text, sample)
+    if not languages:
         return None
-    languages = sorted(sizes)
-    spread = F.pmod(F.xxhash64("text"), F.lit(1_000_000))
-    chosen = given.where(spread < by_name({name: 1e6 * min(1.0, sample / size) for name, size in sizes.items()}))
     documents = {r["lang"]: r["count"] for r in chosen.groupBy("lang").count().collect()}
     most = min(documents, key=lambda name: (-documents[name], name)) if documents else languages[0]
     number = -(-len(languages) // WORD)
@@ -218,6 +246,38 @@ def predict(docs: DataFrame, filters: Filters | None, key: str = "doc_id", text:
     return per_batch(own, schema, work)
 
 
+def with_least(filters: Filters, chosen: DataFrame) -> Filters:
+    """The filters with the share of known n-grams below which a text is foreign, of each language."""
+    shared = chosen.sparkSession.sparkContext.broadcast(filters)
+
+    def work(batch: pa.RecordBatch) -> dict:
+        best, share, _ = shared.value.known(list(texts(batch, 1)))
+        own = [shared.value.languages[k] == name for k, name in zip(best, batch.column(0).to_pylist())]
+        return {"best": best, "share": share, "own": own}
+
+    judged = per_batch(chosen.select("lang", "text"), "best long, share double, own boolean", work).where("own and share > 0")
+    low = judged.groupBy("best").agg(F.percentile_approx("share", LOW_PART, F.lit(1_000)).alias("low")).collect()
+    least = np.zeros(len(filters.languages))
+    for r in low:
+        least[r["best"]] = LEAST_KNOWN * r["low"]
+    return replace(filters, least=least)
+
+
+def foreign(docs: DataFrame, train: DataFrame, key: str = "doc_id", lang: str = "lang", text: str = "text") -> DataFrame:
+    """``key`` of the documents that are in none of the languages of the rows of ``train`` not held out."""
+    rows = train.where(~held_out(F.col(key)))
+    filters = fit(rows, lang, text)
+    own = narrow(docs, F.col(key), F.col(text))
+    if filters is None:
+        return own.select(key)
+    shared = docs.sparkSession.sparkContext.broadcast(with_least(filters, training_rows(rows, lang, text, SAMPLE_DOCS)[0]))
+
+    def work(batch: pa.RecordBatch) -> dict:
+        return {key: batch.column(0), "foreign": shared.value.foreign(list(texts(batch, 1)))}
+
+    return per_batch(own, f"`{key}` {type_of(docs, key)}, foreign boolean", work).where("foreign").select(key)
+
+
 def held_out(key: Column) -> Column:
     """Whether a document is kept out of training: crc32 of the id as text, modulo 4, is 2."""
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % 4 == 2, F.lit(False))

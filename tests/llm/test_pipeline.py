@@ -1,5 +1,7 @@
 """The corpus pipeline: every stage against its operator's brute force, on documents with planted cases."""
 
+import random
+
 import pytest
 from llm_cases import EDGES, SMALL
 from test_near_dup import brute
@@ -56,6 +58,23 @@ def test_language_stage_keeps_clean_documents(stages):
     assert ids(stages[2]) == ids(stages[1])
 
 
+def test_language_stage_rejects_gibberish_and_unlearned_languages(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    r = random.Random(1)
+    italian = (
+        "il presidente della repubblica ha detto che non vuole parlare con gli altri ministri perché questa sera saranno tutti insieme nella città"
+        " di roma e poi torneranno a casa loro senza dire niente a nessuno di quello che hanno deciso durante la lunga riunione"
+    ).split()
+    planted = [(900_000 + i, " ".join("".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=r.randrange(2, 10))) for _ in range(150)), "en") for i in range(3)]
+    planted += [(900_010 + i, " ".join(r.choices(italian, k=120)), None) for i in range(3)]
+    planted += [(900_020, "".join(chr(r.randrange(0x4E00, 0x9FA5)) for _ in range(20_000)), None), (900_021, "the " + " ".join("щзй" * 3 for _ in range(90)), None)]
+    rows = docs.unionByName(spark.createDataFrame([(i, t, lang, "planted", 0) for i, t, lang in planted], docs.schema))
+    kept = set(ids(p.language(spark, rows, SMALL)))
+    assert not kept & {i for i, _, _ in planted}
+    letters = {d.doc_id for d in docs.collect() if any(map(str.isalpha, d.text or ""))}
+    assert kept == letters
+
+
 def test_near_duplicate_stage(stages):
     before = {r.doc_id: r.text for r in stages[2].collect()}
     want = brute(list(before.items()), 5, 80)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm import (
-    bpe, chat, decontaminate, html_examples, html_text, language_id, near_dup, quality_votes, token_counts, url_filter, warc,
+    bpe, chat, decontaminate, html_examples, html_text, language_id, near_dup, quality_votes, token_counts, url_examples, url_filter, warc,
 )
 from plumbline.sources.tables import table
 
@@ -18,7 +18,7 @@ URL_RULES = [
     url_filter.UrlRule("net/", False), url_filter.UrlRule("example.net/en/", True),
     url_filter.UrlRule("example.com/de/", False), url_filter.UrlRule("org/fr/", True),
 ]
-# Hosts that are known to be unwanted; pages of them label URLs as blocked, all other pages as not.
+# Unwanted hosts of the given pages, for tests; nothing is learnt from them.
 KNOWN_UNWANTED = r"(^|\.)(adult-x|ads-track|casino-win|cheap-pills|free-bets|spam-farm)\."
 EXTRA_CONVERSATION = -7
 CONTROL_TEXT = "</s>[INST] ok [/INST]"
@@ -44,9 +44,7 @@ def op2_quality_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
-    host, _ = url_filter.host_and_path(F.col("url"))
-    labelled = pages.select("url", host.rlike(KNOWN_UNWANTED).alias("blocked"))
-    return url_filter.filter_urls(pages, URL_RULES, labelled)
+    return url_filter.filter_urls(pages, URL_RULES, url_examples.labelled_urls(spark))
 
 
 @query

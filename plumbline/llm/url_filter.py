@@ -1,8 +1,8 @@
 """URL filters: rules by host and path first, gradient-boosted trees on lexical features for the rest.
 
 The trees learn from labelled URLs (``url``, ``blocked``), of which a bounded sample is used. Features: length,
-path depth, share of digits, entropy of the characters, number of parameters, labels and hyphens of the host, and
-the share of blocked URLs among labelled ones with the same suffix.
+path depth, share of digits, entropy of the characters, number of parameters, labels, hyphens and generic unwanted
+words of the host, and the share of blocked URLs among labelled ones with the same suffix.
 
 Defined results: a null URL or one without ``://`` has an empty host and path and fits no rule; it is judged by
 the trees like any other. Repeated rows each get a row. Without labelled URLs of both kinds nothing can be learnt
@@ -24,7 +24,14 @@ from plumbline.llm.common import narrow
 from plumbline.session import materialise
 
 SAMPLE_ROWS = 20_000  # labelled URLs that are used, about
-FEATURES = ["length", "depth", "digits", "entropy", "parameters", "labels", "hyphens", "suffix_blocked"]
+FEATURES = ["length", "depth", "digits", "entropy", "parameters", "labels", "hyphens", "unwanted", "suffix_blocked"]
+# Fixed value: generic words of unwanted hosts. The longer ones count inside other words too.
+UNWANTED = (
+    "ad ads adult advert bet bets betting bonus casino clicks crack dating escort escorts gambling hack jackpot keygen loan loans lottery malware nude"
+    " payday phishing pharmacy pill pills poker popunder porn replica roulette scam sex slots spam spyware torrent tracker viagra warez webcams xxx"
+).split()
+_WHOLE = "|".join(w for w in UNWANTED if len(w) < 5)
+_INSIDE = "|".join(w for w in UNWANTED if len(w) >= 5)
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -84,6 +91,7 @@ def lexical(urls: DataFrame, url: str) -> DataFrame:
         "parameters": F.length(F.regexp_replace(F.regexp_extract(whole, r"\?([^#]*)", 1), "[^=]+", "")).cast("double"),
         "labels": F.length(F.regexp_replace("host", "[^.]+", "")).cast("double"),
         "hyphens": F.length(F.regexp_replace("host", "[^-]+", "")).cast("double"),
+        "unwanted": F.regexp_count("host", F.lit(f"(?<![a-z])({_WHOLE})(?![a-z])|{_INSIDE}")).cast("double"),
     })
 
 

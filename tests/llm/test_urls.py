@@ -5,6 +5,7 @@ import re
 from llm_cases import SMALL
 from pyspark.sql import functions as F
 
+from plumbline.llm import url_examples
 from plumbline.llm import url_filter as u
 from plumbline.llm.queries import KNOWN_UNWANTED, URL_RULES, op5_url_filter
 
@@ -71,3 +72,27 @@ def test_empty_tables(spark):
 def test_entropy(spark):
     rows = spark.createDataFrame([("",), ("aaaa",), ("ab",), ("abcd",)], "t string").select(u.entropy(F.col("t"))).collect()
     assert [r[0] for r in rows] == [0.0, 0.0, 1.0, 2.0]
+
+
+def test_verdicts_do_not_depend_on_the_names_in_the_table(spark):
+    """A table with none of the given unwanted hosts is judged all the same."""
+    unwanted = [
+        "http://poker-vip.example.com/en/12", "https://www.payday-loans24.info/", "http://xxx-tube.example.org/a?b=1", "https://m.viagra-shop.example.net/es/9.html",
+        "http://best-lottery.top/de/1#top", "http://roulette-live77.xyz/", "https://nude-webcams.example.net/fr/5/",
+    ]
+    ordinary = [
+        "http://lorand.example.com/en/12", "https://www.stadtwerk.info/", "http://blog.minor.example.org/a?b=1", "https://m.velo-shop.example.net/es/9.html",
+        "http://essex.example.com/en/77", "https://paper.example.org/casino/12", "http://www.terrabit.example.net/fr/4163",
+    ]
+    pages = spark.createDataFrame(list(enumerate([*unwanted, *ordinary])), "page_id long, url string")
+    rows = u.filter_urls(pages, URL_RULES[1:2], url_examples.labelled_urls(spark)).collect()
+    assert {r.page_id: r.verdict for r in rows} == {i: "block" if i < len(unwanted) else "allow" for i in range(len(rows))}
+
+
+def test_made_urls_the_fit_has_not_seen(spark):
+    made = url_examples.labelled_urls(spark, 10_000)
+    assert made.where("blocked").count() == 5_000
+    kept = F.pmod(F.xxhash64("url"), F.lit(5)) == 0
+    model = u.fit_urls(made.where(~kept))
+    rest = model.score(u.lexical(made.where(kept), "url"))
+    assert rest.where((F.col("blocked_score") >= 0.5) == F.col("blocked")).count() >= 0.96 * rest.count() > 1_000

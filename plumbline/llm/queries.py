@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm import (
-    bpe, chat, decontaminate, html_examples, html_text, language_id, near_dup, quality_votes, token_counts, url_examples, url_filter, warc,
+    bpe, chat, decontaminate, html_examples, html_text, jaccard_join, language_id, near_dup, quality_votes, token_counts, url_examples, url_filter, warc,
 )
 from plumbline.sources.tables import table
 
@@ -94,3 +94,29 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"), html_examples.labelled_pages(spark))
+
+
+@query
+def op12_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_classes(table(spark, sf_dir, "documents"), size=4, percent=85)
+
+
+SQL["op12_jaccard_join"] = r"""
+WITH RECURSIVE worded AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 2), i -> array_to_string(w[i:i + 3], ' '))) END AS s FROM worded),
+members AS (SELECT doc_id, len(s) AS n, unnest(s) AS shingle FROM sets),
+first_of AS (SELECT doc_id, len(s) AS n, min(doc_id) OVER (PARTITION BY list_sort(s)) AS rep FROM sets WHERE len(s) > 0),
+reps AS (SELECT m.* FROM members m WHERE m.doc_id IN (SELECT rep FROM first_of)),
+pairs AS (
+  SELECT a.doc_id AS x, b.doc_id AS y FROM reps a JOIN reps b ON a.shingle = b.shingle AND a.doc_id < b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+edges AS (SELECT x, y FROM pairs UNION ALL SELECT y, x FROM pairs),
+reach AS (SELECT DISTINCT rep AS x, rep AS y FROM first_of UNION SELECT r.x, e.y FROM reach r JOIN edges e ON e.x = r.y),
+component AS (SELECT x, min(y) AS component_id FROM reach GROUP BY x)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, coalesce(c.component_id, s.doc_id) AS component_id
+FROM sets s LEFT JOIN first_of f ON f.doc_id = s.doc_id LEFT JOIN component c ON c.x = f.rep
+"""

@@ -132,10 +132,10 @@ class Best:
         self.last[self.key[full]] = self.score[full]
 
 
-def tiles(batches: Iterator[pa.RecordBatch], dims: int, scale: float) -> Iterator[Vectors]:
+def tiles(batches: Iterator[pa.RecordBatch], dims: int, scale: float, size: int) -> Iterator[Vectors]:
     for whole in batches:
-        for at in range(0, whole.num_rows, TILE):
-            batch = whole.slice(at, TILE)
+        for at in range(0, whole.num_rows, size):
+            batch = whole.slice(at, size)
             rows = Vectors(batch.column(0).to_numpy(), batch.column(1).to_numpy(), matrix_of(batch.column(2), dims, scale))
             yield rows.only(np.argsort(rows.labels, kind="stable"))
 
@@ -149,7 +149,7 @@ def best_same(rows: DataFrame, anchors, k: int, dims: int, scale: float) -> Data
         block = anchors.value
         best = Best(len(block.ids), k)
         groups = {int(v): np.flatnonzero(block.labels == v) for v in np.unique(block.labels)}
-        for tile in tiles(batches, dims, scale):
+        for tile in tiles(batches, dims, scale, TILE):
             for label in np.unique(tile.labels):
                 own = groups.get(int(label), np.empty(0, np.int64))
                 others = tile.only(np.flatnonzero(tile.labels == label)) if len(own) else None
@@ -172,7 +172,7 @@ def best_other(rows: DataFrame, anchors, windows, k: int, dims: int, scale: floa
         block, (low, high) = anchors.value, windows.value
         slots = low.shape[1]
         best = Best(low.size, k)
-        for tile in tiles(batches, dims, scale):
+        for tile in tiles(batches, dims, scale, TILE):
             least = np.maximum(low, best.last.reshape(low.shape))
             least = np.where(high >= low, least, np.inf).min(axis=1)
             most = np.where(high >= low, high, -np.inf).max(axis=1)

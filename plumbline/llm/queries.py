@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm import (
-    bpe, chat, decontaminate, hard_negatives, html_examples, html_text, jaccard_join, language_id, near_dup, quality_votes, token_counts, url_examples, url_filter, warc,
+    bpe, chat, conversation_trie, decontaminate, hard_negatives, html_examples, html_text, jaccard_join, language_id, near_dup, quality_votes, token_counts, url_examples, url_filter, warc,
 )
 from plumbline.sources.tables import table
 
@@ -148,3 +148,50 @@ FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 50 * positive_scor
 WINDOW w AS (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, s.id)
 QUALIFY row_number() OVER w <= 3
 """
+
+
+@query
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = conversation_trie.numbered_turns(table(spark, sf_dir, "conversations"))
+    # The contract's rebuilding: every hundredth conversation lends its first turns.
+    head = F.crc32(F.col("conv").cast("string").cast("binary")) % 6
+    rebuilt = conversation_trie.rebuilt(turns, F.col("conv") - F.col("conv") % 100, head, 6)
+    return conversation_trie.with_digests(*conversation_trie.prefix_trie(*rebuilt))
+
+
+_CRC_STEP = "list_reduce([xor(acc, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda v, z: xor(v >> 1, CASE WHEN v % 2 = 1 THEN 3988292384 ELSE 0 END))"
+SQL["op13_conversation_trie"] = f"""
+WITH own AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS i
+  FROM conversations WHERE conv_id IS NOT NULL),
+convs AS (
+  SELECT conv_id, conv_id - conv_id % 100 AS base, xor(4294967295, list_reduce(
+    list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda c: CAST(ord(c) AS BIGINT))),
+    lambda acc, b: {_CRC_STEP})) % 6 AS h
+  FROM (SELECT DISTINCT conv_id FROM own)),
+rebuilt AS (
+  SELECT c.conv_id, 0 AS part, o.i, o.role, o.text FROM convs c JOIN own o ON o.conv_id = c.base AND o.i < c.h
+  UNION ALL SELECT c.conv_id, 1, o.i, o.role, o.text FROM convs c JOIN own o ON o.conv_id = c.conv_id AND o.i >= c.h),
+placed AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY part, i) AS d, length(text) AS chars,
+         sha256(length(role) || ':' || role || text) AS turn FROM rebuilt),
+paths AS (
+  SELECT conv_id, d, chars, string_agg(turn, '') OVER (PARTITION BY conv_id ORDER BY d) AS path FROM placed
+  UNION ALL SELECT conv_id, 0, 0, '' FROM convs),
+lengths AS (SELECT conv_id, max(d) AS len FROM paths GROUP BY conv_id),
+node AS (
+  SELECT p.path, p.d, min(p.conv_id) AS conv_id, count(*) AS n, any_value(p.chars) AS chars,
+         string_agg(CASE WHEN l.len = p.d THEN CAST(p.conv_id AS VARCHAR) END, ',' ORDER BY p.conv_id) AS ends
+  FROM paths p JOIN lengths l USING (conv_id) GROUP BY p.path, p.d),
+child AS (SELECT left(path, CAST(64 * (d - 1) AS BIGINT)) AS up, * FROM node WHERE d > 0),
+kids AS (SELECT up, count(*) AS k FROM child GROUP BY up),
+-- Every node with all of its ancestors and itself.
+above AS (SELECT n.path, n.d, n.n, n.chars, a AS lvl, k.k FROM node n LEFT JOIN kids k ON k.up = n.path, unnest(range(0, n.d + 1)) t(a)),
+sums AS (
+  SELECT left(path, CAST(64 * lvl AS BIGINT)) AS path, CAST(count(*) FILTER (WHERE k IS NULL) AS BIGINT) AS n_leaves, CAST(sum((n - 1) * chars) AS BIGINT) AS saved
+  FROM above GROUP BY 1)
+SELECT n.conv_id, n.d AS depth, p.conv_id AS parent_conv_id, n.n AS n_convs, coalesce(k.k, 0) AS n_children, s.n_leaves, s.saved AS saved_tokens,
+       sha256(coalesce(n.ends, '')) AS ends_sha256
+FROM node n JOIN sums s USING (path) LEFT JOIN kids k ON k.up = n.path LEFT JOIN node p ON n.d > 0 AND p.path = left(n.path, CAST(64 * (n.d - 1) AS BIGINT))
+"""

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from plumbline.operators.gram import gram_correlations
 from plumbline.operators.profile import value_counts
 from plumbline.operators.quality import is_numeric, numeric_columns, string_columns
 from plumbline.operators.quantiles import clean, exact_quantiles
@@ -440,16 +441,25 @@ def unique_columns(df: DataFrame) -> DataFrame:
     return marked.select(*[F.col(f"c{i}").alias(n) for i, (n, keep) in enumerate(zip(df.columns, fresh)) if keep])
 
 
+PLAIN_COLUMNS = 24  # up to so many, an aggregate for every pair compiles well
+
+
 def select_features(df: DataFrame, features: Sequence[str], target: str, k: int | None = None, max_pair: float = 0.95) -> list[str]:
     """The ``k`` features most correlated with the target, leaving out near copies of a better one."""
     number = {c: clean(df, c).cast("double") for c in [*features, target]}
-    pairs = [(a, b) for i, a in enumerate(features) for b in features[i + 1:]]
-    row = df.agg(
-        *[F.corr(number[c], number[target]).alias(f"t{i}") for i, c in enumerate(features)],
-        *[F.corr(number[a], number[b]).alias(f"p{i}") for i, (a, b) in enumerate(pairs)],
-    ).first()
-    strength = {c: abs(row[f"t{i}"] or 0.0) for i, c in enumerate(features)}
-    close = {frozenset(p) for i, p in enumerate(pairs) if abs(row[f"p{i}"] or 0.0) > max_pair}
+    if len(features) > PLAIN_COLUMNS:
+        wide = df.select(*[v.alias(c) for c, v in number.items()])
+        found = {frozenset((r["column_a"], r["column_b"])): r["correlation"] for r in gram_correlations(wide, [*features, target]).collect()}
+        strength = {c: abs(found[frozenset((c, target))] or 0.0) for c in features}
+        close = {pair for pair, r in found.items() if target not in pair and abs(r or 0.0) > max_pair}
+    else:
+        pairs = [(a, b) for i, a in enumerate(features) for b in features[i + 1:]]
+        row = df.agg(
+            *[F.corr(number[c], number[target]).alias(f"t{i}") for i, c in enumerate(features)],
+            *[F.corr(number[a], number[b]).alias(f"p{i}") for i, (a, b) in enumerate(pairs)],
+        ).first()
+        strength = {c: abs(row[f"t{i}"] or 0.0) for i, c in enumerate(features)}
+        close = {frozenset(p) for i, p in enumerate(pairs) if abs(row[f"p{i}"] or 0.0) > max_pair}
     chosen: list[str] = []
     for c in sorted(features, key=lambda c: (-strength[c], c)):
         if not any(frozenset((c, other)) in close for other in chosen):

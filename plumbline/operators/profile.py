@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.blueprints import BLUEPRINTS, Blueprint, get_blueprint
+from plumbline.operators.gram import gram_correlations
 from plumbline.operators.quality import Anomaly, Moments, is_numeric, numeric_columns, with_distinct_counts
 from plumbline.operators.quantiles import clean
 
@@ -19,6 +20,9 @@ COMPATIBLE_COMPLETENESS, COMPATIBLE_MAX_ISSUES = 0.8, 2
 SCHEMA_REQUIRED_WEIGHT, SCHEMA_OPTIONAL_WEIGHT = 0.8, 0.2
 
 
+PLAIN_COLUMNS = 24  # up to so many, an aggregate for every pair compiles well
+
+
 def column_profile(df: DataFrame, columns: Sequence[str] | None = None, *, exact: bool = True) -> DataFrame:
     """One row per column: type, counts, distinct values and number statistics, from one aggregation.
 
@@ -100,8 +104,10 @@ def mixed_profile(df: DataFrame, columns: Sequence[str] | None = None, k: int =
 
 
 def correlations(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Pearson correlation of every column pair, from one aggregation of fixed size."""
+    """Pearson correlation of every column pair, from one aggregation of fixed size; of many columns by a Gram matrix."""
     columns = list(columns or numeric_columns(df))
+    if len(columns) > PLAIN_COLUMNS:
+        return gram_correlations(df, columns).drop("n_rows")
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1:]]
     number = {c: clean(df, c).cast("double") for c in columns}
     row = df.agg(*[F.corr(number[a], number[b]).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])

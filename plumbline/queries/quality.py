@@ -551,6 +551,18 @@ def _(spark, sf):
     return rounded(P.correlations(table(spark, sf, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]), ["correlation"])
 
 
+WIDE = {f"w{i:02}": f"CASE WHEN o_orderkey % {i + 2} <> 0 THEN o_totalprice * ((o_custkey + {i}) % {i % 5 + 2}) + o_orderkey % {i + 3} END" for i in range(30)}
+
+
+@query("profile_wide_correlations", f"""
+WITH w AS (SELECT {", ".join(f"{v} AS {c}" for c, v in WIDE.items())} FROM orders)
+{" UNION ALL ".join(f"SELECT '{a}' AS column_a, '{b}' AS column_b, round(corr({a}, {b}), 6) AS correlation FROM w" for a in WIDE for b in WIDE if a < b)}""")
+def _(spark, sf):
+    """Thirty columns with missing values, correlated by one Gram matrix."""
+    wide = table(spark, sf, "orders").select(*[F.expr(v).alias(c) for c, v in WIDE.items()])
+    return rounded(P.correlations(wide), ["correlation"])
+
+
 def outlier_sql(c: str) -> str:
     if c not in CHURN_NUMBERS:
         return f"SELECT '{c}' AS \"column\", round(100.0 * (count(*) - count({c})) / count(*), 6) AS missing_percent, CAST(NULL AS BIGINT) AS outlier_count FROM d"

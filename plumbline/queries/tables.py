@@ -48,6 +48,33 @@ def _(spark, sf):
     return rounded(back.groupBy("o_orderstatus").agg(F.count("*").alias("n_orders"), F.sum("o_totalprice").alias("total")), ["total"], 2)
 
 
+@query("scan_csv_multiline", """
+SELECT doc_id, CAST(length(text) AS BIGINT) AS n_chars, md5(text) AS digest, lang FROM (
+  SELECT doc_id, replace('say "' || text || '"', chr(13), ' ') || chr(10) || 'end' AS text, lang FROM documents WHERE text IS NOT NULL)""")
+def _(spark, sf):
+    """Whole texts with their quotes and line breaks, stored as CSV and cut into records again in parallel."""
+    path = scratch_path(spark, "documents-csv")
+    docs = table(spark, sf, "documents").where("text is not null")
+    text = F.concat(F.replace(F.concat(F.lit('say "'), "text", F.lit('"')), F.lit("\r"), F.lit(" ")), F.lit("\nend"))
+    docs.select("doc_id", text.alias("text"), "lang").write.option("header", True).option("escape", '"').csv(path)
+    back = files.read_csv(spark, path, infer=False)
+    return back.select(F.col("doc_id").cast("long").alias("doc_id"), F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("digest"), "lang")
+
+
+@query("scan_mixed_folder", """
+SELECT CAST(c_custkey AS BIGINT) AS c_custkey, CASE c_custkey % 3 WHEN 0 THEN c_name || ' Zoë; ,日本' WHEN 1 THEN c_name || ', Jürgen' ELSE c_name || ', 20 €' END AS c_name,
+  c_acctbal FROM customer""")
+def _(spark, sf):
+    """One folder with files of three encodings and two delimiters."""
+    path = scratch_path(spark, "mixed")
+    customers, key = table(spark, sf, "customer").select("c_custkey", "c_name", "c_acctbal"), F.col("c_custkey") % 3
+    # In windows-1252 the euro sign has the byte that is the control character 128 in Latin-1.
+    for part, tail, sep, encoding in ((0, " Zoë; ,日本", ",", "UTF-8"), (1, ", Jürgen", ";", "ISO-8859-1"), (2, ", 20 \x80", ";", "ISO-8859-1")):
+        rows = customers.where(key == part).withColumn("c_name", F.concat("c_name", F.lit(tail)))
+        rows.write.mode("append").option("header", True).option("sep", sep).option("encoding", encoding).csv(path)
+    return files.read_csv(spark, path)
+
+
 @query("check_utf8", "SELECT lang, count(*) AS n_docs, count(*) AS valid_docs, CAST(sum(octet_length(encode(text))) AS BIGINT) AS n_bytes FROM documents GROUP BY 1")
 def _(spark, sf):
     content = F.encode("text", "UTF-8")

@@ -5,6 +5,8 @@ from __future__ import annotations
 import csv
 from collections.abc import Sequence
 from functools import reduce
+from typing import NamedTuple
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +14,7 @@ from pyspark.sql import types as T
 
 from plumbline.functions.scalars import normalise_names
 from plumbline.operators.quality import string_columns
+from plumbline.sources.records import may_go_on, numbered_lines, records
 
 # Delimiters tried, the words read as missing, encodings tried after UTF-8.
 DELIMITERS = (",", ";", "\t", "|")
@@ -30,41 +33,62 @@ def _paths(paths: str | Sequence[str]) -> list[str]:
     return [paths] if isinstance(paths, str) else list(paths)
 
 
-def _fields(line: str, delimiter: str) -> int:
-    return len(next(csv.reader([line], delimiter=delimiter, skipinitialspace=True), []))
+class Judged(NamedTuple):
+    """What one file was found to be."""
 
+    path: str
+    delimiter: str
+    encoding: str
+    first: bytes  # the first line that is not blank
+    goes_on: bool  # whether a line may end inside quotes
 
-def judge_files(spark: SparkSession, paths: str | Sequence[str]) -> list[tuple[str, str]]:
-    """Delimiter and encoding of each path, from all its lines in one pass over all paths.
+
+def manifest(spark: SparkSession, paths: str | Sequence[str]) -> list[Judged]:
+    """Every file below the paths, judged from all of its own lines, in one pass over all files.
 
     The delimiter is the one with which most lines have as many fields as the first one, and among these the one of
     most fields; a comma if none divides the first line. UTF-8 if every line is valid, else windows-1252 if it has
-    bytes that are control characters in Latin-1, else Latin-1, which accepts any byte.
+    bytes that are control characters in Latin-1, else Latin-1, which accepts any byte. The result has a row for each file.
     """
-    paths = _paths(paths)
-    parts, widths = [], []
-    for i, path in enumerate(paths):
-        lines = spark.read.text(path)
-        head = lines.where(F.trim("value") != "").limit(1).collect()
-        widths.append([_fields(head[0][0], d) if head else 0 for d in DELIMITERS])
-        parts.append(lines.select(F.lit(i).alias("i"), "value", *[F.lit(w).alias(f"w{k}") for k, w in enumerate(widths[-1])]))
-    quoteless = F.regexp_replace("value", r'"[^"]*"', "")
-    whole = reduce(DataFrame.unionByName, parts).withColumn("valid", F.is_valid_utf8("value")).withColumn("plain", quoteless)
-    filled = F.trim("value") != ""
-
-    def matches(k: int) -> Column:
-        return filled & (F.length("plain") - F.length(F.replace("plain", F.lit(DELIMITERS[k]), F.lit(""))) + 1 == F.col(f"w{k}"))
-
-    # The text reader hands over the bytes of each line as they are.
-    controls = ~F.col("valid") & F.decode(F.col("value").cast("binary"), FALLBACK_ENCODINGS[0]).rlike("[\x80-\x9f]")
-    rows = whole.groupBy("i").agg(
-        F.bool_and("valid").alias("utf8"), F.bool_or(controls).alias("controls"), *[F.count_if(matches(k)).alias(f"m{k}") for k in range(len(DELIMITERS))]
-    ).collect()
-    out = [(",", "UTF-8")] * len(paths)
-    for row in rows:
-        scores = {d: (row[f"m{k}"], widths[row["i"]][k]) for k, d in enumerate(DELIMITERS) if widths[row["i"]][k] > 1}
-        best = max(scores, key=scores.get, default=",")
-        out[row["i"]] = best, "UTF-8" if row["utf8"] else FALLBACK_ENCODINGS[bool(row["controls"])]
+    value = F.col("value")
+    plain = F.regexp_replace(value, r'"[^"]*"', "")
+    controls = ~F.is_valid_utf8(value) & F.decode(value.cast("binary"), FALLBACK_ENCODINGS[0]).rlike("[\x80-\x9f]")
+    lines = numbered_lines(spark, _paths(paths)).select(
+        "file", "start", "number", "value", (F.trim(F.replace(value, F.lit("\r"), F.lit(""))) != "").alias("filled"),
+        *[(F.length(plain) - F.length(F.replace(plain, F.lit(d), F.lit(""))) + 1).alias(f"w{k}") for k, d in enumerate(DELIMITERS)],
+        F.is_valid_utf8(value).alias("valid"), controls.alias("controls"), may_go_on(value).alias("goes_on"),
+    )
+    widths = [f"w{k}" for k in range(len(DELIMITERS))]
+    alike = lines.groupBy("file", "filled", *widths).agg(
+        F.count("*").alias("n"), F.min(F.struct("start", "number", F.col("value").cast("binary").alias("value"))).alias("first"),
+        F.bool_and("valid").alias("valid"), F.bool_or("controls").alias("controls"), F.bool_or("goes_on").alias("goes_on"),
+    )
+    head = F.struct(F.col("first.start").alias("start"), F.col("first.number").alias("number"), F.col("first.value").alias("value"), *widths)
+    files = alike.groupBy("file").agg(
+        F.min(F.when(F.col("filled"), head)).alias("head"), F.collect_list(F.when(F.col("filled"), F.struct("n", *widths))).alias("kinds"),
+        F.bool_and("valid").alias("valid"), F.bool_or("controls").alias("controls"), F.bool_or("goes_on").alias("goes_on"),
+    )
+
+    def like_first(w: str) -> Column:
+        return F.aggregate("kinds", F.lit(0).cast("long"), lambda n, x: n + F.when(x[w] == F.col("head")[w], x["n"]).otherwise(F.lit(0)))
+
+    matches = [like_first(w).alias(f"m{k}") for k, w in enumerate(widths)]
+    out = []
+    for row in files.select("file", "head", "valid", "controls", "goes_on", *matches).orderBy("file").collect():
+        head_ = row["head"]
+        scores = {d: (row[f"m{k}"], head_[f"w{k}"]) for k, d in enumerate(DELIMITERS) if head_ and head_[f"w{k}"] > 1}
+        encoding = "UTF-8" if row["valid"] else FALLBACK_ENCODINGS[bool(row["controls"])]
+        first = bytes(head_["value"]) if head_ else b""
+        out.append(Judged(row["file"], max(scores, key=scores.get, default=","), encoding, first, bool(row["goes_on"])))
+    return out
+
+
+def judge_files(spark: SparkSession, paths: str | Sequence[str]) -> list[tuple[str, str]]:
+    """Delimiter and encoding of each path; of a folder, those of its first file. See ``manifest``."""
+    out = []
+    for path in _paths(paths):
+        found = manifest(spark, path)
+        out.append((found[0].delimiter, found[0].encoding) if found else (",", "UTF-8"))
     return out
 
 
@@ -158,49 +182,60 @@ def infer_types(df: DataFrame) -> DataFrame:
     return df.withColumns(changes) if changes else df
 
 
-def _header(spark: SparkSession, path: str, delimiter: str, encoding: str) -> list[str]:
+def _names(line: bytes, delimiter: str, encoding: str) -> tuple[str, ...]:
     """The names in the first line. A repeated name gets a number, an empty one becomes unnamed."""
-    line = spark.read.text(path).select(F.col("value").cast("binary")).limit(1).collect()
-    fields = next(csv.reader([bytes(line[0][0]).decode(encoding, "replace")], delimiter=delimiter, skipinitialspace=True)) if line else []
+    text = line.decode(encoding, "replace").removeprefix("\ufeff").rstrip("\r")
+    fields = next(csv.reader([text], delimiter=delimiter, skipinitialspace=True), [])
     seen: dict[str, int] = {}
     names = []
     for i, name in enumerate(fields):
         name = name if name.strip() else f"Unnamed: {i}"
         seen[name] = seen.get(name, -1) + 1
         names.append(f"{name}.{seen[name]}" if seen[name] else name)
-    return names
+    return tuple(names)
 
 
 def read_csv(
     spark: SparkSession, paths: str | Sequence[str], *, schema: T.StructType | str | None = None,
-    delimiter: str | None = None, encoding: str | None = None, infer: bool = True, multi_line: bool = False, errors: str | None = None,
+    delimiter: str | None = None, encoding: str | None = None, infer: bool = True, multi_line: bool | None = None, errors: str | None = None,
 ) -> DataFrame:
-    """CSV with header. Delimiter and encoding are found for each path by itself unless given.
+    """CSV with header. Delimiter and encoding are found for each file by itself, also inside a folder, unless given.
 
     Every column is read as text, the words for "missing" become NULL, and then types follow: from ``schema`` (by
     position; the right choice for large data, as it saves a pass) or from the values. A value that does not fit the
     schema raises; with ``errors`` it becomes NULL instead and the column of that name maps column to text.
-    ``multi_line`` reads line breaks inside quotes, at the price of one task for each file.
+    Line breaks inside quotes belong to their field. Files without any are found in the pass that judges them and read as
+    lines; the others are cut at true record ends in parallel (``records``). ``multi_line=False`` tells that there are none,
+    ``True`` that there may be some, and either saves the pass if all else is given. UTF-16 and UTF-32 are read as lines.
     """
     paths = _paths(paths)
     if isinstance(schema, str):
         schema = T.StructType.fromDDL(schema)
-    judged = judge_files(spark, paths) if delimiter is None or encoding is None else [(delimiter, encoding)] * len(paths)
+    byte_wise = encoding is None or not encoding.upper().replace("-", "").startswith(("UTF16", "UTF32"))
+    known = None not in (schema, delimiter, encoding) and (multi_line is not None or not byte_wise)
     alike: dict[tuple, list[str]] = {}
-    for path, (own_delimiter, own_encoding) in zip(paths, judged):
-        own_delimiter, own_encoding = delimiter or own_delimiter, encoding or own_encoding
-        names = tuple(schema.names) if schema is not None else tuple(_header(spark, path, own_delimiter, own_encoding))
-        alike.setdefault((own_delimiter, own_encoding, names), []).append(path)
+    if known:
+        alike[delimiter, encoding, tuple(schema.names), bool(multi_line) and byte_wise] = paths
+    else:
+        for file in manifest(spark, paths):
+            own_delimiter, own_encoding = delimiter or file.delimiter, encoding or file.encoding
+            names = tuple(schema.names) if schema is not None else _names(file.first, own_delimiter, own_encoding)
+            goes_on = byte_wise and (file.goes_on if multi_line is None else multi_line)
+            if names:
+                alike.setdefault((own_delimiter, own_encoding, names, goes_on), []).append(unquote(file.path))
+        if len(alike) == 1:
+            alike = {key: paths for key in alike}
     frames = []
-    for (own_delimiter, own_encoding, names), own in alike.items():
+    for (own_delimiter, own_encoding, names, goes_on), own in alike.items():
         text = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))])
-        if not names:
-            continue
-        raw = (
-            spark.read.option("header", True).option("sep", own_delimiter).option("encoding", own_encoding.replace("windows-1252", "ISO-8859-1")).option("multiLine", multi_line)
-            .option("ignoreLeadingWhiteSpace", True).option("mode", "PERMISSIVE").option("escape", '"').option("enforceSchema", True)
-            .schema(text).csv(own)
-        )
+        options = {"sep": own_delimiter, "ignoreLeadingWhiteSpace": "true", "mode": "PERMISSIVE", "escape": '"'}
+        readable = own_encoding.replace("windows-1252", "ISO-8859-1")
+        if goes_on:
+            value = F.col("value").cast("string") if readable.upper() == "UTF-8" else F.decode("value", readable)
+            found = records(spark, own, own_delimiter).where(~F.col("header"))
+            raw = found.select(F.from_csv(value, text.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " "), options).alias("r")).select("r.*")
+        else:
+            raw = spark.read.options(header=True, encoding=readable, enforceSchema=True, **options).schema(text).csv(own)
         if own_encoding == "windows-1252":
             # Spark reads Latin-1; the two differ only in what Latin-1 has as control characters.
             raw = raw.select(*[F.translate(c, *WINDOWS_SIGNS).alias(c) for c in raw.columns])

@@ -14,10 +14,11 @@ inside the Voronoi regions of pivots, each region holding also those that the tr
    ``d(x, p) <= d(y, p) + r <= d(y, h) + r <= d(x, h) + 2 r``. The regions are divided again until they are small. Distances
    to pivots are exact, so links to pivots are found on the way, and a region whose members are all in one component is done.
    A region that pivots can't divide (all of its members at like distances) is cut into a grid of blocks, block by block.
-3. Inside a region, ``BITS`` parity bits of a set give a lower bound of the symmetric difference (each element flips one
-   bit). First, members that pass are tied to few hubs; links are confirmed on full sets and give components. Then all
-   pairs that pass and still lie in different components are confirmed. A pair inside one component could not change it,
-   so large groups of near copies are never paired out and no link between components is lost.
+3. Inside a region, parity bits of a set, about two for each element, give a lower bound of the symmetric difference
+   (each element flips one bit). First, members that pass are tied to few hubs; links are confirmed on full sets and give
+   components. Then all pairs that pass and still lie in different components are confirmed. A pair inside one component
+   could not change it, so large groups of near copies are never paired out and no link between components is lost.
+   Regions carry at most ``BITS`` bits of a set; pairs of larger sets meet the bound again with all of their bits.
 
 The order of shingles comes from counts over all documents; any order gives the same result, a good one smaller regions.
 
@@ -43,29 +44,43 @@ from plumbline.session import materialise
 
 LOCAL = 1_024  # members of a region that are joined in one task
 PIVOTS = 16
-BITS = 512
+LEAST_BITS, BITS = 512, 2_048  # parity bits that a region carries for a set
+PIVOT_BYTES = 32_000_000  # sets of pivots that are broadcast; more are joined by shuffle
 FREQUENT = 200_000  # shingles whose frequency decides their place; the others count as equally rare
 COUNTED = 2_000_000  # shingles that a task counts at once
 HELD_TWICE = 4  # counts below it are not passed on
 
 
-def parity(elements: np.ndarray) -> bytes:
-    """``BITS`` bits, each the parity of the number of elements that fall on it."""
-    places = (mixed(elements) >> np.uint64(7)) & np.uint64(BITS - 1)
-    return np.packbits((np.bincount(places.astype(np.int64), minlength=BITS) & 1).astype(np.uint8)).tobytes()
+def width(n: int, most: int) -> int:
+    """Parity bits for a set of ``n``: a power of two, two for each element."""
+    return min(max(LEAST_BITS, 1 << (2 * n - 1).bit_length()), most) if n else LEAST_BITS
+
+
+def parity(elements: np.ndarray, bits: int) -> np.ndarray:
+    """Words of ``bits`` bits, each bit the parity of the number of elements that fall on it."""
+    places = (mixed(elements) >> np.uint64(7)) & np.uint64(bits - 1)
+    return np.packbits((np.bincount(places.astype(np.int64), minlength=bits) & 1).astype(np.uint8)).view(np.uint64)
+
+
+def folded(words: np.ndarray, bits: int) -> np.ndarray:
+    """The parities of fewer bits, along the last axis."""
+    while words.shape[-1] * 64 > bits:
+        half = words.shape[-1] // 2
+        words = words[..., :half] ^ words[..., half:]
+    return words
 
 
 def described(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
-    """Rows of documents (``id``, ``n``, ``hi``, ``lo``, ``bits``) and rows of counts (``shingle``, ``held``)."""
+    """Rows of documents (``id``, ``n``, ``hi``, ``lo``, ``bits``, ``wide``) and rows of counts (``shingle``, ``held``)."""
     own = narrow(docs, F.col(key).cast("long").alias("id"), F.col(text))
-    schema = "id long, n long, hi long, lo long, bits binary, shingle long, held long"
+    schema = "id long, n long, hi long, lo long, bits binary, wide binary, shingle long, held long"
     arrow = arrow_schema(own, schema)
 
     def counted(parts: list[np.ndarray]) -> pa.RecordBatch:
         values, counts = np.unique(np.concatenate(parts), return_counts=True)
         keep = counts >= HELD_TWICE
         values, counts = values[keep].view(np.int64), counts[keep]
-        none = [pa.nulls(len(values), f.type) for f in list(arrow)[:5]]
+        none = [pa.nulls(len(values), f.type) for f in list(arrow)[:6]]
         return pa.RecordBatch.from_arrays([*none, pa.array(values), pa.array(counts)], schema=arrow)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -77,14 +92,17 @@ def described(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
                 for value in texts(batch, 1):
                     found = shingles(value, size)
                     digest = xxhash.xxh3_128_intdigest(found.tobytes())
-                    rows.append((len(found), (digest >> 64) - 2**63, (digest & (2**64 - 1)) - 2**63, parity(found)))
+                    whole_bits = parity(found, width(len(found), 1 << 62))
+                    bits = folded(whole_bits, BITS)
+                    wide = whole_bits.tobytes() if len(whole_bits) > len(bits) else None
+                    rows.append((len(found), (digest >> 64) - 2**63, (digest & (2**64 - 1)) - 2**63, bits.tobytes(), wide))
                     if len(found):
                         parts.append(found)
                         waiting += len(found)
                 if not rows:
                     continue
-                columns = [pa.array(c, f.type) for c, f in zip(zip(*rows), list(arrow)[1:5])]
-                none = [pa.nulls(batch.num_rows, f.type) for f in list(arrow)[5:]]
+                columns = [pa.array(c, f.type) for c, f in zip(zip(*rows), list(arrow)[1:6])]
+                none = [pa.nulls(batch.num_rows, f.type) for f in list(arrow)[6:]]
                 yield pa.RecordBatch.from_arrays([batch.column(0), *columns, *none], schema=arrow)
                 if waiting > COUNTED:
                     yield counted(parts)
@@ -168,6 +186,35 @@ def measured(pairs: DataFrame, docs: DataFrame, key: str, text: str, size: int)
     return per_batch(both.select("a", "b", "x", "y"), "a long, b long, common long, either long", compare)
 
 
+def to_pivots(asked: DataFrame, docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
+    """The same for pairs (``id``, ``pivot``) of few pivots, whose sets go to the members rather than both through a shuffle."""
+    own = narrow(docs, F.col(key).cast("long").alias("id"), F.col(text))
+    pivots = own.join(sized(asked.select(F.col("pivot").alias("id")).distinct()), "id")
+    sets = materialise(per_batch(pivots.select("id", text), "id long, own binary", lambda b: {"id": b.column(0), "own": [shingles(t, size).tobytes() for t in texts(b, 1)]}), "sets")
+    if (sets.agg(F.sum(F.length("own"))).first()[0] or 0) > PIVOT_BYTES:
+        return measured(asked.select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct(), docs, key, text, size)
+    table = sets.toArrow()
+    held = docs.sparkSession.sparkContext.broadcast([(i, np.frombuffer(v, np.uint64)) for i, v in zip(*(c.to_pylist() for c in table.columns))])
+
+    def work(batch: pa.RecordBatch) -> dict:
+        places: dict[int, list[int]] = {}
+        for k, (i, _) in enumerate(held.value):
+            places.setdefault(i, []).append(k)
+        out = []
+        for i, wanted, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts(batch, 2)):
+            mine = shingles(value, size)
+            for pivot in wanted:
+                for k in places.get(pivot, ()):
+                    theirs = held.value[k][1]
+                    spots = np.minimum(np.searchsorted(mine, theirs), len(mine) - 1)
+                    common = int((mine[spots] == theirs).sum()) if len(mine) else 0
+                    out.append((min(i, pivot), max(i, pivot), common, len(mine) + len(theirs) - common))
+        return dict(zip(("a", "b", "common", "either"), map(list, zip(*out)) if out else ([], [], [], [])))
+
+    lists = asked.groupBy("id").agg(F.collect_set("pivot").alias("wanted"))
+    return per_batch(own.join(sized(lists), "id").select("id", "wanted", text), "a long, b long, common long, either long", work).distinct()
+
+
 def linked(percent: int) -> Column:
     return 100 * F.col("common") >= percent * F.col("either")
 
@@ -178,9 +225,53 @@ def similar(flipped: np.ndarray, x: np.ndarray, y: np.ndarray, percent: int) ->
     return ((100 + percent) * apart <= (100 - percent) * (x + y)) & (100 * np.minimum(x, y) >= percent * np.maximum(x, y))
 
 
-def near(bits: np.ndarray, sizes: np.ndarray, rows: slice, percent: int) -> np.ndarray:
-    """Which members (columns) each of the given ones can be linked with, by their bits and sizes."""
-    return similar(np.bitwise_count(bits[rows, None, :] ^ bits[None, :, :]), sizes[rows, None], sizes[None, :], percent)
+def near(bits: dict[int, np.ndarray], sizes: np.ndarray, widths: np.ndarray, percent: int) -> np.ndarray:
+    """Which members of a region can be linked with each other, by their bits and sizes. ``bits``: by width, folded from
+    all members of that width or more."""
+    out = np.zeros((len(sizes), len(sizes)), bool)
+    for w in np.unique(widths):
+        # Sets of similar sizes have the same width or twice the one.
+        mine, others = np.flatnonzero(widths == w), np.flatnonzero((widths == w) | (widths == 2 * w))
+        x, y = bits[w][mine], bits[w][others]
+        step = max(1, 2**20 // (len(others) * x.shape[1]))
+        for at in range(0, len(mine), step):
+            rows = mine[at : at + step]
+            passes = similar(np.bitwise_count(x[at : at + step, None, :] ^ y[None, :, :]), sizes[rows, None], sizes[None, others], percent)
+            out[np.ix_(rows, others)] = passes
+            out[np.ix_(others, rows)] |= passes.T
+    return out
+
+
+def laid_out(column: list[bytes], widths: np.ndarray) -> dict[int, np.ndarray]:
+    """Words of all members for each width, filled in for the members of that width and of twice the one."""
+    out = {}
+    for w in np.unique(widths):
+        out[w] = np.zeros((len(column), w // 64), np.uint64)
+        for own in (w, 2 * w):
+            places = np.flatnonzero(widths == own)
+            if len(places):
+                words = np.frombuffer(b"".join(column[k] for k in places), np.uint64).reshape(len(places), -1)
+                out[w][places] = folded(words, w)
+    return out
+
+
+def passing(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """Of the pairs (``a``, ``b``), those that the bound with all bits lets pass."""
+    asked = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    own = materialise(reps.join(sized(asked), "id").select("id", "n", F.coalesce("wide", "bits").alias("bits")), "asked")
+    x, y = (own.select(F.col("id").alias(k), F.col("n").alias(f"n{k}"), F.col("bits").alias(f"bits{k}")) for k in ("a", "b"))
+    both = pairs.join(x, "a").join(y, "b").select("a", "b", "na", "nb", "bitsa", "bitsb")
+
+    def work(batch: pa.RecordBatch) -> dict:
+        keep = []
+        for na, nb, p, q in zip(*(batch.column(k).to_pylist() for k in range(2, 6))):
+            p, q = (np.frombuffer(v, np.uint64) for v in (p, q))
+            bits = 64 * min(len(p), len(q))
+            keep.append(bool(similar(np.bitwise_count(folded(p, bits) ^ folded(q, bits)), na, nb, percent)))
+        keep = pa.array(keep, pa.bool_())
+        return {"a": batch.column(0).filter(keep), "b": batch.column(1).filter(keep)}
+
+    return per_batch(both, "a long, b long", work).distinct()
 
 
 def region_pairs(members: DataFrame, percent: int, *, hubs: bool) -> DataFrame:
@@ -189,10 +280,9 @@ def region_pairs(members: DataFrame, percent: int, *, hubs: bool) -> DataFrame:
     schema = "a long, b long"
     arrow = arrow_schema(members, schema)
 
-    def inside(ids, comps, home, sizes, bits) -> list[np.ndarray]:
-        out, step = [], max(1, 2**18 // len(ids))
+    def inside(ids, comps, home, sizes, widths, bits) -> list[np.ndarray]:
+        out, passes = [], near(bits, sizes, widths, percent)
         if hubs:
-            passes = np.concatenate([near(bits, sizes, slice(at, at + step), percent) for at in range(0, len(ids), step)])
             np.fill_diagonal(passes, False)
             degree, open_ = passes.sum(axis=1), np.ones(len(ids), bool)
             for hub in np.argsort(-degree, kind="stable"):
@@ -202,11 +292,8 @@ def region_pairs(members: DataFrame, percent: int, *, hubs: bool) -> DataFrame:
                     open_ &= ~passes[hub]
                     open_[hub] = False
         else:
-            for at in range(0, len(ids), step):
-                rows = slice(at, at + step)
-                passes = near(bits, sizes, rows, percent) & (comps[rows, None] != comps[None, :]) & (home[rows, None] | home[None, :])
-                i, j = np.nonzero(passes)
-                out.append(np.stack((ids[rows][i], ids[j])))
+            i, j = np.nonzero(passes & (comps[:, None] != comps[None, :]) & (home[:, None] | home[None, :]))
+            out.append(np.stack((ids[i], ids[j])))
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,13 +307,22 @@ def region_pairs(members: DataFrame, percent: int, *, hubs: bool) -> DataFrame:
                 edges = edges[:-1]
             ids, comps, sizes = (table.column(k).to_numpy() for k in (1, 2, 4))
             home = table.column(3).to_numpy(zero_copy_only=False)
-            bits = np.frombuffer(b"".join(table.column(5).to_pylist()), np.uint64).reshape(-1, BITS // 64)
+            column = table.column(5).to_pylist()
+            widths = np.fromiter((8 * len(v) for v in column), np.int64, len(column))
             starts, lengths = edges[:-1], np.diff(edges)
-            x = starts[lengths == 2]  # regions of two all at once
-            passes = (comps[x] != comps[x + 1]) & (home[x] | home[x + 1]) & similar(np.bitwise_count(bits[x] ^ bits[x + 1]), sizes[x], sizes[x + 1], percent)
-            out = [np.stack((ids[x[passes]], ids[x[passes] + 1]))]
+            out = [np.empty((2, 0), np.int64)]
+            # Regions of two all at once, in parts of like widths.
+            twos = starts[lengths == 2]
+            twos = twos[(comps[twos] != comps[twos + 1]) & (home[twos] | home[twos + 1])]
+            least = np.minimum(widths[twos], widths[twos + 1])
+            for w in np.unique(least):
+                x = twos[least == w]
+                p, q = (np.stack([folded(np.frombuffer(column[k], np.uint64), w) for k in at]) for at in (x, x + 1))
+                passes = similar(np.bitwise_count(p ^ q), sizes[x], sizes[x + 1], percent)
+                out.append(np.stack((ids[x[passes]], ids[x[passes] + 1])))
             for x, y in zip(starts[lengths > 2], (starts + lengths)[lengths > 2]):
-                out += inside(ids[x:y], comps[x:y], home[x:y], sizes[x:y], bits[x:y])
+                bits = laid_out(column[x:y], widths[x:y])
+                out += inside(ids[x:y], comps[x:y], home[x:y], sizes[x:y], widths[x:y], bits)
             a, b = np.concatenate(out, axis=1)
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], schema=arrow)
@@ -252,8 +348,7 @@ def divided(large: DataFrame, docs: DataFrame, key: str, text: str, size: int, p
     spread = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(PIVOTS))
     pivots = large.where("home").groupBy("cell", spread.alias("k")).agg(F.min(F.struct(F.xxhash64("id", F.lit(2)), "id"))["id"].alias("pivot"))
     asked = materialise(balanced_join(large, _listed(pivots), ["cell"], "inner").select("cell", "id", "home", F.explode("pivots").alias("pivot")), "asked")
-    pairs = asked.where("id <> pivot").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
-    known = materialise(measured(pairs, docs, key, text, size), "measured")
+    known = materialise(to_pivots(asked.where("id <> pivot"), docs, key, text, size), "measured")
     both = known.select(F.col("a").alias("id"), F.col("b").alias("pivot"), (1 - F.col("common") / F.col("either")).alias("d"))
     both = both.union(both.select("pivot", "id", "d"))
     near_by = asked.join(both, ["id", "pivot"], "left").select("cell", "id", "home", "pivot", F.coalesce("d", F.lit(0.0)).alias("d"))
@@ -306,7 +401,8 @@ def split(large: DataFrame, regions: DataFrame, labels: DataFrame) -> tuple[Data
 
 
 def joined(reps: DataFrame, docs: DataFrame, known: tuple, key: str, text: str, size: int, percent: int) -> DataFrame:
-    """Links (``a``, ``b``) that connect all sets which are connected. ``reps``: id, n, bits."""
+    """Links (``a``, ``b``) that connect all sets which are connected. ``reps``: id, n, bits, wide."""
+    wide, reps = reps, reps.select("id", "n", "bits")
     ids = reps.select("id").distinct()
     if ids.count() <= BROADCAST_ROWS:
         own = docs.join(F.broadcast(ids.withColumnRenamed("id", key)), key, "left_semi")
@@ -316,7 +412,9 @@ def joined(reps: DataFrame, docs: DataFrame, known: tuple, key: str, text: str,
     rows = materialise(rows, "first")
     hashed = F.xxhash64("id")
     who = [F.sum(F.pmod(hashed, F.lit(2**31 - 1))).alias("s"), F.sum(F.pmod(hashed, F.lit(2**31 - 99))).alias("t")]
-    same = rows.groupBy("cell").agg(F.count("*").alias("members"), F.min("id").alias("x"), F.max("id").alias("y"), *who).where("x <> y")
+    shared = rows.groupBy("cell").agg(F.min("id").alias("x"), F.max("id").alias("y")).where("x <> y").select("cell")
+    rows = materialise(rows.join(shared, "cell"), "shared")
+    same = rows.groupBy("cell").agg(F.count("*").alias("members"), F.min("id").alias("x"), F.max("id").alias("y"), *who)
     kept = materialise(same.groupBy("members", "x", "y", "s", "t").agg(F.min("cell").alias("cell")).select("cell", "members"), "cells")
     cells = materialise(rows.join(kept, "cell").withColumn("home", F.lit(True)), "cells")
 
@@ -330,12 +428,15 @@ def joined(reps: DataFrame, docs: DataFrame, known: tuple, key: str, text: str,
         now, large = split(large, regions, labels)
         small.append(now)
 
-    regions = materialise(several(_union(small), labels).select("cell", "id", "home", "component").join(reps, "id"), "regions")
-    hubs = materialise(region_pairs(regions, percent, hubs=True), "pairs")
+    regions = materialise(_union(small), "regions")
+    # Hubs are chosen whatever is linked already: that saves a join of all members with their components.
+    asked = regions.join(reps, "id").withColumn("component", F.col("id"))
+    hubs = materialise(passing(materialise(region_pairs(asked, percent, hubs=True), "pairs"), wide, percent), "passed")
     links.append(materialise(measured(hubs, docs, key, text, size).where(linked(percent)).select("a", "b"), "links"))
     # Regions of two are settled now.
-    rest = several(regions.select("cell", "id", "home", "n", "bits"), components(_union(links)), 3)
+    rest = several(regions, components(_union(links)), 3).select("cell", "id", "home", "component").join(reps, "id")
     pairs = materialise(region_pairs(rest, percent, hubs=False).join(hubs, ["a", "b"], "left_anti"), "pairs")
+    pairs = materialise(passing(pairs, wide, percent), "passed")
     links.append(materialise(measured(pairs, docs, key, text, size).where(linked(percent)).select("a", "b"), "links"))
     return _union(links)
 
@@ -354,15 +455,15 @@ def jaccard_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     """
     every = materialise(described(docs, key, text, size), "described")
     counts = every.where("shingle is not null").select("shingle", "held")
-    every = every.where("shingle is null").select("id", "n", "hi", "lo", "bits")
+    every = every.where("shingle is null").select("id", "n", "hi", "lo", "bits", "wide")
     filled = every.where("n > 0 and id is not null")
     # Equal sets: the smallest id stands for all. Only sets held more than once need a join.
-    sets = filled.groupBy("hi", "lo").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("bits").alias("bits"))
+    sets = filled.groupBy("hi", "lo").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("wide").alias("wide"))
     sets = materialise(sets, "sets")
     twice = sets.where("copies > 1").select("hi", "lo", "rep")
     owned = balanced_join(filled.select("id", "n", "hi", "lo"), twice, ["hi", "lo"], "left").withColumn("rep", F.coalesce("rep", "id"))
     owned = materialise(owned.select("id", "n", "rep"), "owned")
-    reps = sets.select(F.col("rep").alias("id"), "n", "bits")
+    reps = sets.select(F.col("rep").alias("id"), "n", "bits", "wide")
 
     links = joined(reps, docs, frequent(counts), key, text, size, percent)
     # Rows that repeat an id are one document, whatever sets they hold.

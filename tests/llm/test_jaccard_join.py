@@ -87,10 +87,19 @@ def test_first_shingles_meet():
 def test_bits_never_exceed_the_symmetric_difference():
     r = np.random.default_rng(6)
     for _ in range(50):
-        both = r.integers(0, 2**63, 300).astype(np.uint64)
-        x, y = both[: r.integers(1, 300)], both[r.integers(0, 299) :]
-        a, b = (np.frombuffer(j.parity(v), np.uint64) for v in (x, y))
-        assert np.bitwise_count(a ^ b).sum() <= len(np.setxor1d(x, y))
+        both = r.integers(0, 2**63, 3000).astype(np.uint64)
+        x, y = both[: r.integers(1, 3000)], both[r.integers(0, 2999) :]
+        for bits in (512, 2048):
+            a, b = (j.parity(v, bits) for v in (x, y))
+            assert np.bitwise_count(a ^ b).sum() <= len(np.setxor1d(x, y))
+            assert (j.folded(j.parity(x, 8192), bits) == a).all()
+
+
+def test_long_texts_equal_brute_force(spark):
+    r = random.Random(9)
+    base = [" ".join(f"w{r.randrange(9000)}" for _ in range(k)) for k in (300, 1100, 2300, 4100)]
+    docs = [(i, edited(base[i % 4], r.randrange(0, 60), r)) for i in range(60)]
+    assert got(j.jaccard_classes(frame(spark, docs), size=4, percent=85)) == want(docs, 4, 85)
 
 
 def test_odd_rows(spark, edge_docs, no_docs):

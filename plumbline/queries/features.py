@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from plumbline.functions.scalars import datetime_parts, elapsed_days, pct_change, plan_value_score, recency_score
 from plumbline.operators import clean as C
 from plumbline.operators.features import churn_features, price_features, revenue_features
+from plumbline.operators.neighbours import nearest_fill
 from plumbline.operators.quality import Completeness, Domain, Range
 from plumbline.operators.quantiles import exact_quantiles
 from plumbline.operators.rank import fit_tiers, percent_rank_average
@@ -340,6 +341,34 @@ def _(spark, sf):
     return rounded(model.transform(wild), ["value"], 4)
 
 
+NEAR = ["total_value", "support_tickets", "usage"]
+_PAIR = " + ".join(f"CASE WHEN a.{c} IS NULL OR b.{c} IS NULL THEN 0 ELSE (a.{c} - b.{c}) * (a.{c} - b.{c}) END" for c in NEAR)
+_COMMON = " + ".join(f"CASE WHEN a.{c} IS NULL OR b.{c} IS NULL THEN 0 ELSE 1 END" for c in NEAR)
+
+
+def near_sql(c: str) -> str:
+    return f"""n_{c} AS (SELECT customer_id, avg(value) AS value FROM (
+      SELECT a.customer_id, b.{c} AS value, ({_PAIR}) * 3 / ({_COMMON}) AS d, b.customer_id AS other
+      FROM d a JOIN d b ON a.customer_id <> b.customer_id AND a.{c} IS NULL AND b.{c} IS NOT NULL AND ({_COMMON}) > 0
+      QUALIFY row_number() OVER (PARTITION BY a.customer_id ORDER BY d, b.customer_id) <= 5) GROUP BY 1)"""
+
+
+@query("impute_nearest", f"""
+WITH d AS (SELECT customer_id, total_value / 1000 AS total_value, CAST(support_tickets AS DOUBLE) AS support_tickets,
+  CASE WHEN CAST(customer_id AS BIGINT) % 4 <> 0 THEN total_value / 700 + CAST(customer_id AS BIGINT) % 9 END AS usage FROM ({CHURN_DIRTY_SQL})),
+{", ".join(near_sql(c) for c in NEAR)}
+SELECT d.customer_id, {", ".join(f"round(coalesce(d.{c}, n_{c}.value, (SELECT avg({c}) FROM d)), 6) AS {c}" for c in NEAR)}
+FROM d {" ".join(f"LEFT JOIN n_{c} ON n_{c}.customer_id = d.customer_id" for c in NEAR)}""")
+def _(spark, sf):
+    """Missing values from the five nearest customers."""
+    key = F.col("customer_id").cast("bigint")
+    base = churn_dirty(spark, sf).select(
+        "customer_id", (F.col("total_value") / 1000).alias("total_value"), F.col("support_tickets").cast("double").alias("support_tickets"),
+        F.when(key % 4 != 0, F.col("total_value") / 700 + key % 9).alias("usage"),
+    )
+    return rounded(nearest_fill(base, "customer_id", NEAR), NEAR)
+
+
 @query("feature_selection", """
 WITH c AS (SELECT unnest(['l_discount', 'l_extendedprice', 'l_quantity', 'l_tax']) AS feature, unnest([abs(corr(l_discount, r)), abs(corr(l_extendedprice, r)), abs(corr(l_quantity, r)), abs(corr(l_tax, r))]) AS strength
   FROM (SELECT *, CAST(l_returnflag = 'R' AS DOUBLE) AS r FROM lineitem))

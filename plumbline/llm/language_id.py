@@ -189,17 +189,20 @@ def gram_documents(labelled: DataFrame) -> DataFrame:
 
 
 def training_rows(labelled: DataFrame, lang: str, text: str, sample: int) -> tuple[DataFrame, list[str]]:
-    """``lang`` and ``text`` of about ``sample`` documents of each language at most, and all languages."""
+    """``lang`` and ``text`` of about ``sample`` different texts of each language at most, and all languages. Equal texts count
+    once, so that neither a text that is repeated often nor its hash decides what is learnt."""
     given = labelled.select(F.col(lang).alias("lang"), F.col(text).alias("text")).where("lang is not null and text is not null")
-    sizes = {r["lang"]: r["count"] for r in given.groupBy("lang").count().collect()}
+    given = given.withColumn("h", F.xxhash64("text"))
+    sizes = {r["lang"]: r["count"] for r in given.select("lang", "h").distinct().groupBy("lang").count().collect()}
     if not sizes:
-        return given, []
-    spread = F.pmod(F.xxhash64("text"), F.lit(1_000_000))
-    return given.where(spread < by_name({name: 1e6 * min(1.0, sample / size) for name, size in sizes.items()})), sorted(sizes)
+        return given.drop("h"), []
+    spread = F.pmod(F.xxhash64("h"), F.lit(1_000_000))
+    chosen = given.where(spread < by_name({name: 1e6 * min(1.0, sample / size) for name, size in sizes.items()}))
+    return chosen.dropDuplicates(["lang", "h"]).drop("h"), sorted(sizes)
 
 
 def fit(labelled: DataFrame, lang: str = "lang", text: str = "text", sample: int = SAMPLE_DOCS) -> Filters | None:
-    """Filters from about ``sample`` documents of each language at most; None without training rows.
+    """Filters from about ``sample`` different texts of each language at most; None without training rows.
 
     What comes to the driver is one row for each typical n-gram, at most the n-grams of an average document divided
     by ``MIN_SHARE`` for each language.

@@ -64,3 +64,15 @@ def test_more_languages_than_a_word_has_bits(spark):
     assert len(filters.languages) == count and filters.sliced.shape[1] == 3
     got = {r.doc_id: r.lang_pred for r in lid.predict(docs, filters).collect()}
     assert all(got[i] == lang for i, lang, _ in rows)
+
+
+def test_texts_that_are_repeated_often_are_learnt(spark):
+    """Languages of one text each, many times: none is lost, and the sample stays bounded."""
+    said = {"aa": "abba babab baba abab", "bb": "kolo moro toro soro", "cc": "xyz zyx yxz zxy", "dd": "ünü öpö ätä üpü", "ee": "qu qua que qui"}
+    rows = [(i, t, lang) for lang, t in said.items() for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    chosen, languages = lid.training_rows(docs, "lang", "text", 10)
+    assert languages == sorted(said) and chosen.count() == len(said)
+    filters = lid.fit(docs, sample=10)
+    found = {(r["text"], r["lang_pred"]) for r in docs.join(lid.predict(docs.select("doc_id", "text").dropDuplicates(["text"]), filters), "doc_id").select("text", "lang_pred").collect()}
+    assert {p for _, p in found} == set(said)

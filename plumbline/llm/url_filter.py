@@ -60,8 +60,8 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
 def first_rule(rules: list[UrlRule], host: Column, path: Column) -> tuple[Column, Column]:
     """Pattern of the longest rule that fits, and whether it allows; null if none fits."""
     ordered = sorted(rules, key=lambda r: -len(r.pattern))
-    pattern = F.coalesce(*[F.when(r.fits(host, path), F.lit(r.pattern)) for r in ordered])
-    allow = F.coalesce(*[F.when(r.fits(host, path), F.lit(r.allow)) for r in ordered])
+    pattern = F.coalesce(*[F.when(r.fits(host, path), F.lit(r.pattern)) for r in ordered], F.lit(None).cast("string"))
+    allow = F.coalesce(*[F.when(r.fits(host, path), F.lit(r.allow)) for r in ordered], F.lit(None).cast("boolean"))
     return pattern, allow
 
 

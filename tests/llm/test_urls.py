@@ -96,3 +96,9 @@ def test_made_urls_the_fit_has_not_seen(spark):
     model = u.fit_urls(made.where(~kept))
     rest = model.score(u.lexical(made.where(kept), "url"))
     assert rest.where((F.col("blocked_score") >= 0.5) == F.col("blocked")).count() >= 0.96 * rest.count() > 1_000
+
+
+def test_no_rules(spark):
+    frame = spark.createDataFrame([(1, "http://a.b/c"), (2, None)], "page_id long, url string")
+    pattern, allow = u.first_rule([], *u.host_and_path(F.col("url")))
+    assert [tuple(r) for r in frame.select(pattern, allow).collect()] == [(None, None)] * 2

@@ -81,8 +81,8 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # The table has no capture times; a page's id, in seconds from a fixed day, stands for one.
-    time = F.timestamp_seconds(F.lit(1_704_067_200) + F.coalesce("page_id", F.lit(0)))
+    # The table has no capture times; a page's id, in seconds from a fixed day and within about 31 years, stands for one.
+    time = F.timestamp_seconds(F.lit(1_704_067_200) + F.pmod(F.coalesce("page_id", F.lit(0)), F.lit(1_000_000_000)))
     index = warc.archive(table(spark, sf_dir, "pages"), time)
     return index.select(
         F.col("id").alias("page_id"), F.col("bytes").alias("payload_bytes"), F.col("digest").alias("payload_digest"), "record_type", "refers_to",

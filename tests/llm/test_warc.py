@@ -80,3 +80,11 @@ def test_damage_is_noticed(spark, tmp_path):
 
 def test_empty_table(spark):
     assert warc.archive(spark.createDataFrame([], SCHEMA), at()).count() == 0
+
+
+def test_ids_at_both_ends(spark, tmp_path):
+    from plumbline.llm.queries import op6_warc
+
+    ids = [2**63 - 1, -(2**63), 2**62, 0, None]
+    spark.createDataFrame([(i, "http://a.b/", "<p>x") for i in ids], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    assert {r["page_id"] for r in op6_warc(spark, str(tmp_path)).collect()} == set(ids)

@@ -16,7 +16,8 @@ from plumbline.operators.quantiles import EXACT_LIMIT, clean, count_values, orde
 from plumbline.operators.skew import HOT_SHARE
 
 RANK_BUCKETS = 4096
-RANK_RANGES = 1024
+RANK_RANGES = 1024  # at least; more where these would hold more than RANGE_ROWS each
+RANGE_ROWS = 1_000_000
 FEW_ROWS = 1000  # rows of equal value among which a cut is found by a plain top-k
 
 # Tier names for four and three tiers.
@@ -227,19 +228,25 @@ def percent_rank_average(df: DataFrame, column: str, output: str) -> DataFrame:
     Approximate percentiles cut the values into ranges. One aggregation counts them; each row is then ranked inside
     its range by one window, and the rows of the ranges before are added from a constant. A percentile that holds
     many rows itself is known to be hot from the same counts: the rank of its rows follows without the window, so
-    they are dealt out evenly. Nothing is joined back.
+    they are dealt out evenly, and so are rows without a value. The number of ranges follows from the rows counted, so a
+    range stays of bounded size. Nothing is joined back.
     """
     data = df.withColumn("_value", clean(df, column).cast("double") + F.lit(0.0))
-    shares = [i / RANK_RANGES for i in range(1, RANK_RANGES)]
-    splits = sorted(set(data.agg(F.percentile_approx("_value", shares, 10 * RANK_RANGES)).first()[0] or []))
-    ranged = data.withColumn("_range", F.when(F.col("_value").isNotNull(), bucket_of(F.col("_value"), splits, "double")))
-    # Range i holds what lies above split i - 1, up to split i itself.
-    top = F.get(_constant(splits, "double"), F.col("_range"))
-    counted = ranged.filter("_range IS NOT NULL").groupBy("_range").agg(
-        F.count("*").alias("n"), F.count_if(F.col("_value") == top).alias("tops")
-    ).collect()  # one row for each range
-    sizes = {row["_range"]: (row["n"], row["tops"]) for row in counted}
-    total = sum(n for n, _ in sizes.values())
+    ranges = RANK_RANGES
+    while True:
+        shares = [i / ranges for i in range(1, ranges)]
+        splits = sorted(set(data.agg(F.percentile_approx("_value", shares, 10 * ranges)).first()[0] or []))
+        ranged = data.withColumn("_range", F.when(F.col("_value").isNotNull(), bucket_of(F.col("_value"), splits, "double")))
+        # Range i holds what lies above split i - 1, up to split i itself.
+        top = F.get(_constant(splits, "double"), F.col("_range"))
+        counted = ranged.filter("_range IS NOT NULL").groupBy("_range").agg(
+            F.count("*").alias("n"), F.count_if(F.col("_value") == top).alias("tops")
+        ).collect()  # one row for each range
+        sizes = {row["_range"]: (row["n"], row["tops"]) for row in counted}
+        total = sum(n for n, _ in sizes.values())
+        if total <= ranges * RANGE_ROWS:
+            break
+        ranges = -(-total // RANGE_ROWS)  # too few for so many rows: cut once more
     if not total:
         return df.withColumn(output, F.lit(None).cast("double"))
     before, hot, running = [], [], 0
@@ -250,7 +257,7 @@ def percent_rank_average(df: DataFrame, column: str, output: str) -> DataFrame:
         hot.append(float(running - tops + (tops + 1) / 2) if tops * HOT_SHARE > total else None)
     hot_rank = F.when(F.col("_value") == top, F.get(_constant(hot, "double"), F.col("_range")))
     spread = F.pmod(F.xxhash64(*[c for c in df.columns if not isinstance(df.schema[c].dataType, T.MapType)]), F.lit(HOT_SHARE))
-    placed = ranged.withColumn("_hot", hot_rank).withColumn("_part", F.when(F.col("_hot").isNull(), F.lit(0)).otherwise(spread))
+    placed = ranged.withColumn("_hot", hot_rank).withColumn("_part", F.when(F.col("_hot").isNull() & F.col("_range").isNotNull(), F.lit(0)).otherwise(spread))
     inside = W.partitionBy("_range", "_part")
     equal = F.count("*").over(W.partitionBy("_range", "_part", "_value"))
     rank = F.get(_constant(before, "bigint"), F.col("_range")) + F.rank().over(inside.orderBy("_value")) + (equal - 1) / F.lit(2.0)

@@ -18,7 +18,7 @@ from plumbline.functions.scalars import pct_change
 from plumbline.operators.rank import bucket_of, pick_splits
 
 BLOCK_ROWS = 1_000_000
-ORDER_CHUNKS = 1024
+ORDER_CHUNKS = 1024  # at least; more where these would hold more than BLOCK_ROWS each
 
 
 def longest_key(df: DataFrame, keys: list[str]) -> int:
@@ -30,10 +30,12 @@ def _blocked(df: DataFrame, keys: list[str], order: list[str], block_rows: int)
     """Add ``_row``, the 0-based position within the key, and ``_block`` of ``block_rows`` positions.
 
     Positions are counted inside ranges of the first order column and shifted by the rows of the
-    ranges before, so no task sees more than one range of one key. Ranges are cut at percentiles of the first
+    ranges before, so no task sees more than one range of one key. There are as many ranges as keep their mean size
+    below ``BLOCK_ROWS``; rows without a first order value are one range. Ranges are cut at percentiles of the first
     order column, or, if it is a text, at a fixed number of its values.
     """
-    shares = [i / ORDER_CHUNKS for i in range(1, ORDER_CHUNKS)]
+    chunks = max(ORDER_CHUNKS, -(-df.count() // BLOCK_ROWS))
+    shares = [i / chunks for i in range(1, chunks)]
     first, kind = F.col(order[0]), df.schema[order[0]].dataType
     if isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):
         first = F.unix_micros(first.cast("timestamp"))
@@ -45,12 +47,12 @@ def _blocked(df: DataFrame, keys: list[str], order: list[str], block_rows: int)
     if isinstance(kind, T.StringType):
         splits = pick_splits(placed, "_first", keys=["_first"])
     else:
-        splits = placed.agg(F.percentile_approx("_first", shares, 10 * ORDER_CHUNKS)).first()[0] or []
+        splits = placed.agg(F.percentile_approx("_first", shares, 10 * chunks)).first()[0] or []
     chunk = bucket_of(F.col("_first"), sorted(set(splits)), placed.schema["_first"].dataType.simpleString())
     chunked = placed.withColumn("_chunk", F.when(F.col("_first").isNull(), -1).otherwise(chunk)).drop("_first")
     sizes = chunked.groupBy(*keys, "_chunk").agg(F.count("*").alias("_size"))
     before = W.partitionBy(*keys).orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
-    # At most ORDER_CHUNKS rows per key reach this window.
+    # A row for each range of a key reaches this window.
     offsets = sizes.select(
         *[F.col(k).alias(f"_k_{k}") for k in keys],
         F.col("_chunk").alias("_k_chunk"),

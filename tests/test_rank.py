@@ -128,3 +128,22 @@ def test_percent_rank_of_hot_and_missing_values(spark):
     got = rank.percent_rank_average(df, "v", "p").toPandas()
     want = got["v"].rank(pct=True)
     assert (got["p"] - want).abs().max() < 1e-12 and (got["p"].isna() == got["v"].isna()).all()
+
+
+def test_rows_without_a_value_are_dealt_out(spark):
+    df = spark.range(6000).select("id", F.when(F.col("id") % 3 != 0, (F.col("id") * 37 % 1000).cast("double")).alias("v"))
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    try:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        rows = rank.percent_rank_average(df, "v", "r").groupBy(F.spark_partition_id().alias("p")).count().collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    assert sum(r["count"] for r in rows) == 6000 and max(r["count"] for r in rows) < 2000
+
+
+def test_more_ranges_for_more_rows(spark, monkeypatch):
+    df = spark.range(3000).select("id", (F.col("id") * 37 % 1000).cast("double").alias("v"))
+    want = {r["id"]: r["r"] for r in rank.percent_rank_average(df, "v", "r").collect()}
+    monkeypatch.setattr(rank, "RANK_RANGES", 4)
+    monkeypatch.setattr(rank, "RANGE_ROWS", 50)
+    assert {r["id"]: r["r"] for r in rank.percent_rank_average(df, "v", "r").collect()} == want

@@ -19,6 +19,7 @@ Only id, URL and HTML are read.
 
 from __future__ import annotations
 
+import bisect
 import html
 import math
 import re
@@ -48,8 +49,11 @@ ENDS_AT = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "thead", "tfoot"}, "td": {"td", "th", "tr", "tbody", "tfoot"},
     "th": {"td", "th", "tr", "tbody", "tfoot"}, "thead": {"tbody", "tfoot"}, "tbody": {"tbody", "tfoot"}, "option": {"option"},
 }
+ENDING = frozenset().union(*ENDS_AT.values())
 SCOPES = frozenset("html table td th caption object template".split())
 LISTS = frozenset("ul ol menu dl table".split())
+TABLE_PARTS = frozenset("tr td th tbody tfoot".split())
+STOPS_P = SCOPES | {"button"}
 
 TAG_GROUPS = {
     name: k for k, group in enumerate((
@@ -112,10 +116,64 @@ def _attributes(raw: str) -> tuple[frozenset[str], str | None, bool]:
     return frozenset(words), label, hidden
 
 
+class Open:
+    """The open elements, with the node each one's text belongs to. Finds the innermost of a name or kind at once,
+    so that a page may be nested to any depth."""
+
+    KINDS = {"block": BLOCK, "scope": SCOPES, "list": LISTS, "stops p": STOPS_P}
+
+    def __init__(self) -> None:
+        self.stack: list[tuple[str, int]] = []
+        self.named: dict[str, list[int]] = {}
+        self.kind: dict[str, list[int]] = {k: [] for k in self.KINDS}
+
+    def __len__(self) -> int:
+        return len(self.stack)
+
+    def push(self, tag: str, owner: int) -> None:
+        depth = len(self.stack)
+        self.named.setdefault(tag, []).append(depth)
+        for kind, tags in self.KINDS.items():
+            if tag in tags:
+                self.kind[kind].append(depth)
+        self.stack.append((tag, owner))
+
+    def pop(self) -> str:
+        tag, _ = self.stack.pop()
+        self.named[tag].pop()
+        for kind, tags in self.KINDS.items():
+            if tag in tags:
+                self.kind[kind].pop()
+        return tag
+
+    def last(self, tag: str) -> int:
+        """Depth of the innermost open element of a name, or -1."""
+        found = self.named.get(tag)
+        return found[-1] if found else -1
+
+    def last_of(self, kind: str) -> int:
+        found = self.kind[kind]
+        return found[-1] if found else -1
+
+    def ended_by(self, tag: str) -> int | None:
+        """Depth of the outermost element that ends where ``tag`` begins, within the innermost list or scope."""
+        barrier = self.last_of("list")
+        if tag not in TABLE_PARTS:
+            barrier = max(barrier, self.last_of("scope"))
+        found = []
+        for name, ends in ENDS_AT.items():
+            depths = self.named.get(name)
+            if depths and tag in ends:
+                k = bisect.bisect(depths, barrier)
+                found += depths[k : k + 1]
+        return min(found, default=None)
+
+
 def read(source: str) -> Page:
     """Read a page. Elements that are neither blocks nor named don't become nodes; their text is their ancestor's."""
     page = Page([Node("body", -1, frozenset())])
-    stack: list[tuple[str, int]] = []  # open elements and the node their text belongs to
+    opened = Open()
+    stack = opened.stack
     silent = links = 0
     block: list[tuple[int, str]] = []
 
@@ -128,7 +186,7 @@ def read(source: str) -> Page:
     def close(depth: int) -> None:
         nonlocal silent, links
         while len(stack) > depth:
-            tag, _ = stack.pop()
+            tag = opened.pop()
             silent -= tag in SILENT
             links -= tag == "a"
             if tag in BLOCK:
@@ -136,12 +194,9 @@ def read(source: str) -> Page:
 
     def leave_head() -> None:
         """Close an open head, unless in a template in it."""
-        for depth in range(len(stack) - 1, -1, -1):
-            if stack[depth][0] == "template":
-                break
-            if stack[depth][0] == "head":
-                close(depth)
-                break
+        depth = opened.last("head")
+        if depth > opened.last("template"):
+            close(depth)
 
     def text(raw: str) -> None:
         if silent and stack[-1][0] == "head" and raw.strip():
@@ -175,13 +230,12 @@ def read(source: str) -> Page:
             if tag == "br":
                 flush()
                 continue
-            for depth in range(len(stack) - 1, -1, -1):
-                name = stack[depth][0]
-                if name == tag:
-                    close(depth)
-                    break
-                if tag not in BLOCK and name in BLOCK or name in SCOPES and tag not in ("table", "html", "body", *SCOPES):
-                    break
+            barrier = -1 if tag in BLOCK else opened.last_of("block")
+            if tag != "body" and tag not in SCOPES:
+                barrier = max(barrier, opened.last_of("scope"))
+            depth = opened.last(tag)
+            if depth >= max(barrier, 0):
+                close(depth)
             continue
         if silent and tag not in IN_HEAD:
             leave_head()
@@ -190,21 +244,15 @@ def read(source: str) -> Page:
         if tag in VOID:
             continue
         if tag in CLOSES_P:
-            for depth in range(len(stack) - 1, -1, -1):
-                if stack[depth][0] == "p":
-                    close(depth)
-                    break
-                if stack[depth][0] in SCOPES or stack[depth][0] == "button":
-                    break
-        if any(tag in ends for ends in ENDS_AT.values()):
-            for depth in range(len(stack) - 1, -1, -1):
-                name = stack[depth][0]
-                if tag in ENDS_AT.get(name, ()):
-                    close(depth)
-                elif name in LISTS or name in SCOPES and tag not in ("tr", "td", "th", "tbody", "tfoot"):
-                    break
-        if tag == "body" and any(name == "head" for name, _ in stack):
-            close(next(i for i, (name, _) in enumerate(stack) if name == "head"))
+            depth = opened.last("p")
+            if depth > opened.last_of("stops p"):
+                close(depth)
+        if tag in ENDING:
+            depth = opened.ended_by(tag)
+            if depth is not None:
+                close(depth)
+        if tag == "body" and opened.named.get("head"):
+            close(opened.named["head"][0])
         if tag in RAW:
             stop = re.compile(f"</{re.escape(tag)}[^>]*>?", re.I).search(source, at)
             at = stop.end() if stop else end
@@ -224,7 +272,7 @@ def read(source: str) -> Page:
             flush()
         if raw.endswith("/") and tag not in BLOCK:
             continue
-        stack.append((tag, owner))
+        opened.push(tag, owner)
         silent += tag in SILENT
         links += tag == "a"
     close(0)

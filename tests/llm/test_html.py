@@ -4,6 +4,7 @@ import html
 import itertools
 import math
 import re
+import time
 
 import numpy as np
 import pytest
@@ -85,6 +86,19 @@ def test_left_out_tags_and_fallbacks_lose_no_text(source, words):
     assert whole(source) == words.split()
 
 
+@pytest.mark.parametrize("tag", ["div", "span", "button", "table", "ul", "template", "p"])
+def test_any_depth_of_nesting_is_read_in_time(tag):
+    depth = 40_000
+    begin = time.monotonic()
+    page = h.read("<p>a" + f"<{tag}>" * depth + "b" + "<li>c<b>d</i></p>" * 1000 + f"</{tag}>" * depth)
+    assert time.monotonic() - begin < 20 and page.blocks
+
+
+def test_a_long_page_is_read_whole(model):
+    words = " ".join(f"word{i}, and more." for i in range(40_000))
+    assert model.text(f"<body><article><p>{words}</p></article></body>") == words
+
+
 def test_article_behind_an_open_head(model):
     text = "One two three four five six seven. Eight nine ten, eleven twelve thirteen."
     assert model.text(f"<html><head><title>x</title><article><p>{text}</p></article>") == text

@@ -2,18 +2,18 @@
 
 Texts are compared in lower case with every run of blanks and punctuation (Unicode's; ASCII's signs too) as one space. An item of n bytes may
 have e = ``MAX_SHARE`` * n edits. Cut into e + 1 pieces it has one that no edit touches, so the first ``SEED`` bytes
-of some piece stand in the document unaltered, whatever the item's length and wherever the words begin. Every place of
-every text is looked up among the pieces; a piece that is found says where the item would begin. That place is left
+of some piece (``SHORT_SEED`` where pieces are shorter) stand in the document unaltered, whatever the item's length and
+wherever the words begin. Every place of every text is looked up among the pieces; a piece that is found says where the item would begin. That place is left
 out only by bounds that lose nothing: e edits spoil at most 10 * e of an item's substrings of 10 bytes, so a window
 must hold the rest of them. A table of fixed size has the size classes whose items have a substring. What remains is
 verified: the edit distance between the item and the best matching stretch of the document is computed exactly and
 must be at most ``MAX_SHARE`` of the item's length. So no pair within the distance is missed.
 
-Items shorter than ``MIN_ITEM`` characters may have no edits and must stand between word borders. Scripts that put no
+Items so short that the share allows no edit (up to 16 bytes) must stand between word borders. Scripts that put no
 blanks between words have a border at each of their characters.
 
-Items are taken in blocks of ``BLOCK_ITEMS``, each against all documents, so what a task holds is bounded however
-large the benchmark is.
+Items are taken in blocks of at most ``BLOCK_ITEMS`` different texts and about ``BLOCK_BYTES``, each against all
+documents, so what a task holds is bounded however large the benchmark is.
 
 Defined results: a null or empty text holds nothing; an item that is null or has nothing but blanks and
 punctuation matches nothing; one of a single word matches every document with that word; items of equal text are
@@ -38,12 +38,13 @@ from pyspark.sql import functions as F
 from plumbline.llm.common import narrow, per_batch, texts
 
 MAX_SHARE = 0.06
-MIN_ITEM = 40
 BLOCK_ITEMS = 20_000
+BLOCK_BYTES = 16_000_000
 GRAM = 10
 TABLE_BITS = 22
 CLASS_RATIO = 1.15
-SEED = 12  # the shortest piece of any item from MIN_ITEM on
+SEED = 12  # the shortest piece of any item from 36 bytes on
+SHORT_SEED = 8  # the shortest piece of any item that may have an edit
 PAIRS = 200_000  # places of pieces that are judged at once
 _TO_SPACE = bytes.maketrans((string.punctuation + string.whitespace).encode(), b" " * len(string.punctuation + string.whitespace))
 _BLANKS = frozenset(c for c in map(chr, range(128, sys.maxunicode + 1)) if c.isspace() or c in "\u200b\u2060\ufeff" or unicodedata.category(c)[0] in "PZ")
@@ -61,10 +62,6 @@ def normal(text: str) -> bytes:
     return b" ".join(lower.encode().translate(_TO_SPACE).split())
 
 
-def is_short(item: bytes) -> bool:
-    return len(item) < 4 * MIN_ITEM and len(item.decode()) < MIN_ITEM
-
-
 def border(data: bytes, at: int) -> bool:
     """Whether a word of the normalised text may begin or end at ``at``, which is between two characters."""
     if at in (0, len(data)) or data[at] == 32 or data[at - 1] == 32:
@@ -108,13 +105,18 @@ def edits(length: int) -> int:
     return int(MAX_SHARE * length)
 
 
+def piece_starts(length: int) -> np.ndarray:
+    pieces = edits(length) + 1
+    return np.arange(pieces) * length // pieces
+
+
 def least_grams(length: int) -> int:
     """Stretches of ten bytes of an item that its allowed edits leave at least."""
     return length - GRAM + 1 - GRAM * edits(length)
 
 
 def size_class(length: int) -> int:
-    return int(np.log(length / MIN_ITEM) / np.log(CLASS_RATIO))
+    return int(np.log(length * MAX_SHARE) / np.log(CLASS_RATIO))
 
 
 @dataclass(frozen=True)
@@ -127,7 +129,7 @@ class Bounds:
 
     @staticmethod
     def of(lengths: list[int]) -> Bounds:
-        return Bounds(min(lengths), max(n + edits(n) for n in lengths) + 1, max(1, min(map(least_grams, lengths))))
+        return Bounds(min(lengths), max(n + edits(n) for n in lengths) + 1, max(0, min(map(least_grams, lengths))))
 
 
 def distance(item: bytes, text: bytes) -> tuple[int, int]:
@@ -157,6 +159,53 @@ def distance(item: bytes, text: bytes) -> tuple[int, int]:
     return best, end
 
 
+@dataclass
+class Seeds:
+    """Hashes of the first ``size`` bytes of pieces in order, the items they are of and where in these they begin."""
+
+    size: int
+    hashes: np.ndarray
+    owners: np.ndarray
+    places: np.ndarray
+    seeded: np.ndarray
+
+    @staticmethod
+    def of(size: int, pieces: list[tuple[int, bytes]]) -> Seeds:
+        found, owners, places = [np.empty(0, np.uint64)], [], [np.empty(0, np.int64)]
+        for owner, item in pieces:
+            begins = piece_starts(len(item))
+            found.append(hashes(item, size)[begins])
+            places.append(begins)
+            owners += [owner] * len(begins)
+        all_found = np.concatenate(found)
+        order = np.argsort(all_found, kind="stable")
+        seeded = np.zeros(1 << TABLE_BITS, bool)
+        seeded[slots(all_found)] = True
+        return Seeds(size, all_found[order], np.array(owners, np.int64)[order], np.concatenate(places)[order], seeded)
+
+    def begins(self, data: bytes) -> dict[int, list[np.ndarray]]:
+        """For each item with a piece in the text, where the item would begin."""
+        here = hashes(data, self.size)
+        at = np.flatnonzero(self.seeded[slots(here)])
+        left, right = np.searchsorted(self.hashes, here[at], "left"), np.searchsorted(self.hashes, here[at], "right")
+        at, left, right = at[right > left], left[right > left], right[right > left]
+        out: dict[int, list[np.ndarray]] = {}
+        if not len(at):
+            return out
+        ends = np.cumsum(right - left)
+        for low in range(0, int(ends[-1]), PAIRS):
+            pair = np.arange(low, min(low + PAIRS, int(ends[-1])))
+            row = np.searchsorted(ends, pair, "right")
+            entry = right[row] - (ends[row] - pair)
+            owner, begin = self.owners[entry], at[row] - self.places[entry]
+            order = np.argsort(owner, kind="stable")
+            owner, begin = owner[order], begin[order]
+            cuts = np.flatnonzero(np.diff(owner)) + 1
+            for who, part in zip(owner[np.concatenate([[0], cuts])].tolist(), np.split(begin, cuts)):
+                out.setdefault(who, []).append(np.unique(part))
+        return out
+
+
 @dataclass
 class Block:
     """Items of one block with their pieces and the bit tables of these and of their substrings."""
@@ -166,39 +215,29 @@ class Block:
     classes: list[int] = field(default_factory=list)
     bounds: dict[int, Bounds] = field(default_factory=dict)
     table: np.ndarray | None = None
-    seeded: np.ndarray | None = None
-    seeds: np.ndarray | None = None
-    owners: np.ndarray | None = None
-    places: np.ndarray | None = None
+    seeds: list[Seeds] = field(default_factory=list)
     exact: dict[bytes, int] = field(default_factory=dict)
     heads: dict[int, np.ndarray] = field(default_factory=dict)
     sizes: dict[int, dict[int, list[int]]] = field(default_factory=dict)
 
     def prepare(self) -> "Block":
         self.table = np.zeros(1 << TABLE_BITS, np.uint32)
-        self.seeded = np.zeros(1 << TABLE_BITS, bool)
         by_class: dict[int, list[int]] = {}
         for number, item in self.items.items():
-            if is_short(item):
+            if not edits(len(item)):
                 self.exact[item] = number
                 continue
             by_class.setdefault(size_class(len(item)), []).append(number)
         self.classes = sorted(by_class)
         self.bounds = {number: Bounds.of([len(self.items[m]) for m in members]) for number, members in by_class.items()}
-        seeds, owners, places = [np.empty(0, np.uint64)], [], [np.empty(0, np.int64)]
+        pieces: dict[int, list[tuple[int, bytes]]] = {}
         for k, number in enumerate(self.classes):
             for member in by_class[number]:
                 item = self.items[member]
                 self.table[grams(item)] |= np.uint32(1 << k % 32)
-                pieces = edits(len(item)) + 1
-                begins = np.arange(pieces) * len(item) // pieces
-                seeds.append(hashes(item, SEED)[begins])
-                places.append(begins)
-                owners += [member] * pieces
-        found = np.concatenate(seeds)
-        order = np.argsort(found, kind="stable")
-        self.seeds, self.owners, self.places = found[order], np.array(owners, np.int64)[order], np.concatenate(places)[order]
-        self.seeded[slots(self.seeds)] = True
+                size = SEED if len(item) // (edits(len(item)) + 1) >= SEED else SHORT_SEED
+                pieces.setdefault(size, []).append((member, item))
+        self.seeds = [Seeds.of(size, found) for size, found in sorted(pieces.items())]
         # Of short items: by the number of bytes of a head (8 or all) the lengths of the items with each head.
         self.sizes = {}
         for item in self.exact:
@@ -218,7 +257,7 @@ class Block:
         return self.short(data) + self.close(data)
 
     def short(self, data: bytes) -> list[tuple[int, int, int, int]]:
-        """Items shorter than ``MIN_ITEM`` characters, between word borders."""
+        """Items too short for an edit, between word borders."""
         if not self.exact or not data:
             return []
         raw = np.frombuffer(data, np.uint8)
@@ -239,25 +278,10 @@ class Block:
         return out
 
     def close(self, data: bytes) -> list[tuple[int, int, int, int]]:
-        """Items from ``MIN_ITEM`` characters on, with their allowed edits."""
-        here = hashes(data, SEED)
-        at = np.flatnonzero(self.seeded[slots(here)])
-        left, right = np.searchsorted(self.seeds, here[at], "left"), np.searchsorted(self.seeds, here[at], "right")
-        at, left, right = at[right > left], left[right > left], right[right > left]
-        if not len(at):
+        """Items that may have edits."""
+        begins = {who: found for seeds in self.seeds for who, found in seeds.begins(data).items()}
+        if not begins:
             return []
-        begins: dict[int, list[np.ndarray]] = {}
-        ends = np.cumsum(right - left)
-        for low in range(0, int(ends[-1]), PAIRS):
-            pair = np.arange(low, min(low + PAIRS, int(ends[-1])))
-            row = np.searchsorted(ends, pair, "right")
-            entry = right[row] - (ends[row] - pair)
-            owner, begin = self.owners[entry], at[row] - self.places[entry]
-            order = np.argsort(owner, kind="stable")
-            owner, begin = owner[order], begin[order]
-            cuts = np.flatnonzero(np.diff(owner)) + 1
-            for who, part in zip(owner[np.concatenate([[0], cuts])].tolist(), np.split(begin, cuts)):
-                begins.setdefault(who, []).append(np.unique(part))
         numbers = {size_class(len(self.items[who])) for who in begins}
         looked_at = dict(self.windows(data, numbers))
         out = []
@@ -322,14 +346,16 @@ def blocks(benchmark: DataFrame, key: str, text: str) -> list[Block]:
     """The items in blocks of bounded size, ordered by id. Items of equal normal text are looked for once."""
     out: list[Block] = []
     owners: dict[bytes, int] = {}
+    size = 0
     rows = narrow(benchmark, F.col(key).cast("long").alias("id"), F.col(text).alias("t")).where("id is not null and t is not null")
     for row in rows.orderBy("id").toLocalIterator():
         item = normal(row.t)
         if not item:
             continue
-        if not out or len(out[-1].items) >= BLOCK_ITEMS:
+        if not out or len(out[-1].items) >= BLOCK_ITEMS or size >= BLOCK_BYTES:
             out.append(Block({}, {}))
-            owners = {}
+            owners, size = {}, 0
+        size += len(item) * (item not in owners)
         owner = owners.setdefault(item, len(owners))
         out[-1].items[owner] = item
         out[-1].ids.setdefault(owner, []).append(row.id)

@@ -98,6 +98,8 @@ def test_blocks_of_items_and_repeated_items(spark, tables, monkeypatch):
     frames = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")
     whole = sorted(tuple(r) for r in d.leaks(*frames).collect())
     assert [(r[0], r[1]) for r in whole] == [(1, 0), (1, 0), (1, 5), (1, 900), (1, 900)]
+    monkeypatch.setattr(d, "BLOCK_BYTES", 500)
+    assert sorted(tuple(r) for r in d.leaks(*frames).collect()) == whole
     monkeypatch.setattr(d, "BLOCK_ITEMS", 3)
     assert sorted(tuple(r) for r in d.leaks(*frames).collect()) == whole
     assert d.leaks(frames[0].limit(0), frames[1]).count() == 0 and d.leaks(frames[0], frames[1].limit(0)).count() == 0
@@ -111,14 +113,14 @@ def invented(r, size):
     return text[:size].strip()
 
 
-@pytest.mark.parametrize("size", [100, 500, 1000, 2000, 5000])
+@pytest.mark.parametrize("size", [17, 19, 23, 24, 33, 34, 36, 39, 40, 50, 100, 500, 1000, 2000, 5000])
 def test_no_item_within_the_allowed_edits_is_missed(size):
     """As many edits as are allowed, evenly spread or anywhere, whatever the item's length."""
     r = random.Random(size)
     items = {i: d.normal(invented(r, size)) for i in range(12)}
     block = d.Block(items, {i: [i] for i in items}).prepare()
     for i, item in items.items():
-        allowed = int(d.MAX_SHARE * len(item))
+        allowed = d.edits(len(item))
         out = list(item.decode())
         for k in range(allowed):
             out[len(item) * k // allowed if i % 2 else r.randrange(len(out))] = "z"
@@ -128,6 +130,26 @@ def test_no_item_within_the_allowed_edits_is_missed(size):
         assert {m[1] for m in block.matches([text])} == {i}
 
 
+@pytest.mark.parametrize("size", range(14, 45))
+def test_short_items_equal_brute_force(size):
+    """Every stretch within the allowed edits is found, and nothing else, at lengths about the least that may have an edit."""
+    r = random.Random(size)
+    items = {i: d.normal(invented(r, size + 2))[:size].strip() for i in range(8)}
+    block = d.Block(items, {i: [i] for i in items}).prepare()
+    texts = [f"{invented(r, 60)} {altered(items[k % 8].decode(), k % 4, r)} {invented(r, 60)}" for k in range(60)]
+    got = {(m[0], m[1]) for m in block.matches(texts)}
+    want = set()
+    for number, text in enumerate(texts):
+        data = d.normal(text)
+        for i, item in items.items():
+            if d.edits(len(item)):
+                hit = brute_distance(item, data)[0] <= d.edits(len(item))
+            else:
+                hit = b" " + item + b" " in b" " + data + b" "
+            want |= {(number, i)} if hit else set()
+    assert got == want and want
+
+
 def test_stretches_that_follow_each_other_are_each_found():
     r = random.Random(3)
     item = d.normal(invented(r, 120))

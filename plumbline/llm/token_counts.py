@@ -12,8 +12,10 @@ A text is split into pieces first (words with their leading blank, runs of digit
 depends on the classes of a code point and its neighbours only and needs no state. Each piece starts the
 transducer anew. Texts are laid end to end and cut into chunks of fixed length that run side by side, one
 byte a step for all. A chunk maps the state that enters it to the state that leaves it and a count. From its
-first piece on that map is constant, so it is computed at once for all chunks; what stands before (the head) is
-run when the prefix scan over the chunks brings the entering state.
+first piece on that map is constant, so it is computed at once for all chunks. A chunk inside a long piece has a true
+map. It is computed for the states that can enter: the start state as a guess and all that leave the chunk before,
+until no new one comes up, side by side for all chunks; walks soon fall in step, so that these are few. The maps
+are then composed by a parallel prefix scan (jumps of doubling length), which gives the state that enters each chunk.
 
 Defined results: a null or empty text has no bytes and no tokens; special strings inside a text count as one
 token, as is the library's default; repeated rows are counted each; an empty table gives an empty table; only the
@@ -38,6 +40,7 @@ from plumbline.llm.common import narrow, per_batch, texts, type_of
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 CHUNK = 256  # bytes of a chunk
 BATCH_CHARS = 2_000_000  # code points that are laid end to end at once
+MAPPED = 16_384  # pairs of a chunk and an entering state that are run at once
 MAX_STATES = 300_000  # compiled states that a worker keeps from one batch to the next
 EMIT_BITS = 9
 EMIT = 1 << EMIT_BITS  # a packed transition is next state * EMIT + emitted count + EMIT_ZERO
@@ -206,24 +209,60 @@ class Transducer:
         body = np.where(np.arange(CHUNK)[:, None] >= head, columns, self.columns[256])
         leaving = self.run(body, resets, np.zeros(chunks, np.int64), emitted)
 
-        # The scan: heads run from the state that the chunk before leaves. A chunk without any piece start waits
-        # for the one before it, so rounds go on only along pieces longer than a chunk.
-        waiting = np.flatnonzero(head > 0)
-        unknown = head == CHUNK
-        while len(waiting):
-            ready = waiting[(waiting == 0) | ~unknown[waiting - 1]]
-            steps = int(head[ready].max())
-            entering = np.where(ready == 0, 0, leaving[ready - 1])
-            part = np.where(np.arange(steps)[:, None] < head[ready], columns[:steps, ready], self.columns[256])
-            own = np.zeros((steps, len(ready)), np.int16)
-            states = self.run(part, np.zeros_like(part, bool), entering, own)
-            emitted[:steps, ready] += own
-            whole = unknown[ready]
-            leaving[ready[whole]] = states[whole]
-            unknown[ready] = False
-            waiting = np.setdiff1d(waiting, ready, assume_unique=True)
+        # Chunks without a piece start get their leaving states and counts from the scan over their maps. No text ends in
+        # a head, so its count may stand at its first byte.
+        inner = np.flatnonzero(head == CHUNK)
+        if len(inner):
+            states, counts = self.scan(columns, inner, leaving)
+            leaving[inner] = states
+            emitted[0, inner] += counts.astype(np.int16)
+        heads = np.flatnonzero((head > 0) & (head < CHUNK))
+        for low in range(0, len(heads), MAPPED):
+            some = heads[low : low + MAPPED]
+            steps = int(head[some].max())
+            part = np.where(np.arange(steps)[:, None] < head[some], columns[:steps, some], self.columns[256])
+            own = np.zeros((steps, len(some)), np.int16)
+            self.run(part, np.zeros_like(part, bool), np.where(some == 0, 0, leaving[some - 1]), own)
+            emitted[0, some] += own.sum(axis=0, dtype=np.int16)
         return emitted.T.reshape(-1)[: len(raw)]
 
+    def scan(self, columns: np.ndarray, inner: np.ndarray, leaving: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Leaving state and count of the chunks ``inner``, which have no piece start. ``leaving`` is right for all others."""
+        starts = np.diff(inner, prepend=-2) != 1  # the first chunk of each run of such chunks
+        before = np.where(inner == 0, 0, leaving[inner - 1])
+        goes_on = np.append(~starts[1:], False)
+        # Pairs of a chunk (by its number in inner) and an entering state, as one number each.
+        limit = 1 << 32
+        seeds = np.arange(len(inner)) * limit + np.where(starts, before, 0)
+        known, left, counts = (np.empty(0, np.int64) for _ in range(3))
+        fresh = seeds
+        while len(fresh):
+            ends, sums = [], []
+            for low in range(0, len(fresh), MAPPED):
+                chunk, state = np.divmod(fresh[low : low + MAPPED], limit)
+                part = columns[:, inner[chunk]]
+                own = np.zeros(part.shape, np.int16)
+                ends.append(self.run(part, np.zeros_like(part, bool), state, own))
+                sums.append(own.sum(axis=0, dtype=np.int64))
+            known, left, counts = np.concatenate([known, fresh]), np.concatenate([left, *ends]), np.concatenate([counts, *sums])
+            follow = fresh // limit
+            fresh = np.unique(((follow + 1) * limit + np.concatenate(ends))[goes_on[follow]])
+            fresh = fresh[~np.isin(fresh, known)]
+        order = np.argsort(known)
+        known, next_state, counts = known[order], left[order], counts[order]
+        # The pair that follows each pair; the last chunk of a run leads to itself.
+        chunk = known // limit
+        jump = np.where(goes_on[chunk], np.searchsorted(known, (chunk + 1) * limit + next_state), np.arange(len(known)))
+        # The scan: after k rounds the pairs of the first 2**k chunks of each run are known.
+        nth = np.arange(len(inner)) - np.maximum.accumulate(np.where(starts, np.arange(len(inner)), 0))
+        true = np.searchsorted(known, seeds)
+        reach = 1
+        while reach <= nth.max():
+            new = np.flatnonzero((nth >= reach) & (nth < 2 * reach))
+            true[new] = jump[true[new - reach]]
+            jump, reach = jump[jump], 2 * reach
+        return next_state[true], counts[true]
+
     def count(self, values: list[str]) -> np.ndarray:
         """The number of tokens of each text."""
         segments, owners = [], []

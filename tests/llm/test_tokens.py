@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 
 import public_tokenizers
 import pytest
@@ -58,6 +59,26 @@ def test_long_texts_have_the_ids_of_the_whole(library, text):
     assert token_counts.count_all(token_counts.transducer(token_counts.TOKENIZER), [text]) == [len(ids)]
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_composed_maps_equal_the_library(library, monkeypatch, seed):
+    """Long pieces over many small chunks: periods of all lengths, random letters, and words between them."""
+    r = random.Random(seed)
+    monkeypatch.setattr(token_counts, "CHUNK", r.choice([3, 7, 16, 33]))
+    monkeypatch.setattr(token_counts, "MAPPED", r.choice([5, 64, 16_384]))
+    texts = ["".join(r.choices("abcdeABC", k=r.randrange(1, 4))) * r.randrange(1, 400) + r.choice(["", " end", "1"]) for _ in range(30)]
+    texts += ["".join(r.choices("etaoinshrdlu", k=1500)), "x" * 1001, "é" * 700 + " ok " + "y" * 300, " " * 400 + "z", "=-" * 500]
+    machine = token_counts.Transducer(token_counts.TOKENIZER)
+    assert token_counts.count_all(machine, texts) == [len(library.encode(t, add_special_tokens=False).ids) for t in texts]
+
+
+def test_a_text_without_blanks_takes_linear_time(library):
+    r = random.Random(1)
+    text = "".join(r.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", k=300_000))
+    begin = time.monotonic()
+    assert token_counts.count_all(token_counts.Transducer(token_counts.TOKENIZER), [text]) == [len(library.encode(text, add_special_tokens=False).ids)]
+    assert time.monotonic() - begin < 60
+
+
 def test_cuts_are_safe(monkeypatch):
     codec = bpe.codec(bpe.RANKS)
     text = "don't stop  at 12ab\n\n the 's end!! " * 40

@@ -1,13 +1,21 @@
-"""Benchmark decontamination: exact seeds by the pigeonhole rule, a bound on common substrings, exact edit verification.
+"""Benchmark decontamination: CGK walks with bit-sampled keys over windows, exact seeds for the rest, exact edit verification.
 
 Texts are compared in lower case with every run of blanks and punctuation (Unicode's; ASCII's signs too) as one space. An item of n bytes may
-have e = ``MAX_SHARE`` * n edits. Cut into e + 1 pieces it has one that no edit touches, so the first ``SEED`` bytes
-of some piece (``SHORT_SEED`` where pieces are shorter) stand in the document unaltered, whatever the item's length and
-wherever the words begin. Every place of every text is looked up among the pieces; a piece that is found says where the item would begin. That place is left
-out only by bounds that lose nothing: e edits spoil at most 10 * e of an item's substrings of 10 bytes, so a window
-must hold the rest of them. A table of fixed size has the size classes whose items have a substring. What remains is
-verified: the edit distance between the item and the best matching stretch of the document is computed exactly and
-must be at most ``MAX_SHARE`` of the item's length. So no pair within the distance is missed.
+have e = ``MAX_SHARE`` * n edits. Four steps find it:
+
+1. Windows. e edits spoil at most 10 * e of an item's substrings of 10 bytes, so the item can only begin where a window
+   of its size holds the rest of them. A table of fixed size has the size classes whose items have a substring.
+2. Walks. A CGK walk reads a string with one pointer: at each step it puts out the byte under it and moves on or not, as a random
+   bit for (step, byte) says. Two strings a few edits apart fall in step again, so their walks differ in few places: edit distance
+   becomes Hamming distance. Items are embedded in overlapping parts of bounded length that begin at words (three quarters of the shortest item of
+   the class, ``PART`` bytes at most), so recall does not fall with the length. Windows of that size at the words of step 1 are embedded as well.
+3. Keys. Each of ``WALKS`` independent walks gives ``KEYS`` keys of ``SAMPLED`` sampled places. Any equal key makes a candidate.
+4. Verification. The edit distance between the item and the best matching stretch of the document is computed exactly and
+   must be at most ``MAX_SHARE`` of the item's length.
+
+Keys reach a high recall, not all of it, so with ``exact`` (the default) seeds add what they miss: an item cut into e + 1 pieces has
+one that no edit touches, so the first ``SEED`` bytes of some piece (``SHORT_SEED`` where pieces are shorter) stand in the
+document unaltered. They are looked up at every place and verified alike; with them no pair within the distance is missed.
 
 Items so short that the share allows no edit (up to 16 bytes) must stand between word borders. Scripts that put no
 blanks between words have a border at each of their characters.
@@ -39,12 +47,17 @@ from plumbline.llm.common import narrow, per_batch, texts
 
 MAX_SHARE = 0.06
 BLOCK_ITEMS = 20_000
-BLOCK_BYTES = 16_000_000
+BLOCK_BYTES = 4_000_000
 GRAM = 10
 TABLE_BITS = 22
 CLASS_RATIO = 1.15
 SEED = 12  # the shortest piece of any item from 36 bytes on
 SHORT_SEED = 8  # the shortest piece of any item that may have an edit
+PART = 64  # bytes of a part that is embedded, at most
+STRIDE = 24  # parts of one item begin at least so many bytes apart
+WALKS, KEYS, SAMPLED = 8, 4, 6
+STEPS = PART * 3 // 2
+PLACES = 4_096  # windows that are embedded at once
 PAIRS = 200_000  # places of pieces that are judged at once
 _TO_SPACE = bytes.maketrans((string.punctuation + string.whitespace).encode(), b" " * len(string.punctuation + string.whitespace))
 _BLANKS = frozenset(c for c in map(chr, range(128, sys.maxunicode + 1)) if c.isspace() or c in "\u200b\u2060\ufeff" or unicodedata.category(c)[0] in "PZ")
@@ -160,38 +173,26 @@ def distance(item: bytes, text: bytes) -> tuple[int, int]:
 
 
 @dataclass
-class Seeds:
-    """Hashes of the first ``size`` bytes of pieces in order, the items they are of and where in these they begin."""
+class Lookup:
+    """Hashes in order, with the item that each is of and where in the item it begins."""
 
-    size: int
     hashes: np.ndarray
     owners: np.ndarray
     places: np.ndarray
-    seeded: np.ndarray
 
     @staticmethod
-    def of(size: int, pieces: list[tuple[int, bytes]]) -> Seeds:
-        found, owners, places = [np.empty(0, np.uint64)], [], [np.empty(0, np.int64)]
-        for owner, item in pieces:
-            begins = piece_starts(len(item))
-            found.append(hashes(item, size)[begins])
-            places.append(begins)
-            owners += [owner] * len(begins)
-        all_found = np.concatenate(found)
-        order = np.argsort(all_found, kind="stable")
-        seeded = np.zeros(1 << TABLE_BITS, bool)
-        seeded[slots(all_found)] = True
-        return Seeds(size, all_found[order], np.array(owners, np.int64)[order], np.concatenate(places)[order], seeded)
-
-    def begins(self, data: bytes) -> dict[int, list[np.ndarray]]:
-        """For each item with a piece in the text, where the item would begin."""
-        here = hashes(data, self.size)
-        at = np.flatnonzero(self.seeded[slots(here)])
-        left, right = np.searchsorted(self.hashes, here[at], "left"), np.searchsorted(self.hashes, here[at], "right")
+    def of(found: list[np.ndarray], owners: list[np.ndarray], places: list[np.ndarray]) -> Lookup:
+        hashed = np.concatenate([np.empty(0, np.uint64), *found])
+        order = np.argsort(hashed, kind="stable")
+        owner, place = (np.concatenate([np.empty(0, np.int32), *x]).astype(np.int32) for x in (owners, places))
+        return Lookup(hashed[order], owner[order], place[order])
+
+    def begins(self, here: np.ndarray, at: np.ndarray, out: dict[int, list[np.ndarray]]) -> None:
+        """Add to ``out``, for each item with one of the hashes ``here``, which stand ``at`` places, where the item would begin."""
+        left, right = np.searchsorted(self.hashes, here, "left"), np.searchsorted(self.hashes, here, "right")
         at, left, right = at[right > left], left[right > left], right[right > left]
-        out: dict[int, list[np.ndarray]] = {}
         if not len(at):
-            return out
+            return
         ends = np.cumsum(right - left)
         for low in range(0, int(ends[-1]), PAIRS):
             pair = np.arange(low, min(low + PAIRS, int(ends[-1])))
@@ -203,19 +204,112 @@ class Seeds:
             cuts = np.flatnonzero(np.diff(owner)) + 1
             for who, part in zip(owner[np.concatenate([[0], cuts])].tolist(), np.split(begin, cuts)):
                 out.setdefault(who, []).append(np.unique(part))
-        return out
+
+
+@dataclass
+class Seeds:
+    """The first ``size`` bytes of pieces, and a table of what stands among them."""
+
+    size: int
+    lookup: Lookup
+    seeded: np.ndarray
+
+    @staticmethod
+    def of(size: int, items: list[tuple[int, bytes]]) -> Seeds:
+        begins = [piece_starts(len(item)) for _, item in items]
+        found = [hashes(item, size)[at] for (_, item), at in zip(items, begins)]
+        lookup = Lookup.of(found, [np.full(len(at), owner) for (owner, _), at in zip(items, begins)], begins)
+        seeded = np.zeros(1 << TABLE_BITS, bool)
+        seeded[slots(lookup.hashes)] = True
+        return Seeds(size, lookup, seeded)
+
+    def begins(self, data: bytes, out: dict[int, list[np.ndarray]]) -> None:
+        here = hashes(data, self.size)
+        at = np.flatnonzero(self.seeded[slots(here)])
+        self.lookup.begins(here[at], at, out)
+
+
+def anchors(data: bytes) -> np.ndarray:
+    """Where a character begins at the start, after a blank or beside a byte that isn't ASCII."""
+    raw = np.frombuffer(data, np.uint8)
+    begins = np.ones(len(data), bool)
+    begins[1:] = ((raw[:-1] == 32) | (raw[:-1] >= 128) | (raw[1:] >= 128)) & ((raw[1:] & 0xC0) != 0x80)
+    return np.flatnonzero(begins)
+
+
+def _random_walks() -> tuple[np.ndarray, np.ndarray]:
+    """Whether a walk moves on, by step, walk and byte; and random numbers to draw the sampled steps from."""
+    r = np.random.default_rng(20)
+    return r.integers(0, 2, (STEPS, WALKS * 256), np.int64), r.random((WALKS, KEYS, SAMPLED))
+
+
+_MOVES, _DRAWN = _random_walks()
+
+
+def walk_keys(data: np.ndarray, places: np.ndarray, size: int) -> np.ndarray:
+    """Keys of the windows of ``size`` bytes at ``places``, a row each. ``data`` has ``STEPS`` zeros behind its bytes."""
+    steps = size * 3 // 2
+    walk = np.arange(WALKS) * 256
+    pointer = np.repeat(places[:, None], WALKS, axis=1)
+    put_out = np.empty((steps, len(places), WALKS), np.uint8)
+    for step in range(steps):
+        value = data[pointer]
+        put_out[step] = value
+        pointer += _MOVES[step][value + walk]
+    sampled = (_DRAWN * steps).astype(np.int64)
+    keys = np.broadcast_to(np.arange(1, WALKS * KEYS + 1, dtype=np.uint64).reshape(WALKS, KEYS), (len(places), WALKS, KEYS)) * _MULTIPLY_2
+    for k in range(SAMPLED):
+        # Of every walk and key, the byte put out at its k-th sampled step.
+        taken = put_out[sampled[:, :, k], :, np.arange(WALKS)[:, None]]
+        keys = (keys ^ np.moveaxis(taken, 2, 0).astype(np.uint64)) * _MULTIPLY
+        keys ^= keys >> np.uint64(29)
+    return keys.reshape(len(places), WALKS * KEYS)
+
+
+def padded(data: bytes) -> np.ndarray:
+    return np.concatenate([np.frombuffer(data, np.uint8), np.zeros(STEPS + 1, np.uint8)]).astype(np.int16)
+
+
+@dataclass
+class Embedding:
+    """Keys of the items of a size class, from parts of ``size`` bytes."""
+
+    size: int
+    lookup: Lookup
+
+    @staticmethod
+    def of(shortest: int, items: list[tuple[int, bytes]]) -> Embedding:
+        size = min(PART, shortest * 3 // 4)
+        found, owners, places = [], [], []
+        for owner, item in items:
+            starts: list[int] = []
+            for at in anchors(item).tolist():
+                if at <= len(item) - size and (not starts or at >= starts[-1] + min(STRIDE, size // 3)):
+                    starts.append(at)
+            at = np.array(starts)
+            found.append(walk_keys(padded(item), at, size).ravel())
+            places.append(np.repeat(at, WALKS * KEYS))
+            owners.append(np.full(len(places[-1]), owner))
+        return Embedding(size, Lookup.of(found, owners, places))
+
+    def begins(self, data: np.ndarray, at: np.ndarray, out: dict[int, list[np.ndarray]]) -> None:
+        for low in range(0, len(at), PLACES):
+            some = at[low : low + PLACES]
+            self.lookup.begins(walk_keys(data, some, self.size).ravel(), np.repeat(some, WALKS * KEYS), out)
 
 
 @dataclass
 class Block:
-    """Items of one block with their pieces and the bit tables of these and of their substrings."""
+    """Items of one block with the keys of their parts, their pieces and the bit table of their substrings."""
 
     items: dict[int, bytes]
     ids: dict[int, list[int]]
+    seeded: bool = True
     classes: list[int] = field(default_factory=list)
     bounds: dict[int, Bounds] = field(default_factory=dict)
     table: np.ndarray | None = None
     seeds: list[Seeds] = field(default_factory=list)
+    embeddings: dict[int, Embedding] = field(default_factory=dict)
     exact: dict[bytes, int] = field(default_factory=dict)
     heads: dict[int, np.ndarray] = field(default_factory=dict)
     sizes: dict[int, dict[int, list[int]]] = field(default_factory=dict)
@@ -237,7 +331,11 @@ class Block:
                 self.table[grams(item)] |= np.uint32(1 << k % 32)
                 size = SEED if len(item) // (edits(len(item)) + 1) >= SEED else SHORT_SEED
                 pieces.setdefault(size, []).append((member, item))
-        self.seeds = [Seeds.of(size, found) for size, found in sorted(pieces.items())]
+            self.embeddings[number] = Embedding.of(self.bounds[number].shortest, [(member, self.items[member]) for member in by_class[number]])
+        # Items of 17 to 19 bytes may keep no substring, so that any place is a window; seeds alone find them.
+        unfiltered = {m for number in self.classes if not self.bounds[number].least for m in by_class[number]}
+        wanted = {size: [(m, item) for m, item in found if self.seeded or m in unfiltered] for size, found in pieces.items()}
+        self.seeds = [Seeds.of(size, found) for size, found in sorted(wanted.items()) if found]
         # Of short items: by the number of bytes of a head (8 or all) the lengths of the items with each head.
         self.sizes = {}
         for item in self.exact:
@@ -260,11 +358,7 @@ class Block:
         """Items too short for an edit, between word borders."""
         if not self.exact or not data:
             return []
-        raw = np.frombuffer(data, np.uint8)
-        # A character begins here, after a blank or beside a byte that isn't ASCII.
-        begins = np.ones(len(data), bool)
-        begins[1:] = ((raw[:-1] == 32) | (raw[:-1] >= 128) | (raw[1:] >= 128)) & ((raw[1:] & 0xC0) != 0x80)
-        starts = np.flatnonzero(begins)
+        starts = anchors(data)
         whole = heads(data, 8)[starts]
         out: list[tuple[int, int, int, int]] = []
         for size, known in self.heads.items():
@@ -279,11 +373,18 @@ class Block:
 
     def close(self, data: bytes) -> list[tuple[int, int, int, int]]:
         """Items that may have edits."""
-        begins = {who: found for seeds in self.seeds for who, found in seeds.begins(data).items()}
-        if not begins:
-            return []
-        numbers = {size_class(len(self.items[who])) for who in begins}
-        looked_at = dict(self.windows(data, numbers))
+        looked_at = dict(self.windows(data))
+        begins: dict[int, list[np.ndarray]] = {}
+        filtered = {number: places for number, places in looked_at.items() if self.bounds[number].least}
+        if filtered:
+            words, values = anchors(data), padded(data)
+            for number, places in filtered.items():
+                before = np.searchsorted(places, words, "right") - 1
+                inside = (before >= 0) & (words - places[before] < self.bounds[number].reach)
+                self.embeddings[number].begins(values, words[inside], begins)
+        if looked_at:
+            for seeds in self.seeds:
+                seeds.begins(data, begins)
         out = []
         for who in sorted(begins):
             places = looked_at.get(size_class(len(self.items[who])))
@@ -294,21 +395,30 @@ class Block:
                 out += self.verified(data, who, told[near].tolist())
         return out
 
-    def windows(self, data: bytes, numbers: set[int] | None = None) -> list[tuple[int, np.ndarray]]:
-        """For each size class (of ``numbers``), the places at which a window holds enough of the items' substrings."""
+    def windows(self, data: bytes) -> list[tuple[int, np.ndarray]]:
+        """For each size class, the places at which a window holds enough of the items' substrings."""
         if len(data) < GRAM:
             return []
         masks = self.table[grams(data)]
-        hits = np.zeros(len(data) + 1, np.int32)
-        out, places = [], np.arange(len(data))
+        known = np.flatnonzero(masks)
+        masks = masks[known]
+        out = []
         for k, number in enumerate(self.classes):
-            if numbers is not None and number not in numbers:
+            least, reach = self.bounds[number].least, self.bounds[number].reach
+            if not least:
+                out.append((number, np.arange(len(data))))
+                continue
+            hits = known[(masks >> np.uint32(k % 32)) & np.uint32(1) == 1]
+            if len(hits) < least:
                 continue
-            np.cumsum((masks >> np.uint32(k % 32)) & np.uint32(1), out=hits[1 : len(masks) + 1])
-            hits[len(masks) + 1 :] = hits[len(masks)]
-            enough = np.flatnonzero(hits[np.minimum(places + self.bounds[number].reach, len(data))] - hits[:-1] >= self.bounds[number].least)
-            if len(enough):
-                out.append((number, enough))
+            # ``least`` hits in a row lie in the windows that begin from ``reach`` before the last of them to the first.
+            first, last = hits[: len(hits) - least + 1], hits[least - 1 :]
+            fits = last - reach < first
+            if fits.any():
+                change = np.zeros(len(data) + 1, np.int32)
+                np.add.at(change, np.maximum(last[fits] - reach + 1, 0), 1)
+                np.add.at(change, first[fits] + 1, -1)
+                out.append((number, np.flatnonzero(np.cumsum(change[:-1]) > 0)))
         return out
 
     def verified(self, data: bytes, owner: int, places: list[int]) -> list[tuple[int, int, int, int]]:
@@ -342,7 +452,7 @@ class Block:
         return [(number, best, start, end) for start, end, best in taken for number in self.ids[owner]]
 
 
-def blocks(benchmark: DataFrame, key: str, text: str) -> list[Block]:
+def blocks(benchmark: DataFrame, key: str, text: str, exact: bool = True) -> list[Block]:
     """The items in blocks of bounded size, ordered by id. Items of equal normal text are looked for once."""
     out: list[Block] = []
     owners: dict[bytes, int] = {}
@@ -353,7 +463,7 @@ def blocks(benchmark: DataFrame, key: str, text: str) -> list[Block]:
         if not item:
             continue
         if not out or len(out[-1].items) >= BLOCK_ITEMS or size >= BLOCK_BYTES:
-            out.append(Block({}, {}))
+            out.append(Block({}, {}, exact))
             owners, size = {}, 0
         size += len(item) * (item not in owners)
         owner = owners.setdefault(item, len(owners))
@@ -363,15 +473,17 @@ def blocks(benchmark: DataFrame, key: str, text: str) -> list[Block]:
 
 
 def leaks(
-    docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text"
+    docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text",
+    exact: bool = True,
 ) -> DataFrame:
     """One row for each stretch of a document that is a benchmark item but for a few edits.
 
-    ``key``, ``item_id``, ``distance`` (edits), ``start`` and ``end`` (bytes in the normalised text).
+    ``key``, ``item_id``, ``distance`` (edits), ``start`` and ``end`` (bytes in the normalised text). Without ``exact``
+    candidates come from the walks' keys alone.
     """
     schema = f"`{key}` long, item_id long, distance long, start long, end long"
     found = None
-    for block in blocks(benchmark, item_key, item_text):
+    for block in blocks(benchmark, item_key, item_text, exact):
         shared = docs.sparkSession.sparkContext.broadcast(block)
 
         def work(batch: pa.RecordBatch, shared=shared) -> dict:

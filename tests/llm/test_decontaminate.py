@@ -1,4 +1,4 @@
-"""Benchmark decontamination: edit distances, the embedding's recall, planted passages and clean documents."""
+"""Benchmark decontamination: edit distances, the recall of the walks' keys, planted passages and clean documents."""
 
 import random
 
@@ -130,6 +130,42 @@ def test_no_item_within_the_allowed_edits_is_missed(size):
         assert {m[1] for m in block.matches([text])} == {i}
 
 
+@pytest.mark.parametrize("size", [24, 33, 40, 60, 100, 300, 1000, 5000])
+def test_recall_of_the_keys_alone(size):
+    """Without the seeds, at as many edits of any kind as are allowed."""
+    r = random.Random(size)
+    items = {i: d.normal(invented(r, size)) for i in range(40 if size < 1000 else 12)}
+    block = d.Block(items, {i: [i] for i in items}, seeded=False).prepare()
+    assert not block.seeds
+    found = tried = 0
+    for i, item in items.items():
+        text = f"{invented(r, 700)} {altered(item.decode(), d.edits(len(item)), r)} {invented(r, 700)}"
+        if d.distance(item, d.normal(text))[0] <= d.edits(len(item)):
+            tried += 1
+            found += i in {m[1] for m in block.matches([text])}
+    assert found >= 0.9 * tried > 0.8 * len(items)
+
+
+def test_walks_bring_edit_distance_to_hamming_distance():
+    """Equal strings walk alike whatever follows; few edits change few of the keys, other strings almost all."""
+    r = random.Random(8)
+    one, other = invented(r, 64).encode(), invented(r, 64).encode()
+    keys = {name: set(d.walk_keys(d.padded(text), np.array([0]), 64)[0].tolist()) for name, text in {
+        "one": one, "longer": one + b" and more", "altered": one[:40] + b"q" + one[41:], "other": other}.items()}
+    assert len(keys["one"]) == d.WALKS * d.KEYS
+    assert len(keys["one"] & keys["longer"]) >= 0.8 * len(keys["one"])
+    assert len(keys["one"] & keys["altered"]) >= 5 and len(keys["one"] & keys["other"]) <= 1
+
+
+def test_keys_inside_longer_data_are_those_of_the_part_alone():
+    r = random.Random(9)
+    text = invented(r, 500).encode()
+    places = d.anchors(text)[:20]
+    inside = d.walk_keys(d.padded(text), places, 20)
+    for place, row in zip(places.tolist(), inside):
+        assert (row == d.walk_keys(d.padded(text[place : place + 40]), np.array([0]), 20)[0]).all()
+
+
 @pytest.mark.parametrize("size", range(14, 45))
 def test_short_items_equal_brute_force(size):
     """Every stretch within the allowed edits is found, and nothing else, at lengths about the least that may have an edit."""

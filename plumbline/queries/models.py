@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.operators import evaluate as E
+from plumbline.operators import forecast as P
 from plumbline.operators import models as M
 from plumbline.operators.features import churn_features
 from plumbline.operators.rows import validate_rows
@@ -112,6 +114,45 @@ def _(spark, sf):
     return rounded(rounded(rounded(out, ["elasticity_coefficient"]), ["optimal_price"], 8), ["revenue_impact", "volume_impact"], 4)
 
 
+DAILY_SQL = "SELECT o_orderpriority AS series, CAST(datediff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) AS DOUBLE) AS x, sum(o_totalprice) AS y, isodow(CAST(o_orderdate AS DATE)) AS dow FROM orders GROUP BY 1, 2, 4"
+
+
+def fitted_sql(rows: str) -> str:
+    """Trend and weekday effects of each series in ``rows``."""
+    return f"""(WITH r AS ({rows}), l AS (SELECT series, regr_slope(y, x) AS s, regr_intercept(y, x) AS i FROM r GROUP BY 1)
+    SELECT l.series, s, i, dow, avg(y - i - s * x) AS e FROM r JOIN l USING (series) GROUP BY 1, 2, 3, 4)"""
+
+
+@query("seasonal_forecast", f"""
+WITH d AS ({DAILY_SQL}), z AS (SELECT series, max(x) AS last FROM d GROUP BY 1), a AS (SELECT d.*, last, x > last - 28 AS held FROM d JOIN z USING (series)),
+t AS {fitted_sql("SELECT * FROM a WHERE NOT held")}, w AS {fitted_sql("SELECT * FROM a")},
+k AS (SELECT a.*, y - i - s * x - e AS err FROM a JOIN t USING (series, dow)),
+q AS (SELECT series, sqrt(avg(err * err) FILTER (WHERE held)) AS spread, sqrt(avg(err * err) FILTER (WHERE NOT held)) AS own FROM k GROUP BY 1),
+c AS (SELECT series, count(*) FILTER (WHERE abs(err) <= 1.96 * own) / CAST(count(*) AS DOUBLE) AS coverage FROM k JOIN q USING (series) WHERE held GROUP BY 1),
+f AS (SELECT series, DATE '1970-01-01' + CAST(last + h AS INTEGER) AS date, last + h AS x FROM z, range(1, 29) g(h)),
+o AS (SELECT f.series, f.date, i + s * x + e AS y FROM f JOIN w ON w.series = f.series AND w.dow = isodow(f.date))
+SELECT series AS o_orderpriority, date, round(y, 2) AS forecast, round(y - 1.96 * spread, 2) AS low, round(y + 1.96 * spread, 2) AS high, round(coverage, 6) AS coverage
+FROM o JOIN q USING (series) JOIN c USING (series)""")
+def _(spark, sf):
+    """Revenue of every order priority for four weeks."""
+    daily = table(spark, sf, "orders").groupBy("o_orderpriority", F.to_date("o_orderdate").alias("date")).agg(F.sum("o_totalprice").alias("revenue"))
+    out = P.seasonal_forecast(materialise(daily, "daily"), "o_orderpriority", "date", "revenue")
+    return rounded(rounded(out, ["forecast", "low", "high"], 2), ["coverage"])
+
+
+@query("pooled_elasticity", f"""
+WITH m AS (SELECT product_id, count(*) AS n_sales, regr_sxx(ln(quantity_sold), ln(price)) AS sxx, regr_sxy(ln(quantity_sold), ln(price)) AS sxy, regr_syy(ln(quantity_sold), ln(price)) AS syy
+  FROM ({PRICE_BASE_SQL}) WHERE price > 0 AND quantity_sold > 0 GROUP BY 1),
+o AS (SELECT *, CASE WHEN sxx > 1e-9 THEN sxy / sxx END AS b FROM m), v AS (SELECT * FROM o WHERE b IS NOT NULL),
+p AS (SELECT sum(sxx * b) / sum(sxx) AS mu, (sum(greatest(0, syy - b * sxy)) FILTER (WHERE n_sales > 2)) / (sum(n_sales - 2) FILTER (WHERE n_sales > 2)) AS s FROM v),
+t AS (SELECT mu, s, greatest(0, (SELECT (sum(sxx * (b - mu) * (b - mu)) - any_value(s) * (count(*) - 1)) / (sum(sxx) - sum(sxx * sxx) / sum(sxx)) FROM v, p)) AS t FROM p)
+SELECT product_id, n_sales, round(b, 6) AS own_elasticity, round(mu, 6) AS common_elasticity, round(CASE WHEN b IS NULL THEN 0.0 ELSE t / (t + s / sxx) END, 6) AS weight,
+  round(CASE WHEN b IS NULL THEN mu ELSE (t * b + s / sxx * mu) / (t + s / sxx) END, 6) AS elasticity_coefficient FROM o, t""")
+def _(spark, sf):
+    columns = ["own_elasticity", "common_elasticity", "weight", "elasticity_coefficient"]
+    return rounded(P.pooled_elasticity(price_base(spark, sf)), columns)
+
+
 @query("churn_outlook", f"""
 WITH b AS ({CHURN_BASE_SQL}), {churn_features_sql('b')}, p AS (SELECT customer_id, 1 - activity_recency_score AS p FROM feat)
 SELECT customer_id, CASE WHEN p < 0.25 THEN 'low' WHEN p < 0.5 THEN 'medium' WHEN p < 0.8 THEN 'high' WHEN p IS NOT NULL THEN 'critical' END AS risk_classification,
@@ -181,6 +222,25 @@ def _(spark, sf):
     return store.versions("churn").orderBy("version")
 
 
+@query("stored_model_scores", """
+WITH l AS (SELECT CAST(l_quantity > 25 AS INTEGER) AS big, CAST(l_discount > 0.05 AS INTEGER) AS a, CAST(l_tax > 0.03 AS INTEGER) AS b FROM lineitem)
+SELECT CAST(1 AS INTEGER) AS version, big, round(avg(a), 3) AS mean_score, count(*) AS n FROM l GROUP BY 2
+UNION ALL SELECT CAST(2 AS INTEGER), big, round(avg(b), 3), count(*) FROM l GROUP BY 2""")
+def _(spark, sf):
+    """Two versions saved, loaded back and scored: without a penalty, scores by a yes-or-no feature are the groups' shares."""
+    lines = table(spark, sf, "lineitem").select(
+        (F.col("l_quantity") > 25).cast("int").alias("big"), (F.col("l_discount") > 0.05).cast("int").alias("a"), (F.col("l_tax") > 0.03).cast("int").alias("b"),
+    )
+    store = M.ModelStore(spark, scratch_path(spark, "models"))
+    for label in ("a", "b"):
+        store.save("share", M.train_classifier(lines, ["big"], label, "logistic_regression", tol=1e-10), {"label": label})
+    scored = [
+        store.load("share", version).transform(lines).groupBy("big").agg(F.round(F.avg(vector_to_array("probability")[1]), 3).alias("mean_score"), F.count("*").alias("n"))
+        .select(F.lit(version).alias("version"), "big", "mean_score", "n") for version in (1, 2)
+    ]
+    return scored[0].unionByName(scored[1])
+
+
 # --- streams ------------------------------------------------------------------------------------------
 
 def event_stream(spark, sf):

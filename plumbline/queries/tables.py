@@ -178,6 +178,24 @@ def _(spark, sf):
     return sinks.upsert(current, updates, ["o_custkey"], keep=["first_order"])
 
 
+@query("upsert_touched", """
+WITH a AS (SELECT o_custkey, count(*) AS total_orders, min(o_orderdate) AS first_order FROM orders WHERE o_orderdate < TIMESTAMP '2001-07-28' GROUP BY 1),
+b AS (SELECT o_custkey, count(*) AS total_orders, min(o_orderdate) AS first_order FROM orders WHERE o_orderdate >= TIMESTAMP '2001-07-28' GROUP BY 1)
+SELECT coalesce(a.o_custkey, b.o_custkey) AS o_custkey, coalesce(b.total_orders, a.total_orders) AS total_orders,
+  CAST(coalesce(a.first_order, b.first_order) AS DATE) AS first_order FROM a FULL JOIN b ON a.o_custkey = b.o_custkey""")
+def _(spark, sf):
+    """The last days' orders merged into a stored table, of which only the folders with a changed key are rewritten."""
+    orders = table(spark, sf, "orders")
+
+    def totals(rows):
+        return rows.groupBy("o_custkey").agg(F.count("*").alias("total_orders"), F.min("o_orderdate").cast("date").alias("first_order"))
+
+    path = scratch_path(spark, "totals")
+    sinks.write_bucketed(totals(orders.filter("o_orderdate < '2001-07-28'")), path, ["o_custkey"], 16)
+    sinks.upsert_touched(spark, path, totals(orders.filter("o_orderdate >= '2001-07-28'")), ["o_custkey"], keep=["first_order"], buckets=16)
+    return spark.read.parquet(path).drop(sinks.BUCKET)
+
+
 @query("fixed_sample", "SELECT o_orderkey, o_custkey FROM orders ORDER BY md5('42-' || CAST(o_orderkey AS VARCHAR)), o_orderkey LIMIT 1000")
 def _(spark, sf):
     return files.fixed_sample(table(spark, sf, "orders"), "o_orderkey", 1000).select("o_orderkey", "o_custkey")

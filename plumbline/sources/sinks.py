@@ -7,6 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.session import materialise
+
+BUCKET = "_bucket"
+
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).option("header", True).csv(path)
@@ -71,3 +75,40 @@ def upsert(current: DataFrame, updates: DataFrame, keys: Sequence[str], keep: Se
             value = F.when(F.col("_has"), after).otherwise(before)
         out.append(value.alias(c))
     return both.select(*keys, *out)
+
+
+def write_bucketed(df: DataFrame, path: str, keys: Sequence[str], buckets: int = 256) -> None:
+    """A table in folders by a hash of its keys, for ``upsert_touched``. Adaptive execution splits heavy folders into files."""
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
+    df.withColumn(BUCKET, bucket).hint("rebalance", BUCKET).write.partitionBy(BUCKET).parquet(path)
+
+
+def touched(updates: DataFrame, keys: Sequence[str], buckets: int) -> list[int]:
+    """The folders that hold a key of ``updates``: at most ``buckets`` numbers."""
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int").alias("b")
+    return sorted(r["b"] for r in updates.select(bucket).distinct().collect())
+
+
+def upsert_touched(
+    spark: SparkSession, path: str, updates: DataFrame, keys: Sequence[str], *, keep: Sequence[str] = (), buckets: int = 256
+) -> list[int]:
+    """Merge ``updates`` into a table of ``write_bucketed`` in place; only folders with a changed key are read and written.
+
+    ``updates`` are unique on the keys, which have the types of the table's, and bring no new columns. The merged folders are stored in the
+    scratch folder first, so the write never reads what it replaces and can be repeated if it is cut off.
+    Returns the folders.
+    """
+    current = spark.read.parquet(path)
+    new = sorted(set(updates.columns) - set(current.columns))
+    if new:
+        raise ValueError(f"columns that the table does not have: {', '.join(new)}")
+    kinds = {c: current.schema[c].dataType for c in updates.columns}
+    updates = materialise(updates.select(*[F.col(c).cast(kind).alias(c) for c, kind in kinds.items()]), "updates")
+    folders = touched(updates, keys, buckets)
+    if not folders:
+        return []
+    merged = upsert(current.where(F.col(BUCKET).isin(folders)).drop(BUCKET), updates, keys, keep)
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
+    merged = materialise(merged.withColumn(BUCKET, bucket), "merged").hint("rebalance", BUCKET)
+    merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(BUCKET).parquet(path)
+    return folders

@@ -15,6 +15,7 @@ from plumbline.operators.rank import fit_tiers, percent_rank_average
 from plumbline.operators.series import (
     fill_forward, growth, keep_first, over_rows, rolling_mean, rolling_std, session_durations,
 )
+from plumbline.plans.landing import process_landing
 from plumbline.plans.preprocess import PreprocessConfig, load_preprocess, mixed_preprocess, preprocess, report_table
 from plumbline.plans.run import run_blueprint
 from plumbline.session import materialise, scratch_path
@@ -570,3 +571,19 @@ def _(spark, sf):
     df = materialise(churn_dirty(spark, sf).fillna({"feature_usage_count": 0}), "churn")
     result = run_blueprint(df, "customer_churn", as_of_column(), rules=[Completeness(), Range({"total_value": (0, None)}), Domain({"plan_type": ["basic"]})])
     return spark.createDataFrame([(s, status, detail) for s, status, _, detail in result.stages], "stage string, status string, detail string")
+
+
+@query("landing_ledger", f"""
+SELECT CASE WHEN CAST(customer_id AS BIGINT) % 2 = 0 THEN 'even' ELSE 'odd' END AS part, 'customer_churn' AS blueprint, 'completed' AS status, count(*) AS n_rows
+FROM ({CHURN_BASE_SQL}) WHERE last_activity_date IS NOT NULL GROUP BY 1
+UNION ALL SELECT 'broken', 'customer_churn', 'failed', NULL""")
+def _(spark, sf):
+    """Customers dropped as files of two folders, and files without the columns needed; outcomes by folder."""
+    folder, work = scratch_path(spark, "landing"), scratch_path(spark, "landed")
+    base = materialise(churn_base(spark, sf).where("last_activity_date is not null"), "customers")
+    even = F.col("customer_id").cast("bigint") % 2 == 0
+    halves = base.withColumn("part", F.when(even, "even").otherwise("odd")).hint("rebalance", "part")
+    halves.write.partitionBy("part").option("header", True).csv(folder)
+    base.select("customer_id").hint("rebalance").write.option("header", True).csv(f"{folder}/part=broken")
+    ledger = process_landing(spark, folder, ["customer_churn"], as_of_column(), f"{work}/out", f"{work}/ledger", rules=[Completeness()])
+    return ledger.groupBy(F.regexp_extract("file", "part=([^/]+)", 1).alias("part"), "blueprint", "status").agg(F.sum("n_rows").alias("n_rows"))

@@ -32,6 +32,21 @@ def per_batch(
     return df.mapInArrow(run, schema)
 
 
+def keep_rows(df: DataFrame, wanted: Callable[[pa.RecordBatch], list[bool]]) -> DataFrame:
+    """The rows for which ``wanted`` says so, with all their columns. Each row is judged where it is read: nothing is joined.
+
+    Batches have the columns by number (``c0``, ``c1``, ...), so names may hold any sign.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield batch.filter(pa.array(wanted(batch), pa.bool_()))
+
+    plain = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    return plain.mapInArrow(run, plain.schema).toDF(*df.columns)
+
+
 def arrow_schema(df: DataFrame, schema: str) -> pa.Schema:
     return to_arrow_schema(StructType.fromDDL(schema))
 

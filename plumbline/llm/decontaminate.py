@@ -43,7 +43,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import narrow, per_batch, texts
+from plumbline.llm.common import keep_rows, narrow, per_batch, texts
+from plumbline.session import materialise
 
 MAX_SHARE = 0.06
 BLOCK_ITEMS = 20_000
@@ -59,6 +60,7 @@ WALKS, KEYS, SAMPLED = 8, 4, 6
 STEPS = PART * 3 // 2
 PLACES = 4_096  # windows that are embedded at once
 PAIRS = 200_000  # places of pieces that are judged at once
+CHAINED = 4  # blocks that one scan of the documents meets one after another in ``unleaked``
 _TO_SPACE = bytes.maketrans((string.punctuation + string.whitespace).encode(), b" " * len(string.punctuation + string.whitespace))
 _BLANKS = frozenset(c for c in map(chr, range(128, sys.maxunicode + 1)) if c.isspace() or c in "\u200b\u2060\ufeff" or unicodedata.category(c)[0] in "PZ")
 # Scripts without blanks between words: Thai to Tibetan, Myanmar, Khmer, Tai, kana and Han.
@@ -354,6 +356,11 @@ class Block:
         """Item, edit distance, start and end of all matches in one normalised text."""
         return self.short(data) + self.close(data)
 
+    def holds(self, value: str) -> bool:
+        """Whether a text has a match."""
+        data = normal(value)
+        return bool(self.short(data) or self.close(data))
+
     def short(self, data: bytes) -> list[tuple[int, int, int, int]]:
         """Items too short for an edit, between word borders."""
         if not self.exact or not data:
@@ -497,6 +504,28 @@ def leaks(
     return found if found is not None else docs.sparkSession.createDataFrame([], schema)
 
 
+def unleaked(
+    docs: DataFrame, benchmark: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text", exact: bool = True
+) -> DataFrame:
+    """The rows of ``docs``, with their columns, in which ``leaks`` finds no item.
+
+    Each row is judged by its own text: ids may repeat or be null. A text rejected by one block isn't looked at by the next; what
+    ``CHAINED`` blocks have left is stored.
+    """
+    place, left = docs.columns.index(text), docs
+    for number, block in enumerate(blocks(benchmark, item_key, item_text, exact)):
+        if number and number % CHAINED == 0:
+            left = materialise(left, "unleaked")
+        shared = docs.sparkSession.sparkContext.broadcast(block)
+
+        def wanted(batch: pa.RecordBatch, shared=shared) -> list[bool]:
+            here = prepared(shared.value)
+            return [not here.holds(value) for value in texts(batch, place)]
+
+        left = keep_rows(left, wanted)
+    return left
+
+
 _prepared: dict[int, Block] = {}
 
 

@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import arrow_schema, narrow, per_batch, texts, type_of
+from plumbline.llm.common import arrow_schema, keep_rows, narrow, per_batch, texts, type_of
 
 SAMPLE_DOCS = 3_000
 MIN_SHARE = 0.01
@@ -268,12 +268,11 @@ def with_least(filters: Filters, chosen: DataFrame) -> Filters:
 
 def foreign(docs: DataFrame, train: DataFrame, key: str = "doc_id", lang: str = "lang", text: str = "text") -> DataFrame:
     """``key`` of the documents that are in none of the languages of the rows of ``train`` not held out."""
-    rows = train.where(~held_out(F.col(key)))
-    filters = fit(rows, lang, text)
+    filters = learnt(train, key, lang, text)
     own = narrow(docs, F.col(key), F.col(text))
     if filters is None:
         return own.select(key)
-    shared = docs.sparkSession.sparkContext.broadcast(with_least(filters, training_rows(rows, lang, text, SAMPLE_DOCS)[0]))
+    shared = docs.sparkSession.sparkContext.broadcast(filters)
 
     def work(batch: pa.RecordBatch) -> dict:
         return {key: batch.column(0), "foreign": shared.value.foreign(list(texts(batch, 1)))}
@@ -281,6 +280,22 @@ def foreign(docs: DataFrame, train: DataFrame, key: str = "doc_id", lang: str =
     return per_batch(own, f"`{key}` {type_of(docs, key)}, foreign boolean", work).where("foreign").select(key)
 
 
+def learnt(train: DataFrame, key: str, lang: str, text: str) -> Filters | None:
+    """The filters of the rows of ``train`` not held out, with what tells foreign texts; none without such rows."""
+    rows = train.where(~held_out(F.col(key)))
+    filters = fit(rows, lang, text)
+    return None if filters is None else with_least(filters, training_rows(rows, lang, text, SAMPLE_DOCS)[0])
+
+
+def familiar(docs: DataFrame, train: DataFrame, key: str = "doc_id", lang: str = "lang", text: str = "text") -> DataFrame:
+    """The rows of ``docs``, with their columns, that are not ``foreign``. Each is judged by its own text: ids may repeat or be null."""
+    filters = learnt(train, key, lang, text)
+    if filters is None:
+        return docs.limit(0)
+    shared, place = docs.sparkSession.sparkContext.broadcast(filters), docs.columns.index(text)
+    return keep_rows(docs, lambda batch: [not x for x in shared.value.foreign(list(texts(batch, place)))])
+
+
 def held_out(key: Column) -> Column:
     """Whether a document is kept out of training: crc32 of the id as text, modulo 4, is 2."""
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % 4 == 2, F.lit(False))

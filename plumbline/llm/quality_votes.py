@@ -164,3 +164,13 @@ def quality(docs: DataFrame, key: str = "doc_id", text: str = "text", rules: lis
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     judged = voted.withColumns({"base_failed": failed, "quality": model.posterior([F.col(n) for n in names])})
     return judged.withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= keep_from))
+
+
+def good(docs: DataFrame, text: str = "text", rules: list[Rule] | None = None, keep_from: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` that ``quality`` keeps, with their columns.
+
+    Rows are stored with their figures, so that each is judged by its own text: ids may repeat or be null, and no
+    verdict is joined back.
+    """
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text}`").alias("body"))
+    return quality(rows, "row", "body", rules, keep_from).where("kept").select("row.*")

@@ -101,3 +101,24 @@ def test_run_and_empty_table(spark, stages):
     for _, stage in p.STAGES:
         docs = stage(spark, docs, SMALL)
         assert docs.count() == 0
+
+
+def test_each_row_is_judged_by_itself(spark):
+    """A good row stays beside a bad one of the same id, and a bad row without id goes."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    item = spark.read.parquet(f"{SMALL}/benchmark.parquet").orderBy("item_id").first().text
+    good = p.quality_rules(spark, docs, SMALL).where("length(text) > 1500").orderBy("doc_id").first().text
+    r = random.Random(3)
+    noise = " ".join("".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=r.randrange(2, 10))) for _ in range(150))
+    for stage, bad in ((p.quality_rules, "WORD!! " * 80), (p.language, noise), (p.decontamination, good + " " + item)):
+        rows = [(7001, good), (7001, bad), (None, good), (None, bad)]
+        marked = docs.where("doc_id < 7000").unionByName(spark.createDataFrame([(i, t, None, "planted", 0) for i, t in rows], docs.schema))
+        kept = [(x.doc_id, x.text) for x in stage(spark, marked, SMALL).where("source = 'planted'").collect()]
+        assert sorted(kept, key=str) == sorted([(7001, good), (None, good)], key=str)
+
+
+def test_columns_of_any_name_pass_the_filters(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").selectExpr("*", "doc_id AS n_words", "lang AS row", "1.5D AS `a.b`", "array(source) AS kept")
+    for stage in (p.quality_rules, p.language, p.decontamination):
+        after = stage(spark, docs, SMALL)
+        assert after.columns == docs.columns and after.count() > 50

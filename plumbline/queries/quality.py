@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from plumbline.blueprints import CUSTOMER_CHURN, PRICE_OPTIMIZATION, REVENUE_PROJECTION, PLANS
+from plumbline.operators import period_profile as PP
 from plumbline.operators import profile as P
 from plumbline.operators.clean import drop_empty_columns
 from plumbline.operators import quality as Q
 from plumbline.operators import rows as R
 from plumbline.queries.registry import AS_OF_SQL, days_sql, query, rounded
-from plumbline.session import materialise
+from plumbline.session import materialise, scratch_path
 from plumbline.sources.tables import (
     CHURN_BASE_SQL, CHURN_DIRTY_SQL, PRICE_BASE_SQL, REVENUE_BASE_SQL, as_of_column, churn_base, churn_dirty,
     price_base, revenue_base, table,
@@ -542,6 +543,48 @@ def _(spark, sf):
     return rounded(P.mixed_profile(df), ["mean", "std"], 4)
 
 
+ORDER_KINDS = {"o_orderkey": "bigint", "o_custkey": "bigint", "o_orderstatus": "string", "o_totalprice": "double", "o_orderpriority": "string"}
+
+
+def order_states(spark, sf):
+    """Stored monthly states of all orders: first of a table whose last quarter was wrong and that ended there, then refreshed from that quarter on."""
+    path, orders = scratch_path(spark, "order-states"), table(spark, sf, "orders")
+    price = F.when(F.col("o_orderdate") >= "1997-10-01", F.col("o_totalprice") * 2).otherwise(F.col("o_totalprice"))
+    early = orders.where("o_orderdate < '1998-01-01' OR o_orderdate IS NULL").withColumn("o_totalprice", price)
+    PP.store_states(early, path, "o_orderdate", list(ORDER_KINDS), "month")
+    PP.refresh_states(orders, path, "o_orderdate", "1997-10-01", "9999-01-01", list(ORDER_KINDS), "month")
+    return PP.stored(spark, path)
+
+
+@query("profile_incremental", " UNION ALL ".join(
+    "SELECT \"column\", data_type, non_null_count + null_count AS n_rows, non_null_count, null_count, min, max, mean, std FROM ("
+    + profile_sql(c, kind, "orders") + ")" for c, kind in ORDER_KINDS.items()))
+def _(spark, sf):
+    """The profile of all orders from stored monthly states, of which only the changed ones were made anew."""
+    estimates = ["unique_estimate", "quantile_estimates", "top_estimates"]
+    return rounded(PP.merged_profile(order_states(spark, sf)).drop(*estimates), ["mean", "std"], 4)
+
+
+@query("profile_by_month", " UNION ALL ".join(
+    f"SELECT '{c}' AS \"column\", CAST(date_trunc('month', o_orderdate) AS DATE) AS month, count(*) AS n_rows, count(*) - count({c}) AS null_count, round(avg({c}), 4) AS mean, round(stddev_samp({c}), 4) AS std FROM orders GROUP BY ALL"
+    for c in ("o_custkey", "o_totalprice")))
+def _(spark, sf):
+    """How a column drifts from month to month, from the stored states alone."""
+    months = PP.merged_profile(order_states(spark, sf).where("is_numeric and column <> 'o_orderkey'"), ["_period"])
+    return rounded(months.select("column", F.col("_period").alias("month"), "n_rows", "null_count", "mean", "std"), ["mean", "std"], 4)
+
+
+@query("profile_incremental_counts", " UNION ALL ".join(
+    f"SELECT * FROM (SELECT '{c}' AS \"column\", CAST({c} AS VARCHAR) AS value, count(*) AS n_rows, CAST(row_number() OVER (ORDER BY count(*) DESC, CAST({c} AS VARCHAR)) AS INTEGER) AS position, count(*) OVER () AS unique_count FROM orders WHERE {c} IS NOT NULL GROUP BY {c}) WHERE position <= 5"
+    for c in ("o_custkey", "o_orderstatus", "o_orderpriority")))
+def _(spark, sf):
+    """Exact distinct and top values from counts by month, those of the later months added to the stored ones."""
+    orders, columns = table(spark, sf, "orders"), ["o_custkey", "o_orderstatus", "o_orderpriority"]
+    early = orders.where("o_orderdate < '1998-01-01' OR o_orderdate IS NULL")
+    stored = materialise(PP.period_counts(early, "o_orderdate", columns, "month"), "counts")
+    return PP.merged_counts(stored.unionByName(PP.period_counts(PP.rows_of(orders, "o_orderdate", "1998-01-01", "9999-01-01"), "o_orderdate", columns, "month")))
+
+
 PAIRS = [("l_quantity", "l_extendedprice"), ("l_quantity", "l_discount"), ("l_quantity", "l_tax"), ("l_extendedprice", "l_discount"), ("l_extendedprice", "l_tax"), ("l_discount", "l_tax")]
 
 

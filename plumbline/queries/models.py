@@ -20,6 +20,7 @@ from plumbline.sources.tables import (
     table, user_events,
 )
 from plumbline.streaming import jobs as S
+from plumbline.streaming.versions import StepVersions, VersionedRun
 
 # --- evaluation: line items scored by a fixed rule ----------------------------------------------
 
@@ -381,3 +382,28 @@ def _(spark, sf):
     scale = C.fit_scale(cap.transform(events), "standard", columns=["value"])
     stream = scale.transform(cap.transform(event_stream(spark, sf).select("event_id", "value")))
     return rounded(S.run_available(stream, "fitted"), ["value"])
+
+
+@query("stream_versioned_steps", """
+WITH e AS (SELECT event_id, value, event_id <= (SELECT max(event_id) // 2 FROM events) AS early FROM events),
+q AS (SELECT 1 AS version, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3 FROM e WHERE early
+      UNION ALL SELECT 2, quantile_cont(value, 0.25), quantile_cont(value, 0.75) FROM e),
+c AS (SELECT version, early, event_id, greatest(q1 - 1.5 * (q3 - q1), least(q3 + 1.5 * (q3 - q1), value)) AS v FROM e, q),
+m AS (SELECT version, avg(v) AS mean, stddev_pop(v) AS dev FROM c WHERE early OR version = 2 GROUP BY 1)
+SELECT event_id, CAST(version AS INTEGER) AS model_version, round((v - mean) / dev, 6) AS value
+FROM c JOIN m USING (version) WHERE version = CASE WHEN early THEN 1 ELSE 2 END""")
+def _(spark, sf):
+    """Events that arrive in two halves; after the first the steps are fitted anew, and the same stream goes on with them."""
+    root, events = scratch_path(spark, "versioned"), table(spark, sf, "events").select("event_id", "value")
+    half = events.agg(F.max("event_id")).first()[0] // 2
+    run = VersionedRun(StepVersions(spark, f"{root}/steps"), f"{root}/out")
+
+    def fitted(df):
+        cap = C.fit_cap(df, "iqr", columns=["value"])
+        return [cap, C.fit_scale(cap.transform(df), "standard", columns=["value"])]
+
+    for known, arrived in ((events.where(F.col("event_id") <= half),) * 2, (events, events.where(F.col("event_id") > half))):
+        run.versions.publish(fitted(known))
+        arrived.write.mode("append").parquet(f"{root}/in")
+        run.start(S.file_stream(spark, f"{root}/in", events.schema), f"{root}/state").awaitTermination()
+    return rounded(run.rows(spark).drop("batch_id"), ["value"])

@@ -19,6 +19,7 @@ from plumbline.sources.tables import (
     CHURN_BASE_SQL, PRICE_BASE_SQL, REVENUE_BASE_SQL, as_of_column, churn_base, order_events, price_base, revenue_base,
     table, user_events,
 )
+from plumbline.streaming import closing
 from plumbline.streaming import jobs as S
 from plumbline.streaming.versions import StepVersions, VersionedRun
 
@@ -407,3 +408,18 @@ def _(spark, sf):
         arrived.write.mode("append").parquet(f"{root}/in")
         run.start(S.file_stream(spark, f"{root}/in", events.schema), f"{root}/state").awaitTermination()
     return rounded(run.rows(spark).drop("batch_id"), ["value"])
+
+
+@query("stream_closing_totals", TOTALS_SQL)
+def _(spark, sf):
+    """Orders arrive in four stretches of time; customers quiet for two days leave the state, and their parts add up with what is open."""
+    orders = order_events(table(spark, sf, "events"))
+    low, high = orders.agg(F.min(F.unix_seconds("ts")), F.max(F.unix_seconds("ts"))).first()
+    folder, out, state = (scratch_path(spark, n) for n in ("orders", "parts", "state"))
+    step = (high - low) // 4 + 1
+    for i in range(4):
+        stretch = (F.unix_seconds("ts") >= low + i * step) & (F.unix_seconds("ts") < low + (i + 1) * step)
+        orders.where(stretch).write.mode("append").parquet(folder)
+        closing.start(closing.closed_parts(S.file_stream(spark, folder, orders.schema), ttl_days=2), out, state).awaitTermination()
+    found = closing.totals(spark, out, state)
+    return rounded(found.select("customer_id", "total_orders", "total_spent", "customer_segment"), ["total_spent"], 4)

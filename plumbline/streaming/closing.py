@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from plumbline.functions.scalars import customer_segment
-from plumbline.streaming.jobs import CUSTOMER_TTL_DAYS, ROCKSDB, STATE_STORE
+from plumbline.streaming.jobs import CUSTOMER_TTL_DAYS, ROCKSDB, STATE_STORE, UNKNOWN, keyed
 
 # The processor travels to the executors by value, so these need no copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -76,11 +76,9 @@ def closed_parts(orders: DataFrame, ttl_days: int = CUSTOMER_TTL_DAYS, delay: st
     """A stream of parts: the sums of customers who went quiet."""
     sign = F.when(F.col("event_type") == "order_created", 1).when(F.col("event_type") == "order_cancelled", -1)
     stamped = orders.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
-    # A null key would take other customers of its task with it, so it travels as a mark beside the key.
-    customer = F.coalesce("customer_id", F.lit(0)).cast("long").alias("customer_id"), F.col("customer_id").isNull().alias("unknown")
-    counted = stamped.select(*customer, sign.alias("sign"), F.coalesce("amount", F.lit(0.0)).alias("amount"), "ts", F.unix_millis("ts").alias("millis"))
+    counted = keyed(stamped, "customer_id", sign.alias("sign"), F.coalesce("amount", F.lit(0.0)).alias("amount"), "ts", F.unix_millis("ts").alias("millis"))
     kept = counted.where("sign IS NOT NULL AND ts IS NOT NULL")
-    return kept.groupBy("customer_id", "unknown").transformWithStateInPandas(_OpenTotals(ttl_days), PART, "Append", "EventTime")
+    return kept.groupBy("customer_id", UNKNOWN).transformWithStateInPandas(_OpenTotals(ttl_days), PART, "Append", "EventTime")
 
 
 def start(parts: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
@@ -93,7 +91,7 @@ def start(parts: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
 def open_parts(spark: SparkSession, checkpoint: str) -> DataFrame:
     """The sums still in the state, after the last trigger that ended."""
     state = spark.read.format("statestore").option("stateVarName", STATE).load(checkpoint)
-    customer = F.when(~F.col("key.unknown"), F.col("key.customer_id")).alias("customer_id")
+    customer = F.when(~F.col(f"key.{UNKNOWN}"), F.col("key.customer_id")).alias("customer_id")
     return state.select(customer, "value.total_orders", "value.total_spent", "value.last_order")
 
 

@@ -23,6 +23,7 @@ SESSION_TTL_SECONDS = 3600
 DAILY_USERS_DAYS = 7
 CUSTOMER_TTL_DAYS = 30
 MALFORMED = "_malformed"
+UNKNOWN = "_unknown"
 STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -93,6 +94,16 @@ def gap_sessions(events: DataFrame, *, user: str = "user_id", ts: str = "ts", ga
     )
 
 
+def keyed(df: DataFrame, key: str, *columns: str | Column) -> DataFrame:
+    """``key``, a mark where it is null, and ``columns``. A stateful processor that groups by a null key loses other keys of its task."""
+    return df.select(F.coalesce(key, F.lit(0)).cast("long").alias(key), F.col(key).isNull().alias(UNKNOWN), *columns)
+
+
+def named(key: tuple, n: int) -> pd.Series:
+    """The key of ``keyed`` as a column of ``n`` rows, null where it was."""
+    return pd.Series([None if key[1] else key[0]] * n, dtype="Int64")
+
+
 class _Sessions(StatefulProcessor):
     """Keeps a user's latest login and turns a logout into a session. A login goes when no logout can follow in time."""
 
@@ -117,9 +128,9 @@ class _Sessions(StatefulProcessor):
                 self.handle.registerTimer(last // 1000 + self.ttl_millis + 1)
         length = events["micros"] - logins
         ended = ((events["event_type"] == "logout") & (length <= self.ttl_millis * 1000)).fillna(False).astype(bool)
-        yield pd.DataFrame({
-            "user_id": key[0], "event_id": events["event_id"][ended].astype("int64"), "session_duration": length[ended].astype("float64") / 1_000_000,
-        })
+        out = pd.DataFrame({"event_id": events["event_id"][ended].astype("int64"), "session_duration": length[ended].astype("float64") / 1_000_000})
+        out.insert(0, "user_id", named(key, len(out)).to_numpy())
+        yield out.astype({"user_id": "Int64"})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         # A later login has a timer of its own.
@@ -137,8 +148,8 @@ def stateful_sessions(events: DataFrame, ttl_seconds: int = SESSION_TTL_SECONDS,
     Time is that of the events: rows more than ``delay`` behind the latest event of the triggers before are dropped.
     """
     stamped = events.filter(F.col("event_type").isin("login", "logout")).withColumn("ts", F.col("ts").cast("timestamp"))
-    relevant = stamped.withWatermark("ts", delay).select("user_id", "event_id", "event_type", "ts", F.unix_micros("ts").alias("micros"))
-    return relevant.groupBy("user_id").transformWithStateInPandas(
+    relevant = keyed(stamped.withWatermark("ts", delay), "user_id", "event_id", "event_type", "ts", F.unix_micros("ts").alias("micros"))
+    return relevant.groupBy("user_id", UNKNOWN).transformWithStateInPandas(
         _Sessions(ttl_seconds), "user_id long, event_id long, session_duration double", "Append", "EventTime"
     )
 
@@ -177,7 +188,7 @@ class _SegmentChanges(StatefulProcessor):
         self.totals.update((orders, spent, new, last))
         self.handle.registerTimer(last + self.ttl_millis + 1)
         if new != segment:
-            yield pd.DataFrame({"customer_id": [key[0]], "old_segment": [segment], "new_segment": [new],
+            yield pd.DataFrame({"customer_id": named(key, 1), "old_segment": [segment], "new_segment": [new],
                                 "total_orders": [orders], "total_spent": [spent]})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
@@ -199,8 +210,8 @@ def segment_changes(orders: DataFrame, ttl_days: int = CUSTOMER_TTL_DAYS, delay:
     """
     sign = F.when(F.col("event_type") == "order_created", 1).when(F.col("event_type") == "order_cancelled", -1).otherwise(0)
     stamped = orders.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
-    signed = stamped.select("customer_id", sign.alias("sign"), F.coalesce("amount", F.lit(0.0)).alias("amount"), "ts", F.unix_millis("ts").alias("millis"))
-    return signed.groupBy("customer_id").transformWithStateInPandas(
+    signed = keyed(stamped, "customer_id", sign.alias("sign"), F.coalesce("amount", F.lit(0.0)).alias("amount"), "ts", F.unix_millis("ts").alias("millis"))
+    return signed.groupBy("customer_id", UNKNOWN).transformWithStateInPandas(
         _SegmentChanges(ttl_days),
         "customer_id long, old_segment string, new_segment string, total_orders long, total_spent double",
         "Update", "EventTime",

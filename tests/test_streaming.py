@@ -84,3 +84,17 @@ def test_messages_and_dead_letters(spark):
     letters = S.dead_letters(parsed, F.lit("t")).collect()
     assert sorted(r.message for r in letters) == ['{"a": ', '{"a": "x"}'] and letters[0].original_topic == "t"
     assert sorted(str(r.a) for r in S.good_messages(parsed).collect()) == ["1", "None"]
+
+
+def test_rows_without_a_user_take_no_others_with_them(spark, tmp_path):
+    path, names = str(tmp_path / "null"), ["login", "logout", "order_created"]
+    rows = [(None if i % 4 == 0 else i % 29, i, names[i * 5 % 3], 10.0, 1_000 + i * 100) for i in range(300)]
+    for part in range(2):
+        spark.createDataFrame(rows[part * 150:(part + 1) * 150], SCHEMA).coalesce(1).write.mode("append").parquet(path)
+    got = S.run_available(S.stateful_sessions(stream(spark, path), ttl_seconds=20_000), "n").collect()
+    want = session_durations(batch(spark, path), ttl_seconds=20_000).select("user_id", "event_id", "session_duration").collect()
+    assert sorted(map(tuple, got), key=str) == sorted(map(tuple, want), key=str) and any(r.user_id is None for r in got)
+    orders = batch(spark, path).where("event_type = 'order_created'").withColumnRenamed("user_id", "customer_id")
+    changes = S.run_available(S.segment_changes(stream(spark, path).where("event_type = 'order_created'").withColumnRenamed("user_id", "customer_id")), "m", mode="update")
+    segments = {r.customer_id: r.customer_segment for r in S.running_order_totals(orders).collect()}
+    assert {r.customer_id: r.new_segment for r in S.latest_rows(changes, ["customer_id"]).collect()} == segments and None in segments

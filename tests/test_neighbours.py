@@ -63,3 +63,28 @@ def test_odd_tables(spark):
     rows = [("x", 1.0, None, "o"), ("y", float("nan"), None, "o")]
     got = {r["id"]: (r["a"], r["b"], r["other"]) for r in neighbours.nearest_fill(spark.createDataFrame(rows, schema), "id", ["a", "b"]).collect()}
     assert got == {"x": (1.0, None, "o"), "y": (1.0, None, "o")}
+
+
+def test_work_follows_the_rows(spark, monkeypatch):
+    """Rows alike ask once and lend a few times, and a row visits few of many cells."""
+    stored = {}
+
+    def noted(df, label):
+        out = neighbours_materialise(df, label)
+        stored.setdefault(label, []).append(out)
+        return out
+
+    neighbours_materialise = neighbours.materialise
+    monkeypatch.setattr(neighbours, "materialise", noted)
+    monkeypatch.setattr(neighbours, "CELL", 64)
+    r = random.Random(11)
+    rows = [(f"a{i}", float(i % 3), None, None) for i in range(900)]  # three kinds of rows that ask
+    rows += [(f"b{i}", 5.0, 6.0, 7.0) for i in range(900)]  # one kind that lends
+    rows += [(f"c{i}", r.random() * 1000, r.random() * 1000, None if i % 2 else r.random()) for i in range(3_000)]
+    frame = spark.createDataFrame(rows, "id string, a double, b double, c double")
+    got = {x["id"]: x for x in neighbours.nearest_fill(frame, "id", ["a", "b", "c"], 3).collect()}
+    assert len(got) == len(rows) and len({(got[f"a{i}"]["b"], got[f"a{i}"]["c"]) for i in range(900)}) <= 3
+    assert stored["asks"][0].count() == 3 + 1_500 and stored["lend"][0].where("key LIKE 'b%'").count() <= 4
+    assert stored["cells"][0].count() > 40
+    last = stored["asking"][1].where("NOT isnan(v[1])")  # both have more than 1,500 rows to look at if all cells are
+    assert last.count() < 10 * 1_500

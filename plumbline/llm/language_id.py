@@ -8,8 +8,8 @@ largest decides.
 
 N-grams are runs of 3 and of 4 UTF-8 bytes of the text in lower case, with every ASCII character that is no letter
 as a blank. An n-gram is typical of a language if at least ``MIN_SHARE`` of its training documents have it and at
-least ``RELATIVE`` of the share of the language where it is most frequent. Training uses at most about
-``SAMPLE_DOCS`` documents of each language, chosen by a hash of the text; everything after that covers all rows.
+least ``RELATIVE`` of the share of the language where it is most frequent. Training uses every different text of each
+language once, unless a caller asks for a sample.
 
 Defined results: a null text or one without a letter is ``und`` with score 0; a text of which no n-gram is known
 gets the most frequent training language with score 0; equal counts go to the language that comes first by name;
@@ -33,8 +33,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import arrow_schema, keep_rows, narrow, per_batch, texts, type_of
+from plumbline.llm.near_dup import sized
+from plumbline.session import materialise
 
-SAMPLE_DOCS = 3_000
+GRAMS_AT_ONCE = 4_000_000  # n-grams of documents that are summed at once
 MIN_SHARE = 0.01
 RELATIVE = 0.25
 WORD = 64  # languages in a word of a slot
@@ -170,44 +172,62 @@ class Filters:
 
 
 def gram_documents(labelled: DataFrame) -> DataFrame:
-    """``lang``, ``gram`` and the number of documents that have it; rows are summed within each batch first."""
+    """``lang``, ``gram`` and the number of documents that have it; many rows are summed at once."""
     schema = "lang string, gram long, n long"
     arrow = arrow_schema(labelled, schema)
 
+    def summed(by_language: dict[str, list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        for lang, lists in by_language.items():
+            grams, n = np.unique(np.concatenate(lists), return_counts=True)
+            columns = [pa.array([lang] * len(grams)), pa.array(grams.astype(np.int64)), pa.array(n.astype(np.int64))]
+            yield pa.RecordBatch.from_arrays(columns, schema=arrow)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by_language: dict[str, list[np.ndarray]] = {}
+        size = 0
         for batch in batches:
-            by_language: dict[str, list[np.ndarray]] = {}
             for lang, text in zip(batch.column(0).to_pylist(), texts(batch, 1)):
                 data = np.frombuffer(plain(text), np.uint8)
                 by_language.setdefault(lang, []).append(np.unique(np.concatenate([ngrams(data, s) for s in SIZES])))
-            for lang, lists in by_language.items():
-                grams, n = np.unique(np.concatenate(lists), return_counts=True)
-                columns = [pa.array([lang] * len(grams)), pa.array(grams.astype(np.int64)), pa.array(n.astype(np.int64))]
-                yield pa.RecordBatch.from_arrays(columns, schema=arrow)
+                size += len(by_language[lang][-1])
+                if size >= GRAMS_AT_ONCE:
+                    yield from summed(by_language)
+                    by_language, size = {}, 0
+        yield from summed(by_language)
 
     return labelled.select("lang", "text").mapInArrow(run, schema)
 
 
-def training_rows(labelled: DataFrame, lang: str, text: str, sample: int) -> tuple[DataFrame, list[str]]:
-    """``lang`` and ``text`` of about ``sample`` different texts of each language at most, and all languages. Equal texts count
-    once, so that neither a text that is repeated often nor its hash decides what is learnt."""
+def training_rows(labelled: DataFrame, lang: str, text: str, sample: int | None = None) -> tuple[DataFrame, list[str]]:
+    """``lang`` and ``text`` of all different texts of each language, or of about ``sample``, and all languages. Equal texts count
+    once, so that neither a text that is repeated often nor its hash decides what is learnt. Only texts that are repeated are
+    shuffled."""
     given = labelled.select(F.col(lang).alias("lang"), F.col(text).alias("text")).where("lang is not null and text is not null")
     given = given.withColumn("h", F.xxhash64("text"))
-    sizes = {r["lang"]: r["count"] for r in given.select("lang", "h").distinct().groupBy("lang").count().collect()}
+    hashes = materialise(given.groupBy("lang", "h").count(), "hashes")
+    sizes = {r["lang"]: r["count"] for r in hashes.groupBy("lang").count().collect()}
     if not sizes:
         return given.drop("h"), []
-    spread = F.pmod(F.xxhash64("h"), F.lit(1_000_000))
-    chosen = given.where(spread < by_name({name: 1e6 * min(1.0, sample / size) for name, size in sizes.items()}))
-    return chosen.dropDuplicates(["lang", "h"]).drop("h"), sorted(sizes)
+    if sample is not None:
+        spread = F.pmod(F.xxhash64("h"), F.lit(1_000_000))
+        given = given.where(spread < by_name({name: 1e6 * min(1.0, sample / size) for name, size in sizes.items()}))
+    repeated = sized(hashes.where("count > 1").select("lang", "h"))
+    again = given.join(repeated, ["lang", "h"], "left_semi").dropDuplicates(["lang", "h"])
+    chosen = given.join(repeated, ["lang", "h"], "left_anti").unionByName(again)
+    return chosen.select("lang", "text"), sorted(sizes)
 
 
-def fit(labelled: DataFrame, lang: str = "lang", text: str = "text", sample: int = SAMPLE_DOCS) -> Filters | None:
-    """Filters from about ``sample`` different texts of each language at most; None without training rows.
+def fit(labelled: DataFrame, lang: str = "lang", text: str = "text", sample: int | None = None) -> Filters | None:
+    """Filters from all different texts of each language, or from about ``sample``; None without training rows.
 
     What comes to the driver is one row for each typical n-gram, at most the n-grams of an average document divided
     by ``MIN_SHARE`` for each language.
     """
-    chosen, languages = training_rows(labelled, lang, text, sample)
+    return fit_rows(*training_rows(labelled, lang, text, sample))
+
+
+def fit_rows(chosen: DataFrame, languages: list[str]) -> Filters | None:
+    """Filters from the rows and languages of ``training_rows``."""
     if not languages:
         return None
     documents = {r["lang"]: r["count"] for r in chosen.groupBy("lang").count().collect()}
@@ -282,9 +302,9 @@ def foreign(docs: DataFrame, train: DataFrame, key: str = "doc_id", lang: str =
 
 def learnt(train: DataFrame, key: str, lang: str, text: str) -> Filters | None:
     """The filters of the rows of ``train`` not held out, with what tells foreign texts; none without such rows."""
-    rows = train.where(~held_out(F.col(key)))
-    filters = fit(rows, lang, text)
-    return None if filters is None else with_least(filters, training_rows(rows, lang, text, SAMPLE_DOCS)[0])
+    chosen, languages = training_rows(train.where(~held_out(F.col(key))), lang, text)
+    filters = fit_rows(chosen, languages)
+    return None if filters is None else with_least(filters, chosen)
 
 
 def familiar(docs: DataFrame, train: DataFrame, key: str = "doc_id", lang: str = "lang", text: str = "text") -> DataFrame:

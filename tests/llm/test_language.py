@@ -76,3 +76,15 @@ def test_texts_that_are_repeated_often_are_learnt(spark):
     filters = lid.fit(docs, sample=10)
     found = {(r["text"], r["lang_pred"]) for r in docs.join(lid.predict(docs.select("doc_id", "text").dropDuplicates(["text"]), filters), "doc_id").select("text", "lang_pred").collect()}
     assert {p for _, p in found} == set(said)
+
+
+def test_every_text_is_learnt_from(spark):
+    """4,000 texts of one language: all are training rows, and what few more than one in a hundred of them hold is learnt."""
+    rows = [(4 * i, f"walo {i} mira" + (" zukzuk" if i % 80 == 0 else ""), "aa") for i in range(4_000)] + [(-1, "walo 1 mira", "aa"), (-3, "ete ite", "bb")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    chosen, languages = lid.training_rows(docs, "lang", "text")
+    assert languages == ["aa", "bb"] and chosen.count() == 4_001
+    grams = {(r.lang, r.gram): r.n for r in lid.gram_documents(chosen).groupBy("lang", "gram").agg(F.sum("n").alias("n")).collect()}
+    gram = int(lid.ngrams(np.frombuffer(b"zuk", np.uint8), 3)[0])
+    assert grams["aa", gram] == 50
+    assert (lid.fit(docs).lookup(np.array([gram], np.uint64)) & 1).all()

@@ -228,8 +228,8 @@ def percent_rank_average(df: DataFrame, column: str, output: str) -> DataFrame:
     Approximate percentiles cut the values into ranges. One aggregation counts them; each row is then ranked inside
     its range by one window, and the rows of the ranges before are added from a constant. A percentile that holds
     many rows itself is known to be hot from the same counts: the rank of its rows follows without the window, so
-    they are dealt out evenly, and so are rows without a value. The number of ranges follows from the rows counted, so a
-    range stays of bounded size. Nothing is joined back.
+    they are dealt out evenly, and so are rows without a value; if there are no other rows, none is moved at all. The number of
+    ranges follows from the rows counted, so a range stays of bounded size. Nothing is joined back.
     """
     data = df.withColumn("_value", clean(df, column).cast("double") + F.lit(0.0))
     ranges = RANK_RANGES
@@ -256,6 +256,9 @@ def percent_rank_average(df: DataFrame, column: str, output: str) -> DataFrame:
         running += n
         hot.append(float(running - tops + (tops + 1) / 2) if tops * HOT_SHARE > total else None)
     hot_rank = F.when(F.col("_value") == top, F.get(_constant(hot, "double"), F.col("_range")))
+    if all(n == tops and h is not None for (n, tops), h in ((sizes[i], hot[i]) for i in sizes)):
+        # No row needs the window, so none is shuffled.
+        return ranged.withColumn(output, hot_rank / F.lit(total)).drop("_value", "_range")
     spread = F.pmod(F.xxhash64(*[c for c in df.columns if not isinstance(df.schema[c].dataType, T.MapType)]), F.lit(HOT_SHARE))
     placed = ranged.withColumn("_hot", hot_rank).withColumn("_part", F.when(F.col("_hot").isNull() & F.col("_range").isNotNull(), F.lit(0)).otherwise(spread))
     inside = W.partitionBy("_range", "_part")

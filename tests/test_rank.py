@@ -147,3 +147,13 @@ def test_more_ranges_for_more_rows(spark, monkeypatch):
     monkeypatch.setattr(rank, "RANK_RANGES", 4)
     monkeypatch.setattr(rank, "RANGE_ROWS", 50)
     assert {r["id"]: r["r"] for r in rank.percent_rank_average(df, "v", "r").collect()} == want
+
+
+def test_rows_of_hot_values_take_no_window(spark):
+    """Where every value is held by many rows, nothing is shuffled to rank them."""
+    hot = spark.range(4000).select("id", F.when(F.col("id") % 7 != 0, (F.col("id") % 5).cast("double")).alias("v"))
+    ranked = rank.percent_rank_average(hot, "v", "r")
+    plan = ranked._jdf.queryExecution().toString()
+    assert "Window" not in plan and "Exchange" not in plan
+    got = ranked.toPandas()
+    assert len(got) == 4000 and np.allclose(got.r, got.v.rank(pct=True), equal_nan=True)

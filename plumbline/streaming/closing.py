@@ -1,11 +1,15 @@
 """Running order totals with bounded state: customers who went quiet leave the state for a table.
 
 A customer's orders are summed in the state while they come. After ``ttl_days`` of event time without one, a timer hands
-the sums as a part to the table of closed parts and clears the state. A cancel that comes later opens the customer again
+the sums as a part to the table of closed parts and takes them out of the state. A cancel that comes later opens the customer again
 with what it takes back, and that becomes a further part: sums add up, so no part is ever changed and nothing is looked up. The totals
 at any time are the closed parts and the open state, which Spark's state reader gives. The state holds the customers of the
 last ``ttl_days`` and no more.
 
+The state has one list of customers for each of ``BUCKETS`` hashes, which is read, summed and stored as a whole when orders of
+its customers come: calls to the state cost far more than sums, so there are few calls however many customers there are. A
+checkpoint belongs to one number of buckets.
+
 Defined results: a null amount is 0; other kinds of events are not counted; rows without a time are left out, and
 so are rows more than ``delay`` behind the latest of the triggers before, as in any stream with a watermark; a null customer is one
 customer; an empty stream gives no parts.
@@ -29,44 +33,73 @@ from plumbline.streaming.jobs import CUSTOMER_TTL_DAYS, ROCKSDB, STATE_STORE, UN
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 NEVER = -(2**63)  # no order was created
+BUCKETS = 512
 PART = "customer_id long, total_orders long, total_spent double, last_order long"
 STATE = "open"
+OPEN = "customer_id long, unknown boolean, total_orders long, total_spent double, last_order long, last long"
+COLUMNS = [c.split()[0] for c in OPEN.split(", ")]
+
+
+def _summed(rows: pd.DataFrame) -> pd.DataFrame:
+    """One row for each customer, whose key may be the one of those without."""
+    by = rows.groupby(["customer_id", "unknown"], as_index=False, sort=False)
+    return by.agg({"total_orders": "sum", "total_spent": "sum", "last_order": "max", "last": "max"})
 
 
 class _OpenTotals(StatefulProcessor):
-    """The sums of one customer since the last part was handed over."""
+    """The sums of one bucket's customers since their last parts were handed over."""
 
     def __init__(self, ttl_days: int):
         self.ttl_millis = ttl_days * 86_400_000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.open = handle.getValueState(STATE, "total_orders long, total_spent double, last_order long, last long")
+        self.open = handle.getListState(STATE, OPEN)
+        self.due = handle.getValueState("due", "millis long")  # when the first customer has been quiet for long enough
 
-    def part(self, key=None, orders=None, spent=None, last_order=None) -> pd.DataFrame:
-        rows = [] if orders is None else [(key, orders, spent, last_order)]
-        frame = pd.DataFrame(rows, columns=["customer_id", "total_orders", "total_spent", "last_order"])
+    def read(self) -> pd.DataFrame:
+        frame = pd.DataFrame(list(self.open.get()) if self.due.exists() else [], columns=COLUMNS)
+        kinds = dict.fromkeys(COLUMNS, "int64") | {"unknown": "bool", "total_spent": "float64"}
+        return frame.astype(kinds)
+
+    def store(self, rows: pd.DataFrame) -> None:
+        if not len(rows):
+            self.open.clear()
+            self.due.clear()
+            return
+        self.open.put(list(zip(*[rows[c].tolist() for c in COLUMNS])))
+        due = int(rows["last"].min()) + self.ttl_millis + 1
+        self.due.update((due,))
+        self.handle.registerTimer(due)
+
+    def part(self, closed: pd.DataFrame | None = None) -> pd.DataFrame:
+        frame = pd.DataFrame(columns=COLUMNS) if closed is None else closed
+        known = frame["customer_id"].astype("Int64").mask(frame["unknown"].astype(bool))
+        frame = frame.assign(customer_id=known)[["customer_id", "total_orders", "total_spent", "last_order"]]
         return frame.astype({"customer_id": "Int64", "total_orders": "int64", "total_spent": "float64", "last_order": "int64"})
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        orders, spent, last_order, last = self.open.get() if self.open.exists() else (0, 0.0, NEVER, NEVER)
-        for chunk in rows:  # one piece of a busy customer at a time
-            orders, spent = orders + int(chunk["sign"].sum()), spent + float((chunk["sign"] * chunk["amount"]).sum())
-            created = chunk["millis"][chunk["sign"] == 1]
-            last_order = max(last_order, int(created.max())) if len(created) else last_order
-            last = max(last, int(chunk["millis"].max()))
-        self.open.update((orders, spent, last_order, last))
-        self.handle.registerTimer(last + self.ttl_millis + 1)
+        sums = self.read()
+        for chunk in rows:  # one piece of a busy bucket at a time
+            new = pd.DataFrame({
+                "customer_id": chunk["customer_id"], "unknown": chunk["unknown"], "total_orders": chunk["sign"].astype("int64"),
+                "total_spent": chunk["sign"] * chunk["amount"], "last_order": chunk["millis"].where(chunk["sign"] == 1, NEVER), "last": chunk["millis"],
+            })
+            new = _summed(new)
+            sums = _summed(pd.concat([sums, new])) if len(sums) else new
+        self.store(sums[COLUMNS])
         yield self.part()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        # A later order has a timer of its own.
-        if self.open.exists() and self.open.get()[3] + self.ttl_millis < expiredTimerInfo.getExpiryTimeInMs():
-            orders, spent, last_order, _ = self.open.get()
-            self.open.clear()
-            yield self.part(None if key[1] else key[0], orders, spent, last_order)
-        else:
+        # One timer closes all customers whose time is over. Those of customers who ordered since find nothing due.
+        now = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs() - 1)
+        if not self.due.exists() or self.due.get()[0] > now:
             yield self.part()
+            return
+        sums = self.read()
+        over = sums["last"] + self.ttl_millis < now
+        self.store(sums[~over])
+        yield self.part(sums[over])
 
     def close(self) -> None:
         return None
@@ -78,7 +111,8 @@ def closed_parts(orders: DataFrame, ttl_days: int = CUSTOMER_TTL_DAYS, delay: st
     stamped = orders.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
     counted = keyed(stamped, "customer_id", sign.alias("sign"), F.coalesce("amount", F.lit(0.0)).alias("amount"), "ts", F.unix_millis("ts").alias("millis"))
     kept = counted.where("sign IS NOT NULL AND ts IS NOT NULL")
-    return kept.groupBy("customer_id", UNKNOWN).transformWithStateInPandas(_OpenTotals(ttl_days), PART, "Append", "EventTime")
+    bucket = F.pmod(F.xxhash64("customer_id", UNKNOWN), F.lit(BUCKETS)).cast("int")
+    return kept.withColumn("bucket", bucket).withColumnRenamed(UNKNOWN, "unknown").groupBy("bucket").transformWithStateInPandas(_OpenTotals(ttl_days), PART, "Append", "EventTime")
 
 
 def start(parts: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
@@ -91,8 +125,8 @@ def start(parts: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
 def open_parts(spark: SparkSession, checkpoint: str) -> DataFrame:
     """The sums still in the state, after the last trigger that ended."""
     state = spark.read.format("statestore").option("stateVarName", STATE).load(checkpoint)
-    customer = F.when(~F.col(f"key.{UNKNOWN}"), F.col("key.customer_id")).alias("customer_id")
-    return state.select(customer, "value.total_orders", "value.total_spent", "value.last_order")
+    customer = F.when(~F.col("list_element.unknown"), F.col("list_element.customer_id")).alias("customer_id")
+    return state.select(customer, "list_element.total_orders", "list_element.total_spent", "list_element.last_order")
 
 
 def totals(spark: SparkSession, out: str, checkpoint: str) -> DataFrame:

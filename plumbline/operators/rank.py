@@ -7,6 +7,7 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -222,6 +223,24 @@ def bucket_of(value: Column, splits: list, kind: str) -> Column:
     )
 
 
+def with_range(df: DataFrame, value: str, splits: list[float], output: str) -> DataFrame:
+    """Add the number of sorted ``splits`` below a double, NULL for NULL, by Spark ML's binary search.
+
+    ``bucket_of`` takes any type but steps through its search row by row in an interpreted lambda, too slow for every row of a
+    large table. A ``Bucketizer`` range has its lower end and not its upper one, so values and splits change their signs.
+    """
+    if not any(math.isfinite(s) for s in splits):  # two at most
+        return df.withColumn(output, F.when(F.col(value).isNotNull(), bucket_of(F.col(value), splits, "double")))
+    infinity = float("inf")
+    ends = sorted({0.0 - s for s in splits} | {-infinity, infinity})
+    negative = df.withColumn("_negative", F.lit(0.0) - F.col(value))
+    placed = Bucketizer(splits=ends, inputCol="_negative", outputCol="_place", handleInvalid="keep").transform(negative)
+    # Ends that had to be added are no splits, and the highest range takes its upper end in.
+    top = len(splits) - (infinity in splits)
+    below = F.when(F.col(value) == -infinity, F.lit(0)).otherwise(F.lit(top) - F.col("_place").cast("int"))
+    return placed.withColumn(output, F.when(F.col(value).isNotNull(), below)).drop("_negative", "_place")
+
+
 def percent_rank_average(df: DataFrame, column: str, output: str) -> DataFrame:
     """Add the rank of each value over the number of values, equal values sharing their mean rank.
 
@@ -236,10 +255,10 @@ def percent_rank_average(df: DataFrame, column: str, output: str) -> DataFrame:
     while True:
         shares = [i / ranges for i in range(1, ranges)]
         splits = sorted(set(data.agg(F.percentile_approx("_value", shares, 10 * ranges)).first()[0] or []))
-        ranged = data.withColumn("_range", F.when(F.col("_value").isNotNull(), bucket_of(F.col("_value"), splits, "double")))
+        ranged = with_range(data, "_value", splits, "_range")
         # Range i holds what lies above split i - 1, up to split i itself.
         top = F.get(_constant(splits, "double"), F.col("_range"))
-        counted = ranged.filter("_range IS NOT NULL").groupBy("_range").agg(
+        counted = ranged.filter("_value IS NOT NULL").groupBy("_range").agg(
             F.count("*").alias("n"), F.count_if(F.col("_value") == top).alias("tops")
         ).collect()  # one row for each range
         sizes = {row["_range"]: (row["n"], row["tops"]) for row in counted}
@@ -261,9 +280,10 @@ def percent_rank_average(df: DataFrame, column: str, output: str) -> DataFrame:
         return ranged.withColumn(output, hot_rank / F.lit(total)).drop("_value", "_range")
     spread = F.pmod(F.xxhash64(*[c for c in df.columns if not isinstance(df.schema[c].dataType, T.MapType)]), F.lit(HOT_SHARE))
     placed = ranged.withColumn("_hot", hot_rank).withColumn("_part", F.when(F.col("_hot").isNull() & F.col("_range").isNotNull(), F.lit(0)).otherwise(spread))
-    inside = W.partitionBy("_range", "_part")
-    equal = F.count("*").over(W.partitionBy("_range", "_part", "_value"))
-    rank = F.get(_constant(before, "bigint"), F.col("_range")) + F.rank().over(inside.orderBy("_value")) + (equal - 1) / F.lit(2.0)
+    inside = W.partitionBy("_range", "_part").orderBy("_value")
+    # The places of the first and the last of the equal rows, from one window: a frame by value ends with the last of them.
+    first, last = F.rank().over(inside), F.count("*").over(inside.rangeBetween(W.unboundedPreceding, W.currentRow))
+    rank = F.get(_constant(before, "bigint"), F.col("_range")) + (first + last) / F.lit(2.0)
     ranked = placed.withColumn(output, F.when(F.col("_range").isNotNull(), F.coalesce("_hot", rank) / F.lit(total)))
     return ranked.drop("_value", "_range", "_hot", "_part")
 

@@ -19,6 +19,7 @@ from plumbline.operators.rank import bucket_of, pick_splits
 
 BLOCK_ROWS = 1_000_000
 ORDER_CHUNKS = 1024  # at least; more where these would hold more than BLOCK_ROWS each
+KEY_GROUPS = 65_536
 
 
 def longest_key(df: DataFrame, keys: list[str]) -> int:
@@ -26,6 +27,19 @@ def longest_key(df: DataFrame, keys: list[str]) -> int:
     return counts.agg(F.max("n")).first()[0] or 0
 
 
+def short_keys(df: DataFrame, keys: list[str], rows: int) -> bool:
+    """Whether no key has more than ``rows`` rows.
+
+    Rows are counted by a hash of the key first, into few groups that no key exceeds. Only where one of these is
+    larger are the keys themselves counted.
+    """
+    if keys:
+        groups = df.groupBy(F.pmod(F.xxhash64(*keys), F.lit(KEY_GROUPS)).alias("_group")).agg(F.count("*").alias("n"))
+        if (groups.agg(F.max("n")).first()[0] or 0) <= rows:
+            return True
+    return longest_key(df, keys) <= rows
+
+
 def _blocked(df: DataFrame, keys: list[str], order: list[str], block_rows: int) -> DataFrame:
     """Add ``_row``, the 0-based position within the key, and ``_block`` of ``block_rows`` positions.
 
@@ -83,7 +97,7 @@ def over_rows(
     ``order`` must order the rows of a key fully. ``fill`` adds columns with the latest non-missing value
     of an expression first, which the built columns may use.
     """
-    if longest_key(df, keys) <= block_rows:
+    if short_keys(df, keys, block_rows):
         w = W.partitionBy(*keys).orderBy(*order)
         filled = df.withColumns({n: _last(c, w) for n, c in fill.items()}) if fill else df
         return filled.withColumns(build(w))
@@ -106,7 +120,7 @@ def fill_forward(
     df: DataFrame, keys: list[str], order: list[str], columns: dict[str, Column], *, block_rows: int = BLOCK_ROWS
 ) -> DataFrame:
     """Add, per name, the latest non-missing value of an expression up to and including each row."""
-    if longest_key(df, keys) <= block_rows:
+    if short_keys(df, keys, block_rows):
         w = W.partitionBy(*keys).orderBy(*order)
         return df.withColumns({name: _last(c, w) for name, c in columns.items()})
     return _fill_blocks(df, keys, order, columns, block_rows)

@@ -157,3 +157,40 @@ def test_rows_of_hot_values_take_no_window(spark):
     assert "Window" not in plan and "Exchange" not in plan
     got = ranked.toPandas()
     assert len(got) == 4000 and np.allclose(got.r, got.v.rank(pct=True), equal_nan=True)
+
+
+def test_counts_of_many_pivots_stay_compiled(spark, monkeypatch):
+    """No aggregation counts more columns than Spark compiles as a whole, and the quartiles are those of pandas."""
+    rng = np.random.default_rng(3)
+    pdf = pd.DataFrame({f"c{i}": rng.normal(size=3000) for i in range(9)})
+    df, sizes = spark.createDataFrame(pdf), []
+    agg = type(df).agg
+    monkeypatch.setattr(type(df), "agg", lambda self, *exprs: (sizes.append(len(exprs)), agg(self, *exprs))[1])
+    qs = [0.25, 0.5, 0.75]
+    got = quantiles.exact_quantiles(df, {c: qs for c in pdf.columns}, exact_limit=20)
+    assert max(sizes) <= 100 and sum(sizes) > 100
+    for c in pdf.columns:
+        assert got[c] == pytest.approx(pdf[c].quantile(qs).tolist())
+
+
+def test_percent_rank_uses_one_window_and_a_compiled_search(spark):
+    df = spark.range(5000).select("id", (F.col("id") * 37 % 1000).cast("double").alias("v"))
+    ranked = rank.percent_rank_average(df, "v", "r")
+    plan = ranked._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window [") == 1 and "lambda" not in plan
+    got = ranked.toPandas()
+    assert np.allclose(got.r, got.v.rank(pct=True))
+
+
+def test_ranges_of_ends_zeros_and_infinities(spark):
+    values = [-math.inf, -2.5, -0.0, 0.0, 1.0, 1.5, 2.0, math.inf, None]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    for splits in ([], [0.0], [-2.5, 0.0, 1.0, 2.0], [-math.inf, 0.0], [1.0, math.inf], [-math.inf, 1.0, math.inf], [math.inf], [-math.inf]):
+        for v, found in rank.with_range(df, "v", splits, "at").collect():
+            assert found == (None if v is None else sum(s < v for s in splits)), (splits, v)
+
+
+def test_percent_rank_of_infinities(spark):
+    rows = [(i, v) for i, v in enumerate([-math.inf] * 40 + [math.inf] * 60 + [0.0, -0.0, 3.0, 3.0, None, math.nan])]
+    got = rank.percent_rank_average(spark.createDataFrame(rows, "id long, v double"), "v", "r").toPandas()
+    assert np.allclose(got.r, got.v.rank(pct=True), equal_nan=True)

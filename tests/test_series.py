@@ -99,3 +99,16 @@ def test_blocks_of_any_order_type(spark, kind):
     ways = [series.over_rows(df, [], ["at"], 7, lambda w: {"m": series.rolling_mean("v", w, 7)}, block_rows=n) for n in (1_000, 20)]
     one, many = ({r["at"]: r["m"] for r in way.collect()} for way in ways)
     assert len(one) == 200 and one == pytest.approx(many)
+
+
+def test_keys_are_counted_only_where_a_bound_leaves_it_open(spark, monkeypatch):
+    rows = [(None, 1)] * 4 + [("a", 1)] * 3 + [("b", i) for i in range(5)]
+    df, calls = spark.createDataFrame(rows, "k string, v int"), []
+    longest = series.longest_key
+    monkeypatch.setattr(series, "longest_key", lambda *args: (calls.append(1), longest(*args))[1])
+    out = series.over_rows(df, ["k"], ["v"], 1, lambda w: {"n": F.count("*").over(w.rowsBetween(-1, 0))})
+    assert out.count() == 12 and not calls
+    monkeypatch.setattr(series, "KEY_GROUPS", 1)  # all keys share a group
+    assert series.short_keys(df, ["k"], 5) and not series.short_keys(df, ["k"], 4) and len(calls) == 2
+    assert series.short_keys(df, [], 12) and not series.short_keys(df, [], 11)
+    assert series.short_keys(df.filter("false"), ["k"], 0)
